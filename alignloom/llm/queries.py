@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignloom.llm import secrets, sharding
+from alignloom.llm import packing, secrets, sharding, simhash, tokenfiles, warc
 from alignloom.llm.common import table
 
 
@@ -47,5 +47,38 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_sharding": op2_sharding}
-ORACLES = {"op1_secret_scan": op1_sql()}
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from .warc.zst archives."""
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+OP4_SQL = """WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) payload_bytes, sha1(coalesce(html, '')) payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) leader FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < leader THEN 'revisit' ELSE 'response' END record_type,
+CASE WHEN payload_bytes >= 1000 AND page_id < leader THEN leader END refers_to FROM m"""
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 4096 tokens."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2, capacity=4096, seed=42)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum as read back from token-id files."""
+    return tokenfiles.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest doc_id that links reach from it."""
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_sharding": op2_sharding, "op4_warc": op4_warc, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op9_simhash": op9_simhash}
+ORACLES = {"op1_secret_scan": op1_sql(), "op4_warc": OP4_SQL}
