@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignloom.llm import packing, secrets, sharding, simhash, tokenfiles, warc
+from alignloom.llm import decontaminate, packing, passages, secrets, sharding, simhash, tokenfiles, toxicity, warc, winnowing
 from alignloom.llm.common import table
 
 
@@ -47,12 +47,37 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside occurrences of 10-word windows of benchmark items."""
+    return decontaminate.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), 10)
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+OP5_SQL = f"""WITH dw AS (SELECT doc_id, {_WORDS} w, row_number() OVER () r FROM documents),
+bw AS (SELECT item_id, {_WORDS} w FROM benchmark),
+bi AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i FROM bw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) n, w[i:i + least(len(w), 10) - 1] g FROM bi),
+dp AS (SELECT r, unnest(w) word, generate_subscripts(w, 1) i FROM dw),
+dg AS (SELECT r, i, array_agg(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) g FROM dp),
+di AS (SELECT r, i, n, g[1:n] g FROM dg, (SELECT DISTINCT n FROM win) WHERE len(g) >= n),
+hit AS (SELECT r, i, di.n, item_id FROM di JOIN win ON win.n = di.n AND di.g = win.g),
+pos AS (SELECT r, count(DISTINCT p) n_hit FROM (SELECT r, unnest(range(i, i + n)) p FROM hit) GROUP BY r),
+its AS (SELECT r, count(DISTINCT item_id) n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) ids FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIGINT) n_hit, CAST(coalesce(n_items, 0) AS BIGINT) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)"""
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; labels of held-out rows are not learned from."""
+    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record as read back from .warc.zst archives."""
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
@@ -75,10 +100,20 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return winnowing.edited(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the smallest doc_id that links reach from it."""
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_sharding": op2_sharding, "op4_warc": op4_warc, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op9_simhash": op9_simhash}
-ORACLES = {"op1_secret_scan": op1_sql(), "op4_warc": OP4_SQL}
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a passage that other documents repeat."""
+    return passages.repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_winnowing": op8_winnowing, "op9_simhash": op9_simhash, "op10_passages": op10_passages}
+ORACLES = {"op1_secret_scan": op1_sql(), "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL}

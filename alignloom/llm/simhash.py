@@ -41,18 +41,20 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > shingles, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row, fp as a signed long; null texts have no words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, extra: Column | None = None) -> DataFrame:
+    """(doc_id, fp) of every row, fp as a signed long, and the long `extra` as h if given; null texts have no words."""
+    more = extra is not None
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [("h", pa.int64())] * more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 fps = np.array([fingerprint(t) for t in part.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), *[part.column(2)] * more], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    wanted = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")] + ([extra.alias("h")] if more else [])
+    return docs.select(*wanted).mapInArrow(run, "doc_id bigint, fp bigint" + ", h bigint" * more)
 
 
 def _half(side: int) -> Column:
@@ -98,6 +100,15 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionAll(stars.filter("a <> b"))
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints of rows (doc_id, fp)."""
+    classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = checkpointed(connected_components(links(classes.select("fp"))))
+    labelled = classes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    leaders = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    return labelled.join(leaders, "label").select("fp", "component_id", "label")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row: 16 hex digits, and the smallest doc_id that links reach.
 
@@ -107,9 +118,23 @@ def components(docs: DataFrame) -> DataFrame:
     empty table gives no rows; other columns of docs are ignored.
     """
     rows = checkpointed(fingerprints(docs))
-    classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = checkpointed(connected_components(links(classes.select("fp"))))
-    labelled = classes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    leaders = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(leaders, "label").select("fp", "component_id")
+    named = _named(rows).drop("label")
     return rows.join(named.hint("shuffle_hash"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id (null last), of its texts that of the least hash.
+
+    What is kept is known by doc_id and text, so no row number has to be the same in
+    two readings; the texts are shuffled once, to meet the kept names and to leave one
+    of repeated rows.
+    """
+    columns, keys = docs.columns, ["__known", "__doc", "__text_hash"]
+    doc = F.col("doc_id").cast("long")
+    keyed = docs.select("*", doc.isNotNull().alias("__known"), F.coalesce(doc, F.lit(0)).alias("__doc"), F.xxhash64("text").alias("__text_hash"))
+    rows = checkpointed(fingerprints(docs, F.xxhash64("text")))
+    named = _named(rows.select("doc_id", "fp")).select("fp", "label")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")
+    kept = rows.join(named.hint("shuffle_hash"), "fp").groupBy("label").agg(F.min(order).alias("k")).select((~F.col("k.unknown")).alias("__known"), F.coalesce("k.doc_id", F.lit(0)).alias("__doc"), F.col("k.h").alias("__text_hash"))
+    copies = keyed.join(kept, keys, "left_semi").groupBy(*keys).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("r"))
+    return copies.select("r.*")
