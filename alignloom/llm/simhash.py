@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, extra: Column | None = None) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 fps = np.array([fingerprint(t) for t in part.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), *[part.column(2)] * more], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), *([part.column(2)] if more else [])], schema=schema)
 
     wanted = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")] + ([extra.alias("h")] if more else [])
     return docs.select(*wanted).mapInArrow(run, "doc_id bigint, fp bigint" + ", h bigint" * more)
