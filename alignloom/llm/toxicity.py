@@ -32,6 +32,8 @@ INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "p
 
 _WORD = re.compile(r"[^\W\d_]+")
 SLICES, EVIDENCE = 6, 12.0
+#: How often a label is taken to be right; it anchors the label model.
+LABEL_ACCURACY = 0.95
 
 
 def held_out(doc_id: Column) -> Column:
@@ -126,9 +128,9 @@ def votes(docs: list[Counter], patterns: list[list[float]], lexicon: dict[str, f
 def posterior(seen: np.ndarray, prior: float, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The generative label model by EM: (P(toxic) of each row, vote tables [voter, class, vote + 1], voters' weights).
 
-    Votes are drawn given the class; a voter whose votes are explained by others
-    beyond the class (mean correlations of what the class leaves unexplained) gets a
-    weight below 1, so repeated voters do not add up.
+    Votes are drawn given the class. The last voter is the label; its table is fixed
+    by LABEL_ACCURACY. Another whose votes vary with others' beyond what the class
+    explains gets a weight below 1, so repeated voters do not add up.
     """
     p = start.astype(float)
     n, k = seen.shape
@@ -138,12 +140,14 @@ def posterior(seen: np.ndarray, prior: float, start: np.ndarray, rounds: int = 4
             for v in (-1, 0, 1):
                 tables[:, c, v + 1] = ((seen == v) * q[:, None]).sum(0) + 1
         tables /= tables.sum(2, keepdims=True)
+        tables[-1] = [[LABEL_ACCURACY, 1e-9, 1 - LABEL_ACCURACY], [1 - LABEL_ACCURACY, 1e-9, LABEL_ACCURACY]]
         expected = np.stack([tables[:, c, 2] - tables[:, c, 0] for c in (0, 1)])
         left = seen - ((1 - p)[:, None] * expected[0] + p[:, None] * expected[1])
-        spread = np.sqrt((left**2).mean(0)) + 1e-9
+        spread = np.maximum(seen.std(0), 0.1)
         related = np.abs((left / spread).T @ (left / spread) / n)
         np.fill_diagonal(related, 0)
         weights = 1 / (1 + related.sum(1))
+        weights[-1] = 1
         ratio = np.log(tables[:, 1, :] / tables[:, 0, :])
         z = math.log(prior / (1 - prior)) + sum(weights[j] * ratio[j, seen[:, j] + 1] for j in range(k))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -181,7 +185,7 @@ def fit(docs: list[Counter], patterns: list[list[float]], toxic: np.ndarray, rat
         x[own] = [figures(docs[i], patterns[i], lexicon, memo) for i in own]
     seen = np.column_stack([seen, np.where(toxic == 1, 1, -1)])
     share = float(toxic.mean())
-    soft, _, _ = posterior(seen, share, np.where(toxic == 1, 0.95, 0.05))
+    soft, _, _ = posterior(seen, share, np.where(toxic == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY))
     mean, scale = x.mean(0), x.std(0) + 1e-6
     weights = logistic((x - mean) / scale, soft)
     weights[0] += math.log(rate / (1 - rate)) - math.log(share / (1 - share))
