@@ -86,6 +86,18 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), "text").mapInArrow(run, "row bigint, doc_id bigint, paragraph int, start bigint, stop bigint, n_words int, id bigint, bands array<bigint>")
 
 
+def sets(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, shingles) of the named paragraphs, each once: the distinct hashes of their shingles."""
+    schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, line in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_pylist([{"id": name, "shingles": shingles(line.encode().lower().split()).view(np.int64).tolist()}], schema=schema)
+
+    return texts(docs, names).mapInArrow(run, "id bigint, shingles array<bigint>")
+
+
 def texts(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(id, line) of the named paragraphs, each once."""
     schema = pa.schema([("id", pa.int64()), ("line", pa.string())])
@@ -122,7 +134,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 x, y = sets[a], sets[b]
                 if min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)):
                     shared = len(np.intersect1d(x, y, assume_unique=True))
-                    if shared >= SIMILARITY * (len(x) + len(y) - shared) - 1e-9:
+                    if 9 * shared >= 4 * (len(x) + len(y)):  # shared / union >= 4 / 5
                         out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
@@ -137,8 +149,10 @@ def similar(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     all pairs. In a larger one all first compare with its least id; members that are
     in one component by then need no further comparison with each other, so only
     those outside the bucket's largest component are compared, with all members of
-    other components. No pair within a component is listed and no link between
-    components is lost.
+    other components, and exactly, in the join itself: only links leave it. No pair
+    within a component is compared or listed and no link between components is lost.
+    (Where most members of a bucket are alike but not similar enough, comparisons
+    still grow with the square of the bucket.)
     """
     rows = distinct.select("id", F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1")
@@ -152,9 +166,15 @@ def similar(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     placed = checkpointed(crowded.select("bucket", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")))
     sizes = placed.groupBy("bucket", "label").count()
     main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "main")
-    rest = placed.join(main, "bucket").filter("label <> main").select("bucket", F.col("id").alias("a"), F.col("label").alias("label_a"))
-    cross = rest.join(placed.join(main, "bucket", "left_semi").select("bucket", F.col("id").alias("b"), F.col("label").alias("label_b")), "bucket").filter("label_a <> label_b")
-    return edges.unionAll(verified(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs))
+    open_rows = checkpointed(placed.join(main, "bucket"))
+    shingled = checkpointed(sets(docs, open_rows.select("id").distinct()))
+    carried = open_rows.join(shingled, "id").withColumn("n", F.size("shingles"))
+    a, b = (carried.select("bucket", "main", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "n", "shingles")]) for k in "ab")
+    a, shared = a.filter("label_a <> main"), F.size(F.array_intersect("shingles_a", "shingles_b"))
+    apart = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == b["main"]) | (F.col("id_a") < F.col("id_b")))
+    close = (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (9 * shared >= 4 * (F.col("n_a") + F.col("n_b")))
+    cross = a.drop("main").join(b, (a["bucket"] == b["bucket"]) & apart & close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return edges.unionAll(cross)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
