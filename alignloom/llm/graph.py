@@ -26,7 +26,7 @@ def _stars(rows: DataFrame, large: bool) -> DataFrame:
         out = met.filter(F.col("other") > F.col("node")).select(F.col("other").alias("a"), F.col("m").alias("b"))
     else:
         out = met.select(F.col("other").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("node").alias("a"), F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -46,4 +46,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         seen = mark
         large = _stars(_neighbours(now), True)
-        now = checkpointed(_stars(large.select(F.col("a").alias("node"), F.col("b").alias("other")), False))
+        now = checkpointed(_stars(large.select(F.col("a").alias("node"), F.col("b").alias("other")), False).distinct())

@@ -143,10 +143,11 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def similar(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): edges whose components are those of all colliding pairs that are similar.
+    """(node, label): the components of all colliding pairs that are similar, without single ones.
 
-    distinct: (id, bands), each id once. A bucket of up to CROWDED paragraphs compares
-    all pairs. In a larger one all first compare with its least id; members that are
+    distinct: (id, bands, times), each id once. A bucket of up to CROWDED paragraphs
+    compares all pairs. In a larger one all first compare with the paragraph that
+    occurs most times, as edited copies are near what they are copies of; members that are
     in one component by then need no further comparison with each other, so only
     those outside the bucket's largest component are compared, with all members of
     other components, and exactly, in the join itself: only links leave it. No pair
@@ -154,15 +155,15 @@ def similar(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     (Where most members of a bucket are alike but not similar enough, comparisons
     still grow with the square of the bucket.)
     """
-    rows = distinct.select("id", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1")
-    members = checkpointed(rows.join(buckets, "bucket"))
+    rows = distinct.select("id", "times", F.explode("bands").alias("bucket"))
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("times", "id"))["id"].alias("most")).filter("n > 1")
+    members = checkpointed(rows.drop("times").join(buckets, "bucket"))
     calm, crowded = members.filter(F.col("n") <= CROWDED).select("bucket", "id"), members.filter(F.col("n") > CROWDED)
     pairs = calm.select("bucket", F.col("id").alias("a")).join(calm.select("bucket", F.col("id").alias("b")), "bucket").filter("a < b").select("a", "b")
-    edges = verified(pairs.unionAll(crowded.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))), docs)
+    edges = verified(pairs.unionAll(crowded.filter("id <> most").select(F.least("most", "id").alias("a"), F.greatest("most", "id").alias("b"))), docs)
+    labels = checkpointed(connected_components(edges))
     if crowded.isEmpty():
-        return edges
-    labels = connected_components(edges)
+        return labels
     placed = checkpointed(crowded.select("bucket", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")))
     sizes = placed.groupBy("bucket", "label").count()
     main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "main")
@@ -173,8 +174,11 @@ def similar(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     a, shared = a.filter("label_a <> main"), F.size(F.array_intersect("shingles_a", "shingles_b"))
     apart = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == b["main"]) | (F.col("id_a") < F.col("id_b")))
     close = (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (9 * shared >= 4 * (F.col("n_a") + F.col("n_b")))
-    cross = a.drop("main").join(b, (a["bucket"] == b["bucket"]) & apart & close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    return edges.unionAll(cross)
+    cross = a.drop("main").join(b, (a["bucket"] == b["bucket"]) & apart & close).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    joined = checkpointed(connected_components(cross))  # of components, each named by its label
+    renamed = joined.select(F.col("node").alias("label"), F.col("label").alias("final"))
+    alone = joined.join(labels, "node", "left_anti")  # single paragraphs that are linked only now
+    return labels.join(renamed, "label", "left").select("node", F.coalesce("final", "label").alias("label")).unionByName(alone)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -189,8 +193,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     every = checkpointed(occurrences(docs))
-    distinct = every.groupBy("id").agg(F.first("bands").alias("bands"))
-    labels = checkpointed(connected_components(similar(distinct, docs)))
+    distinct = every.groupBy("id").agg(F.first("bands").alias("bands"), F.count("*").alias("times"))
+    labels = checkpointed(similar(distinct, docs))
     placed = every.drop("bands").join(labels.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("label", "id"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "paragraph")
     groups = placed.groupBy("component").agg(F.min(order).alias("kept"), F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("component", "kept")
