@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,8 +169,26 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def unlike(docs: list[Counter]) -> list[int]:
+    """Of rows that are near copies by their words, the first: copies would make each other's words look telling.
+
+    Rows meet by pairs of MinHash values over their longer words.
+    """
+    known, out = set(), []
+    for i, words in enumerate(docs):
+        own = [w.encode() for w in words if len(w) > 4] or [w.encode() for w in words] or [b""]
+        least = [min(xxhash.xxh32_intdigest(w, k) for w in own) for k in range(8)]
+        keys = {(k, *least[2 * k : 2 * k + 2]) for k in range(4)} | {(k, least[k - 4], least[k - 1]) for k in range(4, 9)}
+        if not keys & known:
+            out.append(i)
+        known |= keys
+    return out
+
+
 def fit(docs: list[Counter], patterns: list[list[float]], toxic: np.ndarray, rate: float) -> Model:
     """The model of a sample; rate: the share of toxic rows among all labelled training rows."""
+    own = unlike(docs)
+    docs, patterns, toxic = [docs[i] for i in own], [patterns[i] for i in own], toxic[own]
     width = len(figures(Counter(), [0.0, 0.0, 0.0], {}, {}))
     if not 0 < toxic.sum() < len(toxic):
         weights = np.zeros(width + 1)
