@@ -32,7 +32,7 @@ FOLDS = 5
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "bastard", "bitch", "asshole", "retard", "imbecile", "cretin", "filth", "vermin", "freak")
 
 _WORD = re.compile(r"[^\W\d_]+")
-SLICES, EVIDENCE = 6, 12.0
+SLICES, EVIDENCE = 6, 20.0
 #: How often a label is taken to be right; it anchors the label model.
 LABEL_ACCURACY = 0.95
 
