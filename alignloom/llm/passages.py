@@ -1,4 +1,9 @@
-"""Repeated passages: paragraph MinHash banding, exact Jaccard, components of paragraphs."""
+"""Repeated passages: paragraph MinHash banding, exact Jaccard, components of paragraphs.
+
+Paragraphs are lines, compared for similarity, and anchored runs of RUN words, which
+may begin anywhere and cross lines, compared for equality: those find passages inside
+longer lines.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +12,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alignloom.llm.common import checkpointed
+from alignloom.llm.common import checkpointed, written
 from alignloom.llm.graph import connected_components
 
 #: Paragraphs are lines; shorter ones (headings, licence lines) are no passages.
 LEAST_WORDS = 25
 SHINGLE, SIMILARITY = 5, 0.8
+#: Anchors are the rightmost least hashes of ANCHOR_WINDOW consecutive GRAM-word runs; from each a run of RUN words begins.
+#: Any 50 words that two rows share hold an equal run: ANCHOR_WINDOW - 1 + RUN = 50.
+GRAM, ANCHOR_WINDOW, RUN = 3, 16, 35
 #: Bands of four rows: a pair at the threshold collides with probability 1 - (1 - 0.8**4)**12 = 0.998.
 BANDS, ROWS = 12, 4
 #: Buckets of so many paragraphs at most compare all pairs.
@@ -23,6 +31,12 @@ CROWDED = 32
 #: Up to so many paragraphs' names are broadcast to fetch their texts; beyond, the join shuffles.
 BROADCAST_NAMES = 500_000
 
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_FOLDED = np.array([32 if _BLANK[b] else b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+_BYTES = np.random.default_rng(21).integers(1, 1 << 63, 256, dtype=np.uint64)
+_PLACES = np.random.default_rng(22).integers(1, 1 << 63, 64 + GRAM, dtype=np.uint64) | np.uint64(1)
+_BLOCK = 1 << 15
+
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 
 
@@ -63,27 +77,87 @@ def named(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
 
+def _word_hashes(folded: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each word of the folded bytes, in blocks of words."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    for a in range(0, len(starts), _BLOCK):
+        at, sizes = starts[a : a + _BLOCK] - starts[a], lengths[a : a + _BLOCK] + 1
+        part = folded[starts[a] : starts[a] + at[-1] + sizes[-1]]
+        within = np.arange(len(part)) - np.repeat(at, sizes)[: len(part)]
+        out[a : a + _BLOCK] = np.add.reduceat(_BYTES[part] * _PLACES[within & 63], at)
+    return out
+
+
+def _anchors(hashes: np.ndarray) -> np.ndarray:
+    """Places of the rightmost least value of each ANCHOR_WINDOW consecutive ones, ascending."""
+    width, found = min(ANCHOR_WINDOW, len(hashes)), []
+    for a in range(0, len(hashes) - width + 1, _BLOCK):
+        view = np.lib.stride_tricks.sliding_window_view(hashes[a : a + _BLOCK + width - 1], width)
+        found.append(np.unique(a + np.arange(len(view)) + width - 1 - view[:, ::-1].argmin(axis=1)))
+    return np.unique(np.concatenate(found))
+
+
+def runs(text: str | None) -> list[tuple[int, int, int, int, int]]:
+    """(first word, start, stop, n_words, id) of the anchored runs of RUN words; start and stop in code points.
+
+    Words are those of lines(), counted through the whole text. Overlapping equal runs
+    (one word many times) are one longer run.
+    """
+    plain = (text or "").encode()
+    raw = np.frombuffer(plain, dtype=np.uint8)
+    solid = ~_BLANK[raw]
+    edges = np.diff(np.concatenate(([0], solid.view(np.int8), [0])))
+    begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    n = len(begins)
+    if n < RUN:
+        return []
+    solid[ends[:-1]] = True  # one blank after each word but the last
+    folded, lengths = _FOLDED[raw[solid]], ends - begins
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    with np.errstate(over="ignore"):
+        words = _word_hashes(folded, starts, lengths)
+        grams = sum(words[j : n - GRAM + 1 + j] * _PLACES[64 + j] for j in range(GRAM))
+        grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    at = _anchors(grams)
+    at = at[at + RUN <= n]
+    if not len(at):
+        return []
+    whole, digest = folded.tobytes(), xxhash.xxh3_64_intdigest
+    ids = np.array([digest(whole[a:b]) for a, b in zip(starts[at].tolist(), (starts + lengths)[at + RUN - 1].tolist())], dtype=np.uint64)
+    order = np.lexsort((at, ids))
+    at, ids = at[order], ids[order]
+    fresh = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (np.diff(at) >= RUN))))
+    first, last = at[fresh], at[np.append(fresh[1:], len(at)) - 1] + RUN - 1
+    start, stop = begins[first], ends[last]
+    if len(plain) != len(text):
+        points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        start, stop = points[start], points[stop]
+    return list(zip(first.tolist(), start.tolist(), stop.tolist(), (last - first + 1).tolist(), (ids[fresh] - np.uint64(1 << 63)).view(np.int64).tolist()))
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, paragraph, start, stop, n_words, id, bands) of every paragraph of every row."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("paragraph", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("n_words", pa.int32()), ("id", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """(row, doc_id, paragraph, word, start, stop, n_words, id, bands): every line of every row that is long enough
+    (word null), and every anchored run (paragraph and bands null)."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("paragraph", pa.int32()), ("word", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("n_words", pa.int32()), ("id", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, list[int]] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, 64):
                 out = []
-                for row, doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                for row, doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
                     for number, start, line, words in lines(text):
                         name = named(words)
                         if name not in known:
                             if len(known) >= 20_000:
                                 known.clear()
                             known[name] = bands(shingles(words))
-                        out.append((row, doc_id, number, start, start + len(line), len(words), name, known[name]))
+                        out.append((row, doc_id, number, None, start, start + len(line), len(words), name, known[name]))
+                    out += [(row, doc_id, None, *run, None) for run in runs(text)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), "text").mapInArrow(run, "row bigint, doc_id bigint, paragraph int, start bigint, stop bigint, n_words int, id bigint, bands array<bigint>")
+    return docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), "text").mapInArrow(run, "row bigint, doc_id bigint, paragraph int, word int, start bigint, stop bigint, n_words int, id bigint, bands array<bigint>")
 
 
 def sets(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -181,22 +255,65 @@ def similar(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     return labels.join(renamed, "label", "left").select("node", F.coalesce("final", "label").alias("label")).unionByName(alone)
 
 
+def repeated_lines(every: DataFrame, docs: DataFrame) -> DataFrame:
+    """(row, doc_id, paragraph, start, stop, n_words, component, kept_doc_id, removed) of the lines that another row repeats or nearly repeats."""
+    distinct = every.groupBy("id").agg(F.first("bands").alias("bands"), F.count("*").alias("times"))
+    labels = checkpointed(similar(distinct, docs))
+    placed = every.drop("bands", "word").join(labels.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("label", "id"))
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "paragraph")
+    groups = placed.groupBy("component").agg(F.min(order).alias("kept"), F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("component", "kept")
+    out = placed.join(groups.hint("shuffle_hash"), "component")
+    return out.select("row", "doc_id", "paragraph", "start", "stop", "n_words", "component", F.col("kept.doc_id").alias("kept_doc_id"), ((F.col("row") != F.col("kept.row")) | (F.col("paragraph") != F.col("kept.paragraph"))).alias("removed"))
+
+
+def repeated_runs(every: DataFrame, listed: DataFrame) -> DataFrame:
+    """The same columns for passages of repeated runs that lie in no listed line; paragraph is null.
+
+    Of each run one occurrence is kept: the least among those in no listed line or in
+    a kept one. Neighbouring runs of a row whose kept occurrences are in one row are
+    one passage, so every run of a removed passage stays there (a run at a
+    passage's edge that only some rows have as an anchored one can stay twice); runs
+    that neighbour each other anywhere are one component.
+    """
+    names = checkpointed(every.groupBy("id").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("id"))
+    few = names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    hits = every.join(F.broadcast(names) if few else names.hint("shuffle_hash"), "id").select("row", "doc_id", "start", "stop", "word", "n_words", "id")
+    spans = listed.select("row", "doc_id", "start", "stop", F.lit(None).cast("int").alias("word"), "n_words", F.lit(None).cast("bigint").alias("id"), "removed")
+    before = Window.partitionBy("row").orderBy("start", F.desc("stop"), F.col("id").asc_nulls_first())
+    line = F.max(F.when(F.col("id").isNull(), F.struct("stop", "removed"))).over(before)
+    inside = F.when(F.col("line.stop") >= F.col("stop"), F.when(F.col("line.removed"), 2).otherwise(1)).otherwise(0)
+    marked = hits.withColumn("removed", F.lit(None).cast("boolean")).unionByName(spans).withColumn("line", line).filter("id is not null").withColumn("inside", inside)
+    placed = checkpointed(marked.filter("inside < 2").select("row", "doc_id", "start", "stop", "word", "n_words", "id", "inside"))
+    kept = placed.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "start", "inside")).alias("kept"), F.min("inside").alias("least")).filter("least = 0")
+    live = placed.filter("inside = 0").join(kept.select("id", "kept.row", "kept.doc_id").toDF("id", "kept_row", "kept_doc_id").hint("shuffle_hash"), "id")
+    along = Window.partitionBy("row").orderBy("start", "stop", "id")
+    reach = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    joins = (F.col("start") <= F.col("reach")) & (F.col("kept_row") == F.lag("kept_row").over(along))
+    chained = live.withColumn("reach", reach).withColumn("before", F.when(joins, F.lag("id").over(along)))
+    chained = checkpointed(chained.withColumn("passage", F.count(F.when(F.col("before").isNull(), 1)).over(along)).drop("reach", "inside"))
+    labels = checkpointed(connected_components(chained.filter("before is not null").select(F.col("id").alias("a"), F.col("before").alias("b"))))
+    named = chained.join(labels.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("label", "id"))
+    whole = named.groupBy("row", "passage").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max(F.col("word") + F.col("n_words")) - F.min("word")).cast("int").alias("n_words"),
+        F.min("component").alias("component"), F.first("kept_doc_id").alias("kept_doc_id"), F.first("kept_row").alias("kept_row"),
+    )
+    return whole.select("row", "doc_id", F.lit(None).cast("int").alias("paragraph"), "start", "stop", "n_words", "component", "kept_doc_id", (F.col("row") != F.col("kept_row")).alias("removed"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Every occurrence of a passage that another row of docs repeats, exactly or nearly.
 
     (doc_id, paragraph, start, stop, n_words, component, kept_doc_id, removed): lines
     of LEAST_WORDS words or more whose shingles of five words are similar by 0.8 or
-    more, in components. start, stop: code points, stop exclusive. The occurrence of
-    the least doc_id (null last), then row and place, is kept, all others are removed.
-    A passage repeated within one row only is not listed. Null and empty texts have no
-    paragraphs; repeated rows repeat each other; an empty table gives no rows.
+    more, in components, and (paragraph null) passages outside those lines that begin
+    and end anywhere, of RUN words or more: every 50 words that two rows share are
+    met by one or the other. start, stop: code points, stop exclusive. The occurrence
+    of the least doc_id (null last), then row and place, is kept, all others are
+    removed. A passage repeated within one row only is not listed. Null and empty
+    texts have no paragraphs; repeated rows repeat each other; an empty table gives
+    no rows.
     """
     docs = docs.select("doc_id", "text")
-    every = checkpointed(occurrences(docs))
-    distinct = every.groupBy("id").agg(F.first("bands").alias("bands"), F.count("*").alias("times"))
-    labels = checkpointed(similar(distinct, docs))
-    placed = every.drop("bands").join(labels.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("label", "id"))
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "paragraph")
-    groups = placed.groupBy("component").agg(F.min(order).alias("kept"), F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("component", "kept")
-    out = placed.join(groups.hint("shuffle_hash"), "component")
-    return out.select("doc_id", "paragraph", "start", "stop", "n_words", "component", F.col("kept.doc_id").alias("kept_doc_id"), ((F.col("row") != F.col("kept.row")) | (F.col("paragraph") != F.col("kept.paragraph"))).alias("removed"))
+    every = written(occurrences(docs), "passages")
+    listed = checkpointed(repeated_lines(every.filter("paragraph is not null"), docs))
+    return listed.unionByName(repeated_runs(every.filter("paragraph is null").drop("bands"), listed)).drop("row")

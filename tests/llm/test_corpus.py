@@ -354,7 +354,8 @@ def brute_jaccard(a, b):
 @pytest.mark.parametrize("crowded", [32, 1])
 def test_passages(spark, docs, none, monkeypatch, crowded):
     monkeypatch.setattr(passages, "CROWDED", crowded)
-    rows = passages.repeats(docs).collect()
+    every = passages.repeats(docs).collect()
+    rows = [r for r in every if r["paragraph"] is not None]
     lines = [(n, r[0], i, l) for n, r in enumerate(ROWS) for i, l in enumerate(text_of(r).split("\n")) if len(l.split()) >= passages.LEAST_WORDS]
     label = list(range(len(lines)))
     for i, a in enumerate(lines):
@@ -373,6 +374,31 @@ def test_passages(spark, docs, none, monkeypatch, crowded):
         if r["doc_id"] == 5:
             assert TEXTS[5][r["start"] : r["stop"]] == PROSE[0]
     assert passages.repeats(none).count() == 0
+    texts = {r[0]: text_of(r) for r in ROWS if r[0] is not None}
+    for r in every:
+        if r["paragraph"] is None:
+            assert r["n_words"] == len(texts[r["doc_id"]][r["start"] : r["stop"]].split()) >= passages.RUN
+
+
+def test_passages_inside_longer_lines(spark):
+    rng, vocabulary = random.Random(11), [f"wé{i}" if i % 3 == 0 else f"Word{i}" for i in range(4000)]
+    shared = [rng.choices(vocabulary, k=50 + 10 * i) for i in range(4)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=150))) for i in range(10)]  # clean ones
+    for i in range(10, 40):
+        words = rng.choices(vocabulary, k=rng.randint(0, 80)) + shared[i % 4] + rng.choices(vocabulary, k=rng.randint(0, 80))
+        rows.append((i, "".join(w + rng.choice([" ", " ", "\n", "  "]) for w in words)))
+    rows += [(40, "\n".join([" ".join(shared[0])] * 2)), (41, "the " * 300), (42, "start the " + "the " * 200), (43, " ".join(rng.choices(vocabulary, k=60)) + " x " * 90), (None, " ".join(shared[1])), (10, rows[10][1])]
+    found = [r for r in passages.repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()]
+    assert {r["doc_id"] for r in found} == {*range(10, 43), None}
+    texts, groups = dict(rows), defaultdict(list)
+    for r in found:
+        if r["paragraph"] is None:
+            assert len(texts[r["doc_id"]][r["start"] : r["stop"]].split()) == r["n_words"] >= passages.RUN
+            groups[r["component"]].append(r)
+    gone = {r["doc_id"] for r in found if r["removed"]}
+    assert gone >= {i for i in range(14, 40)} and 12 not in gone  # 12 has the first of the passage that 40 repeats
+    for g in groups.values():
+        assert len({r["kept_doc_id"] for r in g}) == 1 and sum(not r["removed"] for r in g) <= 1
 
 
 def test_toxicity(spark, none):
