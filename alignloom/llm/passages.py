@@ -23,7 +23,7 @@ LEAST_WORDS = 25
 SHINGLE, SIMILARITY = 5, 0.8
 #: Anchors are the rightmost least hashes of ANCHOR_WINDOW consecutive GRAM-word runs; from each a run of RUN words begins.
 #: Any 50 words that two rows share hold an equal run: ANCHOR_WINDOW - 1 + RUN = 50.
-GRAM, ANCHOR_WINDOW, RUN = 3, 16, 35
+GRAM, ANCHOR_WINDOW, RUN = 3, 20, 31
 #: Bands of four rows: a pair at the threshold collides with probability 1 - (1 - 0.8**4)**12 = 0.998.
 BANDS, ROWS = 12, 4
 #: Buckets of so many paragraphs at most compare all pairs.
@@ -97,10 +97,10 @@ def _anchors(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def runs(text: str | None) -> list[tuple[int, int, int, int, int]]:
-    """(first word, start, stop, n_words, id) of the anchored runs of RUN words; start and stop in code points.
+def runs(text: str | None) -> tuple[np.ndarray, ...] | None:
+    """Arrays (first word, start, stop, n_words, id) of the anchored runs of RUN words; start and stop in code points.
 
-    Words are those of lines(), counted through the whole text. Overlapping equal runs
+    None if there are none. Words are those of lines(), counted through the whole text. Overlapping equal runs
     (one word many times) are one longer run.
     """
     plain = (text or "").encode()
@@ -110,7 +110,7 @@ def runs(text: str | None) -> list[tuple[int, int, int, int, int]]:
     begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     n = len(begins)
     if n < RUN:
-        return []
+        return None
     solid[ends[:-1]] = True  # one blank after each word but the last
     folded, lengths = _FOLDED[raw[solid]], ends - begins
     starts = np.cumsum(lengths + 1) - lengths - 1
@@ -121,7 +121,7 @@ def runs(text: str | None) -> list[tuple[int, int, int, int, int]]:
     at = _anchors(grams)
     at = at[at + RUN <= n]
     if not len(at):
-        return []
+        return None
     whole, digest = folded.tobytes(), xxhash.xxh3_64_intdigest
     ids = np.array([digest(whole[a:b]) for a, b in zip(starts[at].tolist(), (starts + lengths)[at + RUN - 1].tolist())], dtype=np.uint64)
     order = np.lexsort((at, ids))
@@ -132,7 +132,7 @@ def runs(text: str | None) -> list[tuple[int, int, int, int, int]]:
     if len(plain) != len(text):
         points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
         start, stop = points[start], points[stop]
-    return list(zip(first.tolist(), start.tolist(), stop.tolist(), (last - first + 1).tolist(), (ids[fresh] - np.uint64(1 << 63)).view(np.int64).tolist()))
+    return first, start, stop, last - first + 1, (ids[fresh] - np.uint64(1 << 63)).view(np.int64)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -143,9 +143,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, list[int]] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                out = []
-                for row, doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+            for at in range(0, batch.num_rows, 128):
+                part, out, found, owners = batch.slice(at, 128), [], [], []
+                for i, (row, doc_id, text) in enumerate(zip(*(c.to_pylist() for c in part.columns))):
                     for number, start, line, words in lines(text):
                         name = named(words)
                         if name not in known:
@@ -153,9 +153,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
                                 known.clear()
                             known[name] = bands(shingles(words))
                         out.append((row, doc_id, number, None, start, start + len(line), len(words), name, known[name]))
-                    out += [(row, doc_id, None, *run, None) for run in runs(text)]
+                    if (some := runs(text)) is not None:
+                        found.append(some)
+                        owners.append(np.full(len(some[0]), i))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                if found:
+                    owner, (word, start, stop, n, ids) = pa.array(np.concatenate(owners)), map(np.concatenate, zip(*found))
+                    none = [pa.nulls(len(ids), schema.field(c).type) for c in ("paragraph", "bands")]
+                    columns = [part.column(0).take(owner), part.column(1).take(owner), none[0], word.astype(np.int32), start, stop, n.astype(np.int32), ids, none[1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=schema)
 
     return docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), "text").mapInArrow(run, "row bigint, doc_id bigint, paragraph int, word int, start bigint, stop bigint, n_words int, id bigint, bands array<bigint>")
 
@@ -272,27 +279,27 @@ def repeated_runs(every: DataFrame, listed: DataFrame) -> DataFrame:
     Of each run one occurrence is kept: the least among those in no listed line or in
     a kept one. Neighbouring runs of a row whose kept occurrences are in one row are
     one passage, so every run of a removed passage stays there (a run at a
-    passage's edge that only some rows have as an anchored one can stay twice); runs
-    that neighbour each other anywhere are one component.
+    passage's edge that only some rows have as an anchored one can stay twice). A
+    component is a kept passage, or kept line, with the passages whose runs it keeps.
     """
     names = checkpointed(every.groupBy("id").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("id"))
     few = names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
     hits = every.join(F.broadcast(names) if few else names.hint("shuffle_hash"), "id").select("row", "doc_id", "start", "stop", "word", "n_words", "id")
     spans = listed.select("row", "doc_id", "start", "stop", F.lit(None).cast("int").alias("word"), "n_words", F.lit(None).cast("bigint").alias("id"), "removed")
     before = Window.partitionBy("row").orderBy("start", F.desc("stop"), F.col("id").asc_nulls_first())
-    line = F.max(F.when(F.col("id").isNull(), F.struct("stop", "removed"))).over(before)
+    line = F.max(F.when(F.col("id").isNull(), F.struct("stop", "removed", "start"))).over(before)
     inside = F.when(F.col("line.stop") >= F.col("stop"), F.when(F.col("line.removed"), 2).otherwise(1)).otherwise(0)
     marked = hits.withColumn("removed", F.lit(None).cast("boolean")).unionByName(spans).withColumn("line", line).filter("id is not null").withColumn("inside", inside)
-    placed = checkpointed(marked.filter("inside < 2").select("row", "doc_id", "start", "stop", "word", "n_words", "id", "inside"))
-    kept = placed.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "start", "inside")).alias("kept"), F.min("inside").alias("least")).filter("least = 0")
-    live = placed.filter("inside = 0").join(kept.select("id", "kept.row", "kept.doc_id").toDF("id", "kept_row", "kept_doc_id").hint("shuffle_hash"), "id")
+    placed = checkpointed(marked.filter("inside < 2").select("row", "doc_id", "start", "stop", "word", "n_words", "id", "inside", F.when(F.col("inside") == 1, F.xxhash64("row", "line.start")).alias("line")))
+    kept = placed.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "start", "line")).alias("kept"), F.min("inside").alias("least")).filter("least = 0")
+    live = placed.filter("inside = 0").drop("line", "inside").join(kept.select("id", "kept.row", "kept.doc_id", "kept.line").toDF("id", "kept_row", "kept_doc_id", "line").hint("shuffle_hash"), "id")
     along = Window.partitionBy("row").orderBy("start", "stop", "id")
     reach = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
     joins = (F.col("start") <= F.col("reach")) & (F.col("kept_row") == F.lag("kept_row").over(along))
-    chained = live.withColumn("reach", reach).withColumn("before", F.when(joins, F.lag("id").over(along)))
-    chained = checkpointed(chained.withColumn("passage", F.count(F.when(F.col("before").isNull(), 1)).over(along)).drop("reach", "inside"))
-    labels = checkpointed(connected_components(chained.filter("before is not null").select(F.col("id").alias("a"), F.col("before").alias("b"))))
-    named = chained.join(labels.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("label", "id"))
+    chained = live.withColumn("reach", reach).withColumn("first", ~F.coalesce(joins, F.lit(False))).withColumn("passage", F.count(F.when(F.col("first"), 1)).over(along)).drop("reach", "first")
+    chained = checkpointed(chained.withColumn("least", F.min("id").over(Window.partitionBy("row", "passage"))))
+    labels = chained.filter("row = kept_row").groupBy("id").agg(F.min("least").alias("label"))
+    named = chained.join(labels.hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("line", "label"))
     whole = named.groupBy("row", "passage").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max(F.col("word") + F.col("n_words")) - F.min("word")).cast("int").alias("n_words"),
         F.min("component").alias("component"), F.first("kept_doc_id").alias("kept_doc_id"), F.first("kept_row").alias("kept_row"),
