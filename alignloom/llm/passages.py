@@ -90,11 +90,16 @@ def _word_hashes(folded: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
 
 def _anchors(hashes: np.ndarray) -> np.ndarray:
     """Places of the rightmost least value of each ANCHOR_WINDOW consecutive ones, ascending."""
-    width, found = min(ANCHOR_WINDOW, len(hashes)), []
+    width, found, low = min(ANCHOR_WINDOW, len(hashes)), [], np.uint64(0xFFFF)
     for a in range(0, len(hashes) - width + 1, _BLOCK):
-        view = np.lib.stride_tricks.sliding_window_view(hashes[a : a + _BLOCK + width - 1], width)
-        found.append(np.unique(a + np.arange(len(view)) + width - 1 - view[:, ::-1].argmin(axis=1)))
-    return np.unique(np.concatenate(found))
+        part = hashes[a : a + _BLOCK + width - 1]
+        least, seen = (part & ~low) | (low - np.arange(len(part), dtype=np.uint64)), 1  # of equal values, the rightmost is least
+        while seen < width:
+            step = min(seen, width - seen)
+            least, seen = np.minimum(least[:-step], least[step:]), seen + step
+        fresh = np.concatenate(([True], least[1:] != least[:-1]))
+        found.append(a + (low - (least[fresh] & low)).astype(np.int64))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
 def runs(text: str | None) -> tuple[np.ndarray, ...] | None:
@@ -283,8 +288,7 @@ def repeated_runs(every: DataFrame, listed: DataFrame) -> DataFrame:
     component is a kept passage, or kept line, with the passages whose runs it keeps.
     """
     names = checkpointed(every.groupBy("id").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("id"))
-    few = names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
-    hits = every.join(F.broadcast(names) if few else names.hint("shuffle_hash"), "id").select("row", "doc_id", "start", "stop", "word", "n_words", "id")
+    hits = every.join(names.hint("shuffle_hash"), "id").select("row", "doc_id", "start", "stop", "word", "n_words", "id")
     spans = listed.select("row", "doc_id", "start", "stop", F.lit(None).cast("int").alias("word"), "n_words", F.lit(None).cast("bigint").alias("id"), "removed")
     before = Window.partitionBy("row").orderBy("start", F.desc("stop"), F.col("id").asc_nulls_first())
     line = F.max(F.when(F.col("id").isNull(), F.struct("stop", "removed", "start"))).over(before)
