@@ -68,3 +68,20 @@ def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     place = F.monotonically_increasing_id()
     start = F.element_at(F.lit(offsets or [0]).cast("array<bigint>"), (F.shiftright(place, 33) + 1).cast("int"))
     return laid.withColumn(name, start + place.bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs with one row of each label: that of the least doc_id (null last), of its texts that of the least hash.
+
+    rows: (doc_id, h, label) of every row of docs, h the XXH64 of the text. What is
+    kept is known by doc_id and text, so no row number has to be the same in two
+    readings; the texts are shuffled once, to meet the kept names and to leave one of
+    repeated rows.
+    """
+    columns, keys = docs.columns, ["__known", "__doc", "__text_hash"]
+    doc = F.col("doc_id").cast("long")
+    keyed = docs.select("*", doc.isNotNull().alias("__known"), F.coalesce(doc, F.lit(0)).alias("__doc"), F.xxhash64("text").alias("__text_hash"))
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")
+    kept = rows.groupBy("label").agg(F.min(order).alias("k")).select((~F.col("k.unknown")).alias("__known"), F.coalesce("k.doc_id", F.lit(0)).alias("__doc"), F.col("k.h").alias("__text_hash"))
+    copies = keyed.join(kept, keys, "left_semi").groupBy(*keys).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("r"))
+    return copies.select("r.*")

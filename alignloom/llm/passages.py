@@ -7,7 +7,7 @@ longer lines.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,7 @@ _BYTES = np.random.default_rng(21).integers(1, 1 << 63, 256, dtype=np.uint64)
 _PLACES = np.random.default_rng(22).integers(1, 1 << 63, 64 + GRAM, dtype=np.uint64) | np.uint64(1)
 _BLOCK = 1 << 15
 
+Units = Callable[[str | None], Iterator[tuple[int, int, str, list[bytes]]]]
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 
 
@@ -51,14 +52,14 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(np.array([digest(plain[a:b]) for a, b in zip(starts.tolist(), stops)], dtype=np.uint64))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
+def bands(hashes: np.ndarray, seeds: np.ndarray = _SEEDS) -> list[int]:
     """A signed 64-bit value for each band of the MinHash signature, the band's number included."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    least = np.full(seeds.shape[1], np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(hashes), 4096):
-            mixed = hashes[at : at + 4096, None] * (_SEEDS[0] | np.uint64(1)) + _SEEDS[1]
+            mixed = hashes[at : at + 4096, None] * (seeds[0] | np.uint64(1)) + seeds[1]
             least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0))
-    keys = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+    keys = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(len(least) // ROWS)]
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
@@ -172,7 +173,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), "text").mapInArrow(run, "row bigint, doc_id bigint, paragraph int, word int, start bigint, stop bigint, n_words int, id bigint, bands array<bigint>")
 
 
-def sets(docs: DataFrame, names: DataFrame) -> DataFrame:
+def sets(docs: DataFrame, names: DataFrame, units: Units = lines) -> DataFrame:
     """(id, shingles) of the named paragraphs, each once: the distinct hashes of their shingles."""
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
@@ -181,17 +182,17 @@ def sets(docs: DataFrame, names: DataFrame) -> DataFrame:
             for name, line in zip(*(c.to_pylist() for c in batch.columns)):
                 yield pa.RecordBatch.from_pylist([{"id": name, "shingles": shingles(line.encode().lower().split()).view(np.int64).tolist()}], schema=schema)
 
-    return texts(docs, names).mapInArrow(run, "id bigint, shingles array<bigint>")
+    return texts(docs, names, units).mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
-def texts(docs: DataFrame, names: DataFrame) -> DataFrame:
+def texts(docs: DataFrame, names: DataFrame, units: Units = lines) -> DataFrame:
     """(id, line) of the named paragraphs, each once."""
     schema = pa.schema([("id", pa.int64()), ("line", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                found = {named(words): line for text in batch.column(0).slice(at, 256).to_pylist() for _, _, line, words in lines(text)}
+                found = {named(words): line for text in batch.column(0).slice(at, 256).to_pylist() for _, _, line, words in units(text)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], schema=schema)
 
     few = names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
@@ -199,10 +200,10 @@ def texts(docs: DataFrame, names: DataFrame) -> DataFrame:
     return every.join(F.broadcast(names) if few else names, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, units: Units = lines) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
     pairs = checkpointed(pairs.distinct())
-    named_texts = checkpointed(texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    named_texts = checkpointed(texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), units))
     first, second = (named_texts.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "line_a", "line_b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -228,10 +229,11 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return checkpointed(both.mapInArrow(run, "a bigint, b bigint"))
 
 
-def similar(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+def similar(distinct: DataFrame, docs: DataFrame, units: Units = lines) -> DataFrame:
     """(node, label): the components of all colliding pairs that are similar, without single ones.
 
-    distinct: (id, bands, times), each id once. A bucket of up to CROWDED paragraphs
+    distinct: (id, bands, times), each id once; units: what cuts a text into what is
+    compared. A bucket of up to CROWDED paragraphs
     compares all pairs. In a larger one all first compare with the paragraph that
     occurs most times, as edited copies are near what they are copies of; members that are
     in one component by then need no further comparison with each other, so only
@@ -246,7 +248,7 @@ def similar(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     members = checkpointed(rows.drop("times").join(buckets, "bucket"))
     calm, crowded = members.filter(F.col("n") <= CROWDED).select("bucket", "id"), members.filter(F.col("n") > CROWDED)
     pairs = calm.select("bucket", F.col("id").alias("a")).join(calm.select("bucket", F.col("id").alias("b")), "bucket").filter("a < b").select("a", "b")
-    edges = verified(pairs.unionAll(crowded.filter("id <> most").select(F.least("most", "id").alias("a"), F.greatest("most", "id").alias("b"))), docs)
+    edges = verified(pairs.unionAll(crowded.filter("id <> most").select(F.least("most", "id").alias("a"), F.greatest("most", "id").alias("b"))), docs, units)
     labels = checkpointed(connected_components(edges))
     if crowded.isEmpty():
         return labels
@@ -254,7 +256,7 @@ def similar(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     sizes = placed.groupBy("bucket", "label").count()
     main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "main")
     open_rows = checkpointed(placed.join(main, "bucket"))
-    shingled = checkpointed(sets(docs, open_rows.select("id").distinct()))
+    shingled = checkpointed(sets(docs, open_rows.select("id").distinct(), units))
     carried = open_rows.join(shingled, "id").withColumn("n", F.size("shingles"))
     a, b = (carried.select("bucket", "main", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "n", "shingles")]) for k in "ab")
     a, shared = a.filter("label_a <> main"), F.size(F.array_intersect("shingles_a", "shingles_b"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alignloom.llm.common import checkpointed
+from alignloom.llm.common import checkpointed, first_of_each
 from alignloom.llm.graph import connected_components
 
 BITS, RADIUS = 64, 3
@@ -123,18 +123,7 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id (null last), of its texts that of the least hash.
-
-    What is kept is known by doc_id and text, so no row number has to be the same in
-    two readings; the texts are shuffled once, to meet the kept names and to leave one
-    of repeated rows.
-    """
-    columns, keys = docs.columns, ["__known", "__doc", "__text_hash"]
-    doc = F.col("doc_id").cast("long")
-    keyed = docs.select("*", doc.isNotNull().alias("__known"), F.coalesce(doc, F.lit(0)).alias("__doc"), F.xxhash64("text").alias("__text_hash"))
+    """docs with one row of each component: that of the least doc_id (null last), of its texts that of the least hash."""
     rows = checkpointed(fingerprints(docs, F.xxhash64("text")))
     named = _named(rows.select("doc_id", "fp")).select("fp", "label")
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")
-    kept = rows.join(named.hint("shuffle_hash"), "fp").groupBy("label").agg(F.min(order).alias("k")).select((~F.col("k.unknown")).alias("__known"), F.coalesce("k.doc_id", F.lit(0)).alias("__doc"), F.col("k.h").alias("__text_hash"))
-    copies = keyed.join(kept, keys, "left_semi").groupBy(*keys).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("r"))
-    return copies.select("r.*")
+    return first_of_each(docs, rows.join(named.hint("shuffle_hash"), "fp"))

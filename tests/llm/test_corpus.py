@@ -380,6 +380,34 @@ def test_passages(spark, docs, none, monkeypatch, crowded):
             assert r["n_words"] == len(texts[r["doc_id"]][r["start"] : r["stop"]].split()) >= passages.RUN
 
 
+@pytest.mark.parametrize("crowded", [32, 1])
+def test_near_duplicates(spark, docs, none, monkeypatch, crowded):
+    from corpus_pipeline import drop_near_duplicates
+
+    monkeypatch.setattr(passages, "CROWDED", crowded)
+    rng, vocabulary = random.Random(17), [f"word{i}" for i in range(3000)]
+    bases, rows = [rng.choices(vocabulary, k=rng.randint(60, 300)) for _ in range(12)], []
+    for i in range(120):  # at 0.7 to 1, most of them further than 3 bits of op9's fingerprints
+        words = list(bases[i % 12])
+        for at in rng.sample(range(len(words)), rng.randint(0, max(1, len(words) // 30))):
+            words[at] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    rows += [(200, None), (201, " "), (202, "two words"), (203, "Two  words"), (None, rows[0][1].upper()), (0, rows[0][1])]
+    label = list(range(len(rows)))
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[:i]):
+            x, y = (a[1] or "").lower().split(), (b[1] or "").lower().split()
+            if label[i] != label[j] and (x == y or x and y and brute_jaccard(a[1], b[1]) >= 0.8):
+                label = [label[j] if k == label[i] else k for k in label]
+    least = {}
+    for k, r in zip(label, rows):
+        least[k] = min(least.get(k, 1000), 1000 if r[0] is None else r[0])
+    assert 12 < len(set(label)) < 90
+    kept = drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
+    assert drop_near_duplicates(spark, none, "").count() == 0 and drop_near_duplicates(spark, docs, "").columns == docs.columns
+
+
 def test_passages_inside_longer_lines(spark):
     rng, vocabulary = random.Random(11), [f"wé{i}" if i % 3 == 0 else f"Word{i}" for i in range(4000)]
     shared = [rng.choices(vocabulary, k=50 + 10 * i) for i in range(4)]
