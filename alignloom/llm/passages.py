@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from alignloom.llm.common import checkpointed, written
 from alignloom.llm.graph import connected_components
 
-#: Paragraphs are lines; shorter ones (headings, licence lines) are no passages.
-LEAST_WORDS = 25
 SHINGLE, SIMILARITY = 5, 0.8
+#: Paragraphs are lines; shorter ones have no whole shingle.
+LEAST_WORDS = SHINGLE
 #: Anchors are the rightmost least hashes of ANCHOR_WINDOW consecutive GRAM-word runs; from each a run of RUN words begins.
 #: Any 50 words that two rows share hold an equal run: ANCHOR_WINDOW - 1 + RUN = 50.
 GRAM, ANCHOR_WINDOW, RUN = 3, 20, 31

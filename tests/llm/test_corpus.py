@@ -429,6 +429,15 @@ def test_passages_inside_longer_lines(spark):
         assert len({r["kept_doc_id"] for r in g}) == 1 and sum(not r["removed"] for r in g) <= 1
 
 
+def test_short_passages(spark):
+    rng, vocabulary = random.Random(13), [f"word{i}" for i in range(4000)]
+    line = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    five, twenty, near = line(5), line(20), line(24)
+    rows = [(1, f"{line(40)}\n{five}\n{line(4)}\n{near}"), (2, f"{five}\n{twenty}\n{line(12)}"), (3, f"{line(9)}\n{twenty.upper()}\n{near} tail"), (4, line(24))]
+    found = passages.repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((r["doc_id"], r["paragraph"], r["n_words"], r["removed"]) for r in found.collect()) == [(1, 1, 5, False), (1, 3, 24, False), (2, 0, 5, True), (2, 1, 20, False), (3, 1, 20, True), (3, 2, 25, True)]
+
+
 def test_toxicity(spark, none):
     rng, vocabulary = random.Random(5), [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}ord" for i in range(300)]
     rows, labels = [], []
