@@ -17,6 +17,7 @@ CACHED_UNITS = 800_000
 #: Longer units are encoded but not remembered.
 CACHED_CHARS = 64
 
+
 class Encoder:
     """Encodes a text as the tokenizer does, by units that cannot affect each other.
 
@@ -24,7 +25,8 @@ class Encoder:
     normalizer: a single space between two characters that are no white space always
     begins a token, so a text is cut before such spaces. Words split by a pattern that
     drops white space: spaces and line ends are never in a token, and no normalisation
-    reaches across them. Where neither holds, or white space is of another kind, the
+    reaches across them. Where neither holds, or white space is of another kind, or
+    the text spells an added token (which the library cuts out before all else), the
     whole text is the unit.
     """
 
@@ -32,7 +34,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -40,6 +41,10 @@ class Encoder:
         parts = [p["type"] for p in pre.get("pretokenizers") or []]
         self._by_space = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self._by_word = normal == ["NFC", "Replace", "Lowercase"] and parts == ["Split", "ByteLevel"] and pre["pretokenizers"][0].get("invert") and pre["pretokenizers"][0]["behavior"] == "Removed"
+        added = spec.get("added_tokens") or []
+        self._added = [t["content"] for t in added]
+        if any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") for t in added):  # may reach beyond its own spelling
+            self._by_space = self._by_word = False
         self._cache: dict[str, bytes] = {}
         vocabulary = self._tokenizer.get_vocab()
         suffix = spec["model"].get("end_of_word_suffix") or ""
@@ -48,6 +53,8 @@ class Encoder:
             self._edge[i] = token.startswith("\u0120") if self._by_space else bool(suffix) and token.endswith(suffix)
 
     def units(self, text: str) -> list[str]:
+        if any(t in text for t in self._added):
+            return [text]
         if self._by_word:
             return [w for w in text.replace("\n", " ").split(" ") if w]
         if self._by_space:
@@ -59,9 +66,9 @@ class Encoder:
     def _encode_units(self, units: list[str]) -> list[bytes]:
         """The ids of each unit. Units that surely show their edges in their ids are encoded as one text."""
         if self._by_space:
-            together = [u[:1] == " " for u in units]
+            together = [u[:1] == " " and u.rfind(" ") == 0 and not any(t in u for t in self._added) for u in units]
         elif self._by_word:
-            together = [u.isascii() and u.isalpha() for u in units]
+            together = [u.isascii() and u.isalpha() and u not in self._added for u in units]
         else:
             together = [False] * len(units)
         out: dict[str, bytes] = {}
