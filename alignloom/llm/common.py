@@ -18,13 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the cluster names none (tests on one machine), a temporary one is made.
+    Only where the cluster names none and all runs on one machine (local master), a
+    temporary one is made; elsewhere that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="alignloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -42,6 +45,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def hidden(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str], list[str]]:
+    """docs with private column names, those names in order, and the private names of the needed columns.
+
+    Columns are told apart by place, so names that differ by case only, hold dots or
+    are names that an operator uses itself cannot clash. A needed column is the one
+    spelled so, else the first that differs by case only.
+    """
+    own = [f"__own{i}" for i in range(len(docs.columns))]
+    lower = [c.lower() for c in docs.columns]
+    places = [docs.columns.index(n) if n in docs.columns else lower.index(n.lower()) for n in needed]
+    return docs.toDF(*own), own, [own[i] for i in places]
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as make it differ from every column of docs, in any case."""
+    while has_column(docs, name):
+        name += "_"
+    return name
+
+
+def has_column(docs: DataFrame, name: str) -> bool:
+    return name.lower() in (c.lower() for c in docs.columns)
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(col, UPPER, UPPER.lower())
@@ -76,12 +103,12 @@ def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     rows: (doc_id, h, label) of every row of docs, h the XXH64 of the text. What is
     kept is known by doc_id and text, so no row number has to be the same in two
     readings; the texts are shuffled once, to meet the kept names and to leave one of
-    repeated rows.
+    repeated rows. Columns keep their names and values, whatever they are called.
     """
-    columns, keys = docs.columns, ["__known", "__doc", "__text_hash"]
-    doc = F.col("doc_id").cast("long")
-    keyed = docs.select("*", doc.isNotNull().alias("__known"), F.coalesce(doc, F.lit(0)).alias("__doc"), F.xxhash64("text").alias("__text_hash"))
+    inner, own, (doc_id, text) = hidden(docs, "doc_id", "text")
+    doc, keys = F.col(doc_id).cast("long"), ["__known", "__doc", "__text_hash"]
+    keyed = inner.select("*", doc.isNotNull().alias("__known"), F.coalesce(doc, F.lit(0)).alias("__doc"), F.xxhash64(text).alias("__text_hash"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")
     kept = rows.groupBy("label").agg(F.min(order).alias("k")).select((~F.col("k.unknown")).alias("__known"), F.coalesce("k.doc_id", F.lit(0)).alias("__doc"), F.col("k.h").alias("__text_hash"))
-    copies = keyed.join(kept, keys, "left_semi").groupBy(*keys).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("r"))
-    return copies.select("r.*")
+    copies = keyed.join(kept, keys, "left_semi").groupBy(*keys).agg(F.first(F.struct(*own)).alias("r"))
+    return copies.select("r.*").toDF(*docs.columns)

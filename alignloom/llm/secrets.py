@@ -13,8 +13,13 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alignloom.functions.blocks import let, running
+from alignloom.llm.common import free_name, has_column, hidden
+
 #: Fixed values. A finite set of strings larger than this is no longer followed when trigrams are derived.
 MOST_STRINGS = 64
+#: Code points of the pieces that masking cuts a text into.
+CHUNK = 1024
 
 
 @dataclass(frozen=True)
@@ -159,56 +164,61 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return lists.select("key", kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
+SPANS = "array<struct<start:bigint,rank:int,stop:bigint,kind:string>>"
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """array<struct<start, rank, stop, kind>>, code points: leftmost non-overlapping matches that count.
+    """SPANS in code points: leftmost non-overlapping matches that count.
 
-    The pattern cuts the text into gaps; gaps' and matches' lengths in turn give the places.
+    The pattern cuts the text into gaps; running sums of gaps' and matches' lengths
+    give the places, so time is linear in the matches.
     """
-    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(matches))
-    counts = F.length
-    lengths = F.zip_with(gaps, matches, lambda g, m: F.struct(
-        counts(g).cast("long").alias("gap"), counts(m).cast("long").alias("own"),
-        (counts(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least if rule.least else F.lit(True)).alias("ok"),
-    ))
-    shape = "array<struct<start:bigint,rank:int,stop:bigint,kind:string>>"
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(shape).alias("found"))
+    def placed(matches):
+        gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(matches))
+        steps = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("own")))
+        return let(steps, lambda x: let(running(F.transform(x, lambda y: y["gap"] + y["own"])), lambda ahead: F.transform(x, lambda y, i: span(y, F.get(ahead, i), F.get(matches, i)))))
 
-    def step(s, x):
-        start = s["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["own"]).alias("stop"), F.lit(rule.kind).alias("kind"))
-        return F.struct((start + x["own"]).alias("at"), F.when(x["ok"], F.concat(s["found"], F.array(span))).otherwise(s["found"]).alias("found"))
+    def span(step, ahead, match):
+        start = ahead + step["gap"]
+        found = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + step["own"]).alias("stop"), F.lit(rule.kind).alias("kind"))
+        return F.when(F.length(F.regexp_extract(match, rule.pattern, rule.group)) >= rule.least, found) if rule.least else found
 
-    found = F.aggregate(lengths, state, step, lambda s: s["found"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(shape))
+    found = let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), placed)
+    return F.when(text.rlike(rule.pattern), (F.array_compact(found) if rule.least else found).cast(SPANS)).otherwise(F.array().cast(SPANS))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA) -> DataFrame:
-    """Every row of docs with `spans`: array<struct<start, rank, stop, kind>> of all secrets of its whole text.
-
-    Texts' trigrams that the rules ask for are indexed; a rule with mandatory trigrams
-    runs only over the texts that its postings leave, one without over all texts.
-    start, stop: code points, stop exclusive; sorted by start, then the rules' order.
-    A null or empty text has no spans (an empty array). Repeated rows each get theirs;
-    a text that a third of all rows share meets its candidates in a join that AQE
-    splits. All columns of docs stay, but one named `spans` is replaced.
-    """
+def _scanned(docs: DataFrame, text: str, kept: list[str], into: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """The kept columns of docs, and SPANS of column `text` as column `into`; names are private ones."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not True}
-    body = F.coalesce(F.col("text"), F.lit(""))
-    kept = [c for c in docs.columns if c != "spans"]
+    body = F.coalesce(F.col(text), F.lit(""))
     if queries:
-        index = postings(docs.select("text").filter("text is not null"), sorted(set().union(*map(_trigrams, queries.values()))))
+        index = postings(docs.select(F.col(text).alias("text")).filter("text is not null"), sorted(set().union(*map(_trigrams, queries.values()))))
         found = candidates(index, queries).select(F.col("key").alias("__key"), F.col("kinds").alias("__kinds"))
-        keyed = docs.select(*kept, text_key(F.col("text")).alias("__key"))
+        keyed = docs.select("*", text_key(F.col(text)).alias("__key"))
         joined = keyed.join(found.hint("shuffle_hash"), "__key", "left")
     else:
-        joined = docs.select(*kept, F.lit(None).cast("array<string>").alias("__kinds"))
-    nothing = F.array().cast("array<struct<start:bigint,rank:int,stop:bigint,kind:string>>")
+        joined = docs.select("*", F.lit(None).cast("array<string>").alias("__kinds"))
     each = []
     for rank, rule in enumerate(rules):
         spans = _spans(body, rule, rank)
-        each.append(F.when(F.array_contains("__kinds", rule.kind), spans).otherwise(nothing) if rule.kind in queries else spans)
-    return joined.select(*kept, F.array_sort(F.concat(*each)).alias("spans"))
+        each.append(F.when(F.array_contains("__kinds", rule.kind), spans).otherwise(F.array().cast(SPANS)) if rule.kind in queries else spans)
+    return joined.select(*kept, F.array_sort(F.concat(*each)).alias(into))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, into: str = "spans") -> DataFrame:
+    """Every row of docs with SPANS of all secrets of its whole text, in a last column named `into`.
+
+    Texts' trigrams that the rules ask for are indexed; a rule with mandatory trigrams
+    runs only over the texts that its postings leave, one without over all texts.
+    start, stop: code points, stop exclusive; sorted by start, then the rules' order.
+    A null or empty text has no spans (an empty array); a very long one takes time
+    linear in its length and matches. Repeated rows each get theirs; a text that a
+    third of all rows share meets its candidates in a join that AQE splits. An empty
+    table gives no rows. Columns of docs stay as they are, whatever their names; where
+    one is named `into` already (in any case), the new one gets underscores after it.
+    """
+    inner, own, (text,) = hidden(docs, "text")
+    return _scanned(inner, text, own, "__spans", rules).toDF(*docs.columns, free_name(docs, into))
 
 
 def spelled(spans: Column) -> Column:
@@ -216,16 +226,30 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, mask: str = "[SECRET]") -> DataFrame:
-    """docs with each run of overlapping spans in `text` replaced by the mask; columns as they were, null texts stay null."""
-    text, state = F.col("text"), "struct<at:bigint,parts:array<string>>"
+def _stretch(chunks: Column, start: Column, stop: Column) -> Column:
+    """Code points start to stop of a text cut into chunks of CHUNK, without walking through what is before."""
+    first = F.floor(start / CHUNK).cast("int")
+    part = F.array_join(F.slice(chunks, first + 1, F.floor(stop / CHUNK).cast("int") - first + 1), "")
+    return F.substring(part, (start - first * CHUNK + 1).cast("int"), (stop - start).cast("int"))
 
-    def step(s, x):
-        fresh = x["start"] >= s["at"]
-        piece = F.concat(F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mask))
-        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.when(fresh, F.concat(s["parts"], F.array(piece))).otherwise(s["parts"]).alias("parts")).cast(state)
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")).cast(state)
-    clean = F.aggregate("spans", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    marked = scan(docs, rules).withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text))
-    return marked.select(*docs.columns)
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, mask: str = "[SECRET]", length: str | None = None) -> DataFrame:
+    """docs with each run of overlapping spans in `text` replaced by the mask; length: a column that gets the text's new length where the table has it.
+
+    Columns keep order, names and values, whatever they are called. Null and empty
+    texts stay as they are, repeated rows are each masked, an empty table stays empty;
+    time is linear in a text's length and secrets.
+    """
+    inner, own, (text,) = hidden(docs, "text")
+    marked, spans = _scanned(inner, text, own, "__spans", rules), F.col("__spans")
+    reach = running(F.transform(spans, lambda s: s["stop"]), lambda a, b: F.greatest(a, b))
+    pieces = lambda chunks, ends: F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(ends, i), F.concat(_stretch(chunks, F.get(ends, i), s["start"]), F.lit(mask))).otherwise(""))
+    last = F.array_max(F.transform(spans, lambda s: s["stop"]))
+    joined = let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0)), lambda chunks: let(reach, lambda ends: F.concat(F.array_join(pieces(chunks, ends), ""), _stretch(chunks, last, F.length(text).cast("long")))))
+    clean = F.when(F.size(spans) > 0, joined).otherwise(F.col(text))
+    out = marked.select(*[clean.alias(c) if c == text else F.col(c) for c in own])
+    if length is not None and has_column(docs, length):
+        place = own.index(hidden(docs, length)[2][0])
+        kind = docs.schema[place].dataType
+        out = out.select(*[F.length(text).cast(kind).alias(c) if i == place else F.col(c) for i, c in enumerate(own)])
+    return out.toDF(*docs.columns)
