@@ -1,7 +1,7 @@
 """Repeated passages: paragraph MinHash banding, exact Jaccard, components of paragraphs.
 
-Paragraphs are lines, compared for similarity, and anchored runs of RUN words, which
-may begin anywhere and cross lines, compared for equality: those find passages inside
+Paragraphs are lines, compared for similarity, and windows of PASSAGE words, which may
+begin anywhere and cross lines, compared for equality: those find passages inside
 longer lines.
 """
 
@@ -15,30 +15,35 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alignloom.llm.common import checkpointed, written
+from alignloom.llm.common import checkpointed, hidden, written
 from alignloom.llm.graph import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Paragraphs are lines; shorter ones have no whole shingle.
-LEAST_WORDS = SHINGLE
-#: Anchors are the rightmost least hashes of ANCHOR_WINDOW consecutive GRAM-word runs; from each a run of RUN words begins.
-#: Any 50 words that two rows share hold an equal run: ANCHOR_WINDOW - 1 + RUN = 50.
-GRAM, ANCHOR_WINDOW, RUN = 3, 20, 31
+#: A passage has so many words.
+PASSAGE = 50
+#: Lines that are compared: one of PASSAGE words has 46 shingles, and what is similar to it 0.8 times as many, so 41 words.
+LEAST_WORDS = 41
+#: A window's anchor is the rightmost of least hash among its runs of GRAM words.
+GRAM = 20
 #: Bands of four rows: a pair at the threshold collides with probability 1 - (1 - 0.8**4)**12 = 0.998.
 BANDS, ROWS = 12, 4
+#: In crowded buckets, bands of eight rows: 1 - (1 - 0.8**8)**40 = 0.999; a pair at 0.5 meets with probability 0.14.
+FINE_BANDS, FINE_ROWS = 40, 8
 #: Buckets of so many paragraphs at most compare all pairs.
 CROWDED = 32
-#: Up to so many paragraphs' names are broadcast to fetch their texts; beyond, the join shuffles.
-BROADCAST_NAMES = 500_000
+#: Up to so many paragraphs' names (8 bytes each) are broadcast to fetch their texts; beyond, the join shuffles.
+BROADCAST_NAMES = 100_000
 
 _BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _FOLDED = np.array([32 if _BLANK[b] else b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 _BYTES = np.random.default_rng(21).integers(1, 1 << 63, 256, dtype=np.uint64)
-_PLACES = np.random.default_rng(22).integers(1, 1 << 63, 64 + GRAM, dtype=np.uint64) | np.uint64(1)
+_PLACES = np.random.default_rng(22).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 _BLOCK = 1 << 15
 
 Units = Callable[[str | None], Iterator[tuple[int, int, str, list[bytes]]]]
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+_FINE_SEEDS = np.random.default_rng(24).integers(1, 1 << 63, (2, FINE_BANDS * FINE_ROWS), dtype=np.uint64)
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -52,14 +57,14 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(np.array([digest(plain[a:b]) for a, b in zip(starts.tolist(), stops)], dtype=np.uint64))
 
 
-def bands(hashes: np.ndarray, seeds: np.ndarray = _SEEDS) -> list[int]:
+def bands(hashes: np.ndarray, seeds: np.ndarray = _SEEDS, rows: int = ROWS) -> list[int]:
     """A signed 64-bit value for each band of the MinHash signature, the band's number included."""
     least = np.full(seeds.shape[1], np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(hashes), 4096):
             mixed = hashes[at : at + 4096, None] * (seeds[0] | np.uint64(1)) + seeds[1]
             least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0))
-    keys = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(len(least) // ROWS)]
+    keys = [xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) for b in range(len(least) // rows)]
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
@@ -89,62 +94,89 @@ def _word_hashes(folded: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return out
 
 
-def _anchors(hashes: np.ndarray) -> np.ndarray:
-    """Places of the rightmost least value of each ANCHOR_WINDOW consecutive ones, ascending."""
-    width, found, low = min(ANCHOR_WINDOW, len(hashes)), [], np.uint64(0xFFFF)
+def _rolled(words: np.ndarray, size: int) -> np.ndarray:
+    """A mixed 64-bit polynomial hash of each run of `size` words, by doubling."""
+    whole, length, known, width = None, 0, words, 1
+    with np.errstate(over="ignore"):
+        while True:
+            if size & width:
+                part = known if whole is None else whole[: len(known) - length] * np.uint64(pow(_BASE, width, 1 << 64)) + known[length:]
+                whole, length = part, length + width
+            if 2 * width > size:
+                break
+            known = known[: len(known) - width] * np.uint64(pow(_BASE, width, 1 << 64)) + known[width:]
+            width *= 2
+        whole = whole[: len(words) - size + 1]
+        return (whole ^ (whole >> np.uint64(31))) * _MIX
+
+
+def _anchors(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Of each `width` consecutive values, the place of the least, the rightmost of equal ones."""
+    found, low = [], np.uint64(0xFFFF)
     for a in range(0, len(hashes) - width + 1, _BLOCK):
         part = hashes[a : a + _BLOCK + width - 1]
-        least, seen = (part & ~low) | (low - np.arange(len(part), dtype=np.uint64)), 1  # of equal values, the rightmost is least
+        least, seen = (part & ~low) | (low - np.arange(len(part), dtype=np.uint64)), 1
         while seen < width:
             step = min(seen, width - seen)
             least, seen = np.minimum(least[:-step], least[step:]), seen + step
-        fresh = np.concatenate(([True], least[1:] != least[:-1]))
-        found.append(a + (low - (least[fresh] & low)).astype(np.int64))
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        found.append(a + (low - (least & low)).astype(np.int64))
+    return np.concatenate(found)
 
 
-def runs(text: str | None) -> tuple[np.ndarray, ...] | None:
-    """Arrays (first word, start, stop, n_words, id) of the anchored runs of RUN words; start and stop in code points.
+def windows(text: str | None) -> tuple[np.ndarray, ...] | None:
+    """The windows of PASSAGE words of a text, by anchor; None if it has fewer words.
 
-    None if there are none. Words are those of lines(), counted through the whole text. Overlapping equal runs
-    (one word many times) are one longer run.
+    Arrays over anchors: the first window's word number, its place relative to the
+    anchor, the anchor's hash, how many windows follow each other; arrays over windows:
+    hash (32 bits; windows are told apart by anchor's hash, place and this), first and
+    last code point (exclusive). Words are those of lines(), counted through the text.
     """
-    plain = (text or "").encode()
+    plain = (text or "").encode() + b"\n"
     raw = np.frombuffer(plain, dtype=np.uint8)
     solid = ~_BLANK[raw]
     edges = np.diff(np.concatenate(([0], solid.view(np.int8), [0])))
     begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     n = len(begins)
-    if n < RUN:
+    if n < PASSAGE:
         return None
-    solid[ends[:-1]] = True  # one blank after each word but the last
+    solid[ends] = True  # one blank after each word
     folded, lengths = _FOLDED[raw[solid]], ends - begins
-    starts = np.cumsum(lengths + 1) - lengths - 1
     with np.errstate(over="ignore"):
-        words = _word_hashes(folded, starts, lengths)
-        grams = sum(words[j : n - GRAM + 1 + j] * _PLACES[64 + j] for j in range(GRAM))
-        grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    at = _anchors(grams)
-    at = at[at + RUN <= n]
-    if not len(at):
-        return None
-    whole, digest = folded.tobytes(), xxhash.xxh3_64_intdigest
-    ids = np.array([digest(whole[a:b]) for a, b in zip(starts[at].tolist(), (starts + lengths)[at + RUN - 1].tolist())], dtype=np.uint64)
-    order = np.lexsort((at, ids))
-    at, ids = at[order], ids[order]
-    fresh = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (np.diff(at) >= RUN))))
-    first, last = at[fresh], at[np.append(fresh[1:], len(at)) - 1] + RUN - 1
-    start, stop = begins[first], ends[last]
-    if len(plain) != len(text):
+        words = _word_hashes(folded, np.cumsum(lengths + 1) - lengths - 1, lengths)
+    grams = _rolled(words, GRAM)
+    at = _anchors(grams, PASSAGE - GRAM + 1)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    hashes = (_rolled(words, PASSAGE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    start, stop = begins[: n - PASSAGE + 1], ends[PASSAGE - 1 :]
+    if len(plain) != len(text) + 1:
         points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
         start, stop = points[start], points[stop]
-    return first, start, stop, last - first + 1, (ids[fresh] - np.uint64(1 << 63)).view(np.int64)
+    return first, first - at[first], (grams[at[first]]).view(np.int64), np.diff(np.append(first, len(at))), hashes, start, stop
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, paragraph, word, start, stop, n_words, id, bands): every line of every row that is long enough
-    (word null), and every anchored run (paragraph and bands null)."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("paragraph", pa.int32()), ("word", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("n_words", pa.int32()), ("id", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """(row, doc_id, paragraph, word, lead, start, stop, n_words, id, bands, windows, starts, stops) of docs (doc_id, text).
+
+    Lines of every row that are long enough (word null), and the anchors of its windows
+    (paragraph null): id is the anchor's hash, word the first window's, lead its place
+    relative to the anchor, windows their hashes, starts and stops their code points
+    from start on.
+    """
+    long, number = pa.int64(), pa.int32()
+    schema = pa.schema([("row", long), ("doc_id", long), ("paragraph", number), ("word", number), ("lead", number), ("start", long), ("stop", long), ("n_words", number), ("id", long), ("bands", pa.list_(long)), *[(c, pa.list_(number)) for c in ("windows", "starts", "stops")]])
+
+    def batch_of(columns: dict) -> pa.RecordBatch:
+        n = len(columns["id"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns and not isinstance(columns[f.name], pa.Array) else columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+    def anchored(part: pa.RecordBatch, owners: list[int], found: list[tuple]) -> pa.RecordBatch:
+        word, lead, ids, counts, hashes, start, stop = map(np.concatenate, zip(*found))
+        owner = pa.array(np.repeat(owners, [len(f[0]) for f in found]))
+        offsets = np.concatenate(([0], np.cumsum(counts)))
+        low, high = start[offsets[:-1]], stop[offsets[1:] - 1]
+        listed = lambda values: pa.ListArray.from_arrays(pa.array(offsets, number), pa.array(values.astype(np.int32)))
+        near = lambda values: listed(values - np.repeat(low, counts))
+        return batch_of({"row": part.column(0).take(owner), "doc_id": part.column(1).take(owner), "word": word, "lead": lead, "start": low, "stop": high, "n_words": counts + PASSAGE - 1, "id": ids, "windows": listed(hashes), "starts": near(start), "stops": near(stop)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, list[int]] = {}
@@ -152,37 +184,47 @@ def occurrences(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 128):
                 part, out, found, owners = batch.slice(at, 128), [], [], []
                 for i, (row, doc_id, text) in enumerate(zip(*(c.to_pylist() for c in part.columns))):
-                    for number, start, line, words in lines(text):
+                    for number_of, start, line, words in lines(text):
                         name = named(words)
                         if name not in known:
                             if len(known) >= 20_000:
                                 known.clear()
                             known[name] = bands(shingles(words))
-                        out.append((row, doc_id, number, None, start, start + len(line), len(words), name, known[name]))
-                    if (some := runs(text)) is not None:
+                        out.append((row, doc_id, number_of, start, start + len(line), len(words), name, known[name]))
+                    if (some := windows(text)) is not None:
                         found.append(some)
-                        owners.append(np.full(len(some[0]), i))
+                        owners.append(i)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    yield batch_of(dict(zip(("row", "doc_id", "paragraph", "start", "stop", "n_words", "id", "bands"), zip(*out))))
                 if found:
-                    owner, (word, start, stop, n, ids) = pa.array(np.concatenate(owners)), map(np.concatenate, zip(*found))
-                    none = [pa.nulls(len(ids), schema.field(c).type) for c in ("paragraph", "bands")]
-                    columns = [part.column(0).take(owner), part.column(1).take(owner), none[0], word.astype(np.int32), start, stop, n.astype(np.int32), ids, none[1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=schema)
+                    yield anchored(part, owners, found)
 
-    return docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), "text").mapInArrow(run, "row bigint, doc_id bigint, paragraph int, word int, start bigint, stop bigint, n_words int, id bigint, bands array<bigint>")
+    ddl = "row bigint, doc_id bigint, paragraph int, word int, lead int, start bigint, stop bigint, n_words int, id bigint, bands array<bigint>, windows array<int>, starts array<int>, stops array<int>"
+    return docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
 
 
-def sets(docs: DataFrame, names: DataFrame, units: Units = lines) -> DataFrame:
-    """(id, shingles) of the named paragraphs, each once: the distinct hashes of their shingles."""
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+def _of_texts(docs: DataFrame, names: DataFrame, units: Units, column: str, of: Callable[[list[bytes]], list[int]]) -> DataFrame:
+    """(id, column) of the named paragraphs, each once: what `of` makes of their words."""
+    schema = pa.schema([("id", pa.int64()), (column, pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, line in zip(*(c.to_pylist() for c in batch.columns)):
-                yield pa.RecordBatch.from_pylist([{"id": name, "shingles": shingles(line.encode().lower().split()).view(np.int64).tolist()}], schema=schema)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                made = [of(line.encode().lower().split()) for line in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], schema=schema)
 
-    return texts(docs, names, units).mapInArrow(run, "id bigint, shingles array<bigint>")
+    return texts(docs, names, units).mapInArrow(run, f"id bigint, {column} array<bigint>")
+
+
+def sets(docs: DataFrame, names: DataFrame, units: Units) -> DataFrame:
+    """(id, shingles) of the named paragraphs, each once: the distinct hashes of their shingles."""
+    return _of_texts(docs, names, units, "shingles", lambda words: shingles(words).view(np.int64).tolist())
+
+
+def fine(docs: DataFrame, names: DataFrame, units: Units) -> DataFrame:
+    """(id, bands, times) of the named paragraphs: finer bands, for those that crowd."""
+    return _of_texts(docs, names, units, "bands", lambda words: bands(shingles(words), _FINE_SEEDS, FINE_ROWS)).withColumn("times", F.lit(1))
 
 
 def texts(docs: DataFrame, names: DataFrame, units: Units = lines) -> DataFrame:
@@ -229,19 +271,18 @@ def verified(pairs: DataFrame, docs: DataFrame, units: Units = lines) -> DataFra
     return checkpointed(both.mapInArrow(run, "a bigint, b bigint"))
 
 
-def similar(distinct: DataFrame, docs: DataFrame, units: Units = lines) -> DataFrame:
+def similar(distinct: DataFrame, docs: DataFrame, units: Units = lines, again: bool = False) -> DataFrame:
     """(node, label): the components of all colliding pairs that are similar, without single ones.
 
     distinct: (id, bands, times), each id once; units: what cuts a text into what is
-    compared. A bucket of up to CROWDED paragraphs
-    compares all pairs. In a larger one all first compare with the paragraph that
-    occurs most times, as edited copies are near what they are copies of; members that are
-    in one component by then need no further comparison with each other, so only
-    those outside the bucket's largest component are compared, with all members of
-    other components, and exactly, in the join itself: only links leave it. No pair
-    within a component is compared or listed and no link between components is lost.
-    (Where most members of a bucket are alike but not similar enough, comparisons
-    still grow with the square of the bucket.)
+    compared. A bucket of up to CROWDED paragraphs compares all pairs. In a larger one
+    all first compare with the paragraph that occurs most times, as edited copies are
+    near what they are copies of. What is in one component by then needs no further
+    comparison with each other; where others are left, all of the bucket meet again
+    by finer bands, which keep apart what is less alike. In a fine bucket (again) that
+    still crowds, those outside its largest component are compared with members of
+    other components, exactly, in the join itself: only links leave it. No pair within
+    a component is compared or listed there.
     """
     rows = distinct.select("id", "times", F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("times", "id"))["id"].alias("most")).filter("n > 1")
@@ -256,77 +297,127 @@ def similar(distinct: DataFrame, docs: DataFrame, units: Units = lines) -> DataF
     sizes = placed.groupBy("bucket", "label").count()
     main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "main")
     open_rows = checkpointed(placed.join(main, "bucket"))
-    shingled = checkpointed(sets(docs, open_rows.select("id").distinct(), units))
-    carried = open_rows.join(shingled, "id").withColumn("n", F.size("shingles"))
-    a, b = (carried.select("bucket", "main", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "n", "shingles")]) for k in "ab")
-    a, shared = a.filter("label_a <> main"), F.size(F.array_intersect("shingles_a", "shingles_b"))
-    apart = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == b["main"]) | (F.col("id_a") < F.col("id_b")))
-    close = (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (9 * shared >= 4 * (F.col("n_a") + F.col("n_b")))
-    cross = a.drop("main").join(b, (a["bucket"] == b["bucket"]) & apart & close).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    if open_rows.isEmpty():
+        return labels
+    if not again:
+        known = open_rows.select("id", "label").distinct()
+        met = similar(checkpointed(fine(docs, known.select("id"), units)), docs, units, True)
+        cross = met.join(known.toDF("node", "a"), "node").join(known.toDF("label", "b"), "label").select("a", "b")
+    else:
+        cross = _crossed(open_rows, checkpointed(sets(docs, open_rows.select("id").distinct(), units)))
     joined = checkpointed(connected_components(cross))  # of components, each named by its label
     renamed = joined.select(F.col("node").alias("label"), F.col("label").alias("final"))
     alone = joined.join(labels, "node", "left_anti")  # single paragraphs that are linked only now
     return labels.join(renamed, "label", "left").select("node", F.coalesce("final", "label").alias("label")).unionByName(alone)
 
 
+def _crossed(members: DataFrame, shingled: DataFrame) -> DataFrame:
+    """(a, b): labels of components that similar paragraphs of a bucket link; members: (bucket, id, label, main)."""
+    carried = members.join(shingled, "id").withColumn("n", F.size("shingles"))
+    a, b = (carried.select("bucket", "main", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "n", "shingles")]) for k in "ab")
+    a, shared = a.filter("label_a <> main"), F.size(F.array_intersect("shingles_a", "shingles_b"))
+    apart = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == b["main"]) | (F.col("id_a") < F.col("id_b")))
+    close = (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (9 * shared >= 4 * (F.col("n_a") + F.col("n_b")))
+    return a.drop("main").join(b, (a["bucket"] == b["bucket"]) & apart & close).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+
+
 def repeated_lines(every: DataFrame, docs: DataFrame) -> DataFrame:
-    """(row, doc_id, paragraph, start, stop, n_words, component, kept_doc_id, removed) of the lines that another row repeats or nearly repeats."""
+    """(row, doc_id, paragraph, start, stop, n_words, component, kept_doc_id, removed) of the lines that another row repeats or nearly repeats.
+
+    Components without a line of PASSAGE words are left out.
+    """
     distinct = every.groupBy("id").agg(F.first("bands").alias("bands"), F.count("*").alias("times"))
     labels = checkpointed(similar(distinct, docs))
-    placed = every.drop("bands", "word").join(labels.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("label", "id"))
+    placed = every.drop("bands").join(labels.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("label", "id"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "paragraph")
-    groups = placed.groupBy("component").agg(F.min(order).alias("kept"), F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("component", "kept")
+    groups = placed.groupBy("component").agg(F.min(order).alias("kept"), F.min("row").alias("low"), F.max("row").alias("high"), F.max("n_words").alias("most")).filter((F.col("low") < F.col("high")) & (F.col("most") >= PASSAGE)).select("component", "kept")
     out = placed.join(groups.hint("shuffle_hash"), "component")
     return out.select("row", "doc_id", "paragraph", "start", "stop", "n_words", "component", F.col("kept.doc_id").alias("kept_doc_id"), ((F.col("row") != F.col("kept.row")) | (F.col("paragraph") != F.col("kept.paragraph"))).alias("removed"))
 
 
-def repeated_runs(every: DataFrame, listed: DataFrame) -> DataFrame:
-    """The same columns for passages of repeated runs that lie in no listed line; paragraph is null.
+def _beside(hits: DataFrame, listed: DataFrame) -> DataFrame:
+    """hits with `inside` (2: in a removed line, 1: in a kept one, 0: in none) and `line`, a name of the line."""
+    spans = listed.select("row", "start", "stop", "removed", F.lit(True).alias("of_line"))
+    before = Window.partitionBy("row").orderBy("start", F.desc("stop"), F.desc("of_line"))
+    line = F.max(F.when(F.col("of_line"), F.struct("stop", "removed", "start"))).over(before)
+    marked = hits.withColumn("of_line", F.lit(False)).unionByName(spans, allowMissingColumns=True).withColumn("line", line).filter("not of_line")
+    inside = F.when(F.col("line.stop") >= F.col("stop"), F.when(F.col("line.removed"), 2).otherwise(1)).otherwise(0)
+    return marked.withColumn("inside", inside).drop("of_line", "removed").withColumn("line", F.when(F.col("inside") == 1, F.xxhash64("row", "line.start")))
+
+
+def _segments(placed: DataFrame) -> DataFrame:
+    """(class, low, high, kept_row, kept_doc_id, kept_at, kept_line): which windows of a class of anchors repeat, and where each is kept.
 
-    Of each run one occurrence is kept: the least among those in no listed line or in
-    a kept one. Neighbouring runs of a row whose kept occurrences are in one row are
-    one passage, so every run of a removed passage stays there (a run at a
-    passage's edge that only some rows have as an anchored one can stay twice). A
-    component is a kept passage, or kept line, with the passages whose runs it keeps.
+    Anchors of one hash, place and windows are a class, whatever their number. The
+    windows of an anchor's hash that has one class only repeat if the class does;
+    those of others are looked at one by one. low, high: the first and last window
+    that one kept place has.
+    """
+    occurrence = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "word", "line")).alias("kept")
+    classes = checkpointed(placed.groupBy("class", "id", "lead", "windows").agg(occurrence, F.min("inside").alias("least"), F.min("row").alias("low_row"), F.max("row").alias("high_row")))
+    counts = classes.groupBy("id").agg(F.count("*").alias("n"))
+    counted = classes.join(counts, "id")
+    place = lambda kept: [F.col(f"{kept}.row").alias("kept_row"), F.col(f"{kept}.doc_id").alias("kept_doc_id"), F.col(f"{kept}.line").alias("kept_line")]
+    repeats = (F.col("low_row") < F.col("high_row")) & (F.col("least") == 0)
+    single = counted.filter("n = 1").filter(repeats).select("class", F.lit(0).alias("low"), (F.size("windows") - 1).alias("high"), *place("kept"), (F.col("kept.word") - F.col("lead")).alias("kept_at"))
+    each = counted.filter("n > 1").select("class", "id", "lead", "kept", "least", "low_row", "high_row", F.posexplode("windows").alias("i", "w"))
+    at = F.struct("kept.unknown", "kept.doc_id", "kept.row", (F.col("kept.word") + F.col("i")).alias("word"), "kept.line")
+    each = checkpointed(each.select("class", "id", (F.col("lead") + F.col("i")).alias("place"), "i", "w", at.alias("kept"), "least", "low_row", "high_row"))
+    kept = each.groupBy("id", "place", "w").agg(F.min("kept").alias("kept"), F.min("least").alias("least"), F.min("low_row").alias("low_row"), F.max("high_row").alias("high_row")).filter(repeats).select("id", "place", "w", "kept")
+    several = each.select("class", "id", "place", "i", "w").join(kept, ["id", "place", "w"])
+    several = several.select("class", "i", *place("kept"), (F.col("kept.word") - F.col("place")).alias("kept_at")).groupBy("class", "kept_row", "kept_doc_id", "kept_line", "kept_at").agg(F.min("i").alias("low"), F.max("i").alias("high"))
+    return single.unionByName(several)
+
+
+def repeated_windows(every: DataFrame, listed: DataFrame) -> DataFrame:
+    """The same columns as repeated_lines for passages of repeated windows that lie in no listed line; paragraph is null.
+
+    Of each window one occurrence is kept: the least among those in no listed line or
+    in a kept one. Overlapping windows of a row whose kept occurrences are in one row
+    are one passage. A component is a kept passage, or kept line, with the passages
+    whose windows it keeps.
     """
     names = checkpointed(every.groupBy("id").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("id"))
-    hits = every.join(names.hint("shuffle_hash"), "id").select("row", "doc_id", "start", "stop", "word", "n_words", "id")
-    spans = listed.select("row", "doc_id", "start", "stop", F.lit(None).cast("int").alias("word"), "n_words", F.lit(None).cast("bigint").alias("id"), "removed")
-    before = Window.partitionBy("row").orderBy("start", F.desc("stop"), F.col("id").asc_nulls_first())
-    line = F.max(F.when(F.col("id").isNull(), F.struct("stop", "removed", "start"))).over(before)
-    inside = F.when(F.col("line.stop") >= F.col("stop"), F.when(F.col("line.removed"), 2).otherwise(1)).otherwise(0)
-    marked = hits.withColumn("removed", F.lit(None).cast("boolean")).unionByName(spans).withColumn("line", line).filter("id is not null").withColumn("inside", inside)
-    placed = checkpointed(marked.filter("inside < 2").select("row", "doc_id", "start", "stop", "word", "n_words", "id", "inside", F.when(F.col("inside") == 1, F.xxhash64("row", "line.start")).alias("line")))
-    kept = placed.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "start", "line")).alias("kept"), F.min("inside").alias("least")).filter("least = 0")
-    live = placed.filter("inside = 0").drop("line", "inside").join(kept.select("id", "kept.row", "kept.doc_id", "kept.line").toDF("id", "kept_row", "kept_doc_id", "line").hint("shuffle_hash"), "id")
-    along = Window.partitionBy("row").orderBy("start", "stop", "id")
-    reach = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    joins = (F.col("start") <= F.col("reach")) & (F.col("kept_row") == F.lag("kept_row").over(along))
-    chained = live.withColumn("reach", reach).withColumn("first", ~F.coalesce(joins, F.lit(False))).withColumn("passage", F.count(F.when(F.col("first"), 1)).over(along)).drop("reach", "first")
-    chained = checkpointed(chained.withColumn("least", F.min("id").over(Window.partitionBy("row", "passage"))))
-    labels = chained.filter("row = kept_row").groupBy("id").agg(F.min("least").alias("label"))
-    named = chained.join(labels.hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("line", "label"))
-    whole = named.groupBy("row", "passage").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max(F.col("word") + F.col("n_words")) - F.min("word")).cast("int").alias("n_words"),
+    hits = every.join(names.hint("shuffle_hash"), "id")
+    placed = checkpointed(_beside(hits, listed).filter("inside < 2").withColumn("class", F.xxhash64("id", "lead", "windows")))
+    segments = checkpointed(_segments(placed.select("class", "id", "lead", "windows", "row", "doc_id", "word", "inside", "line")))
+    met = placed.filter("inside = 0").join(segments.hint("shuffle_hash"), "class")
+    found = met.select(
+        "row", "doc_id", "kept_row", "kept_doc_id", "kept_line", "kept_at", (F.col("word") - F.col("lead")).alias("own_at"), (F.col("word") + F.col("low")).alias("word"), (F.col("word") + F.col("high") + PASSAGE).alias("past"),
+        (F.col("start") + F.get("starts", "low")).alias("start"), (F.col("start") + F.get("stops", "high")).alias("stop"),
+    )
+    along = Window.partitionBy("row").orderBy("kept_row", "start", "stop", "kept_at")
+    here = Window.partitionBy("row", "kept_row").orderBy("start", "stop", "kept_at")
+    first = ~F.coalesce(F.col("start") <= F.max("stop").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    chained = checkpointed(found.withColumn("first", first).withColumn("passage", F.count(F.when(F.col("first"), 1)).over(along)).drop("first"))
+    least = F.min("word").over(Window.partitionBy("row", "passage"))
+    own = chained.filter("row = kept_row and own_at = kept_at").select(F.col("row").alias("kept_row"), "kept_at", F.xxhash64("row", least).alias("label")).distinct()
+    called = chained.join(own.hint("shuffle_hash"), ["kept_row", "kept_at"], "left").withColumn("component", F.coalesce("kept_line", "label"))
+    whole = called.groupBy("row", "passage").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("past") - F.min("word")).cast("int").alias("n_words"),
         F.min("component").alias("component"), F.first("kept_doc_id").alias("kept_doc_id"), F.first("kept_row").alias("kept_row"),
     )
     return whole.select("row", "doc_id", F.lit(None).cast("int").alias("paragraph"), "start", "stop", "n_words", "component", "kept_doc_id", (F.col("row") != F.col("kept_row")).alias("removed"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Every occurrence of a passage that another row of docs repeats, exactly or nearly.
+    """Every occurrence of a passage of PASSAGE words or more that another row of docs repeats, exactly or nearly.
 
     (doc_id, paragraph, start, stop, n_words, component, kept_doc_id, removed): lines
-    of LEAST_WORDS words or more whose shingles of five words are similar by 0.8 or
-    more, in components, and (paragraph null) passages outside those lines that begin
-    and end anywhere, of RUN words or more: every 50 words that two rows share are
-    met by one or the other. start, stop: code points, stop exclusive. The occurrence
-    of the least doc_id (null last), then row and place, is kept, all others are
-    removed. A passage repeated within one row only is not listed. Null and empty
-    texts have no paragraphs; repeated rows repeat each other; an empty table gives
-    no rows.
+    whose shingles of five words are similar by 0.8 or more, in components of which
+    one line has PASSAGE words, and (paragraph null) passages outside those lines that
+    begin and end anywhere: all PASSAGE consecutive words (A-Z lower-cased) that two
+    rows share lie in one or the other. start, stop: code points, stop exclusive. The
+    occurrence of the least doc_id (null last), then row and place, is kept, all others
+    are removed. A passage repeated within one row only is not listed. Null and empty
+    texts have no paragraphs, very long ones are read whole; repeated rows repeat each
+    other; an empty table gives no rows; other columns are not looked at, whatever
+    their names.
     """
-    docs = docs.select("doc_id", "text")
+    inner, _, (doc_id, text) = hidden(docs, "doc_id", "text")
+    docs = inner.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     every = written(occurrences(docs), "passages")
-    listed = checkpointed(repeated_lines(every.filter("paragraph is not null"), docs))
-    return listed.unionByName(repeated_runs(every.filter("paragraph is null").drop("bands"), listed)).drop("row")
+    of_lines = every.filter("paragraph is not null").select("row", "doc_id", "paragraph", "start", "stop", "n_words", "id", "bands")
+    listed = checkpointed(repeated_lines(of_lines, docs))
+    anchors = every.filter("paragraph is null").select("row", "doc_id", "word", "lead", "start", "stop", "id", "windows", "starts", "stops")
+    return listed.unionByName(repeated_windows(anchors, listed)).drop("row")

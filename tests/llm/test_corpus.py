@@ -361,9 +361,11 @@ def test_passages(spark, docs, none, monkeypatch, crowded):
             if label[i] != label[j] and brute_jaccard(a[3], b[3]) >= 0.8:
                 old, new = label[i], label[j]
                 label = [new if x == old else x for x in label]
-    rows_of = defaultdict(set)
+    rows_of, most = defaultdict(set), Counter()
     for x, l in zip(label, lines):
         rows_of[x].add(l[0])
+        most[x] = max(most[x], len(l[3].split()))
+    rows_of = {x: r if most[x] >= passages.PASSAGE else () for x, r in rows_of.items()}
     want = Counter((l[1], l[2]) for x, l in zip(label, lines) if len(rows_of[x]) > 1)
     assert Counter((r["doc_id"], r["paragraph"]) for r in rows) == want
     kept = Counter(r["component"] for r in rows if not r["removed"])
@@ -372,10 +374,36 @@ def test_passages(spark, docs, none, monkeypatch, crowded):
         if r["doc_id"] == 5:
             assert TEXTS[5][r["start"] : r["stop"]] == PROSE[0]
     assert passages.repeats(none).count() == 0
-    texts = {r[0]: text_of(r) for r in ROWS if r[0] is not None}
-    for r in every:
+    assert_windows([(r[0], r[1]) for r in ROWS], every)
+
+
+def brute_windows(rows):
+    """Of each row, the code points of each window of 50 words that another row has."""
+    seen, where = defaultdict(set), []
+    for n, (_, text) in enumerate(rows):
+        words = [(m[0].translate({c: c + 32 for c in range(65, 91)}), m.start(), m.end()) for m in re.finditer(r"[^ \t\n\r\x0b\x0c]+", text or "")]
+        found = [(tuple(w for w, _, _ in words[i : i + 50]), words[i][1], words[i + 49][2]) for i in range(len(words) - 49)]
+        where.append(found)
+        for w, _, _ in found:
+            seen[w].add(n)
+    return [[(a, b) for w, a, b in found if len(seen[w]) > 1] for found in where]
+
+
+def assert_windows(rows, found):
+    """All words of repeated windows are listed, passages hold no others, what is removed stays in the row that keeps it."""
+    listed, exact = defaultdict(set), defaultdict(set)
+    for r in found:
+        span = set(range(r["start"], r["stop"]))
+        listed[r["doc_id"]] |= span
         if r["paragraph"] is None:
-            assert r["n_words"] == len(texts[r["doc_id"]][r["start"] : r["stop"]].split()) >= passages.RUN
+            exact[r["doc_id"]] |= span
+            assert r["n_words"] >= 50
+    want = defaultdict(set)
+    for (doc_id, _), spans in zip(rows, brute_windows(rows)):
+        for a, b in spans:
+            want[doc_id] |= set(range(a, b))
+    for doc_id in {d for d, _ in rows}:
+        assert listed[doc_id] >= want[doc_id] and exact[doc_id] <= want[doc_id], doc_id
 
 
 @pytest.mark.parametrize("crowded", [32, 1])
@@ -414,12 +442,15 @@ def test_passages_inside_longer_lines(spark):
         words = rng.choices(vocabulary, k=rng.randint(0, 80)) + shared[i % 4] + rng.choices(vocabulary, k=rng.randint(0, 80))
         rows.append((i, "".join(w + rng.choice([" ", " ", "\n", "  "]) for w in words)))
     rows += [(40, "\n".join([" ".join(shared[0])] * 2)), (41, "the " * 300), (42, "start the " + "the " * 200), (43, " ".join(rng.choices(vocabulary, k=60)) + " x " * 90), (None, " ".join(shared[1])), (10, rows[10][1])]
-    found = [r for r in passages.repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()]
-    assert {r["doc_id"] for r in found} == {*range(10, 43), None}
-    texts, groups = dict(rows), defaultdict(list)
+    rows += [(44 + i, " ".join(rng.choices(vocabulary, k=30) + shared[3][i : 49 + i] + rng.choices(vocabulary, k=30))) for i in range(3)]  # 49 words, of which 48 and 47 meet each other
+    long = rng.choices(vocabulary, k=400)
+    rows += [(50 + i, " ".join(rng.choices(vocabulary, k=i) + long[37 * i : 37 * i + 90] + rng.choices(vocabulary, k=20))) for i in range(8)]  # each shares 53 words with the next
+    found = passages.repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert_windows(rows, found)
+    assert {r["doc_id"] for r in found} == {*range(10, 43), None, *range(50, 58)}
+    groups = defaultdict(list)
     for r in found:
         if r["paragraph"] is None:
-            assert len(texts[r["doc_id"]][r["start"] : r["stop"]].split()) == r["n_words"] >= passages.RUN
             groups[r["component"]].append(r)
     gone = {r["doc_id"] for r in found if r["removed"]}
     assert gone >= {i for i in range(14, 40)} and 12 not in gone  # 12 has the first of the passage that 40 repeats
@@ -427,13 +458,30 @@ def test_passages_inside_longer_lines(spark):
         assert len({r["kept_doc_id"] for r in g}) == 1 and sum(not r["removed"] for r in g) <= 1
 
 
-def test_short_passages(spark):
+def test_windows_of_random_texts(spark):
+    rng = random.Random(19)
+    stock = [[rng.choice("ab") + str(rng.randrange(3)) for _ in range(rng.randint(20, 200))] for _ in range(6)]
+    rows = []
+    for i in range(60):  # much repetition, in rows and between them
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            part = rng.choice(stock)
+            a = rng.randrange(len(part))
+            words += part[a : a + rng.randint(5, 120)]
+        rows.append((i, " ".join(words)))
+    assert_windows(rows, passages.repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+
+
+def test_lines_of_passages(spark):
     rng, vocabulary = random.Random(13), [f"word{i}" for i in range(4000)]
     line = lambda n: " ".join(rng.choices(vocabulary, k=n))
-    five, twenty, near = line(5), line(20), line(24)
-    rows = [(1, f"{line(40)}\n{five}\n{line(4)}\n{near}"), (2, f"{five}\n{twenty}\n{line(12)}"), (3, f"{line(9)}\n{twenty.upper()}\n{near} tail"), (4, line(24))]
-    found = passages.repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert sorted((r["doc_id"], r["paragraph"], r["n_words"], r["removed"]) for r in found.collect()) == [(1, 1, 5, False), (1, 3, 24, False), (2, 0, 5, True), (2, 1, 20, False), (3, 1, 20, True), (3, 2, 25, True)]
+    short, fifty = line(45), line(50)
+    near, edited = line(60), None
+    edited = near.split()
+    edited[30] = "changed"
+    rows = [(1, f"{line(40)}\n{short}\n{fifty}\n{near}"), (2, f"{short}\n{line(12)}\n{' '.join(edited)}"), (3, f"{line(9)}\n{' '.join(fifty.split()[:45])}"), (4, line(24))]
+    found = passages.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["n_words"], r["removed"]) for r in found) == [(1, 2, 50, False), (1, 3, 60, False), (2, 2, 60, True), (3, 1, 45, True)]
 
 
 def test_toxicity(spark, none):
