@@ -11,4 +11,4 @@ CHAINS = (
     "file_no int, offset bigint, score bigint, r_name string, r_size bigint, r_strand string, r_start bigint, r_end bigint, "
     f"q_name string, q_size bigint, q_strand string, q_start bigint, q_end bigint, id decimal(20,0), id_explicit boolean, blocks {BLOCKS}"
 )
-ITEMS = f"kind string, {CHAINS}, line string, error string, error_offset bigint"
+ITEMS = f"kind string, {CHAINS}, length bigint, line string, error string, error_offset bigint"

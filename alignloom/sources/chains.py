@@ -6,14 +6,15 @@ import gzip
 import io
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignloom.operators.ordering import generated_ids
+from alignloom.operators.ordering import generated_ids, ranked
 from alignloom.schema import ITEMS, MAX_U32, MAX_U64
 
 RANGE_BYTES, BATCH_ROWS = 64 << 20, 2000
@@ -57,54 +58,59 @@ def parsed_header(line: bytes, need_id: bool = False) -> dict:
         if w[at] not in (b"+", b"-"):
             raise Fault("strand is neither + nor -")
     u32 = lambda at, what: unsigned(w[at], MAX_U32, what)
-    return {
-        "score": signed(w[1], "score"), "r_name": w[2].decode("latin-1"), "r_size": u32(3, "reference size"), "r_strand": w[4].decode(), "r_start": u32(5, "reference start"), "r_end": u32(6, "reference end"),
-        "q_name": w[7].decode("latin-1"), "q_size": u32(8, "query size"), "q_strand": w[9].decode(), "q_start": u32(10, "query start"), "q_end": u32(11, "query end"),
-        "id": unsigned(w[12], MAX_U64, "id") if len(w) > 12 else None, "id_explicit": len(w) > 12,
-    }
+    sides = {}
+    for p, at, what in (("r", 2, "reference"), ("q", 7, "query")):
+        sides |= {f"{p}_name": w[at].decode("latin-1"), f"{p}_size": u32(at + 1, f"{what} size"), f"{p}_strand": w[at + 2].decode(), f"{p}_start": u32(at + 3, f"{what} start"), f"{p}_end": u32(at + 4, f"{what} end")}
+    return {"score": signed(w[1], "score"), **sides, "id": unsigned(w[12], MAX_U64, "id") if len(w) > 12 else None, "id_explicit": len(w) > 12}
 
 
-def parsed_block(line: bytes) -> dict:
+def parsed_block(line: bytes) -> tuple[int, int, int]:
+    """Size, gap on the reference, gap on the query."""
     w = words(line)
     if len(w) == 2:
         raise Fault("block line missing dq value")
     values = [unsigned(x, MAX_U32, "block value") for x in w[:3]]
-    return dict(zip(("size", "gap_reference", "gap_query"), values + [0, 0]))
+    return (*values, 0, 0) if len(values) == 1 else tuple(values)
 
 
-def items(lines: Iterator[tuple[int, bytes]], stop: int | None = None, fresh: bool = True, metadata: bool = True, need_id: bool = False) -> Iterator[dict]:
-    """Metadata lines and chains among lines (offset, bytes), in order; the records that begin before stop.
+def items(lines: Iterator[tuple[int, bytes, int]], stop: int | None = None, inside: bool = False, metadata: bool = True, need_id: bool = False, wanted: Callable[[dict], bool] | None = None) -> Iterator[dict]:
+    """Metadata lines and chains among lines (offset, line, the next line's offset), in order; those that begin before stop.
 
-    fresh: the lines begin a file, else what precedes the first record belongs to the
-    range before. A fault ends the file: it is given as an item with an error.
+    inside: the lines begin in a record that belongs to what precedes them, so all up
+    to a blank line is passed over. wanted: of chains whose header it rejects, block
+    lines are passed over unread and `blocks` is null. A chain's length counts its
+    blank line. A fault ends the lines: it is given as an item with an error.
     """
-    now, began = None, fresh
+    now, at, past = None, 0, 0
 
     def ended(record):
-        if not record["blocks"]:
+        if record["blocks"] is not None and not record["blocks"]:
             raise Fault("chain without any alignment blocks")
-        return record
+        return record | {"length": past - record["offset"]}
 
     try:
-        for at, line in lines:
-            line = line[:-1] if line.endswith(b"\r") else line
-            blank = not words(line)
-            if now is None:
+        for at, line, past in lines:
+            blank = not line or not words(line)
+            if inside:
                 if stop is not None and at >= stop:
                     return
-                if blank or not began and not line.startswith((b"chain", b"#")):
+                inside = not blank
+            elif now is None:
+                if stop is not None and at >= stop:
+                    return
+                if blank:
                     continue
-                began = True
                 if line.startswith(b"#"):
                     if not metadata:
                         raise Fault("metadata line")
-                    yield {"kind": "meta", "offset": at, "line": line.decode("latin-1")}
+                    yield {"kind": "meta", "offset": at, "length": past - at, "line": (line[:-1] if line.endswith(b"\r") else line).decode("latin-1")}
                 else:
-                    now = {"kind": "chain", "offset": at, "blocks": [], **parsed_header(line, need_id)}
+                    head = parsed_header(line, need_id)
+                    now = {"kind": "chain", "offset": at, "blocks": [] if wanted is None or wanted(head) else None, **head}
             elif blank:
                 yield ended(now)
                 now = None
-            else:
+            elif now["blocks"] is not None:
                 now["blocks"].append(parsed_block(line))
         if now is not None:
             yield ended(now)
@@ -112,10 +118,44 @@ def items(lines: Iterator[tuple[int, bytes]], stop: int | None = None, fresh: bo
         yield {"kind": "error", "offset": at, "error": str(fault), "error_offset": at}
 
 
-def _lines(stream, at: int) -> Iterator[tuple[int, bytes]]:
+def _lines(stream, at: int) -> Iterator[tuple[int, bytes, int]]:
     for line in stream:
-        yield at, line[:-1] if line.endswith(b"\n") else line
-        at += len(line)
+        past = at + len(line)
+        yield at, line[:-1] if line.endswith(b"\n") else line, past
+        at = past
+
+
+def begins_inside(raw, low: int, window: int = 1 << 16) -> tuple[int, bool]:
+    """Of a byte stream, the first line that begins at low or after, and whether it lies in a record that begins before it.
+
+    Looks back from there to the nearest blank line (a record may follow) through
+    metadata lines, which tell nothing: any other line is part of a record.
+    """
+    raw.seek(low - 1)
+    start = low - 1
+    while piece := raw.read(window):
+        cut = piece.find(b"\n")
+        start += len(piece) if cut < 0 else cut + 1
+        if cut >= 0:
+            break
+    held, at = b"", start
+    while True:
+        step = min(window, at)
+        at -= step
+        raw.seek(at)
+        held = raw.read(step) + held
+        before = held.split(b"\n")[:-1]  # held ends with the newline before start, or the stream ends at start without one
+        if held and not held.endswith(b"\n"):
+            before = held.split(b"\n")
+        whole = before if at == 0 else before[1:]  # the first may be cut
+        for line in reversed(whole):
+            if not words(line):
+                return start, False
+            if not line.startswith(b"#"):
+                return start, True
+        if at == 0:
+            return start, False
+        window *= 2
 
 
 def parse_bytes(data: bytes, **options) -> list[dict]:
@@ -125,29 +165,38 @@ def parse_bytes(data: bytes, **options) -> list[dict]:
 
 
 def _batches(found: Iterator[dict], file_no: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    rows = []
-    for item in found:
-        rows.append(item | {"file_no": file_no})
-        if len(rows) == BATCH_ROWS:
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-            rows = []
-    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+    """Record batches of items, column by column; the blocks' numbers of a batch are three flat arrays."""
+    fields = [f for f in schema if f.name not in ("file_no", "blocks")]
+    while rows := list(islice(found, BATCH_ROWS)):
+        columns = {f.name: pa.array([r.get(f.name) for r in rows], f.type) for f in fields}
+        columns["file_no"] = pa.array([file_no] * len(rows), pa.int32())
+        blocks = [r.get("blocks") for r in rows]
+        flat = [b for some in blocks if some for b in some]
+        ends = [0, *accumulate(len(some) if some else 0 for some in blocks)]
+        starts = pa.array([None if some is None else at for some, at in zip(blocks, ends)] + [ends[-1]], pa.int32())
+        values = pa.StructArray.from_arrays([pa.array([b[k] for b in flat], pa.int64()) for k in range(3)], names=["size", "gap_reference", "gap_query"])
+        columns["blocks"] = pa.ListArray.from_arrays(starts, values)
+        yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name == "blocks" else columns[f.name] for f in schema], schema=schema)
 
 
 def _schema() -> pa.Schema:
     block = pa.struct([(f, pa.int64()) for f in ("size", "gap_reference", "gap_query")])
     long, text = pa.int64(), pa.string()
+    sides = [(f"{p}_{f}", t) for p in "rq" for f, t in (("name", text), ("size", long), ("strand", text), ("start", long), ("end", long))]
     return pa.schema([
-        ("kind", text), ("file_no", pa.int32()), ("offset", long), ("score", long), ("r_name", text), ("r_size", long), ("r_strand", text), ("r_start", long), ("r_end", long),
-        ("q_name", text), ("q_size", long), ("q_strand", text), ("q_start", long), ("q_end", long), ("id", pa.decimal128(20, 0)), ("id_explicit", pa.bool_()), ("blocks", pa.list_(block)), ("line", text), ("error", text), ("error_offset", long),
+        ("kind", text), ("file_no", pa.int32()), ("offset", long), ("score", long), *sides,
+        ("id", pa.decimal128(20, 0)), ("id_explicit", pa.bool_()), ("blocks", pa.list_(block)), ("length", long), ("line", text), ("error", text), ("error_offset", long),
     ])
 
 
-def read_items(spark: SparkSession, paths: str | list[str], metadata: bool = True, need_id: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_items(spark: SparkSession, paths: str | list[str], metadata: bool = True, need_id: bool = False, range_bytes: int = RANGE_BYTES, wanted: Callable[[dict], bool] | None = None) -> DataFrame:
     """All items of the files in one DataFrame; file_no and offset give their order.
 
     Plain files are cut into byte ranges; a range's task parses the records that begin
-    in it. A gzip file is one range. Tasks open files by their URI.
+    in it, whatever the cut, as a reading of the whole file would (after a fault, a
+    later range may still give items; `checked` fails). A gzip file is one range: its
+    format cannot be entered elsewhere. Tasks open files by their URI. wanted: see
+    items(); headers that it rejects leave their blocks unread.
     """
     ranges = []
     for file_no, path in enumerate([paths] if isinstance(paths, str) else paths):
@@ -160,7 +209,7 @@ def read_items(spark: SparkSession, paths: str | list[str], metadata: bool = Tru
             packed = path.endswith(".gz") or stream.read(2) == b"\x1f\x8b"
         step = max(size, 1) if packed else range_bytes
         ranges += [(file_no, full, packed, at, min(at + step, size)) for at in range(0, max(size, 1), step)]
-    options = {"metadata": metadata, "need_id": need_id}
+    options = {"metadata": metadata, "need_id": need_id, "wanted": wanted}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _schema()
@@ -171,12 +220,10 @@ def read_items(spark: SparkSession, paths: str | list[str], metadata: bool = Tru
                     if row["packed"]:
                         yield from _batches(items(_lines(gzip.GzipFile(fileobj=raw), 0), **options), row["file_no"], schema)
                         continue
-                    start = row["low"]
-                    raw.seek(max(start - 1, 0))
+                    start, inside = begins_inside(raw, row["low"]) if row["low"] else (0, False)
+                    raw.seek(start)
                     stream = io.BufferedReader(raw, 1 << 20)
-                    if start:
-                        start += len(stream.readline()) - 1  # up to the first line that begins in the range
-                    yield from _batches(items(_lines(stream, start), stop=row["high"], fresh=not row["low"], **options), row["file_no"], schema)
+                    yield from _batches(items(_lines(stream, start), stop=row["high"], inside=inside, **options), row["file_no"], schema)
 
     table = spark.createDataFrame(ranges, "file_no int, path string, packed boolean, low bigint, high bigint").repartition(len(ranges))
     return table.mapInArrow(run, ITEMS)
@@ -190,7 +237,7 @@ def checked(found: DataFrame) -> DataFrame:
 
 def chains(found: DataFrame, generate: bool = True) -> DataFrame:
     """The chains among items; those without an id are numbered in file order."""
-    rows = checked(found).filter("kind = 'chain'").drop("kind", "line", "error", "error_offset")
+    rows = checked(found).filter("kind = 'chain'").drop("kind", "length", "line", "error", "error_offset")
     return generated_ids(rows) if generate else rows
 
 
@@ -210,6 +257,30 @@ def path_list(text: str) -> list[str]:
     return out
 
 
-def spans(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file_no, offset, header): where each record begins."""
-    return read_items(spark, paths).filter("kind = 'chain'").select("file_no", "offset")
+def spans(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
+    """(file_no, offset, length, ordinal): the bytes of each record, its blank line included; ordinals count from 0 through the files."""
+    found = checked(read_items(spark, paths, wanted=no_blocks, **options)).filter("kind = 'chain'").select("file_no", "offset", "length")
+    return ranked(found, [F.col("file_no").asc(), F.col("offset").asc()]).withColumn("ordinal", F.col("rank") - 1).drop("rank")
+
+
+def no_blocks(header: dict) -> bool:
+    return False
+
+
+def chain_bytes(spark: SparkSession, paths: str | list[str], index: DataFrame, ordinal: int) -> bytes | None:
+    """The bytes of the record of that ordinal in an index by spans(); None beyond the last. Only they are read."""
+    found = index.filter(F.col("ordinal") == ordinal).first()
+    if found is None:
+        return None
+    path = ([paths] if isinstance(paths, str) else paths)[found["file_no"]]
+    return bytes(read_range(path, found["offset"], found["length"]))
+
+
+def read_range(path: str, offset: int, length: int) -> bytes:
+    """Those bytes of a file's text; a gzip file is read up to them."""
+    system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+    with system.open_input_file(inner) as raw:
+        packed = path.endswith(".gz") or raw.read(2) == b"\x1f\x8b"
+        stream = gzip.GzipFile(fileobj=raw) if packed else raw
+        stream.seek(offset)
+        return stream.read(length)

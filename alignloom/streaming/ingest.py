@@ -21,4 +21,4 @@ def chain_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16)
 
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", files_per_trigger).load(folder)
     found = files.select("content").mapInArrow(run, ITEMS)
-    return checked(found).filter("kind = 'chain'").drop("kind", "line", "error", "error_offset")
+    return checked(found).filter("kind = 'chain'").drop("kind", "length", "line", "error", "error_offset")
