@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alignloom.llm.common import checkpointed, free_name, hidden
+from alignloom.llm.common import free_name, hidden, written
 
 #: Labelled training rows of either class that the model is fitted on, at most: the smallest hashes of doc_id.
 SAMPLE_ROWS = 2000
@@ -323,7 +323,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     told, _, (label_id, toxic) = hidden(labels, "doc_id", "toxic")
     known = told.select(F.col(label_id).cast("long").alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    sample = checkpointed(sampled(inner.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), known))
+    sample = written(sampled(inner.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), known), "toxicity-sample")
     rows = sorted(sample.select("doc_id", "toxic", "bands").collect(), key=lambda r: r["doc_id"])
     rows = [rows[i] for i in unlike([r["bands"] for r in rows])]
     counts = Counter((i % 2, r["toxic"]) for i, r in enumerate(rows))
@@ -355,11 +355,9 @@ def scored(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "pr
     """docs with two last columns, score and predicted, by the names given; the text alone decides.
 
     Null and empty texts are scored as texts without words, long ones whole, repeated
-    rows each. Columns of docs stay as they are, whatever they are called; one that is
-    named so already (in any case) is an error, choose other names.
+    rows each. Columns of docs stay as they are, whatever they are called; where one is
+    named so already (in any case), the new one gets underscores after it.
     """
-    if any(has_column(docs, n) for n in names):
-        raise ValueError(f"the table has a column {names[0]} or {names[1]} already")
     inner, own, (text,) = hidden(docs, "text")
     out = inner.select(*own, _scores(text, model).alias("__score"))
     return out.select("*", (F.col("__score") >= 0.5).cast("int")).toDF(*docs.columns, *(free_name(docs, n) for n in names))
