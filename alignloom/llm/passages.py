@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from alignloom.functions.blocks import let, running
 from alignloom.llm.common import checkpointed, hidden, written
 from alignloom.llm.graph import connected_components
 
@@ -127,9 +128,9 @@ def windows(text: str | None) -> tuple[np.ndarray, ...] | None:
     """The windows of PASSAGE words of a text, by anchor; None if it has fewer words.
 
     Arrays over anchors: the first window's word number, its place relative to the
-    anchor, the anchor's hash, how many windows follow each other; arrays over windows:
-    hash (32 bits; windows are told apart by anchor's hash, place and this), first and
-    last code point (exclusive). Words are those of lines(), counted through the text.
+    anchor, the anchor's hash, how many windows follow each other; over windows: hash
+    (32 bits; windows are told apart by anchor's hash, place and this); over words: first
+    and last code point (exclusive). Words are those of lines(), counted through the text.
     """
     plain = (text or "").encode() + b"\n"
     raw = np.frombuffer(plain, dtype=np.uint8)
@@ -147,36 +148,42 @@ def windows(text: str | None) -> tuple[np.ndarray, ...] | None:
     at = _anchors(grams, PASSAGE - GRAM + 1)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     hashes = (_rolled(words, PASSAGE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    start, stop = begins[: n - PASSAGE + 1], ends[PASSAGE - 1 :]
     if len(plain) != len(text) + 1:
         points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-        start, stop = points[start], points[stop]
-    return first, first - at[first], (grams[at[first]]).view(np.int64), np.diff(np.append(first, len(at))), hashes, start, stop
+        begins, ends = points[begins], points[ends]
+    return first, first - at[first], (grams[at[first]]).view(np.int64), np.diff(np.append(first, len(at))), hashes, begins, ends
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, paragraph, word, lead, start, stop, n_words, id, bands, windows, starts, stops) of docs (doc_id, text).
+    """(row, doc_id, paragraph, word, lead, start, stop, n_words, id, bands, windows, gaps, lengths) of docs (doc_id, text).
 
-    Lines of every row that are long enough (word null), and the anchors of its windows
-    (paragraph null): id is the anchor's hash, word the first window's, lead its place
-    relative to the anchor, windows their hashes, starts and stops their code points
-    from start on.
+    Three kinds of rows: lines that are long enough (with bands); the anchors of windows
+    (with windows: their hashes; id is the anchor's hash, word the first window's, lead
+    its place relative to the anchor); and for each row with windows one with the code
+    points of its words (lengths, and gaps before them).
     """
     long, number = pa.int64(), pa.int32()
-    schema = pa.schema([("row", long), ("doc_id", long), ("paragraph", number), ("word", number), ("lead", number), ("start", long), ("stop", long), ("n_words", number), ("id", long), ("bands", pa.list_(long)), *[(c, pa.list_(number)) for c in ("windows", "starts", "stops")]])
+    schema = pa.schema([("row", long), ("doc_id", long), ("paragraph", number), ("word", number), ("lead", number), ("start", long), ("stop", long), ("n_words", number), ("id", long), ("bands", pa.list_(long)), *[(c, pa.list_(number)) for c in ("windows", "gaps", "lengths")]])
 
     def batch_of(columns: dict) -> pa.RecordBatch:
-        n = len(columns["id"])
+        n = len(columns["row"])
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns and not isinstance(columns[f.name], pa.Array) else columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
+    def listed(counts: list[int], values: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), number), pa.array(values.astype(np.int32)))
+
     def anchored(part: pa.RecordBatch, owners: list[int], found: list[tuple]) -> pa.RecordBatch:
-        word, lead, ids, counts, hashes, start, stop = map(np.concatenate, zip(*found))
+        low = [begins[first] for first, _, _, _, _, begins, _ in found]
+        high = [ends[first + counts + PASSAGE - 2] for first, _, _, counts, _, _, ends in found]
+        word, lead, ids, counts, hashes = (np.concatenate(c) for c in list(zip(*found))[:5])
         owner = pa.array(np.repeat(owners, [len(f[0]) for f in found]))
-        offsets = np.concatenate(([0], np.cumsum(counts)))
-        low, high = start[offsets[:-1]], stop[offsets[1:] - 1]
-        listed = lambda values: pa.ListArray.from_arrays(pa.array(offsets, number), pa.array(values.astype(np.int32)))
-        near = lambda values: listed(values - np.repeat(low, counts))
-        return batch_of({"row": part.column(0).take(owner), "doc_id": part.column(1).take(owner), "word": word, "lead": lead, "start": low, "stop": high, "n_words": counts + PASSAGE - 1, "id": ids, "windows": listed(hashes), "starts": near(start), "stops": near(stop)})
+        return batch_of({"row": part.column(0).take(owner), "doc_id": part.column(1).take(owner), "word": word, "lead": lead, "start": np.concatenate(low), "stop": np.concatenate(high), "id": ids, "windows": listed(counts, hashes)})
+
+    def placed(part: pa.RecordBatch, owners: list[int], found: list[tuple]) -> pa.RecordBatch:
+        gaps = [begins - np.concatenate(([0], ends[:-1])) for *_, begins, ends in found]
+        lengths = [ends - begins for *_, begins, ends in found]
+        counts = [len(g) for g in gaps]
+        return batch_of({"row": part.column(0).take(pa.array(owners)), "gaps": listed(counts, np.concatenate(gaps)), "lengths": listed(counts, np.concatenate(lengths))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, list[int]] = {}
@@ -198,8 +205,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     yield batch_of(dict(zip(("row", "doc_id", "paragraph", "start", "stop", "n_words", "id", "bands"), zip(*out))))
                 if found:
                     yield anchored(part, owners, found)
+                    yield placed(part, owners, found)
 
-    ddl = "row bigint, doc_id bigint, paragraph int, word int, lead int, start bigint, stop bigint, n_words int, id bigint, bands array<bigint>, windows array<int>, starts array<int>, stops array<int>"
+    ddl = "row bigint, doc_id bigint, paragraph int, word int, lead int, start bigint, stop bigint, n_words int, id bigint, bands array<bigint>, windows array<int>, gaps array<int>, lengths array<int>"
     return docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
 
 
@@ -354,7 +362,7 @@ def _segments(placed: DataFrame) -> DataFrame:
     that one kept place has.
     """
     occurrence = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "word", "line")).alias("kept")
-    classes = checkpointed(placed.groupBy("class", "id", "lead", "windows").agg(occurrence, F.min("inside").alias("least"), F.min("row").alias("low_row"), F.max("row").alias("high_row")))
+    classes = written(placed.groupBy("class", "id", "lead", "windows").agg(occurrence, F.min("inside").alias("least"), F.min("row").alias("low_row"), F.max("row").alias("high_row")), "passages-classes")
     counts = classes.groupBy("id").agg(F.count("*").alias("n"))
     counted = classes.join(counts, "id")
     place = lambda kept: [F.col(f"{kept}.row").alias("kept_row"), F.col(f"{kept}.doc_id").alias("kept_doc_id"), F.col(f"{kept}.line").alias("kept_line")]
@@ -362,42 +370,49 @@ def _segments(placed: DataFrame) -> DataFrame:
     single = counted.filter("n = 1").filter(repeats).select("class", F.lit(0).alias("low"), (F.size("windows") - 1).alias("high"), *place("kept"), (F.col("kept.word") - F.col("lead")).alias("kept_at"))
     each = counted.filter("n > 1").select("class", "id", "lead", "kept", "least", "low_row", "high_row", F.posexplode("windows").alias("i", "w"))
     at = F.struct("kept.unknown", "kept.doc_id", "kept.row", (F.col("kept.word") + F.col("i")).alias("word"), "kept.line")
-    each = checkpointed(each.select("class", "id", (F.col("lead") + F.col("i")).alias("place"), "i", "w", at.alias("kept"), "least", "low_row", "high_row"))
+    each = each.select("class", "id", (F.col("lead") + F.col("i")).alias("place"), "i", "w", at.alias("kept"), "least", "low_row", "high_row")
     kept = each.groupBy("id", "place", "w").agg(F.min("kept").alias("kept"), F.min("least").alias("least"), F.min("low_row").alias("low_row"), F.max("high_row").alias("high_row")).filter(repeats).select("id", "place", "w", "kept")
     several = each.select("class", "id", "place", "i", "w").join(kept, ["id", "place", "w"])
     several = several.select("class", "i", *place("kept"), (F.col("kept.word") - F.col("place")).alias("kept_at")).groupBy("class", "kept_row", "kept_doc_id", "kept_line", "kept_at").agg(F.min("i").alias("low"), F.max("i").alias("high"))
     return single.unionByName(several)
 
 
-def repeated_windows(every: DataFrame, listed: DataFrame) -> DataFrame:
+def repeated_windows(every: DataFrame, listed: DataFrame, points: DataFrame) -> DataFrame:
     """The same columns as repeated_lines for passages of repeated windows that lie in no listed line; paragraph is null.
 
-    Of each window one occurrence is kept: the least among those in no listed line or
-    in a kept one. Overlapping windows of a row whose kept occurrences are in one row
-    are one passage. A component is a kept passage, or kept line, with the passages
-    whose windows it keeps.
+    every: the anchors; points: (row, gaps, lengths) of the words. Of each window one
+    occurrence is kept: the least among those in no listed line or in a kept one.
+    Overlapping windows of a row whose kept occurrences are in one row are one passage.
+    A component is a kept passage, or kept line, with the passages whose windows it
+    keeps.
     """
     names = checkpointed(every.groupBy("id").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("id"))
     hits = every.join(names.hint("shuffle_hash"), "id")
-    placed = checkpointed(_beside(hits, listed).filter("inside < 2").withColumn("class", F.xxhash64("id", "lead", "windows")))
-    segments = checkpointed(_segments(placed.select("class", "id", "lead", "windows", "row", "doc_id", "word", "inside", "line")))
-    met = placed.filter("inside = 0").join(segments.hint("shuffle_hash"), "class")
+    placed = written(_beside(hits, listed).filter("inside < 2").withColumn("class", F.xxhash64("id", "lead", "windows")), "passages-placed")
+    segments = written(_segments(placed.select("class", "id", "lead", "windows", "row", "doc_id", "word", "inside", "line")), "passages-segments")
+    met = placed.filter("inside = 0").select("class", "row", "doc_id", "word", "lead").join(segments.hint("shuffle_hash"), "class")
     found = met.select(
         "row", "doc_id", "kept_row", "kept_doc_id", "kept_line", "kept_at", (F.col("word") - F.col("lead")).alias("own_at"), (F.col("word") + F.col("low")).alias("word"), (F.col("word") + F.col("high") + PASSAGE).alias("past"),
-        (F.col("start") + F.get("starts", "low")).alias("start"), (F.col("start") + F.get("stops", "high")).alias("stop"),
     )
-    along = Window.partitionBy("row").orderBy("kept_row", "start", "stop", "kept_at")
-    here = Window.partitionBy("row", "kept_row").orderBy("start", "stop", "kept_at")
-    first = ~F.coalesce(F.col("start") <= F.max("stop").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    chained = checkpointed(found.withColumn("first", first).withColumn("passage", F.count(F.when(F.col("first"), 1)).over(along)).drop("first"))
-    least = F.min("word").over(Window.partitionBy("row", "passage"))
-    own = chained.filter("row = kept_row and own_at = kept_at").select(F.col("row").alias("kept_row"), "kept_at", F.xxhash64("row", least).alias("label")).distinct()
-    called = chained.join(own.hint("shuffle_hash"), ["kept_row", "kept_at"], "left").withColumn("component", F.coalesce("kept_line", "label"))
+    along = Window.partitionBy("row").orderBy("kept_row", "word", "past", "kept_at")
+    here = Window.partitionBy("row", "kept_row").orderBy("word", "past", "kept_at")
+    first = ~F.coalesce(F.col("word") < F.max("past").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    chained = found.withColumn("first", first).withColumn("passage", F.count(F.when(F.col("first"), 1)).over(along)).drop("first")
+    chained = written(chained.withColumn("label", F.xxhash64("row", F.min("word").over(Window.partitionBy("row", "passage")))), "passages-chained")
+    own = chained.filter("row = kept_row and own_at = kept_at").select(F.col("row").alias("kept_row"), "kept_at", F.col("label").alias("kept_label")).distinct()
+    called = chained.join(own.hint("shuffle_hash"), ["kept_row", "kept_at"], "left").withColumn("component", F.coalesce("kept_line", "kept_label"))
     whole = called.groupBy("row", "passage").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("past") - F.min("word")).cast("int").alias("n_words"),
+        F.first("doc_id").alias("doc_id"), F.min("word").alias("word"), F.max("past").alias("past"),
         F.min("component").alias("component"), F.first("kept_doc_id").alias("kept_doc_id"), F.first("kept_row").alias("kept_row"),
     )
-    return whole.select("row", "doc_id", F.lit(None).cast("int").alias("paragraph"), "start", "stop", "n_words", "component", "kept_doc_id", (F.col("row") != F.col("kept_row")).alias("removed"))
+    fields = ["doc_id", "word", "past", "component", "kept_doc_id", "kept_row"]
+    by_row = whole.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("passages"))  # few of one row: at most its words
+    ends = running(F.zip_with("gaps", "lengths", lambda g, n: g + n))  # of the word before
+    spread = by_row.join(points, "row").select("row", "gaps", "lengths", ends.alias("ends"), "passages").select("row", F.inline(let(F.struct("gaps", "lengths", "ends"), lambda w: F.transform("passages", lambda p: F.struct(
+        *[p[f].alias(f) for f in fields], (F.get(w["ends"], p["word"]) + F.get(w["gaps"], p["word"])).alias("start"),
+        (F.get(w["ends"], p["past"] - 1) + F.get(w["gaps"], p["past"] - 1) + F.get(w["lengths"], p["past"] - 1)).alias("stop"),
+    )))))
+    return spread.select("row", "doc_id", F.lit(None).cast("int").alias("paragraph"), "start", "stop", (F.col("past") - F.col("word")).alias("n_words"), "component", "kept_doc_id", (F.col("row") != F.col("kept_row")).alias("removed"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -419,5 +434,6 @@ def repeats(docs: DataFrame) -> DataFrame:
     every = written(occurrences(docs), "passages")
     of_lines = every.filter("paragraph is not null").select("row", "doc_id", "paragraph", "start", "stop", "n_words", "id", "bands")
     listed = checkpointed(repeated_lines(of_lines, docs))
-    anchors = every.filter("paragraph is null").select("row", "doc_id", "word", "lead", "start", "stop", "id", "windows", "starts", "stops")
-    return listed.unionByName(repeated_windows(anchors, listed)).drop("row")
+    anchors = every.filter("word is not null").select("row", "doc_id", "word", "lead", "start", "stop", "id", "windows")
+    points = every.filter("lengths is not null").select("row", "gaps", "lengths")
+    return listed.unionByName(repeated_windows(anchors, listed, points)).drop("row")
