@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alignloom.llm.common import checkpointed, first_of_each
+from alignloom.llm.common import checkpointed, first_of_each, hidden
 from alignloom.llm.graph import connected_components
 
 BITS, RADIUS = 64, 3
@@ -117,13 +117,22 @@ def components(docs: DataFrame) -> DataFrame:
     each; component_id is null only where no doc_id of the component is known. An
     empty table gives no rows; other columns of docs are ignored.
     """
-    rows = checkpointed(fingerprints(docs))
+    rows = checkpointed(fingerprints(_needed(docs)))
     named = _named(rows).drop("label")
     return rows.join(named.hint("shuffle_hash"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _needed(docs: DataFrame) -> DataFrame:
+    inner, _, (doc_id, text) = hidden(docs, "doc_id", "text")
+    return inner.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id (null last), of its texts that of the least hash."""
-    rows = checkpointed(fingerprints(docs, F.xxhash64("text")))
+    """docs with one row of each component: that of the least doc_id (null last), of its texts that of the least hash.
+
+    Null and empty texts, long ones and repeated rows as in components(); columns keep
+    names and values, whatever they are called.
+    """
+    rows = checkpointed(fingerprints(_needed(docs), F.xxhash64("text")))
     named = _named(rows.select("doc_id", "fp")).select("fp", "label")
     return first_of_each(docs, rows.join(named.hint("shuffle_hash"), "fp"))
