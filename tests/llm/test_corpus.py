@@ -503,6 +503,130 @@ def test_toxicity(spark, none):
     assert toxicity.assess(none, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).count() == 0
 
 
+def test_toxicity_label_model():
+    """EM, tree and fit against plain computations."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(400) < 0.3).astype(int)
+    own = lambda accuracy: np.where(rng.random(400) < accuracy, 2 * y - 1, rng.integers(-1, 2, 400))
+    first = own(0.8)
+    seen = np.column_stack([first, np.where(rng.random(400) < 0.95, first, 0), own(0.6), own(0.5)])  # the second repeats the first
+    labels = np.where(rng.random(400) < 0.9, y, 1 - y)
+    p, tables, parent = toxicity.posterior(seen, labels, rounds=1)
+    q = np.where(labels == 1, 0.9, 0.1)
+    count = lambda j, c, v, i=None, u=None: sum(w for w, row in zip(q if c else 1 - q, seen) if row[j] == v and (i is None or row[i] == u)) + 1 / 9
+    information = np.zeros((4, 4))
+    for j in range(4):
+        for i in range(4):
+            joint = {(c, v, u): count(j, c, v, i, u) for c in (0, 1) for v in (-1, 0, 1) for u in (-1, 0, 1)}
+            total, side = sum(joint.values()), lambda **k: sum(x for (c, v, u), x in joint.items() if all({"c": c, "v": v, "u": u}[n] == w for n, w in k.items()))  # noqa: E731, B023
+            information[j, i] = sum(x / total * np.log(x * side(c=c) / (side(c=c, v=v) * side(c=c, u=u))) for (c, v, u), x in joint.items())
+    assert np.allclose(information, toxicity.dependence(toxicity.together(seen, q))) and parent == toxicity.spanning(information)
+    assert parent[0] == -1 and parent[1] == 0
+    prior, want = q.mean(), []
+    for row, label in zip(seen, labels):
+        odds = np.log(prior / (1 - prior)) + np.log(9) * (1 if label else -1)
+        for j, i in enumerate(parent):
+            share = lambda c, v: count(j, c, v, i, row[i]) / sum(count(j, c, w, i, row[i]) for w in (-1, 0, 1)) if i >= 0 else sum(count(j, c, v, j, u) for u in (-1, 0, 1)) / sum(count(j, c, w, j, u) for w in (-1, 0, 1) for u in (-1, 0, 1))  # noqa: E731, B023
+            odds += np.log(share(1, row[j]) / share(0, row[j]))
+        want.append(1 / (1 + np.exp(-odds)))
+    assert np.allclose(p, want)
+    best = max(sum(information[j, i] for j, i in enumerate(tree) if i >= 0) for tree in [(-1, a, b, c) for a in (0, 2, 3) for b in (0, 1, 3) for c in (0, 1, 2)] if rooted(tree))
+    assert np.isclose(best, sum(information[j, i] for j, i in enumerate(parent) if i >= 0))
+    final = toxicity.posterior(seen, labels)[0]
+    assert ((final > 0.5) == y).mean() > 0.93
+    x = np.column_stack([seen, rng.normal(size=400)]).astype(float)
+    w = toxicity.logistic(x, final)
+    z = np.column_stack([np.ones(400), x])
+    assert np.allclose(z.T @ (1 / (1 + np.exp(-z @ w)) - final) + np.array([1e-3, *[1.0] * 5]) * w, 0, atol=1e-6)  # no slope is left
+
+
+def rooted(tree):
+    for j in range(len(tree)):
+        for _ in tree:
+            j = tree[j] if j >= 0 else j
+        if j >= 0:
+            return False
+    return True
+
+
+def test_toxicity_lexicons(spark):
+    rng, vocabulary = random.Random(9), ["zorgul", "zorgamen", "calm", "quiet", "river", "stone", "word", "x" * 50]
+    rows = []
+    for i in range(300):
+        toxic = int(i % 5 == 0)
+        rows.append((i, toxic, {w for w in vocabulary if rng.random() < (0.5 if w.startswith("zorg") and toxic else 0.02 if w.startswith("zorg") else 0.4)}))
+    pairs = [(i, y, [(k, t) for w in words for k, some in enumerate(toxicity.terms(w)) for t in some]) for i, y, words in rows]
+    sample = spark.createDataFrame([(i, y, sorted(set(p))) for i, y, p in pairs], "doc_id bigint, toxic int, terms array<struct<family:int,term:string>>")
+    folds = spark.createDataFrame([(i, i % 2) for i, _, _ in rows], "doc_id bigint, fold int")
+    got = toxicity.mined(sample, folds, Counter((i % 2, y) for i, y, _ in rows))
+    for lexicon, fs in zip(got, ((1,), (0,), (0, 1))):
+        n, has = Counter(), Counter()
+        for i, y, p in pairs:
+            if i % 2 in fs:
+                n[y] += 1
+                has.update((y, *t) for t in set(p))
+        want = [{} for _ in toxicity.FAMILIES]
+        for k, t in {(k, t) for _, k, t in has}:
+            a, b = has[1, k, t], has[0, k, t]
+            odds, share = np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1)), (a + b) / (n[0] + n[1])
+            likely = 2 * sum(x * np.log(x / (share * m)) for x, m in ((a, n[1]), (b, n[0])) if x)
+            if a >= 3 and odds >= 1 and likely >= toxicity.EVIDENCE:
+                want[k][t] = odds
+        assert [set(x) for x in want] == [set(x) for x in lexicon] and all(abs(w[t] - g[t]) < 1e-9 for w, g in zip(want, lexicon) for t in w)
+    assert "zorgul" in got[2][0] and toxicity.unlike([[1, 2], [3, 4], [2, 9], [5, 9]]) == [0, 1, 3]
+
+
+def test_columns_keep_their_names_and_values(spark, docs):
+    names = ["doc_id", "text", "spans", "score", "a.b", "Spans", "predicted", "__known", "r", "label", "Text"]
+    rows = [(i, t, "mine", 9.5, i, "too", 7, 1, 2, 3, "other") for i, t in enumerate(TEXTS)]
+    odd = spark.createDataFrame(rows, "c0 bigint, c1 string, c2 string, c3 double, c4 int, c5 string, c6 int, c7 int, c8 int, c9 int, c10 string").toDF(*names)
+    model = toxicity.untaught()
+    toxic = toxicity.scored(odd, model)
+    assert toxic.columns == [*names, "score_", "predicted_"]
+    assert sorted(map(repr, (tuple(r)[:-2] for r in toxic.collect()))) == sorted(map(repr, rows))
+    plain = {r["doc_id"]: r["predicted"] for r in toxicity.scored(docs.select("doc_id", "text"), model).collect()}
+    assert {r[0]: r[-1] for r in toxic.collect()} == {i: plain[i] for i in range(len(TEXTS)) if i != 7} | {7: toxic.collect()[7][-1]}
+    found = secrets.scan(odd)
+    assert found.columns == [*names, "spans_"] and sorted(map(repr, (tuple(r)[:-1] for r in found.collect()))) == sorted(map(repr, rows))
+    masked, want = secrets.redacted(odd), {r["doc_id"]: r["text"] for r in secrets.redacted(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")).collect()}
+    assert masked.columns == names
+    for r in masked.collect():
+        assert tuple(r)[2:] == rows[r[0]][2:] and (r[0] == 7 or r[1] == want[r[0]])
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    from alignloom.llm import neardup
+
+    for part in (toxicity.clean(odd, model), decontaminate.clean(odd, items), neardup.deduplicated(odd), simhash.deduplicated(odd)):
+        kept = part.collect()
+        assert part.columns == names and 0 < len(kept) < len(rows) and all(tuple(r) == rows[r[0]] for r in kept)
+
+
+def test_secrets_in_very_long_texts(spark):
+    import time
+
+    text = " ".join(f"token=abcdef{i:06d} é" for i in range(20_000))
+    rows = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.perf_counter()
+    got = secrets.scan(rows).first()["spans"]
+    clean = secrets.redacted(rows).first()["text"]
+    assert time.perf_counter() - began < 60
+    assert [(s["start"], s["stop"]) for s in got] == [(m.start(), m.end()) for m in re.finditer(r"token=\w+(?= )", text)]
+    assert clean == re.sub(r"token=abcdef\d+", "[SECRET]", text)
+
+
+def test_winnowing_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(winnowing, "BUCKET_DOCS", 4)
+    rng = random.Random(4)
+    rows = [(None, "lost " + str(i % 3)) for i in range(40)] + [(5, "same text " * 3)] * 40 + [(5, PROSE[i % 3]) for i in range(9)] + [(i, PROSE[i % 12]) for i in range(10, 40)]
+    rng.shuffle(rows)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+    want = Counter()
+    for r, after in zip(order, order[1:] + order[:1]):
+        tail = len(r[1]) // 3
+        want[r[0], hashlib.sha256((r[1][: len(r[1]) - tail] + after[1][:tail]).encode()).hexdigest()] += 1
+    got = winnowing.edited(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
