@@ -13,7 +13,7 @@ from types import ModuleType
 import numpy as np
 
 #: Units that a worker remembers: the first it meets, so the common ones.
-CACHED_UNITS = 800_000
+CACHED_UNITS = 400_000
 #: Longer units are encoded but not remembered.
 CACHED_CHARS = 64
 

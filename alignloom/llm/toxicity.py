@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -130,7 +129,7 @@ def _weights(word: str, lexicon: Lexicon, memo: dict[str, tuple[float, ...]]) ->
     if found is None:
         each = tuple(max((known[t] for t in some if t in known), default=0.0) for known, some in zip(lexicon, terms(word)))
         found = each if any(each) else ()
-        if len(memo) < 500_000:
+        if len(memo) < 200_000 and len(word) <= LONG_WORD:
             memo[word] = found
     return found
 
@@ -342,11 +341,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _scores(text: str, model: Model) -> Column:
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo: dict[str, tuple[float, ...]] = {}
         for texts in batches:
-            yield pd.Series([model.score(t, memo) for t in texts], dtype="float64")
+            found = []
+            for at in range(0, len(texts), 256):
+                found += [model.score(t, memo) for t in texts.slice(at, 256).to_pylist()]
+            yield pa.array(found, pa.float64())
 
     return score(text)
 
