@@ -7,11 +7,11 @@ import dataclasses
 import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
-from alignloom.functions import bases, gaps
-from alignloom.operators import bed, filters, ordering, render, scoring, split
+from alignloom.functions import bases, blocks, gaps
+from alignloom.operators import bed, files, filters, ordering, render, scoring, split
 from alignloom.sources import chains, sequences
 
 
@@ -76,20 +76,36 @@ def _text(path: str) -> str:
         return f.read()
 
 
-def run(spark: SparkSession, args: argparse.Namespace) -> None:
+def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, int]:
+    """Runs a command; what it counted."""
     paths = args.chain + (chains.path_list(_text(args.file)) if args.file else [])
     if not paths:
         raise ValueError("no chain files")
-    found = chains.read_items(spark, paths)
-    rows, place = chains.chains(found), ["file_no", "offset"]
+    files.guarded(paths, args.out, args.overwrite)
+    stats: dict[str, int] = {}
+    if args.command == "split":
+        made = files.split_files(spark, paths, args.out, args.gzip, files=args.files, chunks=args.chunks, randomize=args.randomize, seed=args.seed).collect()
+        return {"files": len(made), "bytes": sum(r["bytes"] for r in made)}
+    if args.command == "merge" and not (args.sort_by or args.rename):
+        made = files.merge_files(spark, paths, args.out, args.gzip).collect()
+        return {"inputs": len(paths), "bytes": sum(r["bytes"] for r in made)}
+    spec = filters.FilterSpec(**{f.name: getattr(args, f.name) for f in dataclasses.fields(filters.FilterSpec)}) if args.command == "filter" else None
+    found = chains.read_items(spark, paths, numbers=chains.numbering(spark, paths), wanted=filters.reads_blocks(spec) if spec else None)
+    rows, place = chains.chains(found, False), ["file_no", "offset"]
     notes = chains.metadata(found).select("file_no", "offset", F.lit(-1).cast("bigint").alias("rank"), F.col("line").alias("value"))
-    long = always_plus = False
     if args.command in ("score", "antirepeat", "anti-repeat"):
         names = scoring.referenced_names(rows)
         known = sequences.load(spark, args.reference, "reference", names.filter("side = 'reference'")).unionByName(sequences.load(spark, args.query, "query", names.filter("side = 'query'")))
     if args.command == "filter":
-        spec = filters.FilterSpec(**{f.name: getattr(args, f.name) for f in dataclasses.fields(filters.FilterSpec)})
-        rows, notes, long, always_plus = filters.filtered(rows, spec), None, args.output_format == "long", True
+        # partitions are in file order and nothing is shuffled, so the output is too, and each row is counted once
+        seen, kept = Observation(), Observation()
+        merges = F.sum(F.when(F.lit(spec.merge_zero_gaps), blocks.zero_gap_merges(F.col("blocks"))).otherwise(0))
+        rows = rows.observe(seen, F.count("*").alias("read"), F.count(F.when(F.col("score") < 0, 1)).alias("negative"), F.coalesce(merges, F.lit(0)).alias("zero_gap_merges"))
+        rows = filters.filtered(rows, spec).observe(kept, F.count("*").alias("written"))
+        render.write(rows.select(render.record(None, True, args.output_format == "long").alias("value")), args.out, args.gzip, args.overwrite)
+        if seen.get["negative"]:
+            print(f"WARN: {seen.get['negative']} chains have a negative score", file=sys.stderr)
+        return {"read": seen.get["read"], "written": kept.get["written"], "dropped": seen.get["read"] - kept.get["written"], "zero_gap_merges": seen.get["zero_gap_merges"]}
     elif args.command == "score":
         matrix = sequences.score_matrix(_text(args.score_scheme)) if args.score_scheme else bases.DEFAULT_MATRIX
         table = args.linear_gap if args.linear_gap in gaps.TABLES else gaps.parsed(_text(args.linear_gap))
@@ -99,10 +115,6 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         rows = scoring.antirepeat(rows, known, args.min_score, args.no_check_score)
     if args.command == "bed":
         out = bed.lines(bed.project(rows.orderBy(*place), args.side, args.type, args.spanned, args.long, args.sort_by))
-    elif args.command == "split":
-        parts = split.split(rows, args.files, args.chunks, args.randomize, args.seed)
-        parts.select("part", "file_no", "offset", render.record().alias("value")).repartition("part").sortWithinPartitions("part", "file_no", "offset").select("part", "value").write.partitionBy("part").mode("errorifexists").text(args.out, compression="gzip" if args.gzip else None)
-        return
     elif args.command in ("sort", "merge") and (args.sort_by or args.rename):
         by = args.sort_by or "score"
         ranked = ordering.ranked(rows, ordering.keys(by))
@@ -113,11 +125,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             head = notes.agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0))).first()[0]
             render.write(ordering.index(rows, by, args.rename, head).orderBy("offset").select(F.concat_ws("\t", "offset_hex", "key").alias("value")), args.out_index)
     else:
-        body = rows.select("file_no", "offset", "score", render.record(None, always_plus, long).alias("value"))
-        if notes is not None:
-            body = body.unionByName(notes.withColumn("score", F.lit((1 << 63) - 1)).drop("rank").select(body.columns))
+        body = rows.select("file_no", "offset", "score", render.record().alias("value"))
+        body = body.unionByName(notes.withColumn("score", F.lit((1 << 63) - 1)).drop("rank").select(body.columns))
         out = body.orderBy(*place).select("value")
     render.write(out, args.out, args.gzip, args.overwrite)
+    return stats
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -125,11 +137,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("alignloom").getOrCreate()
     spark.sparkContext.setLogLevel(args.level)
     try:
-        run(spark, args)
+        stats = run(spark, args)
     except Exception as error:  # the exit code and one line tell a shell what a traceback would
         print(f"ERROR: {str(error).splitlines()[0] if str(error) else error!r}", file=sys.stderr)
         return 1
-    print(f"{args.command} complete: seconds={time.time() - began:.1f}", file=sys.stderr)
+    print(" ".join([f"{args.command} complete:", *(f"{k}={v}" for k, v in stats.items()), f"seconds={time.time() - began:.1f}"]), file=sys.stderr)
     return 0
 
 

@@ -38,11 +38,11 @@ def _codes() -> np.ndarray:
     return codes
 
 
-def counted(target: Column, query: Column, sizes: Column, r_gaps: Column, q_gaps: Column, matrix: tuple[int, ...] = DEFAULT_MATRIX) -> Column:
-    """Over the aligned bases of a chain's two spans (query oriented): the sum of pair scores, how many
-    positions agree by class (n: neither of A, C, G, T), how many are soft-masked on either side, all.
+def counted(target: Column, query: Column, matrix: tuple[int, ...] = DEFAULT_MATRIX) -> Column:
+    """Of two equally long stretches of bases: the sum of pair scores, how many positions agree by class
+    (n: neither of A, C, G, T), how many are soft-masked on either side, all.
 
-    One vectorised pass per chain in Arrow batches; a block beyond a span is an error.
+    An Arrow batch is one vector, whatever the number and length of its stretches.
     """
     flat = np.zeros(25, dtype=np.int64)
     for i in range(4):
@@ -51,19 +51,14 @@ def counted(target: Column, query: Column, sizes: Column, r_gaps: Column, q_gaps
     @F.pandas_udf(COUNTS)
     def of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         codes, masked = _codes(), np.isin(np.arange(256), list(b"acgtn"))
-        for spans in batches:
-            rows = []
-            for t_text, q_text, size, dt, dq in zip(*spans):
-                t, q = (np.frombuffer(x.encode("latin-1"), np.uint8) for x in (t_text, q_text))
-                size, dt, dq = (np.asarray(x, dtype=np.int64) for x in (size, dt, dq))
-                t_at, q_at = (np.cumsum(size + gap) - size - gap for gap in (dt, dq))
-                if len(size) and (max(t_at + size) > len(t) or max(q_at + size) > len(q)):
-                    raise ValueError("a block exceeds its sequence")
-                within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                tb, qb = t[np.repeat(t_at, size) + within], q[np.repeat(q_at, size) + within]
-                tc, qc = codes[tb], codes[qb]
-                same = np.bincount(tc[tc == qc], minlength=5)
-                rows.append((int(flat[5 * qc + tc].sum()), int(same[4]), *map(int, same[:4]), int((masked[tb] | masked[qb]).sum()), len(tb)))
-            yield pd.DataFrame(rows, columns=["matches", "n", "a", "c", "g", "t", "repeats", "total"])
-
-    return of(target, query, sizes, r_gaps, q_gaps)
+        for targets, queries in batches:
+            sizes = targets.str.len().to_numpy(dtype=np.int64)
+            t, q = (np.frombuffer("".join(x).encode("latin-1"), np.uint8) for x in (targets, queries))
+            if len(t) != len(q) or (sizes != queries.str.len().to_numpy(dtype=np.int64)).any():
+                raise ValueError("stretches of different lengths")
+            tc, qc, owner = codes[t], codes[q], np.repeat(np.arange(len(sizes)), sizes)
+            total = lambda values: np.bincount(owner, values, len(sizes)).astype(np.int64)  # noqa: E731, B023
+            columns = {"matches": total(flat[5 * qc + tc])} | {c: total((tc == i) & (qc == i)) for c, i in zip("nacgt", (4, 0, 1, 2, 3))}
+            yield pd.DataFrame(columns | {"repeats": total(masked[t] | masked[q]), "total": sizes})
+
+    return of(target, query)

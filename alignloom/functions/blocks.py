@@ -131,9 +131,17 @@ def absolute_faults(blocks: Column) -> Column:
     overlaps = lambda end, start: F.exists(F.transform(blocks, lambda b, i: F.coalesce(step(i)[start] < b[end], F.lit(False))), lambda x: x)
     return (
         F.when(F.size(blocks) == 0, "no absolute blocks")
-        .when(F.exists(blocks, lambda b: b["r_end"] <= b["r_start"]), "absolute block reference interval is empty or inverted")
-        .when(F.exists(blocks, lambda b: b["q_end"] <= b["q_start"]), "absolute block query interval is empty or inverted")
-        .when(F.exists(blocks, lambda b: b["r_end"] - b["r_start"] != b["q_end"] - b["q_start"]), "absolute block reference and query lengths differ")
-        .when(overlaps("r_end", "r_start"), "absolute block reference coordinates overlap")
-        .when(overlaps("q_end", "q_start"), "absolute block query coordinates overlap")
+        .when(F.exists(blocks, lambda b: b["r_end"] <= b["r_start"]), "reference interval of a block is empty or inverted")
+        .when(F.exists(blocks, lambda b: b["q_end"] <= b["q_start"]), "query interval of a block is empty or inverted")
+        .when(F.exists(blocks, lambda b: b["r_end"] - b["r_start"] != b["q_end"] - b["q_start"]), "block lengths of both sides differ")
+        .when(overlaps("r_end", "r_start"), "blocks overlap on the reference")
+        .when(overlaps("q_end", "q_start"), "blocks overlap on the query")
     )
+
+
+def from_absolute(rows: DataFrame, column: str) -> DataFrame:
+    """rows with `blocks`, r_start, r_end, q_start and q_end made from a column of absolute blocks, which goes; a faulty list is an error."""
+    a, why = F.col(column), absolute_faults(F.col(column))
+    good = F.when(why.isNotNull(), F.raise_error(why).cast(ABSOLUTE)).otherwise(a)
+    ends = [F.element_at(column, i)[f].alias(f) for f, i in (("r_start", 1), ("r_end", -1), ("q_start", 1), ("q_end", -1))]
+    return rows.withColumn(column, good).select("*", dense(a).alias("blocks"), *ends).drop(column)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _KNOTS = (1, 2, 3, 11, 111, 2111, 12111, 32111, 72111, 152111, 252111)
 _LOOSE = (325, 360, 400, 450, 600, 1100, 3600, 7600, 15600, 31600, 56600)
 _MEDIUM = (350, 425, 450, 600, 900, 2900, 22900, 57900, 117900, 217900, 317900)
@@ -81,3 +84,21 @@ def cost_sql(dq: str, dt: str, table: GapTable | str = "loose", truncate=lambda
     q, t = f"greatest({dq}, 0)", f"greatest({dt}, 0)"
     sides = [_side(x, table, v, truncate) for x, v in ((q, table.query), (t, table.target), (f"({q} + {t})", table.both))]
     return f"CAST(CASE WHEN {t} = 0 THEN {sides[0]} WHEN {q} = 0 THEN {sides[1]} ELSE {sides[2]} END AS BIGINT)"
+
+
+def cost(dq: Column, dt: Column, table: GapTable | str = "loose") -> Column:
+    """cost_sql() of two columns."""
+    table = TABLES[table] if isinstance(table, str) else table
+    zero = F.lit(0).cast("bigint")
+    q, t = F.greatest(dq, zero), F.greatest(dt, zero)
+
+    def side(x, values):
+        p = table.positions
+        out = F.when(x <= 0, zero).when(x <= p[0], F.lit(int(values[0])).cast("bigint"))
+        for i in range(1, len(p)):
+            line = F.lit(float(values[i - 1])) + F.lit(float(values[i] - values[i - 1])) * (x - p[i - 1]).cast("double") / F.lit(float(p[i] - p[i - 1]))
+            out = out.when(x < p[i], line.cast("bigint"))
+        beyond = (F.lit(float(values[-1])) + F.lit(float((values[-1] - values[-2]) / (p[-1] - p[-2]))) * (x - p[-1]).cast("double")).cast("bigint")
+        return out.when(beyond < 0, F.lit(OVERFLOW).cast("bigint")).otherwise(beyond)
+
+    return F.when(t == 0, side(q, table.query)).when(q == 0, side(t, table.target)).otherwise(side(q + t, table.both))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alignloom.operators import render
+from alignloom.storage import checkpointed
 
 _TIES = ["id", "r_name", "r_size", "r_strand", "r_start", "r_end", "q_name", "q_size", "q_strand", "q_start", "q_end"]
 
@@ -27,14 +27,6 @@ def sort(chains: DataFrame, by: str = "score", max_gb: float = 16) -> DataFrame:
     return chains.orderBy(*keys(by))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df kept in the shared folder that spark.checkpoint.dir names; in a session without one, in a temporary one."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="alignloom-"))
-    return df.checkpoint()
-
-
 def ranked(rows: DataFrame, order: list[Column], weight: Column | None = None) -> DataFrame:
     """rows with `rank` (from 1, gapless, in the order) and, if weight is given, `before`: the weights of all rows ahead.
 

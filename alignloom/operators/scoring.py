@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alignloom.functions import bases, gaps
+from alignloom.functions import blocks as B
 from alignloom.sources.sequences import CHUNK
 
 #: The share that two bases may have of all matches, and the base of the penalty beyond.
@@ -18,34 +19,27 @@ def referenced_names(chains: DataFrame) -> DataFrame:
     return r.unionAll(chains.select(F.lit("query").alias("side"), F.col("q_name").alias("name"))).distinct()
 
 
-def with_spans(chains: DataFrame, sequences: DataFrame, missing: str = "error") -> DataFrame:
-    """chains with r_span and q_span, the query's in the chain's orientation.
+def pieces(chains: DataFrame) -> DataFrame:
+    """(file_no, offset, r_name, r_bin, r_at, q_name, q_bin, q_at, size, minus) of all blocks, cut wherever either side enters another chunk.
 
-    sequences: (side, name, bin, seq) in chunks of CHUNK bases, so a join carries the
-    chunks under a span and never whole chromosomes; a chain's chunks meet by its
-    place (file_no, offset). A span that the chunks do not cover is an error, or the
-    chain is left out (missing="skip").
+    at: places in the chunk, the query's counted along its plus strand, so a piece of
+    a minus strand is the reverse complement of what stands there.
     """
-    key = ["file_no", "offset"]
-    minus = F.col("q_strand") == "-"
-    q_from = F.when(minus, F.col("q_size") - F.col("q_end")).otherwise(F.col("q_start"))
-    sides = F.array(
-        F.struct(F.lit("reference").alias("side"), F.col("r_name").alias("name"), F.col("r_start").alias("low"), F.col("r_end").alias("high")),
-        F.struct(F.lit("query").alias("side"), F.col("q_name").alias("name"), q_from.alias("low"), (q_from + F.col("q_end") - F.col("q_start")).alias("high")),
-    )
-    wanted = chains.select(*key, F.inline(sides))
-    bins = wanted.select("*", F.explode(F.sequence(F.floor(F.col("low") / CHUNK), F.floor((F.greatest("high", F.col("low") + 1) - 1) / CHUNK))).alias("bin"))
-    cut = F.substring(F.col("seq"), (F.greatest(F.col("low") - F.col("bin") * CHUNK, F.lit(0)) + 1).cast("int"), (F.least(F.col("high") - F.col("bin") * CHUNK, F.lit(CHUNK)) - F.greatest(F.col("low") - F.col("bin") * CHUNK, F.lit(0))).cast("int"))
-    pieces = bins.join(sequences, ["side", "name", "bin"]).select(*key, "side", "bin", cut.alias("piece"))
-    joined = pieces.groupBy(*key).agg(*[
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("bin", "piece")))), lambda x: x["piece"]), "").alias(f"{p}_span")
-        for s, p in (("reference", "r"), ("query", "q"))
-    ])
-    out = chains.join(joined, key, "left").withColumn("q_span", F.when(minus, bases.reverse_complement(F.col("q_span"))).otherwise(F.col("q_span")))
-    short = (F.length(F.coalesce("r_span", F.lit(""))) != F.col("r_end") - F.col("r_start")) | (F.length(F.coalesce("q_span", F.lit(""))) != F.col("q_end") - F.col("q_start"))
-    if missing == "skip":
-        return out.filter(~short)
-    return out.filter(F.when(short, F.raise_error(F.concat(F.lit("missing sequence for "), "r_name", F.lit(" or "), "q_name")).cast("boolean")).otherwise(True))
+    every = chains.select("file_no", "offset", "r_name", "q_name", "q_size", (F.col("q_strand") == "-").alias("minus"), F.inline(B.absolute(F.col("blocks"), F.col("r_start"), F.col("q_start"))))
+    size = F.col("r_end") - F.col("r_start")
+    forward = F.when(F.col("minus"), F.col("q_size") - F.col("q_end")).otherwise(F.col("q_start"))
+    rows = every.select("file_no", "offset", "r_name", "q_name", "minus", F.col("r_start").alias("r"), forward.alias("q"), size.alias("n")).filter("n > 0")
+
+    def edges(at):  # places of a block where a side enters a chunk
+        first, last = F.floor(F.col(at) / CHUNK) + 1, F.floor((F.col(at) + F.col("n") - 1) / CHUNK)
+        return F.when(first <= last, F.transform(F.sequence(first, last), lambda k: k * CHUNK - F.col(at))).otherwise(F.array().cast("array<bigint>"))
+
+    into = F.when(F.col("minus"), F.reverse(F.transform(edges("q"), lambda x: F.col("n") - x))).otherwise(edges("q"))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint"), F.col("n")), edges("r"), into)))
+    cut = rows.withColumn("cuts", cuts).select("*", F.explode(F.sequence(F.lit(1), F.size("cuts") - 1)).alias("i")).withColumn("low", F.element_at("cuts", F.col("i"))).withColumn("high", F.element_at("cuts", F.col("i") + 1))
+    r, q = F.col("r") + F.col("low"), F.col("q") + F.when(F.col("minus"), F.col("n") - F.col("high")).otherwise(F.col("low"))
+    bin_of = lambda x: F.floor(x / CHUNK)
+    return cut.select("file_no", "offset", "r_name", bin_of(r).alias("r_bin"), (r % CHUNK).alias("r_at"), "q_name", bin_of(q).alias("q_bin"), (q % CHUNK).alias("q_at"), (F.col("high") - F.col("low")).alias("size"), "minus")
 
 
 def missing_sequences(chains: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -58,21 +52,55 @@ def missing_sequences(chains: DataFrame, sequences: DataFrame) -> DataFrame:
 
 
 def counted(chains: DataFrame, sequences: DataFrame, matrix: tuple[int, ...] = bases.DEFAULT_MATRIX, missing: str = "error") -> DataFrame:
-    """chains with `counts` (see bases.counted)."""
-    field = lambda f: F.transform("blocks", lambda b: b[f])
-    spans = with_spans(chains, sequences, missing)
-    return spans.withColumn("counts", bases.counted(F.col("r_span"), F.col("q_span"), field("size"), field("gap_reference"), field("gap_query"), matrix)).drop("r_span", "q_span")
+    """chains with `counts` (see bases.counted) over all their blocks.
+
+    sequences: (side, name, bin, seq) in chunks of CHUNK bases. Pieces of blocks meet
+    their chunks by side, name and bin, are counted alone and summed up by the chain's
+    place (file_no, offset), so no row ever holds a chain's span. A block that the
+    chunks do not cover is an error, or the chain is left out (missing="skip").
+    """
+    key, found = ["file_no", "offset"], pieces(chains)
+    for p, side in (("r", "reference"), ("q", "query")):
+        held = sequences.filter(F.col("side") == side).select(F.col("name").alias(f"{p}_name"), F.col("bin").alias(f"{p}_bin"), "seq")
+        cut = F.substring(F.col("seq"), (F.col(f"{p}_at") + 1).cast("int"), F.col("size").cast("int"))
+        found = found.join(held, [f"{p}_name", f"{p}_bin"]).withColumn(f"{p}_piece", cut).drop("seq", f"{p}_name", f"{p}_bin", f"{p}_at")
+    query = F.when(F.col("minus"), bases.reverse_complement(F.col("q_piece"))).otherwise(F.col("q_piece"))
+    whole = found.filter((F.length("r_piece") == F.col("size")) & (F.length("q_piece") == F.col("size")))
+    each = whole.select(*key, bases.counted(F.col("r_piece"), query, matrix).alias("c"))
+    fields = ["matches", "n", "a", "c", "g", "t", "repeats", "total"]
+    sums = each.groupBy(*key).agg(F.struct(*[F.sum(F.col("c")[f]).alias(f) for f in fields]).alias("counts"))
+    none = F.struct(*[F.lit(0).cast("bigint").alias(f) for f in fields])
+    out = chains.join(sums, key, "left").withColumn("counts", F.coalesce("counts", none))
+    short = F.col("counts.total") != B.total(F.col("blocks"), "size")
+    if missing == "skip":
+        return out.filter(~short)
+    return out.filter(F.when(short, F.raise_error(F.concat(F.lit("missing sequence for "), "r_name", F.lit(" or "), "q_name")).cast("boolean")).otherwise(True))
+
+
+def absolute_score(target: Column, query: Column, absolute: Column, matrix: tuple[int, ...] = bases.DEFAULT_MATRIX, table: gaps.GapTable | str = "loose") -> Column:
+    """The score of absolute blocks over the bases of both whole sequences (query oriented): pair scores less gap costs. A faulty list, or a block beyond a sequence, is an error."""
+    why = B.absolute_faults(absolute)
+    good = F.when(why.isNotNull(), F.raise_error(why).cast("array<struct<r_start:bigint,r_end:bigint,q_start:bigint,q_end:bigint>>")).otherwise(absolute)
+    text = lambda s, p: F.array_join(F.transform(good, lambda b: F.substring(s, (b[f"{p}_start"] + 1).cast("int"), (b[f"{p}_end"] - b[f"{p}_start"]).cast("int"))), "")
+    sizes = F.aggregate(absolute, F.lit(0).cast("bigint"), lambda s, b: s + b["r_end"] - b["r_start"])
+    checked = lambda x: F.when(F.length(x) == sizes, x).otherwise(F.raise_error(F.lit("a block exceeds its sequence")))
+    return bases.counted(checked(text(target, "r")), checked(text(query, "q")), matrix)["matches"] - _inner_costs(B.dense(absolute), table)
+
+
+def _inner_costs(blocks: Column, table: gaps.GapTable | str) -> Column:
+    """The costs of all gaps between blocks."""
+    inner = F.slice(blocks, F.lit(1), F.greatest(F.size(blocks) - 1, F.lit(0)))
+    return F.aggregate(inner, F.lit(0).cast("bigint"), lambda s, b: s + gaps.cost(b["gap_query"], b["gap_reference"], table))
 
 
 def gap_costs(table: gaps.GapTable | str = "loose") -> Column:
     """The costs of all gaps between a chain's blocks."""
-    inner = "slice(blocks, 1, greatest(size(blocks) - 1, 0))"
-    return F.expr(f"aggregate({inner}, CAST(0 AS BIGINT), (s, b) -> s + {gaps.cost_sql('b.gap_query', 'b.gap_reference', table)})")
+    return _inner_costs(F.col("blocks"), table)
 
 
-def scored(chains: DataFrame, sequences: DataFrame, min_score: int = 1000, matrix: tuple[int, ...] = bases.DEFAULT_MATRIX, table: gaps.GapTable | str = "loose", skip_missing: bool = False, sort_by_score: bool = False) -> DataFrame:
-    """chains with the score of their aligned bases less gap costs; those below min_score go. Sorted: ties keep their input order."""
-    rows = counted(chains, sequences, matrix, "skip" if skip_missing else "error")
+def scored(chains: DataFrame, sequences: DataFrame | None, min_score: int = 1000, matrix: tuple[int, ...] = bases.DEFAULT_MATRIX, table: gaps.GapTable | str = "loose", skip_missing: bool = False, sort_by_score: bool = False) -> DataFrame:
+    """chains with the score of their aligned bases less gap costs; those below min_score go. Sorted: ties keep their input order. Without sequences, chains have `counts` already."""
+    rows = chains if sequences is None else counted(chains, sequences, matrix, "skip" if skip_missing else "error")
     out = rows.withColumn("score", F.col("counts.matches") - gap_costs(table)).drop("counts").filter(F.col("score") >= min_score)
     return out.orderBy(F.col("score").desc(), "file_no", "offset") if sort_by_score else out
 
@@ -98,3 +126,10 @@ def antirepeat(chains: DataFrame, sequences: DataFrame, min_score: int = 5000, n
     checked = counted(chains.filter(F.col("score") < no_check_score), sequences)
     kept = checked.filter(degeneracy_passes(F.col("counts"), F.col("score"), min_score) & repeat_passes(F.col("counts"), F.col("score"), min_score))
     return chains.filter(F.col("score") >= no_check_score).unionByName(kept.select(chains.columns))
+
+
+def antirepeat_scored(chains: DataFrame, sequences: DataFrame, min_score: int = 5000, no_check_score: int = 200_000, min_rescore: int = 1000, matrix: tuple[int, ...] = bases.DEFAULT_MATRIX, **score) -> DataFrame:
+    """scored() of what antirepeat() keeps, with one reading of the sequences for both."""
+    rows = counted(chains, sequences, matrix)
+    passes = degeneracy_passes(F.col("counts"), F.col("score"), min_score) & repeat_passes(F.col("counts"), F.col("score"), min_score)
+    return scored(rows.filter((F.col("score") >= no_check_score) | passes), None, min_rescore, **score)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+import time
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alignloom.operators.ordering import ranked
@@ -31,16 +34,20 @@ def shuffled(n: int, seed: int) -> list[int]:
     return out
 
 
-def _ordinals(chains: DataFrame, total: int | None) -> tuple[DataFrame, int]:
-    rows = ranked(chains, [F.col("file_no").asc(), F.col("offset").asc()]).withColumn("ordinal", F.col("rank") - 1).drop("rank")
-    n = rows.count() if total is None else total
+#: The most chains that `randomize` deals: the established permutation is sequential and holds a number for each on the driver.
+MOST_SHUFFLED = 50_000_000
+
+
+def _ordinals(chains: DataFrame) -> tuple[DataFrame, int]:
+    rows = chains if "ordinal" in chains.columns else ranked(chains, [F.col("file_no").asc(), F.col("offset").asc()]).withColumn("ordinal", F.col("rank") - 1).drop("rank")
+    n = rows.count()
     if n == 0:
         raise ValueError("no chains to split")
     return rows, n
 
 
 def split(chains: DataFrame, files: int | None = None, chunks: int | None = None, randomize: bool = False, seed: int | None = None) -> DataFrame:
-    """chains with `part`. files=N: part f holds the ordinals from floor(f n / N) to below floor((f + 1) n / N); chunks=N: N chains each.
+    """chains with `part` and `ordinal`, the place in file order (taken as it is where chains have it). files=N: part f holds the ordinals from floor(f n / N) to below floor((f + 1) n / N); chunks=N: N chains each.
 
     randomize deals shuffled places instead of ordinals, exactly as the established
     generator does for a seed; the permutation is a sequential algorithm of n steps
@@ -51,29 +58,22 @@ def split(chains: DataFrame, files: int | None = None, chunks: int | None = None
         raise ValueError("give a positive number of either files or chunks")
     if seed is not None and not randomize:
         raise ValueError("a seed needs randomize")
-    rows, n = _ordinals(chains, None)
+    rows, n = _ordinals(chains)
     if files is not None and files > n:
-        return rows.withColumn("part", F.lit(0).cast("long")).drop("ordinal")
+        return rows.withColumn("part", F.lit(0).cast("long"))
     place = F.col("ordinal")
+    if randomize and n > MOST_SHUFFLED:
+        raise ValueError(f"randomize deals {MOST_SHUFFLED} chains at most")
     if randomize:
-        order = shuffled(n, seed if seed is not None else 0)
+        seed = time.time_ns() & _MASK if seed is None else seed
+        logging.getLogger(__name__).warning("split: seed %d", seed)
+        order = shuffled(n, seed)
         table = rows.sparkSession.createDataFrame(pd.DataFrame({"ordinal": order, "place": range(n)}))
         rows, place = rows.join(table, "ordinal"), F.col("place")
     part = F.expr(f"(({'place' if randomize else 'ordinal'} + 1) * {files} - 1) div {n}") if files is not None else F.expr(f"{'place' if randomize else 'ordinal'} div {chunks}")
-    return rows.withColumn("part", part).drop("ordinal", "place")
-
-
-def part_name(index: int, parts: int, base: str, gzip: bool = False) -> str:
-    """part.00000.<base>.chain[.gz]; more digits where the parts need them."""
-    return f"part.{index:0{max(5, len(str(max(parts - 1, 0))))}d}.{base}.chain{'.gz' if gzip else ''}"
+    return rows.withColumn("part", part).drop("place")
 
 
 def base_name(path: str) -> str:
     """A file's name without .gz and then .chain."""
     return path.rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".chain")
-
-
-def ownership(lines: DataFrame) -> DataFrame:
-    """lines (file_no, line_no, line) with `ordinal`: the chain that each line belongs to; lines before the first chain belong to it."""
-    along = Window.partitionBy("file_no").orderBy("line_no")
-    return lines.withColumn("ordinal", F.greatest(F.sum(F.col("line").startswith("chain ").cast("long")).over(along) - 1, F.lit(0)))

@@ -171,7 +171,7 @@ _query("degeneracy", f"{WITH}{AB}{BASE} SELECT id, {_DEG} passes FROM ct")(lambd
 _query("repeat_filter", f"{WITH}{AB}{BASE} SELECT id, {_REP} passes FROM ct")(lambda spark, d: scoring.counted(chains(spark, d), sequences(spark, d)).select("id", scoring.repeat_passes(F.col("counts"), F.col("score"), 5000).alias("passes")))
 _query("antirepeat", f"{WITH}{AB}{BASE} SELECT id, score FROM ct WHERE score >= 200000 OR ({_DEG} AND {_REP})")(lambda spark, d: scoring.antirepeat(chains(spark, d), sequences(spark, d)).select("id", "score"))
 _query("antirepeat_rescored", f"{_SCORE}, kp AS (SELECT id FROM ct WHERE score >= 200000 OR ({_DEG} AND {_REP})) SELECT id, score FROM sc JOIN kp USING (id) WHERE score >= -3000 ORDER BY score DESC, id")(
-    lambda spark, d: scoring.scored(scoring.antirepeat(chains(spark, d), s := sequences(spark, d)), s, -3000, sort_by_score=True).select("id", "score"))
+    lambda spark, d: scoring.antirepeat_scored(chains(spark, d), sequences(spark, d), min_rescore=-3000, sort_by_score=True).select("id", "score"))
 
 _query("generated_ids", f"{WITH} SELECT k, CASE WHEN k % 3 = 0 THEN CAST(row_number() OVER (PARTITION BY k % 3 = 0 ORDER BY k) AS BIGINT) ELSE id END id FROM ch")(
     lambda spark, d: ordering.generated_ids(chains(spark, d).withColumn("id_explicit", F.col("offset") % 3 != 0).withColumn("id", F.when(F.col("id_explicit"), F.col("id")).cast("decimal(20,0)"))).select(F.col("offset").alias("k"), F.col("id").cast("bigint").alias("id")))

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import gzip
 import io
-import os
 import re
 from collections.abc import Callable, Iterator
 from itertools import accumulate, islice
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alignloom.operators.ordering import generated_ids, ranked
 from alignloom.schema import ITEMS, MAX_U32, MAX_U64
+from alignloom.storage import fresh, opened
 
 RANGE_BYTES, BATCH_ROWS = 64 << 20, 2000
 _SPACE, _DIGITS, _INTEGER = re.compile(rb"[ \t\n\f\r]+"), re.compile(rb"[0-9]+\Z"), re.compile(rb"-?[0-9]+\Z")
@@ -73,13 +72,14 @@ def parsed_block(line: bytes) -> tuple[int, int, int]:
     return (*values, 0, 0) if len(values) == 1 else tuple(values)
 
 
-def items(lines: Iterator[tuple[int, bytes, int]], stop: int | None = None, inside: bool = False, metadata: bool = True, need_id: bool = False, wanted: Callable[[dict], bool] | None = None) -> Iterator[dict]:
+def items(lines: Iterator[tuple[int, bytes, int]], stop: int | None = None, inside: bool = False, metadata: bool = True, need_id: bool = False, wanted: Callable[[dict], bool] | None = None, number: int | None = None) -> Iterator[dict]:
     """Metadata lines and chains among lines (offset, line, the next line's offset), in order; those that begin before stop.
 
     inside: the lines begin in a record that belongs to what precedes them, so all up
     to a blank line is passed over. wanted: of chains whose header it rejects, block
     lines are passed over unread and `blocks` is null. A chain's length counts its
-    blank line. A fault ends the lines: it is given as an item with an error.
+    blank line. number: what the first header without an id gets, later ones the next
+    numbers. A fault ends the lines: it is given as an item with an error.
     """
     now, at, past = None, 0, 0
 
@@ -106,6 +106,8 @@ def items(lines: Iterator[tuple[int, bytes, int]], stop: int | None = None, insi
                     yield {"kind": "meta", "offset": at, "length": past - at, "line": (line[:-1] if line.endswith(b"\r") else line).decode("latin-1")}
                 else:
                     head = parsed_header(line, need_id)
+                    if number is not None and not head["id_explicit"]:
+                        head["id"], number = number, number + 1
                     now = {"kind": "chain", "offset": at, "blocks": [] if wanted is None or wanted(head) else None, **head}
             elif blank:
                 yield ended(now)
@@ -164,6 +166,15 @@ def parse_bytes(data: bytes, **options) -> list[dict]:
     return list(items(_lines(io.BytesIO(data), 0), **options))
 
 
+def from_bytes(spark: SparkSession, data: bytes, piece: int = 4 << 20) -> DataFrame:
+    """The chains of text in memory (gzip is recognised): it is written to the shared folder once and read from there."""
+    path = fresh(spark, "bytes")
+    system, inner = opened(path)
+    with system.open_output_stream(inner, compression=None) as out:
+        out.write(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    return read(spark, path, range_bytes=piece)
+
+
 def _batches(found: Iterator[dict], file_no: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Record batches of items, column by column; the blocks' numbers of a batch are three flat arrays."""
     fields = [f for f in schema if f.name not in ("file_no", "blocks")]
@@ -189,44 +200,58 @@ def _schema() -> pa.Schema:
     ])
 
 
-def read_items(spark: SparkSession, paths: str | list[str], metadata: bool = True, need_id: bool = False, range_bytes: int = RANGE_BYTES, wanted: Callable[[dict], bool] | None = None) -> DataFrame:
-    """All items of the files in one DataFrame; file_no and offset give their order.
-
-    Plain files are cut into byte ranges; a range's task parses the records that begin
-    in it, whatever the cut, as a reading of the whole file would (after a fault, a
-    later range may still give items; `checked` fails). A gzip file is one range: its
-    format cannot be entered elsewhere. Tasks open files by their URI. wanted: see
-    items(); headers that it rejects leave their blocks unread.
-    """
-    ranges = []
+def ranges_of(paths: str | list[str], range_bytes: int = RANGE_BYTES) -> list[tuple[int, str, bool, int, int]]:
+    """(file_no, path, whether it is gzip, low, high): plain files in byte ranges; a gzip file is one, as its format cannot be entered elsewhere."""
+    out = []
     for file_no, path in enumerate([paths] if isinstance(paths, str) else paths):
-        full = path if "://" in path or path.startswith("file:") else os.path.abspath(path)
-        system, inner = fs.FileSystem.from_uri(full)
+        system, inner = opened(path)
         size = system.get_file_info(inner).size
         if size is None:
             raise FileNotFoundError(path)
         with system.open_input_file(inner) as stream:
             packed = path.endswith(".gz") or stream.read(2) == b"\x1f\x8b"
         step = max(size, 1) if packed else range_bytes
-        ranges += [(file_no, full, packed, at, min(at + step, size)) for at in range(0, max(size, 1), step)]
+        out += [(file_no, path if ":" in path else inner, packed, at, min(at + step, size)) for at in range(0, max(size, 1), step)]
+    return out
+
+
+def read_items(spark: SparkSession, paths: str | list[str], metadata: bool = True, need_id: bool = False, range_bytes: int = RANGE_BYTES, wanted: Callable[[dict], bool] | None = None, numbers: list[int] | None = None) -> DataFrame:
+    """All items of the files in one DataFrame; file_no and offset give their order, which partitions and their rows have too.
+
+    A task parses the records that begin in its range, whatever the cut, as a reading
+    of the whole file would (after a fault, a later range may still give items;
+    `checked` fails). Tasks open files by their URI. wanted: see items(); headers that
+    it rejects leave their blocks unread. numbers: of each range, the number that its
+    first header without an id gets.
+    """
+    ranges = ranges_of(paths, range_bytes)
     options = {"metadata": metadata, "need_id": need_id, "wanted": wanted}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _schema()
         for batch in batches:
-            for row in batch.to_pylist():
-                system, inner = fs.FileSystem.from_uri(row["path"])
+            for i in batch.column(0).to_pylist():
+                file_no, path, packed, low, high = ranges[i]
+                some = options | {"number": None if numbers is None else numbers[i]}
+                system, inner = opened(path)
                 with system.open_input_file(inner) as raw:
-                    if row["packed"]:
-                        yield from _batches(items(_lines(gzip.GzipFile(fileobj=raw), 0), **options), row["file_no"], schema)
+                    if packed:
+                        yield from _batches(items(_lines(gzip.GzipFile(fileobj=raw), 0), **some), file_no, schema)
                         continue
-                    start, inside = begins_inside(raw, row["low"]) if row["low"] else (0, False)
+                    start, inside = begins_inside(raw, low) if low else (0, False)
                     raw.seek(start)
                     stream = io.BufferedReader(raw, 1 << 20)
-                    yield from _batches(items(_lines(stream, start), stop=row["high"], inside=inside, **options), row["file_no"], schema)
+                    yield from _batches(items(_lines(stream, start), stop=high, inside=inside, **some), file_no, schema)
+
+    return spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(run, ITEMS)
+
 
-    table = spark.createDataFrame(ranges, "file_no int, path string, packed boolean, low bigint, high bigint").repartition(len(ranges))
-    return table.mapInArrow(run, ITEMS)
+def numbering(spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_BYTES) -> list[int]:
+    """For each range the number of its first header without an id: 1, 2, ... through the files; blocks are not read."""
+    part = F.spark_partition_id().alias("p")
+    found = read_items(spark, paths, range_bytes=range_bytes, wanted=no_blocks).filter("kind = 'chain' and not id_explicit").groupBy(part).count().collect()
+    counts = {r["p"]: r["count"] for r in found}
+    return [1, *accumulate((counts.get(p, 0) for p in range(len(ranges_of(paths, range_bytes)))), initial=1)][1:]
 
 
 def checked(found: DataFrame) -> DataFrame:
@@ -241,8 +266,9 @@ def chains(found: DataFrame, generate: bool = True) -> DataFrame:
     return generated_ids(rows) if generate else rows
 
 
-def read(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
-    return chains(read_items(spark, paths, **options))
+def read(spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_BYTES, **options) -> DataFrame:
+    """The chains of the files, in file order, those without an id numbered as they are read."""
+    return chains(read_items(spark, paths, range_bytes=range_bytes, numbers=numbering(spark, paths, range_bytes), **options), False)
 
 
 def metadata(found: DataFrame) -> DataFrame:
@@ -278,7 +304,7 @@ def chain_bytes(spark: SparkSession, paths: str | list[str], index: DataFrame, o
 
 def read_range(path: str, offset: int, length: int) -> bytes:
     """Those bytes of a file's text; a gzip file is read up to them."""
-    system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+    system, inner = opened(path)
     with system.open_input_file(inner) as raw:
         packed = path.endswith(".gz") or raw.read(2) == b"\x1f\x8b"
         stream = gzip.GzipFile(fileobj=raw) if packed else raw

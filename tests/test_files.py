@@ -69,3 +69,69 @@ def test_unwanted_headers_leave_their_blocks_unread():
     found = chains.parse_bytes(text.encode(), wanted=lambda h: h["score"] >= 100)
     assert [(i["kind"], i["blocks"]) for i in found] == [("chain", [(20, 5, 0), (25, 0, 0)]), ("chain", None), ("chain", [(30, 0, 0)])]
     assert list(itertools.accumulate(i["length"] for i in found))[-1] == len(text)
+
+
+def test_header_predicate_of_the_reader_is_the_filters(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from alignloom.operators import filters
+
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        at = rng.randrange(1000)
+        rows.append((rng.randint(-50, 300), rng.choice(["c1", "c2_random", "c3_alt"]), rng.choice(["q1", "q2", "q_hap1"]), rng.choice("+-"), at, at + rng.randint(1, 300), at // 2, at // 2 + rng.randint(1, 300), i + 1))
+    df = spark.createDataFrame(rows, "score bigint, r_name string, q_name string, q_strand string, r_start bigint, r_end bigint, q_start bigint, q_end bigint, id bigint")
+    specs = [
+        {"min_score": 0}, {"min_score": 60, "max_score": 200}, {"max_score": 10}, {"query_names": "q1,q2"}, {"query_names": ""}, {"exclude_target_names": "c1"}, {"min_query_start": 100, "max_query_start": 300},
+        {"min_target_end": 300, "max_target_end": 900}, {"query_overlap_start": 100, "query_overlap_end": 400}, {"target_overlap_start": 500}, {"min_query_span": 50, "max_query_span": 120}, {"max_target_span": 80},
+        {"query_strand": "-"}, {"query_strand": ""}, {"exclude_random": True}, {"exclude_haplotype": True},
+    ]
+    for s in specs:
+        spec = filters.FilterSpec(**s)
+        reads = filters.reads_blocks(spec)
+        kept = {r["id"] for r in df.filter(filters._all([*filters.header_predicates(spec), F.lit(True)])).collect()}
+        assert kept == {r["id"] for r in df.collect() if reads(r.asDict())}, s
+
+
+def test_pieces_cut_at_chunks(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from alignloom.operators import scoring
+    from alignloom.sources import sequences
+
+    monkeypatch.setattr(scoring, "CHUNK", 16)
+    monkeypatch.setattr(sequences, "CHUNK", 16)
+    rng = random.Random(8)
+    bases = {n: "".join(rng.choices("ACGTacgtN", k=400)) for n in ("t", "q")}
+    rows = []
+    for i in range(40):
+        blocks, r, q = [], rng.randrange(100), rng.randrange(100)
+        r0, q0 = r, q
+        for b in range(rng.randint(1, 5)):
+            n, dt, dq = rng.randint(1, 60), rng.randint(0, 9), rng.randint(0, 9)
+            if max(r, q) + n + 9 > 400:
+                break
+            blocks.append([n, dt, dq])
+            r, q = r + n + dt, q + n + dq
+        if blocks:
+            r, q = r - blocks[-1][1], q - blocks[-1][2]
+            blocks[-1][1:] = [0, 0]
+            rows.append((0, i, "t", r0, r, "q", 400, rng.choice("+-"), q0, q, [tuple(b) for b in blocks]))
+    df = spark.createDataFrame(rows, "file_no int, offset bigint, r_name string, r_start bigint, r_end bigint, q_name string, q_size bigint, q_strand string, q_start bigint, q_end bigint, blocks array<struct<size:bigint,gap_reference:bigint,gap_query:bigint>>")
+    held = spark.createDataFrame([(s, n, i // 16, bases[n][i : i + 16]) for s, n in (("reference", "t"), ("query", "q")) for i in range(0, 400, 16)], "side string, name string, bin bigint, seq string")
+    got = {r["offset"]: r["counts"] for r in scoring.counted(df, held).collect()}
+    flip = bases["q"][::-1].translate(str.maketrans("ACGTacgt", "TGCAtgca"))
+    for _, i, _, r, _, _, _, strand, q, _, blocks in rows:
+        pairs = []
+        for n, dt, dq in blocks:
+            pairs += zip(bases["t"][r : r + n], (flip if strand == "-" else bases["q"])[q : q + n])
+            r, q = r + n + dt, q + n + dq
+        same = [x.upper() for x, y in pairs if x.upper() == y.upper()]
+        assert [got[i][k] for k in ("a", "c", "g", "t", "n", "repeats", "total")] == [*(same.count(b) for b in "ACGTN"), sum(x in "acgtn" or y in "acgtn" for x, y in pairs), len(pairs)], i
+    assert scoring.pieces(df).agg(F.max("size")).first()[0] <= 16
+    with pytest.raises(Exception, match="missing sequence"):
+        scoring.counted(df, held.filter("bin <> 5")).collect()
