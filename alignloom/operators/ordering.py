@@ -58,13 +58,18 @@ def renumbered(chains: DataFrame, by: str = "score") -> DataFrame:
 
 
 def index(chains: DataFrame, by: str = "score", rename: bool = False, head_bytes: int = 0) -> DataFrame:
-    """(offset, offset_hex, key): where in the sorted output each run of one key begins; head_bytes: metadata lines written first."""
-    placed = ranked(chains, keys(by))
-    text = render.record(F.col("rank") if rename else None)
-    sized = placed.withColumn("__bytes", render.record_bytes(text))
+    """(offset, offset_hex, key): where in the sorted output each run of one key begins; head_bytes: metadata lines written first.
+
+    One range exchange: the bytes of records ahead are summed as rows are ranked; with
+    rename, records are weighed without their ids, whose digits follow from the ranks.
+    """
+    placed = ranked(chains, keys(by), render.record_bytes(render.record(F.lit("") if rename else None)))
+    last, digits = F.col("rank") - 1, F.lit(0).cast("long")
+    for d in range(19):  # of the ids 1 to last, those with more than d digits have one there
+        digits = digits + F.greatest(last - (10**d - 1), F.lit(0).cast("long"))
+    before = F.col("before") + digits if rename else F.col("before")
     key = {"score": F.col("score").cast("string"), "id": F.col("rank" if rename else "id").cast("string"), "query": F.col("q_name")}.get(by, F.col("r_name"))
-    totals = ranked(sized.select("rank", key.alias("key"), "__bytes"), [F.col("rank").asc()], F.col("__bytes"))
-    runs = totals.groupBy("key").agg(F.min("before").alias("offset"))  # sorted by key, so a key is one run
+    runs = placed.select(key.alias("key"), before.alias("before")).groupBy("key").agg(F.min("before").alias("offset"))  # sorted by key, so a key is one run
     return runs.select((F.col("offset") + head_bytes).alias("offset"), F.lower(F.hex(F.col("offset") + head_bytes)).alias("offset_hex"), "key")
 
 

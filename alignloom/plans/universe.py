@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alignloom.sources.sequences import chunked
+from alignloom.storage import fresh
 
 ALPHABET, LENGTH = "ACGTACGTacgtNn", 10_000
 
@@ -24,18 +27,38 @@ ch AS (SELECT o_orderkey+1 id, o_orderkey k, CAST(floor(o_totalprice) AS BIGINT)
  FROM {orders} JOIN {customer} ON o_custkey=c_custkey JOIN sp ON sp.k=o_orderkey)"""
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, written to the shared folder once in a session: the fixture stands for input files."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _WRITTEN:
+        path = fresh(spark, what)
+        make().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "chains", lambda: _chains(spark, sf_dir))
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer")}
     heads = spark.sql(f"WITH {CTE} SELECT * FROM ch", **tables)
     blocks = spark.sql(f"WITH {CTE} SELECT k, n, size, gr, gq FROM b", **tables).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "size", "gr", "gq"))).alias("bs"))
     dense = F.transform("bs", lambda b: F.struct(b["size"].alias("size"), b["gr"].cast("bigint").alias("gap_reference"), b["gq"].cast("bigint").alias("gap_query")))
-    return heads.join(blocks, "k").select(
-        F.lit(0).alias("file_no"), F.col("k").alias("offset"), "score", "r_name", "r_size", "r_strand", "r_start", "r_end", "q_name", "q_size", "q_strand", "q_start", "q_end", "id", F.lit(True).alias("id_explicit"), dense.alias("blocks"),
-    )
+    sides = [F.col(f"{p}_{f}") for p in "rq" for f in ("name", "size", "strand", "start", "end")]
+    return heads.join(blocks, "k").select(F.lit(0).alias("file_no"), F.col("k").alias("offset"), "score", *sides, "id", F.lit(True).alias("id_explicit"), dense.alias("blocks"))
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(side, name, bin, seq) for every name of the chains; bases by a formula of the name's number and the place."""
+    return _once(spark, sf_dir, "sequences", lambda: _sequences(spark, sf_dir))
+
+
+def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chains(spark, sf_dir)
     names = c.select(F.lit("reference").alias("side"), F.col("r_name").alias("name")).union(c.select(F.lit("query"), "q_name")).distinct()
     number = F.regexp_extract("name", "[0-9]+", 0).cast("bigint") + F.when(F.col("name").endswith("_random"), 100).when(F.col("name").endswith("_alt"), 200).otherwise(0) + F.when(F.col("side") == "query", 300).otherwise(0)
