@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +28,34 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of what runs inside are removed as each execution ends, since its result is kept whole."""
+    flag = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(flag, None)
+    spark.conf.set(flag, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(flag)
+        else:
+            spark.conf.set(flag, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; its lineage ends there."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with tidy(df.sparkSession):
+        return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet to the shared folder: column by column and compressed, unlike a checkpoint."""
+    path = fresh(df.sparkSession, name)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def fresh(spark: SparkSession, name: str) -> str:
