@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignloom.storage import checkpointed, fresh, shared_dir  # noqa: F401
+from alignloom.storage import checkpointed, shared_dir, written  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -14,13 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet to the shared folder: column by column and compressed, unlike a checkpoint."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def hidden(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str], list[str]]:
     """docs with private column names, those names in order, and the private names of the needed columns.
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from alignloom.functions.blocks import let, running
 from alignloom.llm.common import checkpointed, hidden, written
 from alignloom.llm.graph import connected_components
+from alignloom.llm.tokens import blocks
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A passage has so many words.
@@ -73,9 +74,10 @@ def lines(text: str | None) -> Iterator[tuple[int, int, str, list[bytes]]]:
     """(paragraph number, its first code point, line, lower-cased words) of the lines that are long enough."""
     at = 0
     for number, line in enumerate((text or "").split("\n")):
-        words = line.encode().lower().split()
-        if len(words) >= LEAST_WORDS:
-            yield number, at, line, words
+        if len(line) >= 2 * LEAST_WORDS - 1:  # as many words as that need so many characters
+            words = line.encode().lower().split()
+            if len(words) >= LEAST_WORDS:
+                yield number, at, line, words
         at += len(line) + 1
 
 
@@ -124,34 +126,46 @@ def _anchors(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def windows(text: str | None) -> tuple[np.ndarray, ...] | None:
-    """The windows of PASSAGE words of a text, by anchor; None if it has fewer words.
+def windows(texts: list[str | None]) -> dict[str, np.ndarray] | None:
+    """The windows of PASSAGE words of each text, by anchor; None if no text has one. One vector for all texts.
 
-    Arrays over anchors: the first window's word number, its place relative to the
-    anchor, the anchor's hash, how many windows follow each other; over windows: hash
-    (32 bits; windows are told apart by anchor's hash, place and this); over words: first
-    and last code point (exclusive). Words are those of lines(), counted through the text.
+    Over anchors: owner (the text's number), word (of the first window, from 0), lead
+    (its place relative to the anchor), id (the anchor's hash), counts (how many windows
+    follow each other). Over windows: windows (32-bit hashes; windows are told apart by
+    anchor's hash, place and this). Over words of texts that have windows: whose, begins
+    and ends (code points). Words are those of lines(), counted through the text.
     """
-    plain = (text or "").encode() + b"\n"
-    raw = np.frombuffer(plain, dtype=np.uint8)
+    parts = [(t or "").encode() + b"\n" for t in texts]
+    raw = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    bases = np.cumsum([0, *map(len, parts)])
     solid = ~_BLANK[raw]
-    edges = np.diff(np.concatenate(([0], solid.view(np.int8), [0])))
+    edges = np.diff(np.concatenate(([0], solid.view(np.int8))))
     begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     n = len(begins)
     if n < PASSAGE:
         return None
+    of = np.searchsorted(bases, begins, "right") - 1
     solid[ends] = True  # one blank after each word
     folded, lengths = _FOLDED[raw[solid]], ends - begins
+    starts = np.flatnonzero(of[: n - PASSAGE + 1] == of[PASSAGE - 1 :])  # windows that lie in one text
+    if not len(starts):
+        return None
     with np.errstate(over="ignore"):
         words = _word_hashes(folded, np.cumsum(lengths + 1) - lengths - 1, lengths)
     grams = _rolled(words, GRAM)
-    at = _anchors(grams, PASSAGE - GRAM + 1)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    hashes = (_rolled(words, PASSAGE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    if len(plain) != len(text) + 1:
-        points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-        begins, ends = points[begins], points[ends]
-    return first, first - at[first], (grams[at[first]]).view(np.int64), np.diff(np.append(first, len(at))), hashes, begins, ends
+    at, owner = _anchors(grams, PASSAGE - GRAM + 1)[starts], of[starts]
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]))))
+    hashes = (_rolled(words, PASSAGE)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    heads = np.searchsorted(of, np.arange(len(texts)))  # each text's first word
+    has = np.zeros(len(texts), dtype=bool)
+    has[owner] = True
+    listed = has[of]
+    points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    place = lambda at: (points[at] - points[bases[of]])[listed]
+    return {
+        "owner": owner[first], "word": starts[first] - heads[owner[first]], "lead": starts[first] - at[first], "id": grams[at[first]].view(np.int64), "counts": np.diff(np.append(first, len(at))),
+        "windows": hashes, "whose": of[listed], "begins": place(begins), "ends": place(ends),
+    }
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -172,25 +186,27 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def listed(counts: list[int], values: np.ndarray) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), number), pa.array(values.astype(np.int32)))
 
-    def anchored(part: pa.RecordBatch, owners: list[int], found: list[tuple]) -> pa.RecordBatch:
-        low = [begins[first] for first, _, _, _, _, begins, _ in found]
-        high = [ends[first + counts + PASSAGE - 2] for first, _, _, counts, _, _, ends in found]
-        word, lead, ids, counts, hashes = (np.concatenate(c) for c in list(zip(*found))[:5])
-        owner = pa.array(np.repeat(owners, [len(f[0]) for f in found]))
-        return batch_of({"row": part.column(0).take(owner), "doc_id": part.column(1).take(owner), "word": word, "lead": lead, "start": np.concatenate(low), "stop": np.concatenate(high), "id": ids, "windows": listed(counts, hashes)})
+    def anchored(part: pa.RecordBatch, found: dict[str, np.ndarray]) -> pa.RecordBatch:
+        owner, heads = pa.array(found["owner"]), np.searchsorted(found["whose"], found["owner"])
+        low = heads + found["word"]
+        return batch_of({
+            "row": part.column(0).take(owner), "doc_id": part.column(1).take(owner), **{c: found[c] for c in ("word", "lead", "id")},
+            "start": found["begins"][low], "stop": found["ends"][low + found["counts"] + PASSAGE - 2], "windows": listed(found["counts"], found["windows"]),
+        })
 
-    def placed(part: pa.RecordBatch, owners: list[int], found: list[tuple]) -> pa.RecordBatch:
-        gaps = [begins - np.concatenate(([0], ends[:-1])) for *_, begins, ends in found]
-        lengths = [ends - begins for *_, begins, ends in found]
-        counts = [len(g) for g in gaps]
-        return batch_of({"row": part.column(0).take(pa.array(owners)), "gaps": listed(counts, np.concatenate(gaps)), "lengths": listed(counts, np.concatenate(lengths))})
+    def placed(part: pa.RecordBatch, found: dict[str, np.ndarray]) -> pa.RecordBatch:
+        owners, counts = np.unique(found["whose"], return_counts=True)
+        before = np.concatenate(([0], found["ends"][:-1]))
+        before[np.cumsum(counts)[:-1]] = 0
+        return batch_of({"row": part.column(0).take(pa.array(owners)), "gaps": listed(counts, found["begins"] - before), "lengths": listed(counts, found["ends"] - found["begins"])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, list[int]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                part, out, found, owners = batch.slice(at, 128), [], [], []
-                for i, (row, doc_id, text) in enumerate(zip(*(c.to_pylist() for c in part.columns))):
+                part, out = batch.slice(at, 128), []
+                rows, doc_ids, bodies = (c.to_pylist() for c in part.columns)
+                for row, doc_id, text in zip(rows, doc_ids, bodies):
                     for number_of, start, line, words in lines(text):
                         name = named(words)
                         if name not in known:
@@ -198,14 +214,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
                                 known.clear()
                             known[name] = bands(shingles(words))
                         out.append((row, doc_id, number_of, start, start + len(line), len(words), name, known[name]))
-                    if (some := windows(text)) is not None:
-                        found.append(some)
-                        owners.append(i)
                 if out:
                     yield batch_of(dict(zip(("row", "doc_id", "paragraph", "start", "stop", "n_words", "id", "bands"), zip(*out))))
-                if found:
-                    yield anchored(part, owners, found)
-                    yield placed(part, owners, found)
+                for block in blocks(bodies, 500_000):
+                    some = part.slice(block.start, len(block))
+                    if (found := windows(bodies[block.start : block.stop])) is not None:
+                        yield anchored(some, found)
+                        yield placed(some, found)
 
     ddl = "row bigint, doc_id bigint, paragraph int, word int, lead int, start bigint, stop bigint, n_words int, id bigint, bands array<bigint>, windows array<int>, gaps array<int>, lengths array<int>"
     return docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
@@ -253,7 +268,7 @@ def texts(docs: DataFrame, names: DataFrame, units: Units = lines) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, units: Units = lines) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
     pairs = checkpointed(pairs.distinct())
-    named_texts = checkpointed(texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), units))
+    named_texts = written(texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), units), "texts")
     first, second = (named_texts.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "line_a", "line_b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -294,7 +309,7 @@ def similar(distinct: DataFrame, docs: DataFrame, units: Units = lines, again: b
     """
     rows = distinct.select("id", "times", F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("times", "id"))["id"].alias("most")).filter("n > 1")
-    members = checkpointed(rows.drop("times").join(buckets, "bucket"))
+    members = written(rows.drop("times").join(buckets, "bucket"), "members")
     calm, crowded = members.filter(F.col("n") <= CROWDED).select("bucket", "id"), members.filter(F.col("n") > CROWDED)
     pairs = calm.select("bucket", F.col("id").alias("a")).join(calm.select("bucket", F.col("id").alias("b")), "bucket").filter("a < b").select("a", "b")
     edges = verified(pairs.unionAll(crowded.filter("id <> most").select(F.least("most", "id").alias("a"), F.greatest("most", "id").alias("b"))), docs, units)
