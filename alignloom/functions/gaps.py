@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Knots and costs that the established tables share.
 _KNOTS = (1, 2, 3, 11, 111, 2111, 12111, 32111, 72111, 152111, 252111)
 _LOOSE = (325, 360, 400, 450, 600, 1100, 3600, 7600, 15600, 31600, 56600)
 _MEDIUM = (350, 425, 450, 600, 900, 2900, 22900, 57900, 117900, 217900, 317900)
@@ -27,7 +28,7 @@ class GapTable:
 
     def __post_init__(self):
         if self.small not in self.positions:
-            raise ValueError("smallSize must appear in the position list")
+            raise ValueError("smallSize is none of the positions")
         if len(self.positions) - self.positions.index(self.small) < 2:
             raise ValueError("a gap table needs two knots from smallSize on")
         if not len(self.positions) == len(self.query) == len(self.target) == len(self.both):

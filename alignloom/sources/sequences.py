@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import gzip
+import io
 import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alignloom.storage import opened
+
 #: Bases of a chunk.
 CHUNK = 1 << 16
 #: Fixed value of the public 2bit format.
@@ -29,67 +33,75 @@ def sniff(data: bytes) -> str:
     raise ValueError("neither gzip, 2bit nor FASTA")
 
 
-def kind_of(path: str) -> str:
-    """2bit or fasta by a path's ending, whatever its case."""
-    low = path.lower()
-    if low.endswith(".2bit"):
-        return "2bit"
-    if low.removesuffix(".gz").endswith((".fa", ".fasta", ".fna")):
-        return "fasta"
-    raise ValueError(f"unknown sequence format: {path}")
-
-
-def from_fasta(data: bytes) -> Iterator[tuple[str, str]]:
-    """(name, bases) of each record: the name is the header's first word; lines are joined."""
-    name, parts, seen = None, [], False
-    for line in data.decode("latin-1").split("\n"):
-        line = line.removesuffix("\r")
+def from_fasta(stream) -> Iterator[tuple[int, str, int, str]]:
+    """(record, name, chunk number, bases) of a binary stream: a name is its header's first word; lines are joined, whatever their lengths, and leave in chunks."""
+    record, name, held, size, number = -1, None, [], 0, 0
+    for raw in stream:
+        line = raw.decode("latin-1").rstrip("\n").removesuffix("\r")
         if line.startswith(">"):
-            if name is not None:
-                yield name, "".join(parts)
-            words, parts, seen = line[1:].split(), [], True
+            if name is not None and (held or not number):
+                yield record, name, number, "".join(held)
+            words = line[1:].split()
             if not words:
                 raise ValueError("FASTA record without a name")
-            name = words[0]
-        elif line.strip():
-            if not seen:
+            record, name, held, size, number = record + 1, words[0], [], 0, 0
+        elif part := "".join(line.split()):
+            if name is None:
                 raise ValueError("FASTA data before the first header")
-            parts.append("".join(line.split()))
+            held.append(part)
+            size += len(part)
+            if size >= CHUNK:
+                whole = "".join(held)
+                for at in range(0, size - size % CHUNK, CHUNK):
+                    yield record, name, number, whole[at : at + CHUNK]
+                    number += 1
+                held, size = [whole[size - size % CHUNK :]] if size % CHUNK else [], size % CHUNK
     if name is None:
         raise ValueError("FASTA without records")
-    yield name, "".join(parts)
+    if held or not number:
+        yield record, name, number, "".join(held)
 
 
-def from_twobit(data: bytes, names: set[str] | None = None) -> Iterator[tuple[str, str]]:
-    """(name, bases) of the named or all records: N blocks as N, mask blocks in lower case."""
-    order = "<" if struct.unpack_from("<I", data)[0] == TWOBIT else ">"
-    magic, version, count, _ = struct.unpack_from(f"{order}4I", data)
+def twobit_index(stream) -> tuple[str, list[tuple[str, int]]]:
+    """The byte order of a 2bit stream and (name, offset) of its records; nothing else is read."""
+    head = stream.read(16)
+    order = "<" if struct.unpack_from("<I", head)[0] == TWOBIT else ">"
+    magic, version, count, _ = struct.unpack_from(f"{order}4I", head)
     if magic != TWOBIT or version != 0:
         raise ValueError("not a 2bit file of version 0")
-    at, places = 16, []
+    out = []
     for _ in range(count):
-        length = data[at]
-        places.append((data[at + 1 : at + 1 + length].decode("latin-1"), struct.unpack_from(f"{order}I", data, at + 1 + length)[0]))
-        at += 5 + length
-    letters = np.frombuffer(b"TCAG", np.uint8)
-    for name, at in places:
-        if names is not None and name not in names:
-            continue
-        size, at = struct.unpack_from(f"{order}I", data, at)[0], at + 4
-        ranges = []
-        for _ in range(2):
-            n, at = struct.unpack_from(f"{order}I", data, at)[0], at + 4
-            values = np.frombuffer(data, f"{order}u4", 2 * n, at).reshape(2, n)
-            ranges.append(values)
-            at += 8 * n
-        at += 4
-        packed = np.frombuffer(data, np.uint8, -(-size // 4), at)
-        bases = letters[(packed[:, None] >> np.array([6, 4, 2, 0], np.uint8)) & 3].reshape(-1)[:size].copy()
-        for start, length in ranges[0].T.astype(np.int64):
-            bases[start : start + length] = ord("N")
-        for start, length in ranges[1].T.astype(np.int64):
-            bases[start : start + length] |= 0x20
-        yield name, bases.tobytes().decode("latin-1")
+        name = stream.read(stream.read(1)[0]).decode("latin-1")
+        out.append((name, struct.unpack(f"{order}I", stream.read(4))[0]))
+    return order, out
+
+
+def from_twobit(stream, order: str, offset: int) -> Iterator[tuple[int, str]]:
+    """(chunk number, bases) of the record at an offset: N blocks as N, mask blocks in lower case; a chunk is read at a time."""
+    stream.seek(offset)
+    number = lambda: struct.unpack(f"{order}I", stream.read(4))[0]
+    size, ranges = number(), []
+    for _ in range(2):
+        n = number()
+        ranges.append(np.frombuffer(stream.read(8 * n), f"{order}u4").reshape(2, n).astype(np.int64))
+    number()
+    letters, shifts = np.frombuffer(b"TCAG", np.uint8), np.array([6, 4, 2, 0], np.uint8)
+    for low in range(0, max(size, 1), CHUNK):
+        n = min(CHUNK, size - low)
+        packed = np.frombuffer(stream.read(-(-n // 4)), np.uint8)
+        bases = letters[(packed[:, None] >> shifts) & 3].reshape(-1)[:n].copy()
+        for starts, lengths in ranges[:1]:
+            for i in _crossing(starts, lengths, low, n):
+                bases[max(starts[i] - low, 0) : starts[i] + lengths[i] - low] = ord("N")
+        starts, lengths = ranges[1]
+        for i in _crossing(starts, lengths, low, n):
+            bases[max(starts[i] - low, 0) : starts[i] + lengths[i] - low] |= 0x20
+        yield low // CHUNK, bases.tobytes().decode("latin-1")
+
+
+def _crossing(starts: np.ndarray, lengths: np.ndarray, low: int, n: int) -> range:
+    """Which of the ascending, disjoint ranges meet the n places from low."""
+    return range(int(np.searchsorted(starts + lengths, low, "right")), int(np.searchsorted(starts, low + n)))
 
 
 def to_twobit(records: dict[str, str]) -> bytes:
@@ -109,37 +121,78 @@ def to_twobit(records: dict[str, str]) -> bytes:
     return head + b"".join(bodies)
 
 
-def decoded(data: bytes, names: set[str] | None = None) -> Iterator[tuple[str, str]]:
-    kind = sniff(data)
-    if kind == "gzip":
-        yield from decoded(gzip.decompress(data), names)
-    else:
-        yield from from_twobit(data, names) if kind == "2bit" else from_fasta(data)
+#: Up to so many names are handed to the 2bit decoder; beyond, whole files are decoded and a join leaves the named.
+MOST_NAMES = 100_000
+
+
+def _plan(paths: list[str], names: set[str] | None) -> list[tuple[int, str, str, int, str | None, int]]:
+    """(file_no, path, kind or byte order, record, name, offset): a FASTA file is one row, a 2bit file one for each (named) record."""
+    out = []
+    for file_no, path in enumerate(paths):
+        system, inner = opened(path)
+        if system.get_file_info(inner).size is None:
+            raise FileNotFoundError(path)
+        with system.open_input_file(inner) as raw:
+            head = raw.read(4)
+            kind = sniff(head)
+            if kind == "gzip":
+                raw.seek(0)
+                kind = "fasta" if sniff(gzip.GzipFile(fileobj=raw).read(4)) == "fasta" else "packed 2bit"
+            if kind == "2bit":
+                raw.seek(0)
+                order, records = twobit_index(raw)
+                out += [(file_no, path, order, i, n, at) for i, (n, at) in enumerate(records) if names is None or n in names]
+            else:
+                out.append((file_no, path, kind, 0, None, 0))
+    return out
 
 
 def load(spark: SparkSession, path: str | list[str], side: str, names: DataFrame | None = None) -> DataFrame:
     """(side, name, bin, seq) of the files' sequences, in chunks; names (a DataFrame of `name`) restricts them.
 
-    A file is decoded by one task; what leaves it are chunks. The same name twice: the
-    last file's, and in a file the last record's, sequence counts.
+    Files are told apart by their first bytes, whatever they are called. A FASTA file is
+    streamed by one task; each record of a 2bit file is a task's own, and of named ones
+    no other is read. The same name twice: the last file's, and in a file the last
+    record's, sequence counts.
     """
-    paths = [path] if isinstance(path, str) else path
-    files = None
-    for i, p in enumerate(paths):
-        one = spark.read.format("binaryFile").load(p).select(F.lit(i).alias("file_no"), "content")
-        files = one if files is None else files.unionAll(one)
+    wanted = None if names is None else names.select("name").distinct()
+    few = None if wanted is None else [r["name"] for r in wanted.limit(MOST_NAMES + 1).collect()]
+    known = set(few) if few is not None and len(few) <= MOST_NAMES else None
+    plan = _plan([path] if isinstance(path, str) else path, known)
     schema = pa.schema([("file_no", pa.int32()), ("record", pa.int32()), ("name", pa.string()), ("bin", pa.int64()), ("seq", pa.string())])
 
+    def chunks(row: dict) -> Iterator[tuple]:
+        system, inner = opened(row["path"])
+        with system.open_input_file(inner) as raw:
+            if row["kind"] in "<>":
+                for number, text in from_twobit(raw, row["kind"], row["offset"]):
+                    yield row["record"], row["name"], number, text
+                return
+            packed = raw.read(2) == b"\x1f\x8b"
+            raw.seek(0)
+            stream = gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw, 1 << 20)
+            if row["kind"] == "fasta":
+                yield from from_fasta(stream)
+                return
+            plain = io.BytesIO(stream.read())  # a compressed 2bit file has no way in but whole
+            order, records = twobit_index(plain)
+            for i, (name, at) in enumerate(records):
+                if known is None or name in known:
+                    for number, text in from_twobit(plain, order, at):
+                        yield i, name, number, text
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for record, (name, text) in enumerate(decoded(row["content"])):
-                    for at in range(0, max(len(text), 1), CHUNK):
-                        yield pa.RecordBatch.from_pylist([{"file_no": row["file_no"], "record": record, "name": name, "bin": at // CHUNK, "seq": text[at : at + CHUNK]}], schema=schema)
-
-    rows = files.mapInArrow(run, "file_no int, record int, name string, bin bigint, seq string")
-    if names is not None:
-        rows = rows.join(names.select("name").distinct(), "name", "left_semi")
+                found = chunks(row)
+                while some := list(islice(found, 64)):
+                    columns = [[row["file_no"]] * len(some), *zip(*some)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    table = spark.createDataFrame(plan, "file_no int, path string, kind string, record int, name string, offset bigint")
+    rows = table.repartition(max(1, min(len(plan), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, "file_no int, record int, name string, bin bigint, seq string")
+    if wanted is not None:
+        rows = rows.join(wanted, "name", "left_semi")
     last = rows.groupBy("name").agg(F.max(F.struct("file_no", "record")).alias("last"))
     kept = rows.join(last, "name").filter(F.struct("file_no", "record") == F.col("last"))
     return kept.select(F.lit(side).alias("side"), "name", "bin", "seq")
@@ -167,19 +220,25 @@ def lengths(sequences: DataFrame) -> DataFrame:
 
 
 def score_matrix(text: str) -> tuple[int, ...]:
-    """The 16 scores of a matrix file: settings with = are passed over; a header A C G T; four rows, labelled or not."""
-    rows = [line.split() for line in text.splitlines() if line.split() and not line.lstrip().startswith("#")]
-    rows = [r for r in rows if "=" not in r[0] and not (len(r) > 1 and "=" in r[1])]
-    if not rows:
-        raise ValueError("score scheme is empty or has no matrix")
-    if len(rows[0]) < 4 or any(not w.startswith(b) for w, b in zip(rows[0], "ACGT")):
-        raise ValueError("score scheme does not look like a matrix (expected A C G T header)")
-    if len(rows) < 5:
-        raise ValueError("score scheme matrix has fewer than four rows")
-    out = []
-    for i, row in enumerate(rows[1:5]):
-        values = row[1:] if len(row) == 5 else row
-        if len(values) < 4:
-            raise ValueError(f"score scheme matrix row {i + 1} has too few values")
-        out += [int(v) for v in values[:4]]
+    """The 16 scores, rows A, C, G, T, of a substitution matrix file.
+
+    Comments (#) and settings (name=value, or name = value) may precede it; a line with
+    the letters A C G T heads it; each of the next four lines holds four scores, with or
+    without the row's letter.
+    """
+    lines = iter([w for w in (line.split("#")[0].split() for line in text.splitlines()) if w])
+    head = next((w for w in lines if "=" not in "".join(w[:2])), None)
+    if head is None:
+        raise ValueError("the matrix file holds no matrix")
+    if [w[:1] for w in head[:4]] != list("ACGT"):
+        raise ValueError(f"the matrix is headed by {' '.join(head)}, not by A C G T")
+    out: list[int] = []
+    for letter in "ACGT":
+        row = next(lines, None)
+        if row is None:
+            raise ValueError(f"the matrix ends before row {letter}")
+        scores = row[len(row) == 5 :][:4]
+        if len(scores) != 4:
+            raise ValueError(f"row {letter} of the matrix has {len(scores)} scores")
+        out += map(int, scores)
     return tuple(out)

@@ -1,6 +1,7 @@
 """Text, blocks, filters, sorting, BED, scoring against known vectors."""
 
 import gzip
+import io
 
 import pytest
 from hypothesis import given, settings
@@ -115,6 +116,7 @@ def test_bed(load):
 
 
 def test_gap_costs(spark):
+    #: Costs that the established tables give.
     known = {"loose": "0,0,0 1,0,325 0,1,325 1,1,660 5,0,412 2,3,712 50,60,898 110,0,598 111,0,600 0,111,600 200,0,622 2111,0,1100 1000,1000,1372 252111,0,56600 300000,0,68572 150000,150000,68972 -5,-1,0", "medium": "1,0,350 1,1,825", "rnaDna": "1,0,325 0,1,200", "cheap": "1,0,0 100,0,30 1000,0,300"}
     for table, vectors in known.items():
         rows = spark.createDataFrame([tuple(map(int, v.split(","))) for v in vectors.split()], "dq bigint, dt bigint, cost bigint")
@@ -158,7 +160,7 @@ def test_sequences(spark, tmp_path):
     assert sequences.fetch(rows, "query", "s1", 2, 5) == "GTNNN"
     for bad in (b">\nA\n", b"A\n>x\nA\n"):
         with pytest.raises(ValueError):
-            list(sequences.from_fasta(bad))
+            list(sequences.from_fasta(io.BytesIO(bad)))
     assert sequences.score_matrix("O=1 E=2\nA C G T\n" + "\n".join("10 10 10 10" for _ in range(4))) == (10,) * 16
 
 
