@@ -11,7 +11,7 @@ from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from alignloom.functions import bases, blocks, gaps
-from alignloom.operators import bed, files, filters, ordering, render, scoring, split
+from alignloom.operators import bed, files, filters, ordering, render, scoring
 from alignloom.sources import chains, sequences
 
 

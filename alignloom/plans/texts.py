@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alignloom.functions import bases, blocks, gaps
-from alignloom.operators import bed, files, ordering, render, scoring, split
+from alignloom.operators import bed, files, render, scoring, split
 from alignloom.plans.queries import _DENSE, _HEADER_SQL, AB, HEAD, WITH, _query
 from alignloom.plans.universe import ALPHABET, chains, sequences
 from alignloom.sources import chains as texts
