@@ -87,6 +87,30 @@ def test_permutation(n, seed):
     assert sorted(sharding.permute(np.arange(n), n, seed)) == list(range(n))
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 500), st.integers(0, 2**40))
+def test_permutation_by_plain_integers(n, seed):
+    half = next(h for h in range(1, 40) if 4**h >= n)
+    mask, full = 2**half - 1, 2**64 - 1
+
+    def mixed(x, key):
+        x = (x + key) & full
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & full
+        return x ^ x >> 31
+
+    def walked(v):
+        while True:
+            left, right = v >> half, v & mask
+            for r in range(sharding.ROUNDS):
+                left, right = right, left ^ mixed(right, (seed * sharding.ROUNDS + r + 1) * 0x9E3779B97F4A7C15) & mask
+            v = left << half | right
+            if v < n:
+                return v
+
+    assert sharding.permute(np.arange(n), n, seed).tolist() == [walked(v) for v in range(n)]
+
+
 def test_warc(spark, none):
     big = "p" * 1500
     pages = [(i, f"http://x/{i}\r\n", h) for i, h in enumerate([None, "", "small", "small", big, big, "é" * 500, big, "é" * 500, "\r\n\r\n" * 300])] + [(None, None, big), (7, "u", big)]
@@ -196,6 +220,15 @@ def test_packing(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_leaves_little_padding(spark):
+    path, _ = tokenizer("word_bpe_49k.json")
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), path, capacity=4096, seed=42).collect()
+    used = Counter()
+    for r in rows:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 4096 and sum(used.values()) > 0.97 * 4096 * len(used)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=80))
 def test_first_fit_decreasing(sizes):
@@ -641,3 +674,28 @@ def test_pipeline(spark):
     assert len({f for f in brute_components({brute_fingerprint(t) for t in (r["text"] for r in corpus_pipeline.STAGES[1][1](spark, before, d).collect())}).values()}) == corpus_pipeline.STAGES[1][1](spark, before, d).count()
     packed = corpus_pipeline.run(spark, d)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_over_awkward_rows(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "n_chars", "spans", "score", "a.b", "label"]
+    rows = [] if empty else [(r[0], r[1], r[2], r[4], "mine", 9.5, i, "own") for i, r in enumerate(ROWS)]
+    kinds = "c0 bigint, c1 string, c2 string, c3 bigint, c4 string, c5 double, c6 int, c7 string"
+    spark.createDataFrame(rows, kinds).toDF(*names).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([] if empty else [(0, None, 0), (None, 1, 1), (17, 0, 1), (3, 1, None)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([] if empty else ITEMS, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path)).cache()
+        assert after.columns == names
+        masked = {"text", "n_chars"} if name == "secrets" else set()
+        pick = lambda df: Counter(tuple(v for c, v in zip(names, r) if c not in masked) for r in df.collect())  # noqa: E731, B023
+        assert not pick(after) - pick(docs), name
+        docs = after
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_key", "ids", "sequence_id", "offset"} <= set(packed.columns)
+    kept, found = docs.collect(), packed.collect()
+    assert Counter(r["doc_id"] for r in kept) == Counter({d: len({r["doc_key"] for r in found if r["doc_id"] == d}) for d in {r["doc_id"] for r in found}})
+    assert bool(kept) != empty
