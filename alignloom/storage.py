@@ -47,7 +47,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; its lineage ends there."""
     shared_dir(df.sparkSession)
     with tidy(df.sparkSession):
-        return df.checkpoint()
+        return df.select("*").checkpoint()  # a frame made here takes the setting, df itself is older
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
