@@ -31,8 +31,9 @@ GRAM = 20
 BANDS, ROWS = 12, 4
 #: In crowded buckets, bands of eight rows: 1 - (1 - 0.8**8)**40 = 0.999; a pair at 0.5 meets with probability 0.14.
 FINE_BANDS, FINE_ROWS = 40, 8
-#: Buckets of so many paragraphs at most compare all pairs.
-CROWDED = 32
+#: Buckets of so many paragraphs at most compare all pairs, which fetches two texts a pair; fine ones, of which a paragraph
+#: has many, are few enough to do so at a smaller size.
+CROWDED, FINE_CROWDED = 32, 4
 #: Up to so many paragraphs' names (8 bytes each) are broadcast to fetch their texts; beyond, the join shuffles.
 BROADCAST_NAMES = 100_000
 
@@ -310,7 +311,8 @@ def similar(distinct: DataFrame, docs: DataFrame, units: Units = lines, again: b
     rows = distinct.select("id", "times", F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("times", "id"))["id"].alias("most")).filter("n > 1")
     members = written(rows.drop("times").join(buckets, "bucket"), "members")
-    calm, crowded = members.filter(F.col("n") <= CROWDED).select("bucket", "id"), members.filter(F.col("n") > CROWDED)
+    most = min(CROWDED, FINE_CROWDED) if again else CROWDED
+    calm, crowded = members.filter(F.col("n") <= most).select("bucket", "id"), members.filter(F.col("n") > most)
     pairs = calm.select("bucket", F.col("id").alias("a")).join(calm.select("bucket", F.col("id").alias("b")), "bucket").filter("a < b").select("a", "b")
     edges = verified(pairs.unionAll(crowded.filter("id <> most").select(F.least("most", "id").alias("a"), F.greatest("most", "id").alias("b"))), docs, units)
     labels = checkpointed(connected_components(edges))
