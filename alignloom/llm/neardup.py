@@ -1,4 +1,9 @@
-"""Near-duplicate documents: MinHash bands of whole texts, exact Jaccard of their five-word shingles."""
+"""Near-duplicate documents: SimHash links and MinHash bands of whole texts, exact Jaccard of their five-word shingles.
+
+Both find pairs, none decides: fingerprints meet as op9's do, by variants within half
+of the radius, and what they link is compared exactly, as is what shares a band. Bands
+reach the pairs at 0.8 whose fingerprints are further apart than any feasible radius.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alignloom.llm import passages
+from alignloom.llm import passages, simhash
 from alignloom.llm.common import checkpointed, first_of_each, hidden
 
 #: Bands of passages.ROWS rows: a pair at the threshold 0.8 is missed with probability (1 - 0.8**4)**24 = 3e-6.
@@ -24,11 +29,11 @@ def whole(text: str | None) -> Iterator[tuple[int, int, str, list[bytes]]]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, id, bands) of every row: the text's XXH64, a hash of its words and its bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("id", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, h, id, fp, bands) of every row: the text's XXH64, a hash of its words, op9's fingerprint and its bands."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("id", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, list[int]] = {}
+        known: dict[int, tuple[int, list[int]]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, names, found = batch.slice(at, 256), [], []
@@ -38,12 +43,21 @@ def signatures(docs: DataFrame) -> DataFrame:
                     if name not in known:
                         if len(known) >= 5_000:
                             known.clear()
-                        known[name] = passages.bands(passages.shingles(words), _SEEDS)
+                        known[name] = simhash.fingerprint(text), passages.bands(passages.shingles(words), _SEEDS)
                     names.append(name)
                     found.append(known[name])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+                fps, found = zip(*found)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id bigint, h bigint, id bigint, fp bigint, bands array<bigint>")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id bigint, h bigint, id bigint, bands array<bigint>")
+def met(rows: DataFrame) -> DataFrame:
+    """(id, bands, times) of the classes of rows: where each meets others, by its bands and by the component that SimHash links give it."""
+    linked = simhash.linked(checkpointed(rows.select("fp").distinct())).toDF("fp", "component")
+    distinct = rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("times"))
+    of_component = F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp"))
+    return distinct.join(linked, "fp", "left").select("id", F.concat("bands", F.array(of_component)).alias("bands"), "times")
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -56,9 +70,8 @@ def labelled(docs: DataFrame) -> DataFrame:
     inner, _, (doc_id, text) = hidden(docs, "doc_id", "text")
     docs = inner.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = checkpointed(signatures(docs))
-    distinct = rows.groupBy("id").agg(F.first("bands").alias("bands"), F.count("*").alias("times"))
-    labels = checkpointed(passages.similar(distinct, docs, whole))
-    return rows.drop("bands").join(labels.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").select("doc_id", "h", F.coalesce("label", "id").alias("label"))
+    labels = checkpointed(passages.similar(met(rows), docs, whole))
+    return rows.drop("fp", "bands").join(labels.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").select("doc_id", "h", F.coalesce("label", "id").alias("label"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -100,10 +100,15 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionAll(stars.filter("a <> b"))
 
 
+def linked(fps: DataFrame) -> DataFrame:
+    """(node, label) of the fingerprints that links reach; fps: distinct values of `fp`, kept."""
+    return checkpointed(connected_components(links(fps)))
+
+
 def _named(rows: DataFrame) -> DataFrame:
     """(fp, component_id) of the distinct fingerprints of rows (doc_id, fp)."""
     classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = checkpointed(connected_components(links(classes.select("fp"))))
+    labels = linked(classes.select("fp"))
     labelled = classes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     leaders = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     return labelled.join(leaders, "label").select("fp", "component_id", "label")

@@ -18,7 +18,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the row of the least doc_id (of its rows, the first read)."""
+    """Of each component of near duplicates, the row of the least doc_id (of its rows, the first read).
+
+    Pairs are found by SimHash links and by MinHash bands and compared exactly.
+    """
     return neardup.deduplicated(docs)
 
 

@@ -467,6 +467,26 @@ def test_near_duplicates(spark, docs, none, monkeypatch, crowded):
     assert drop_near_duplicates(spark, none, "").count() == 0 and drop_near_duplicates(spark, docs, "").columns == docs.columns
 
 
+def test_near_duplicates_by_simhash(spark, monkeypatch):
+    """SimHash links bring pairs to the exact comparison by themselves, and do not decide."""
+    from corpus_pipeline import drop_near_duplicates
+
+    rng, vocabulary, pairs = random.Random(23), [f"word{i}" for i in range(3000)], {True: [], False: []}
+    while min(map(len, pairs.values())) < 3:
+        a = rng.choices(vocabulary, k=80)
+        b, changed = list(a), rng.choice([1, 3])
+        for at in rng.sample(range(80), changed):
+            b[at] = rng.choice(vocabulary)
+        a, b = " ".join(a), " ".join(b)
+        bits = [simhash.fingerprint(t) for t in (a, b)]
+        if (bits[0] ^ bits[1]).bit_count() <= simhash.RADIUS:
+            pairs[brute_jaccard(a, b) >= 0.8].append((a, b))
+    rows = [t for kind in (True, False) for pair in pairs[kind][:3] for t in pair]
+    monkeypatch.setattr(passages, "bands", lambda hashes, *more: [])
+    kept = drop_near_duplicates(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 6, 7, 8, 9, 10, 11]
+
+
 def test_passages_inside_longer_lines(spark):
     rng, vocabulary = random.Random(11), [f"wé{i}" if i % 3 == 0 else f"Word{i}" for i in range(4000)]
     shared = [rng.choices(vocabulary, k=50 + 10 * i) for i in range(4)]
