@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignloom.storage import checkpointed, shared_dir, written  # noqa: F401
+from alignloom.storage import checkpointed, lent, shared_dir, written  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -34,6 +38,16 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def released(tokenizers: bool = True) -> None:
+    """In a Python worker, which lives on from task to task: free memory goes back to the system, and tokenizers that it remembers are forgotten."""
+    if tokenizers:
+        sys.modules.pop("_alignloom_worker", None)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def has_column(docs: DataFrame, name: str) -> bool:
     return name.lower() in (c.lower() for c in docs.columns)
 

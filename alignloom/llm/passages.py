@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alignloom.functions.blocks import let, running
-from alignloom.llm.common import checkpointed, hidden, written
+from alignloom.llm.common import checkpointed, hidden, lent, released, written
 from alignloom.llm.graph import connected_components
 from alignloom.llm.tokens import blocks
 
@@ -84,7 +84,11 @@ def lines(text: str | None) -> Iterator[tuple[int, int, str, list[bytes]]]:
 
 def named(words: list[bytes]) -> int:
     """A paragraph's name: a 64-bit hash of its words. Paragraphs of equal words are one class before any are compared."""
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+    return _named(b" ".join(words))
+
+
+def _named(plain: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(plain) - (1 << 63)
 
 
 def _word_hashes(folded: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -114,6 +118,33 @@ def _rolled(words: np.ndarray, size: int) -> np.ndarray:
         return (whole ^ (whole >> np.uint64(31))) * _MIX
 
 
+def banded(plains: list[bytes]) -> list[list[int]]:
+    """Of each paragraph (words with one blank between them, SHINGLE at least) its bands, as bands() makes them, by rolled hashes of its shingles.
+
+    One vector for all. Equal shingles have equal hashes, so no band is lost; what
+    meets is compared by shingles() anyway.
+    """
+    raw = np.frombuffer(b" ".join(plains) + b" ", dtype=np.uint8)
+    ends = np.flatnonzero(raw == 32)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    of = np.searchsorted(np.cumsum([len(p) + 1 for p in plains]), starts, "right")
+    with np.errstate(over="ignore"):
+        hashes = _rolled(_word_hashes(raw, starts, ends - starts), SHINGLE)
+        inside = of[: len(hashes)] == of[SHINGLE - 1 :]  # shingles that lie in one paragraph
+        hashes = hashes[inside]
+        firsts = np.searchsorted(of[: len(inside)][inside], np.arange(len(plains)))
+        least, mixed, part = np.empty((len(plains), BANDS, ROWS), dtype=np.uint64), np.empty_like(hashes), np.empty_like(hashes)
+        for k in range(BANDS * ROWS):
+            np.multiply(hashes, _SEEDS[0, k] | np.uint64(1), out=mixed)
+            mixed += _SEEDS[1, k]
+            np.right_shift(mixed, np.uint64(29), out=part)
+            mixed ^= part
+            mixed *= _MIX
+            least[:, k // ROWS, k % ROWS] = np.minimum.reduceat(mixed, firsts)
+        keys = (least * _PLACES[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(_BASE)
+        return ((keys ^ (keys >> np.uint64(31))) * _MIX).view(np.int64).tolist()
+
+
 def _anchors(hashes: np.ndarray, width: int) -> np.ndarray:
     """Of each `width` consecutive values, the place of the least, the rightmost of equal ones."""
     found, low = [], np.uint64(0xFFFF)
@@ -205,18 +236,22 @@ def occurrences(docs: DataFrame) -> DataFrame:
         known: dict[int, list[int]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                part, out = batch.slice(at, 128), []
+                part, out, missing = batch.slice(at, 128), [], {}
                 rows, doc_ids, bodies = (c.to_pylist() for c in part.columns)
+                if len(known) >= 20_000:
+                    known.clear()
                 for row, doc_id, text in zip(rows, doc_ids, bodies):
                     for number_of, start, line, words in lines(text):
-                        name = named(words)
+                        plain = b" ".join(words)
+                        name = _named(plain)
                         if name not in known:
-                            if len(known) >= 20_000:
-                                known.clear()
-                            known[name] = bands(shingles(words))
-                        out.append((row, doc_id, number_of, start, start + len(line), len(words), name, known[name]))
+                            missing[name] = plain
+                        out.append((row, doc_id, number_of, start, start + len(line), len(words), name))
+                if missing:
+                    known.update(zip(missing, banded(list(missing.values()))))
                 if out:
-                    yield batch_of(dict(zip(("row", "doc_id", "paragraph", "start", "stop", "n_words", "id", "bands"), zip(*out))))
+                    columns = dict(zip(("row", "doc_id", "paragraph", "start", "stop", "n_words", "id"), zip(*out)))
+                    yield batch_of(columns | {"bands": [known[name] for name in columns["id"]]})
                 for block in blocks(bodies, 500_000):
                     some = part.slice(block.start, len(block))
                     if (found := windows(bodies[block.start : block.stop])) is not None:
@@ -269,30 +304,33 @@ def texts(docs: DataFrame, names: DataFrame, units: Units = lines) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, units: Units = lines) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
     pairs = checkpointed(pairs.distinct())
-    named_texts = written(texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), units), "texts")
-    first, second = (named_texts.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "line_a", "line_b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
         for batch in batches:
             out = []
-            for a, b, line_a, line_b in zip(*(c.to_pylist() for c in batch.columns)):
-                if len(sets) > 5_000:
-                    sets.clear()
-                for k, line in ((a, line_a), (b, line_b)):
-                    if k not in sets:
-                        sets[k] = shingles(line.encode().lower().split())
-                x, y = sets[a], sets[b]
-                if min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    if 9 * shared >= 4 * (len(x) + len(y)):  # shared / union >= 4 / 5
-                        out.append((a, b))
+            for at in range(0, batch.num_rows, 256):
+                for a, b, line_a, line_b in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    if len(sets) > 5_000:
+                        sets.clear()
+                    for k, line in ((a, line_a), (b, line_b)):
+                        if k not in sets:
+                            sets[k] = shingles(line.encode().lower().split())
+                    x, y = sets[a], sets[b]
+                    if min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)):
+                        shared = len(np.intersect1d(x, y, assume_unique=True))
+                        if 9 * shared >= 4 * (len(x) + len(y)):  # shared / union >= 4 / 5
+                            out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+        sets.clear()
+        released()
 
-    return checkpointed(both.mapInArrow(run, "a bigint, b bigint"))
+    with lent(texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), units), "texts") as named_texts:
+        first, second = (named_texts.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
+        both = pairs.join(first, "a").join(second, "b").select("a", "b", "line_a", "line_b")
+        return checkpointed(both.mapInArrow(run, "a bigint, b bigint"))
 
 
 def similar(distinct: DataFrame, docs: DataFrame, units: Units = lines, again: bool = False) -> DataFrame:
@@ -310,15 +348,15 @@ def similar(distinct: DataFrame, docs: DataFrame, units: Units = lines, again: b
     """
     rows = distinct.select("id", "times", F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("times", "id"))["id"].alias("most")).filter("n > 1")
-    members = written(rows.drop("times").join(buckets, "bucket"), "members")
     most = min(CROWDED, FINE_CROWDED) if again else CROWDED
-    calm, crowded = members.filter(F.col("n") <= most).select("bucket", "id"), members.filter(F.col("n") > most)
-    pairs = calm.select("bucket", F.col("id").alias("a")).join(calm.select("bucket", F.col("id").alias("b")), "bucket").filter("a < b").select("a", "b")
-    edges = verified(pairs.unionAll(crowded.filter("id <> most").select(F.least("most", "id").alias("a"), F.greatest("most", "id").alias("b"))), docs, units)
-    labels = checkpointed(connected_components(edges))
-    if crowded.isEmpty():
-        return labels
-    placed = checkpointed(crowded.select("bucket", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")))
+    with lent(rows.drop("times").join(buckets, "bucket"), "members") as members:
+        calm, crowded = members.filter(F.col("n") <= most).select("bucket", "id"), members.filter(F.col("n") > most)
+        pairs = calm.select("bucket", F.col("id").alias("a")).join(calm.select("bucket", F.col("id").alias("b")), "bucket").filter("a < b").select("a", "b")
+        edges = verified(pairs.unionAll(crowded.filter("id <> most").select(F.least("most", "id").alias("a"), F.greatest("most", "id").alias("b"))), docs, units)
+        labels = checkpointed(connected_components(edges))
+        if crowded.isEmpty():
+            return labels
+        placed = checkpointed(crowded.select("bucket", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")))
     sizes = placed.groupBy("bucket", "label").count()
     main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "main")
     open_rows = checkpointed(placed.join(main, "bucket"))
@@ -379,19 +417,19 @@ def _segments(placed: DataFrame) -> DataFrame:
     that one kept place has.
     """
     occurrence = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "word", "line")).alias("kept")
-    classes = written(placed.groupBy("class", "id", "lead", "windows").agg(occurrence, F.min("inside").alias("least"), F.min("row").alias("low_row"), F.max("row").alias("high_row")), "passages-classes")
-    counts = classes.groupBy("id").agg(F.count("*").alias("n"))
-    counted = classes.join(counts, "id")
-    place = lambda kept: [F.col(f"{kept}.row").alias("kept_row"), F.col(f"{kept}.doc_id").alias("kept_doc_id"), F.col(f"{kept}.line").alias("kept_line")]
-    repeats = (F.col("low_row") < F.col("high_row")) & (F.col("least") == 0)
-    single = counted.filter("n = 1").filter(repeats).select("class", F.lit(0).alias("low"), (F.size("windows") - 1).alias("high"), *place("kept"), (F.col("kept.word") - F.col("lead")).alias("kept_at"))
-    each = counted.filter("n > 1").select("class", "id", "lead", "kept", "least", "low_row", "high_row", F.posexplode("windows").alias("i", "w"))
-    at = F.struct("kept.unknown", "kept.doc_id", "kept.row", (F.col("kept.word") + F.col("i")).alias("word"), "kept.line")
-    each = each.select("class", "id", (F.col("lead") + F.col("i")).alias("place"), "i", "w", at.alias("kept"), "least", "low_row", "high_row")
-    kept = each.groupBy("id", "place", "w").agg(F.min("kept").alias("kept"), F.min("least").alias("least"), F.min("low_row").alias("low_row"), F.max("high_row").alias("high_row")).filter(repeats).select("id", "place", "w", "kept")
-    several = each.select("class", "id", "place", "i", "w").join(kept, ["id", "place", "w"])
-    several = several.select("class", "i", *place("kept"), (F.col("kept.word") - F.col("place")).alias("kept_at")).groupBy("class", "kept_row", "kept_doc_id", "kept_line", "kept_at").agg(F.min("i").alias("low"), F.max("i").alias("high"))
-    return single.unionByName(several)
+    with lent(placed.groupBy("class", "id", "lead", "windows").agg(occurrence, F.min("inside").alias("least"), F.min("row").alias("low_row"), F.max("row").alias("high_row")), "passages-classes") as classes:
+        counts = classes.groupBy("id").agg(F.count("*").alias("n"))
+        counted = classes.join(counts, "id")
+        place = lambda kept: [F.col(f"{kept}.row").alias("kept_row"), F.col(f"{kept}.doc_id").alias("kept_doc_id"), F.col(f"{kept}.line").alias("kept_line")]
+        repeats = (F.col("low_row") < F.col("high_row")) & (F.col("least") == 0)
+        single = counted.filter("n = 1").filter(repeats).select("class", F.lit(0).alias("low"), (F.size("windows") - 1).alias("high"), *place("kept"), (F.col("kept.word") - F.col("lead")).alias("kept_at"))
+        each = counted.filter("n > 1").select("class", "id", "lead", "kept", "least", "low_row", "high_row", F.posexplode("windows").alias("i", "w"))
+        at = F.struct("kept.unknown", "kept.doc_id", "kept.row", (F.col("kept.word") + F.col("i")).alias("word"), "kept.line")
+        each = each.select("class", "id", (F.col("lead") + F.col("i")).alias("place"), "i", "w", at.alias("kept"), "least", "low_row", "high_row")
+        kept = each.groupBy("id", "place", "w").agg(F.min("kept").alias("kept"), F.min("least").alias("least"), F.min("low_row").alias("low_row"), F.max("high_row").alias("high_row")).filter(repeats).select("id", "place", "w", "kept")
+        several = each.select("class", "id", "place", "i", "w").join(kept, ["id", "place", "w"])
+        several = several.select("class", "i", *place("kept"), (F.col("kept.word") - F.col("place")).alias("kept_at")).groupBy("class", "kept_row", "kept_doc_id", "kept_line", "kept_at").agg(F.min("i").alias("low"), F.max("i").alias("high"))
+        return written(single.unionByName(several), "passages-segments")
 
 
 def repeated_windows(every: DataFrame, listed: DataFrame, points: DataFrame) -> DataFrame:
@@ -405,17 +443,17 @@ def repeated_windows(every: DataFrame, listed: DataFrame, points: DataFrame) ->
     """
     names = checkpointed(every.groupBy("id").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("id"))
     hits = every.join(names.hint("shuffle_hash"), "id")
-    placed = written(_beside(hits, listed).filter("inside < 2").withColumn("class", F.xxhash64("id", "lead", "windows")), "passages-placed")
-    segments = written(_segments(placed.select("class", "id", "lead", "windows", "row", "doc_id", "word", "inside", "line")), "passages-segments")
-    met = placed.filter("inside = 0").select("class", "row", "doc_id", "word", "lead").join(segments.hint("shuffle_hash"), "class")
-    found = met.select(
-        "row", "doc_id", "kept_row", "kept_doc_id", "kept_line", "kept_at", (F.col("word") - F.col("lead")).alias("own_at"), (F.col("word") + F.col("low")).alias("word"), (F.col("word") + F.col("high") + PASSAGE).alias("past"),
-    )
-    along = Window.partitionBy("row").orderBy("kept_row", "word", "past", "kept_at")
-    here = Window.partitionBy("row", "kept_row").orderBy("word", "past", "kept_at")
-    first = ~F.coalesce(F.col("word") < F.max("past").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    chained = found.withColumn("first", first).withColumn("passage", F.count(F.when(F.col("first"), 1)).over(along)).drop("first")
-    chained = written(chained.withColumn("label", F.xxhash64("row", F.min("word").over(Window.partitionBy("row", "passage")))), "passages-chained")
+    with lent(_beside(hits, listed).filter("inside < 2").withColumn("class", F.xxhash64("id", "lead", "windows")), "passages-placed") as placed:
+        segments = _segments(placed.select("class", "id", "lead", "windows", "row", "doc_id", "word", "inside", "line"))
+        met = placed.filter("inside = 0").select("class", "row", "doc_id", "word", "lead").join(segments.hint("shuffle_hash"), "class")
+        found = met.select(
+            "row", "doc_id", "kept_row", "kept_doc_id", "kept_line", "kept_at", (F.col("word") - F.col("lead")).alias("own_at"), (F.col("word") + F.col("low")).alias("word"), (F.col("word") + F.col("high") + PASSAGE).alias("past"),
+        )
+        along = Window.partitionBy("row").orderBy("kept_row", "word", "past", "kept_at")
+        here = Window.partitionBy("row", "kept_row").orderBy("word", "past", "kept_at")
+        first = ~F.coalesce(F.col("word") < F.max("past").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+        chained = found.withColumn("first", first).withColumn("passage", F.count(F.when(F.col("first"), 1)).over(along)).drop("first")
+        chained = written(chained.withColumn("label", F.xxhash64("row", F.min("word").over(Window.partitionBy("row", "passage")))), "passages-chained")
     own = chained.filter("row = kept_row and own_at = kept_at").select(F.col("row").alias("kept_row"), "kept_at", F.col("label").alias("kept_label")).distinct()
     called = chained.join(own.hint("shuffle_hash"), ["kept_row", "kept_at"], "left").withColumn("component", F.coalesce("kept_line", "kept_label"))
     whole = called.groupBy("row", "passage").agg(

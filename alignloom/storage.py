@@ -58,6 +58,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def lent(df: DataFrame, name: str):
+    """df as written() keeps it, until the block ends; what is read from it must be kept elsewhere by then."""
+    spark, path = df.sparkSession, fresh(df.sparkSession, name)
+    with tidy(spark):
+        df.write.parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has yet."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

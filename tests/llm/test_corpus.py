@@ -467,6 +467,28 @@ def test_near_duplicates(spark, docs, none, monkeypatch, crowded):
     assert drop_near_duplicates(spark, none, "").count() == 0 and drop_near_duplicates(spark, docs, "").columns == docs.columns
 
 
+def test_passage_bands():
+    """Of many paragraphs at once each has the bands that it has alone; similar ones share some, others none."""
+    rng, vocabulary = random.Random(29), [f"word{i}".encode() for i in range(3000)]
+    texts = [rng.choices(vocabulary, k=rng.randint(41, 400)) for _ in range(40)] + [[b"x"] * 41, [b"y" * 200] * 41]
+    texts += [[*words[:20], b"other", *words[21:]] for words in texts[:40] if len(words) >= 80]
+    plains = [b" ".join(words) for words in texts]
+    found = passages.banded(plains)
+    assert found == [passages.banded([p])[0] for p in plains] and all(len(set(b)) == passages.BANDS for b in found)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            similar = brute_jaccard(b" ".join(a).decode(), b" ".join(b).decode()) >= 0.8
+            assert similar == bool(set(found[i]) & set(found[j]))
+
+
+def test_intermediate_tables_are_removed(spark, docs, monkeypatch, tmp_path):
+    from alignloom import storage
+
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: str(tmp_path))
+    assert passages.repeats(docs).count() > 0
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {"passages", "passages-segments", "passages-chained"}
+
+
 def test_near_duplicates_by_simhash(spark, monkeypatch):
     """SimHash links bring pairs to the exact comparison by themselves, and do not decide."""
     from corpus_pipeline import drop_near_duplicates
