@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alignloom.llm import passages, simhash
-from alignloom.llm.common import checkpointed, first_of_each, hidden
+from alignloom.llm.common import checkpointed, first_of_each, hidden, released
 
 #: Bands of passages.ROWS rows: a pair at the threshold 0.8 is missed with probability (1 - 0.8**4)**24 = 3e-6.
 BANDS = 24
@@ -33,6 +33,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("id", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         known: dict[int, tuple[int, list[int]]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -48,6 +49,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     found.append(known[name])
                 fps, found = zip(*found)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+        released()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id bigint, h bigint, id bigint, fp bigint, bands array<bigint>")
 

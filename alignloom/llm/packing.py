@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alignloom.llm import tokens
-from alignloom.llm.common import checkpointed
+from alignloom.llm.common import checkpointed, released
 
 #: Documents of a group on average.
 GROUP_DOCS = 2000
@@ -72,6 +72,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
                         part = ids[at : at + 4 * capacity]
                         rows.append((doc_ids[i], keys[i], at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, *[part] * with_ids))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+        released(tokenizers=False)
 
     ddl = "doc_id bigint, doc_key bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id(), F.col("text")).mapInArrow(cut, ddl)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alignloom.llm.common import free_name, hidden, written
+from alignloom.llm.common import free_name, hidden, released, written
 
 #: Labelled training rows of either class that the model is fitted on, at most: the smallest hashes of doc_id.
 SAMPLE_ROWS = 2000
@@ -71,6 +71,15 @@ def terms(word: str) -> list[tuple[str, ...]]:
     return [(word,), tuple(word[:k] for k in range(4, 8) if k < n), tuple(word[-k:] for k in range(4, 7) if k < n), tuple({word[i : i + 4] for i in range(n - 3)})]
 
 
+def _families(words: Counter) -> list[set[str]]:
+    """Of each family, the distinct terms of the words."""
+    out = [set() for _ in FAMILIES]
+    for w in words:
+        for known, some in zip(out, terms(w)):
+            known.update(some)
+    return out
+
+
 def bands(words: Counter) -> list[int]:
     """Six values, each of six MinHash values over the words: nearly all rows that share nine words of ten share one, few that share half."""
     factors = np.random.default_rng(7).integers(1, 1 << 63, 36, dtype=np.uint64) | np.uint64(1)
@@ -257,14 +266,22 @@ def sampled(docs: DataFrame, known: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("bands", pa.list_(pa.int64())), ("terms", pa.list_(pair)), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                rows = []
-                for doc_id, toxic, text in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
+                keys, ends, families, found = [], [0], [], []
+                for text in part.column(2).to_pylist():
                     words, _ = counted(text)
-                    found = {(k, t) for w in words for k, some in enumerate(terms(w)) for t in some}
-                    rows.append({"doc_id": doc_id, "toxic": toxic, "bands": bands(words), "terms": [{"family": k, "term": t} for k, t in found], "text": text})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    keys.append(bands(words))
+                    for k, some in enumerate(_families(words)):
+                        families += [k] * len(some)
+                        found += some
+                    ends.append(len(found))
+                pairs = pa.StructArray.from_arrays([pa.array(families, pa.int32()), pa.array(found, pa.string())], fields=list(pair))
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int64())), listed, part.column(2)], schema=schema)
+        released()
 
     return once.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id bigint, toxic int, bands array<bigint>, terms array<struct<family:int,term:string>>, text string")
 
@@ -296,6 +313,7 @@ def _cast(sample: DataFrame, folds: DataFrame, lexicons: list[Lexicon]) -> list:
     schema = pa.schema([("doc_id", pa.int64()), ("votes", pa.list_(pa.int64())), ("figures", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         memos = [{}, {}]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -343,12 +361,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def _scores(text: str, model: Model) -> Column:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        released()
         memo: dict[str, tuple[float, ...]] = {}
         for texts in batches:
             found = []
             for at in range(0, len(texts), 256):
                 found += [model.score(t, memo) for t in texts.slice(at, 256).to_pylist()]
             yield pa.array(found, pa.float64())
+        memo.clear()
+        released()
 
     return score(text)
 

@@ -624,6 +624,30 @@ def rooted(tree):
     return True
 
 
+def test_toxicity_sample_holds_each_term_once(spark):
+    words = [f"wörd{i}x" for i in range(400)]
+    rows = [(i, i % 2, " ".join(words[i : i + 300]) if i % 9 else None) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, text string")
+    sample = toxicity.sampled(docs, spark.createDataFrame([(i, y) for i, y, _ in rows], "doc_id bigint, toxic int"))
+    for r in sample.collect():
+        words, _ = toxicity.counted(rows[r["doc_id"]][2])
+        assert sorted(tuple(t) for t in r["terms"]) == sorted({(k, t) for w in words for k, some in enumerate(toxicity.terms(w)) for t in some})
+        assert (r["toxic"], r["text"], r["bands"]) == (rows[r["doc_id"]][1], rows[r["doc_id"]][2], toxicity.bands(words))
+    assert sample.count() == len(rows)
+
+
+def test_workers_forget_tokenizers(monkeypatch):
+    import sys
+
+    from alignloom.llm import common
+
+    monkeypatch.setitem(sys.modules, "_alignloom_worker", object())
+    common.released(tokenizers=False)
+    assert "_alignloom_worker" in sys.modules
+    common.released()
+    assert "_alignloom_worker" not in sys.modules
+
+
 def test_toxicity_lexicons(spark):
     rng, vocabulary = random.Random(9), ["zorgul", "zorgamen", "calm", "quiet", "river", "stone", "word", "x" * 50]
     rows = []
