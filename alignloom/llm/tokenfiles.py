@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alignloom.llm import storage, tokens
-from alignloom.llm.common import checkpointed
+from alignloom.llm.common import checkpointed, released
 
 #: Fixed values of the public format.
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A5C, 0x8F92EAB1, 0x80
@@ -127,7 +127,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2) -> Data
         encoder = tokens.encoder(tokenizer)
         wide = encoder._tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         part, file_no, out = TaskContext.get().partitionId(), 0, []
-        flow = ((d, np.frombuffer(b, "<u4")) for batch in batches for texts in [batch.column(1).to_pylist()] for ids in [batch.column(0).to_pylist()] for block in tokens.blocks(texts) for d, b in zip((ids[i] for i in block), encoder.encode([texts[i] for i in block])))
+
+        def encoded() -> Iterator[tuple[int | None, np.ndarray]]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, tokens.SLICE_DOCS):
+                    ids, texts = (c.to_pylist() for c in batch.slice(at, tokens.SLICE_DOCS).columns)
+                    for block in tokens.blocks(texts):
+                        yield from zip(ids[block.start : block.stop], (np.frombuffer(b, "<u4") for b in encoder.encode(texts[block.start : block.stop])))
+
+        flow = encoded()
         item = next(flow, None)
         while item:
             with storage.created(folder, ".ids.zst") as (stream, path):
@@ -138,6 +146,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2) -> Data
                 writer.close()
             out.append((part, file_no, path, writer.docs, writer.ids))
             file_no += 1
+        released(tokenizers=False)
         schema = pa.schema([("part", pa.int32()), ("file_no", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
 
@@ -165,6 +174,7 @@ def read(spark: SparkSession, files: DataFrame) -> DataFrame:
                             found.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                             at += len(ids)
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found), schema)], schema=schema)
+        released()
 
     named = spark.createDataFrame(rows, "path string, start bigint").repartition(max(1, len(rows)))
     return named.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

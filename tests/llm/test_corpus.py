@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from alignloom.llm import decontaminate, packing, passages, secrets, sharding, simhash, storage, tokenfiles, tokens, toxicity, warc, winnowing
 from alignloom.llm.graph import connected_components
@@ -193,6 +194,44 @@ def test_encoder_on_any_text(name, text):
     assert np.frombuffer(tokens.encoder(path).encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(["byte_bpe_50k.json", "word_bpe_49k.json"]), st.lists(st.lists(st.sampled_from([*" \n'sSltrevmdD19.-éßÈĀį×İ\t’", "'s", "'ll", "'VE", "  ", "\n\n", "''", "don't"]), max_size=40).map("".join), max_size=6))
+def test_encoder_on_plain_characters(name, texts):
+    path, whole = tokenizer(name)
+    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.encoder(path).encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+class Counting:
+    """A tokenizer, or its model, that counts the characters it encodes."""
+
+    def __init__(self, of, seen):
+        self._of, self._seen = of, seen
+
+    def __getattr__(self, name):
+        found = getattr(self._of, name)
+        if name == "model":
+            return Counting(found, self._seen)
+        if name not in ("tokenize", "encode_batch_fast"):
+            return found
+
+        def counted(texts, **kwargs):
+            self._seen.append(sum(map(len, texts)))
+            return found(texts, **kwargs)
+
+        return counted
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_word_is_encoded_once_whatever_follows_it(name):
+    path, whole = tokenizer(name)
+    draw, encoder, seen = random.Random(7), tokens.Encoder(path), []
+    words = ["".join(draw.choices("abcdeéoß", k=9)) for _ in range(1000)]
+    texts = [" ".join(["-", *(w + end for w in words)]) for end in ["", *(a + b for a in ".,;!$%" for b in ".&")]]
+    encoder._tokenizer = Counting(encoder._tokenizer, seen)
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(seen) < 2 * len(texts[0].encode())
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -258,6 +297,20 @@ def test_token_files(spark, docs, none, monkeypatch):
     assert tokenfiles.encode_and_read(none, path).count() == 0
 
 
+@pytest.mark.parametrize("made", [lambda d, p: tokenfiles.encode_and_read(d, p)])
+def test_few_texts_are_held_at_a_time(spark, monkeypatch, made):
+    class Few(tokens.Encoder):
+        def encode(self, texts):
+            if len(texts) > 1000:
+                raise MemoryError(f"{len(texts)} texts at once")
+            return super().encode(texts)
+
+    path, _ = tokenizer("byte_bpe_50k.json")
+    monkeypatch.setattr(tokens, "encoder", Few)
+    docs = spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).coalesce(1)
+    assert made(docs, path).count() == 2500
+
+
 def test_token_file_frames_and_damage():
     out = io.BytesIO()
     writer = tokenfiles.Writer(out)
