@@ -62,11 +62,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokenizer).encode
-        for batch in batches:
-            doc_ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
+        for some in (batch.slice(at, tokens.SLICE_DOCS) for batch in batches for at in range(0, batch.num_rows, tokens.SLICE_DOCS)):
+            doc_ids, keys, texts = (c.to_pylist() for c in some.columns)
             for block in tokens.blocks(texts):
                 rows = []
-                for i, body in zip(block, encode([texts[i] for i in block])):
+                for i, body in zip(block, encode(texts[block.start : block.stop])):
                     ids = body + end
                     for at in range(0, len(ids), 4 * capacity):
                         part = ids[at : at + 4 * capacity]

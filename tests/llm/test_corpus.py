@@ -297,7 +297,7 @@ def test_token_files(spark, docs, none, monkeypatch):
     assert tokenfiles.encode_and_read(none, path).count() == 0
 
 
-@pytest.mark.parametrize("made", [lambda d, p: tokenfiles.encode_and_read(d, p)])
+@pytest.mark.parametrize("made", [lambda d, p: tokenfiles.encode_and_read(d, p), lambda d, p: packing.pack(d, p)])
 def test_few_texts_are_held_at_a_time(spark, monkeypatch, made):
     class Few(tokens.Encoder):
         def encode(self, texts):
