@@ -8,6 +8,7 @@ longer lines.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack, contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,6 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alignloom.functions.blocks import let, running
 from alignloom.llm.common import checkpointed, hidden, lent, released, written
 from alignloom.llm.graph import connected_components
 from alignloom.llm.tokens import blocks
@@ -34,6 +34,8 @@ FINE_BANDS, FINE_ROWS = 40, 8
 #: Buckets of so many paragraphs at most compare all pairs, which fetches two texts a pair; fine ones, of which a paragraph
 #: has many, are few enough to do so at a smaller size.
 CROWDED, FINE_CROWDED = 32, 4
+#: Bits of the filter that sifts anchors: 32 MB.
+SIEVE_BITS = 1 << 28
 #: Up to so many paragraphs' names (8 bytes each) are broadcast to fetch their texts; beyond, the join shuffles.
 BROADCAST_NAMES = 100_000
 
@@ -432,6 +434,34 @@ def _segments(placed: DataFrame) -> DataFrame:
         return written(single.unionByName(several), "passages-segments")
 
 
+@contextmanager
+def sifted(names: DataFrame, n: int):
+    """A join with names, n rows, made and run inside sifts its wide side by a Bloom filter of them before it is shuffled.
+
+    That leaves the join's result as it is. The filter has ten bits a name, SIEVE_BITS at most.
+    """
+    conf, bloom, bits = names.sparkSession.conf, "spark.sql.optimizer.runtime.bloomFilter", min(max(10 * n, 1 << 16), SIEVE_BITS)
+    sizes = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": str(1 << 50), "expectedNumItems": str(n), "maxNumItems": str(n), "numBits": str(bits), "maxNumBits": str(bits)}
+    wanted = {f"{bloom}.{k}": v for k, v in sizes.items()} | {"spark.sql.autoBroadcastJoinThreshold": "-1"}  # what could be broadcast gets no filter
+    before = {k: conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                conf.unset(k)
+            else:
+                conf.set(k, v)
+
+
+def hits_of(every: DataFrame, names: DataFrame, n: int) -> DataFrame:
+    """The anchors whose hash is among the n names (id, low, high), those of two rows or more; sifted() where they are many."""
+    known = names.filter("low < high").select("id")  # without a condition Spark makes no filter of them
+    return every.join(F.broadcast(known) if n <= BROADCAST_NAMES else known.hint("shuffle_hash"), "id")
+
+
 def repeated_windows(every: DataFrame, listed: DataFrame, points: DataFrame) -> DataFrame:
     """The same columns as repeated_lines for passages of repeated windows that lie in no listed line; paragraph is null.
 
@@ -441,9 +471,12 @@ def repeated_windows(every: DataFrame, listed: DataFrame, points: DataFrame) ->
     A component is a kept passage, or kept line, with the passages whose windows it
     keeps.
     """
-    names = checkpointed(every.groupBy("id").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("id"))
-    hits = every.join(names.hint("shuffle_hash"), "id")
-    with lent(_beside(hits, listed).filter("inside < 2").withColumn("class", F.xxhash64("id", "lead", "windows")), "passages-placed") as placed:
+    twice = every.groupBy("id").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high")
+    with ExitStack() as held:
+        with lent(twice, "passages-names") as names:
+            n = names.count()
+            with sifted(names, max(1, n)):
+                placed = held.enter_context(lent(_beside(hits_of(every, names, n), listed).filter("inside < 2").withColumn("class", F.xxhash64("id", "lead", "windows")), "passages-placed"))
         segments = _segments(placed.select("class", "id", "lead", "windows", "row", "doc_id", "word", "inside", "line"))
         met = placed.filter("inside = 0").select("class", "row", "doc_id", "word", "lead").join(segments.hint("shuffle_hash"), "class")
         found = met.select(
@@ -462,14 +495,32 @@ def repeated_windows(every: DataFrame, listed: DataFrame, points: DataFrame) ->
     )
     fields = ["doc_id", "word", "past", "component", "kept_doc_id", "kept_row"]
     by_row = whole.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("passages"))  # few of one row: at most its words
-    ends = running(F.zip_with("gaps", "lengths", lambda g, n: g + n))  # of the word before
-    spread = by_row.join(points, "row").select("row", "gaps", "lengths", ends.alias("ends"), "passages").select("row", F.inline(let(F.struct("gaps", "lengths", "ends"), lambda w: F.transform("passages", lambda p: F.struct(
-        *[p[f].alias(f) for f in fields], (F.get(w["ends"], p["word"]) + F.get(w["gaps"], p["word"])).alias("start"),
-        (F.get(w["ends"], p["past"] - 1) + F.get(w["gaps"], p["past"] - 1) + F.get(w["lengths"], p["past"] - 1)).alias("stop"),
-    )))))
+    spread = located(by_row.join(points, "row").select("row", "gaps", "lengths", "passages"))
     return spread.select("row", "doc_id", F.lit(None).cast("int").alias("paragraph"), "start", "stop", (F.col("past") - F.col("word")).alias("n_words"), "component", "kept_doc_id", (F.col("row") != F.col("kept_row")).alias("removed"))
 
 
+def located(rows: DataFrame) -> DataFrame:
+    """Each of the passages of rows (row, gaps, lengths, passages) with start and stop, the code points of its words from word to past."""
+    inside = rows.schema["passages"].dataType.elementType
+    names = inside.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, gaps, lengths, passages = batch.columns
+            first = gaps.offsets.to_numpy()
+            gap, length = (c.values.to_numpy()[: first[-1]].astype(np.int64) for c in (gaps, lengths))
+            past = np.concatenate(([0], np.cumsum(gap + length)))  # code points before each word, from the batch's first
+            held, of = passages.flatten(), np.repeat(np.arange(len(row)), np.diff(passages.offsets.to_numpy()))
+            columns = dict(zip(names, held.flatten()))
+            head, base = first[of], past[first[of]]
+            low, high = (head + columns[c].to_numpy() for c in ("word", "past"))
+            made = [row.take(pa.array(of)), *(columns[c] for c in names), pa.array(past[low] + gap[low] - base), pa.array(past[high] - base)]
+            yield pa.RecordBatch.from_arrays(made, names=["row", *names, "start", "stop"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inside.fields)
+    return rows.mapInArrow(run, f"row bigint, {fields}, start bigint, stop bigint")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Every occurrence of a passage of PASSAGE words or more that another row of docs repeats, exactly or nearly.
 

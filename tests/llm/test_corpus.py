@@ -818,3 +818,30 @@ def test_pipeline_over_awkward_rows(spark, tmp_path, empty):
     kept, found = docs.collect(), packed.collect()
     assert Counter(r["doc_id"] for r in kept) == Counter({d: len({r["doc_key"] for r in found if r["doc_id"] == d}) for d in {r["doc_id"] for r in found}})
     assert bool(kept) != empty
+
+
+def test_only_anchors_that_may_repeat_are_shuffled(spark, docs, monkeypatch):
+    monkeypatch.setattr(passages, "BROADCAST_NAMES", 0)
+    names = spark.createDataFrame([(i, 0, 1) for i in range(0, 1000, 10)], "id bigint, low bigint, high bigint")
+    anchors = spark.range(100_000).withColumn("windows", F.array(F.col("id").cast("int")))
+    with passages.lent(names, "names") as kept, passages.lent(anchors, "anchors") as every:
+        with passages.sifted(kept, 100):
+            hits = passages.hits_of(every, kept, 100)
+            assert sorted(r["id"] for r in hits.collect()) == list(range(0, 1000, 10))
+            plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "might_contain" in plan and spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b") != "-1"
+    few = Counter(collected(passages.repeats(docs)))
+    monkeypatch.setattr(passages, "BROADCAST_NAMES", 100_000)
+    assert few and Counter(collected(passages.repeats(docs))) == few
+
+
+def test_words_are_located(spark):
+    draw, rows, want = random.Random(3), [], []
+    for row in range(40):
+        gaps, lengths = ([draw.randint(low, 9) for _ in range(60 + row)] for low in (0, 1))
+        passed = [(None if k else row, w := draw.randrange(60), draw.randint(w + 1, 60), row) for k in range(draw.randint(1, 3))]
+        rows.append((row, gaps, lengths, passed))
+        want += [(row, d, w, p, n, sum(gaps[: w + 1]) + sum(lengths[:w]), sum(gaps[:p]) + sum(lengths[:p])) for d, w, p, n in passed]
+    found = passages.located(spark.createDataFrame(rows, "row bigint, gaps array<int>, lengths array<int>, passages array<struct<doc_id: bigint, word: int, past: int, kept_row: bigint>>"))
+    key = lambda r: [(x is not None, x) for x in r]
+    assert found.columns == ["row", "doc_id", "word", "past", "kept_row", "start", "stop"] and sorted(collected(found), key=key) == sorted(want, key=key)
