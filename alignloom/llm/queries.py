@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignloom.llm import decontaminate, packing, passages, secrets, sharding, simhash, tokenfiles, toxicity, warc, winnowing
+from alignloom.llm import decontaminate, exactdedup, packing, passages, periodic, secrets, sharding, simhash, tokenfiles, toxicity, warc, winnowing
 from alignloom.llm.common import table
 
 
@@ -115,5 +115,62 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_winnowing": op8_winnowing, "op9_simhash": op9_simhash, "op10_passages": op10_passages}
-ORACLES = {"op1_secret_scan": op1_sql(), "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL}
+def _crc32_sql(ascii_text: str) -> str:
+    """The unsigned CRC-32 of an ASCII string, by the column `crc_t` of the table `crc`."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({ascii_text}, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, crc_t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295::BIGINT)"
+
+
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda k: list_reduce(list_prepend(CAST(k AS BIGINT), range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) crc_t)"
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text group and the row of it that stays."""
+    return exactdedup.assess(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """SELECT doc_id, max(doc_id) OVER w keep_id, count(*) OVER w group_size, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 kept, sha256(coalesce(text, '')) text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs of repeated words, one text in ten made periodic first."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.when(h % 10 == 0, F.floor(h / 10)), F.lit(-1)).alias("g"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    periodic = F.expr("array_join(transform(sequence(0, cast(n - 1 as int)), i -> element_at(w, cast(if(i < a, i, a + (i - a) % p) as int) + 1)), ' ')")
+    planted = docs.withColumn("w", F.when(F.col("g") >= 0, words)).withColumn("n", F.size("w").cast("long"))
+    planted = planted.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    found = periodic_runs(planted.select("doc_id", F.when(F.col("a").isNotNull(), periodic).otherwise(F.col("text")).alias("text")))
+    return found
+
+
+def periodic_runs(docs: DataFrame) -> DataFrame:
+    """The digest of periodic.detect: doc_id, n_runs, the run of the greatest exponent, digests of all runs and of the collapsed text."""
+    found = periodic.detect(docs)
+    more = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(more(r, b) > 0, r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: Pairs of like words at one distance, in unbroken rows: islands of (place - number).
+OP13_SQL = rf"""WITH {_CRC_TABLE}, d0 AS (SELECT doc_id, row_number() OVER () r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, {_crc32_sql("CAST(doc_id AS VARCHAR)")} h FROM documents, crc),
+d1 AS (SELECT *, len(w) n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END a FROM d0),
+d AS (SELECT doc_id, r, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1]) END w FROM d1),
+t AS (SELECT r, n, unnest(w) x, generate_subscripts(w, 1) - 1 i FROM d),
+e AS (SELECT s.r, s.i, u.i - s.i q FROM t s JOIN t u ON s.r = u.r AND s.x = u.x AND u.i > s.i AND 4 * (u.i - s.i) <= s.n),
+g AS (SELECT r, q, min(i) s, count(*) + q len FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) island FROM e) GROUP BY r, q, island),
+z AS (SELECT r, s, len, min(q) q FROM g WHERE len >= greatest(6, 4 * q) GROUP BY r, s, len),
+b AS (SELECT r, count(*) n_runs, string_agg(concat(s, ',', len, ',', q, chr(10)), '' ORDER BY s, q) txt FROM z GROUP BY r),
+m AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY r ORDER BY CAST(len AS DOUBLE) / q DESC, s, q) = 1),
+gone AS (SELECT r, list_distinct(flatten(list(range(s + q, s + len)))) gs FROM z GROUP BY r),
+k AS (SELECT t.r, string_agg(x, ' ' ORDER BY i) body FROM t LEFT JOIN (SELECT r, unnest(gs) i, true hit FROM gone) o USING (r, i) WHERE hit IS NULL GROUP BY t.r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) n_runs, CAST(s AS BIGINT) AS start, CAST(len AS BIGINT) length, CAST(q AS BIGINT) period, CAST(1000 * len // q AS BIGINT) exponent_milli, sha256(coalesce(txt, '')) runs_sha256, sha256(coalesce(body, '')) collapsed_sha256
+FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r) LEFT JOIN k USING (r)"""
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_winnowing": op8_winnowing, "op9_simhash": op9_simhash, "op10_passages": op10_passages, "op12_exact_dedup": op12_exact_dedup, "op13_periodic_runs": op13_periodic_runs}
+ORACLES = {"op1_secret_scan": op1_sql(), "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op12_exact_dedup": OP12_SQL, "op13_periodic_runs": OP13_SQL}
