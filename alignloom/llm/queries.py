@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignloom.llm import decontaminate, exactdedup, packing, passages, periodic, secrets, sharding, simhash, tokenfiles, toxicity, warc, winnowing
+from alignloom.llm import conversations, decontaminate, exactdedup, packing, passages, periodic, secrets, sharding, simhash, tokenfiles, toxicity, warc, winnowing
 from alignloom.llm.common import table
 
 
@@ -123,6 +123,47 @@ def _crc32_sql(ascii_text: str) -> str:
 _CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda k: list_reduce(list_prepend(CAST(k AS BIGINT), range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) crc_t)"
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, and its cheapest repair."""
+    source = table(spark, sf_dir, "conversations")
+    found, ids = conversations.assess(conversations.damaged(source)), source.select("conv_id").distinct()
+    met = ids.alias("i").join(found.alias("f"), F.col("i.conv_id").eqNullSafe(F.col("f.conv_id")), "left")
+    longs = [F.coalesce(f"f.{c}", F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return met.select("i.conv_id", *longs, F.coalesce("f.audit", F.lit("")).alias("audit"), F.coalesce("f.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _op11_sql() -> str:
+    """Costs and labels of the four grammar states in one string each, nine digits then labels, so that least() compares both; ~ is out of reach."""
+    plus = lambda w, cost, label: f"CASE WHEN {w} = '~' THEN '~' ELSE concat(lpad(CAST(CAST(left({w}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0'), substr({w}, 10), '{label}') END"
+    # states: 0 nothing yet, 1 after s, 2 after u, 3 after a
+    inserted = lambda w: (f"'~'", "'~'", f"least({', '.join(plus(w[i], 3, 'I') for i in (0, 1, 3))})", plus(w[2], 3, "I"))
+    names = [f"w{i}" for i in range(4)]
+    once, twice = [f"i{i}" for i in range(4)], [f"j{i}" for i in range(4)]
+    closure = f"""SELECT *, {', '.join(f'{e} j{i}' for i, e in enumerate(inserted(once)))} FROM (SELECT *, {', '.join(f'{e} i{i}' for i, e in enumerate(inserted(names)))} FROM {{source}})"""
+    best = [f"least({a}, {b}, {c})" for a, b, c in zip(names, once, twice)]
+    keep = lambda w, to: plus(w, "3 * r.truncated", "K") if to is None else plus(w, to, "K")
+    row = lambda sources, ini, can_rerole: f"least({', '.join([x for w in sources for x in ([f'CASE WHEN r.ini = ' + repr(ini) + f' AND NOT r.bad THEN {keep(w, None)} ELSE ' + repr('~') + ' END'] + ([f'CASE WHEN r.bad THEN ' + repr('~') + f' ELSE {plus(w, chr(51) + chr(43) + chr(51) + chr(42) + "r.truncated", "R")} END'] if can_rerole else []))])})"
+    steps = [plus("b0", 4, "D"), f"least({plus('b1', 4, 'D')}, {row(['b0'], 's', False)})", f"least({plus('b2', 4, 'D')}, {row(['b0', 'b1', 'b3'], 'u', True)})", f"least({plus('b3', 4, 'D')}, {row(['b2'], 'a', True)})"]
+    blank = r"'[^\x20\x09-\x0D]'"
+    return rf"""WITH RECURSIVE {_CRC_TABLE},
+src AS (SELECT conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, {_crc32_sql("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 dmg FROM conversations, crc),
+dam AS (SELECT conv_id, turn, CASE WHEN dmg = 4 THEN 'user' ELSE role END role, CASE dmg WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END text, unnest(range(CASE dmg WHEN 3 THEN 2 ELSE 1 END)) copy FROM src WHERE dmg <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) i FROM dam),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 again, NOT regexp_matches(text, {blank.replace(chr(92) * 2, chr(92))}) blank,
+ CASE WHEN regexp_matches(text, '[.!?][ 	-
+]*$') THEN 0 ELSE 1 END unended, left(role, 1) ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) pair FROM num),
+r AS (SELECT *, blank OR again bad, CASE WHEN blank OR again THEN 0 ELSE unended END truncated FROM seen),
+fold AS (SELECT conv_id, 0::BIGINT i, '000000000' w0, '~' w1, '~' w2, '~' w3 FROM (SELECT DISTINCT conv_id FROM conversations)
+ UNION ALL SELECT b.conv_id, b.i + 1, {', '.join(steps)} FROM (SELECT conv_id, i, {', '.join(f'{e} b{k}' for k, e in enumerate(best))} FROM ({closure.format(source='fold')})) b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1),
+done AS (SELECT conv_id, i, least(b0, b3) w FROM (SELECT conv_id, i, {', '.join(f'{e} b{k}' for k, e in enumerate(best))} FROM ({closure.format(source='(SELECT * FROM fold QUALIFY i = max(i) OVER (PARTITION BY conv_id))')}))),
+lab AS (SELECT conv_id, p, substr(w, 9 + p, 1) l, sum(CASE WHEN substr(w, 9 + p, 1) = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY p) i FROM (SELECT conv_id, w, unnest(range(1, length(w) - 8)) p FROM done)),
+out AS (SELECT lab.conv_id, p, l, text, role, count(*) OVER (PARTITION BY lab.conv_id ORDER BY p) - max(CASE WHEN l = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY lab.conv_id) nth FROM lab LEFT JOIN r ON lab.l <> 'I' AND r.conv_id IS NOT DISTINCT FROM lab.conv_id AND r.i = lab.i WHERE l <> 'D'),
+rep AS (SELECT conv_id, string_agg(CASE WHEN l = 'K' THEN concat(role, ':', text) ELSE concat(CASE WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END, ':', CASE WHEN l = 'R' THEN text ELSE '' END) END, chr(10) ORDER BY p) body FROM out GROUP BY conv_id),
+cnt AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) gaps, CAST(count(*) FILTER (blank) AS BIGINT) blank, CAST(count(*) FILTER (again AND NOT blank) AS BIGINT) duplicate, CAST(sum(truncated) AS BIGINT) truncated, CAST(count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS BIGINT) illegal FROM r GROUP BY conv_id)
+SELECT done.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, CAST(left(w, 9) AS BIGINT) AS cost, substr(w, 10) audit, sha256(coalesce(body, '')) repaired_sha256
+FROM done LEFT JOIN cnt ON cnt.conv_id IS NOT DISTINCT FROM done.conv_id LEFT JOIN rep ON rep.conv_id IS NOT DISTINCT FROM done.conv_id"""
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text group and the row of it that stays."""
     return exactdedup.assess(table(spark, sf_dir, "documents"))
@@ -172,5 +213,5 @@ SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) n_runs, CAST(s AS BIGINT) AS
 FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r) LEFT JOIN k USING (r)"""
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_winnowing": op8_winnowing, "op9_simhash": op9_simhash, "op10_passages": op10_passages, "op12_exact_dedup": op12_exact_dedup, "op13_periodic_runs": op13_periodic_runs}
-ORACLES = {"op1_secret_scan": op1_sql(), "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op12_exact_dedup": OP12_SQL, "op13_periodic_runs": OP13_SQL}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_sharding": op2_sharding, "op3_toxicity": op3_toxicity, "op4_warc": op4_warc, "op5_decontamination": op5_decontamination, "op6_packing": op6_packing, "op7_token_files": op7_token_files, "op8_winnowing": op8_winnowing, "op9_simhash": op9_simhash, "op10_passages": op10_passages, "op11_conversation_repair": op11_conversation_repair, "op12_exact_dedup": op12_exact_dedup, "op13_periodic_runs": op13_periodic_runs}
+ORACLES = {"op1_secret_scan": op1_sql(), "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL, "op11_conversation_repair": _op11_sql(), "op12_exact_dedup": OP12_SQL, "op13_periodic_runs": OP13_SQL}
