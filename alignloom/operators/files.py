@@ -85,12 +85,9 @@ def assemble(pieces: DataFrame, folder: str, gzipped: bool = False) -> DataFrame
 
 def regions(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     """(ordinal, file_no, offset, start, length): of each chain the bytes from its header to the next one's; a file's first has all before it too."""
-    index = chains.spans(spark, paths, **options)
     sizes = spark.createDataFrame([(i, _size(p)) for i, p in enumerate(paths)], "file_no int, size bigint")
-    beside = lambda by, name: index.select((F.col("ordinal") + by).alias("ordinal"), "file_no", F.col("offset").alias(name))
-    met = index.join(beside(-1, "next"), ["ordinal", "file_no"], "left").join(beside(1, "previous"), ["ordinal", "file_no"], "left").join(sizes, "file_no")
-    start = F.when(F.col("previous").isNull(), 0).otherwise(F.col("offset"))
-    return met.select("ordinal", "file_no", "offset", start.alias("start"), (F.coalesce("next", "size") - start).alias("length"))
+    met = chains.spans(spark, paths, **options).join(F.broadcast(sizes), "file_no")  # one row a file
+    return met.select("ordinal", "file_no", "offset", "start", F.coalesce("reach", F.col("size") - F.col("start")).alias("length"))
 
 
 def _size(path: str) -> int:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,35 +89,42 @@ def header_predicates(s: FilterSpec) -> list[Column]:
 
 
 def reads_blocks(s: FilterSpec):
-    """A function of a header (a dict) that says whether the filter can look at its blocks: what header predicates
-    reject needs none, unless gaps are merged. An id that is still to be generated decides nothing."""
-    every = s.merge_zero_gaps
-    listed = [(c, set(names(v)), want) for v, c, want in ((s.query_names, "q_name", True), (s.exclude_query_names, "q_name", False), (s.target_names, "r_name", True), (s.exclude_target_names, "r_name", False)) if v is not None]
-    bounds = []  # (value of a header, least, below)
+    """A function of headers' columns that says whose blocks the filter can look at: what header predicates reject
+    needs none, unless gaps are merged. An id that is still to be generated decides nothing."""
+    listed = [(c, names(v), want) for v, c, want in ((s.query_names, "q_name", True), (s.exclude_query_names, "q_name", False), (s.target_names, "r_name", True), (s.exclude_target_names, "r_name", False)) if v is not None]
+    bounds = []  # (value of headers, least, below)
     for side, p in (("query", "q"), ("target", "r")):
         bounds += [(f"{p}_{edge}", getattr(s, f"min_{side}_{edge}"), getattr(s, f"max_{side}_{edge}")) for edge in ("start", "end")]
         bounds += [(f"{p}_end", getattr(s, f"{side}_overlap_start"), None), (f"{p}_start", None, getattr(s, f"{side}_overlap_end"))]
     spans = [(p, getattr(s, f"min_{side}_span"), getattr(s, f"max_{side}_span")) for side, p in (("query", "q"), ("target", "r"))]
-    bounds, spans = [b for b in bounds if b[1:] != (None, None)], [b for b in spans if b[1:] != (None, None)]
 
-    def reads(h: dict) -> bool:
-        if every:
-            return True
+    def reads(h: dict) -> np.ndarray:
         score = h["score"]
-        if s.min_score is not None and not (score >= 0 and score >= s.min_score) or s.max_score is not None and not (score < 0 or score < s.max_score):
-            return False
-        if any((h[c] in known) != want for c, known, want in listed):
-            return False
-        if any(low is not None and h[c] < low or high is not None and h[c] >= high for c, low, high in bounds):
-            return False
+        out = np.ones(len(score), bool)
+        if s.merge_zero_gaps:
+            return out
+        flags = lambda x: np.asarray(x.to_numpy(zero_copy_only=False), bool)
+        if s.min_score is not None:
+            out &= (score >= 0) & (score >= s.min_score)
+        if s.max_score is not None:
+            out &= (score < 0) | (score < s.max_score)
+        for c, known, want in listed:
+            out &= flags(pc.is_in(h[c], pa.array(known, pa.string()))) == want
+        for c, low, high in bounds:
+            out &= True if low is None else h[c] >= low
+            out &= True if high is None else h[c] < high
         for p, low, high in spans:
             span = h[f"{p}_end"] - h[f"{p}_start"]
-            if low is not None and span < low or high is not None and span > high:
-                return False
-        both = (h["r_name"], h["q_name"])
-        if s.exclude_random and any(n.endswith("_random") for n in both) or s.exclude_haplotype and any("_hap" in n or "_alt" in n for n in both):
-            return False
-        return s.query_strand is None or h["q_strand"] == s.query_strand[:1]
+            out &= True if low is None else span >= low
+            out &= True if high is None else span <= high
+        for c in ("r_name", "q_name"):
+            if s.exclude_random:
+                out &= ~flags(pc.ends_with(h[c], "_random"))
+            if s.exclude_haplotype:
+                out &= ~flags(pc.match_substring_regex(h[c], "_hap|_alt"))
+        if s.query_strand is not None:
+            out &= flags(pc.equal(h["q_strand"], s.query_strand[:1]))
+        return out
 
     return reads
 

@@ -15,7 +15,7 @@ from alignloom.plans.universe import ALPHABET, chains, sequences
 from alignloom.sources import chains as texts
 from alignloom.sources import sequences as files_of_bases
 from alignloom.storage import checkpointed, fresh, part_files
-from alignloom.streaming.ingest import chain_stream
+from alignloom.streaming.ingest import ingest
 
 #: Ranges are small, so that the small tables' files have hundreds of cuts.
 RANGE = 20_000
@@ -154,8 +154,7 @@ def text_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.12: a folder of files as a stream, until none is left."""
     paths = _written(chains(spark, sf_dir), render.record())
     out, marks = fresh(spark, "stream"), fresh(spark, "marks")
-    query = chain_stream(spark, paths[0].rsplit("/", 1)[0], 2).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    query.awaitTermination()
+    ingest(spark, paths[0].rsplit("/", 1)[0], out, marks, 2, RANGE).awaitTermination()
     return spark.read.parquet(out).select(*HEAD)
 
 

@@ -4,127 +4,34 @@ from __future__ import annotations
 
 import gzip
 import io
-import re
 from collections.abc import Callable, Iterator
-from itertools import accumulate, islice
+from contextlib import ExitStack
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignloom.operators.ordering import generated_ids, ranked
-from alignloom.schema import ITEMS, MAX_U32, MAX_U64
+from alignloom.operators.ordering import generated_ids
+from alignloom.schema import ITEMS
+from alignloom.sources import scan
 from alignloom.storage import fresh, opened
 
-RANGE_BYTES, BATCH_ROWS = 64 << 20, 2000
-_SPACE, _DIGITS, _INTEGER = re.compile(rb"[ \t\n\f\r]+"), re.compile(rb"[0-9]+\Z"), re.compile(rb"-?[0-9]+\Z")
+RANGE_BYTES = 64 << 20
+_LENGTHS = pa.schema([("file_no", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("ordinal", pa.int64()), ("start", pa.int64()), ("reach", pa.int64())])
 
 
-class Fault(ValueError):
-    pass
-
-
-def words(line: bytes) -> list[bytes]:
-    """Runs of other bytes than ASCII white space (a vertical tab is none)."""
-    return [w for w in _SPACE.split(line) if w]
-
-
-def unsigned(token: bytes, most: int, what: str) -> int:
-    if not _DIGITS.match(token):
-        raise Fault(f"{what} is not a number")
-    if int(token) > most:
-        raise Fault(f"{what} exceeds {'u32' if most == MAX_U32 else 'u64'}")
-    return int(token)
-
-
-def signed(token: bytes, what: str) -> int:
-    """A 64-bit number; its least value and those beyond are refused."""
-    if not _INTEGER.match(token) or not -(1 << 63) < int(token) < 1 << 63:
-        raise Fault(f"{what} is not a 64-bit number")
-    return int(token)
-
-
-def parsed_header(line: bytes, need_id: bool = False) -> dict:
-    """The fields of a header line; further words are passed over."""
-    w = words(line)
-    if not w or w[0] != b"chain":
-        raise Fault("expected a chain header")
-    if len(w) < 12:
-        raise Fault("chain header is missing fields")
-    if need_id and len(w) < 13:
-        raise Fault("id missing")
-    for at in (4, 9):
-        if w[at] not in (b"+", b"-"):
-            raise Fault("strand is neither + nor -")
-    u32 = lambda at, what: unsigned(w[at], MAX_U32, what)
-    sides = {}
-    for p, at, what in (("r", 2, "reference"), ("q", 7, "query")):
-        sides |= {f"{p}_name": w[at].decode("latin-1"), f"{p}_size": u32(at + 1, f"{what} size"), f"{p}_strand": w[at + 2].decode(), f"{p}_start": u32(at + 3, f"{what} start"), f"{p}_end": u32(at + 4, f"{what} end")}
-    return {"score": signed(w[1], "score"), **sides, "id": unsigned(w[12], MAX_U64, "id") if len(w) > 12 else None, "id_explicit": len(w) > 12}
-
-
-def parsed_block(line: bytes) -> tuple[int, int, int]:
-    """Size, gap on the reference, gap on the query."""
-    w = words(line)
-    if len(w) == 2:
-        raise Fault("block line missing dq value")
-    values = [unsigned(x, MAX_U32, "block value") for x in w[:3]]
-    return (*values, 0, 0) if len(values) == 1 else tuple(values)
-
-
-def items(lines: Iterator[tuple[int, bytes, int]], stop: int | None = None, inside: bool = False, metadata: bool = True, need_id: bool = False, wanted: Callable[[dict], bool] | None = None, number: int | None = None) -> Iterator[dict]:
-    """Metadata lines and chains among lines (offset, line, the next line's offset), in order; those that begin before stop.
-
-    inside: the lines begin in a record that belongs to what precedes them, so all up
-    to a blank line is passed over. wanted: of chains whose header it rejects, block
-    lines are passed over unread and `blocks` is null. A chain's length counts its
-    blank line. number: what the first header without an id gets, later ones the next
-    numbers. A fault ends the lines: it is given as an item with an error.
-    """
-    now, at, past = None, 0, 0
-
-    def ended(record):
-        if record["blocks"] is not None and not record["blocks"]:
-            raise Fault("chain without any alignment blocks")
-        return record | {"length": past - record["offset"]}
-
-    try:
-        for at, line, past in lines:
-            blank = not line or not words(line)
-            if inside:
-                if stop is not None and at >= stop:
-                    return
-                inside = not blank
-            elif now is None:
-                if stop is not None and at >= stop:
-                    return
-                if blank:
-                    continue
-                if line.startswith(b"#"):
-                    if not metadata:
-                        raise Fault("metadata line")
-                    yield {"kind": "meta", "offset": at, "length": past - at, "line": (line[:-1] if line.endswith(b"\r") else line).decode("latin-1")}
-                else:
-                    head = parsed_header(line, need_id)
-                    if number is not None and not head["id_explicit"]:
-                        head["id"], number = number, number + 1
-                    now = {"kind": "chain", "offset": at, "blocks": [] if wanted is None or wanted(head) else None, **head}
-            elif blank:
-                yield ended(now)
-                now = None
-            elif now["blocks"] is not None:
-                now["blocks"].append(parsed_block(line))
-        if now is not None:
-            yield ended(now)
-    except Fault as fault:
-        yield {"kind": "error", "offset": at, "error": str(fault), "error_offset": at}
-
-
-def _lines(stream, at: int) -> Iterator[tuple[int, bytes, int]]:
-    for line in stream:
-        past = at + len(line)
-        yield at, line[:-1] if line.endswith(b"\n") else line, past
-        at = past
+def line_at(raw, low: int, window: int = 1 << 16) -> int:
+    """Where the first line begins that begins at low (1 or more) or after."""
+    raw.seek(low - 1)
+    start = low - 1
+    while piece := raw.read(window):
+        cut = piece.find(b"\n")
+        start += len(piece) if cut < 0 else cut + 1
+        if cut >= 0:
+            break
+    return start
 
 
 def begins_inside(raw, low: int, window: int = 1 << 16) -> tuple[int, bool]:
@@ -133,13 +40,7 @@ def begins_inside(raw, low: int, window: int = 1 << 16) -> tuple[int, bool]:
     Looks back from there to the nearest blank line (a record may follow) through
     metadata lines, which tell nothing: any other line is part of a record.
     """
-    raw.seek(low - 1)
-    start = low - 1
-    while piece := raw.read(window):
-        cut = piece.find(b"\n")
-        start += len(piece) if cut < 0 else cut + 1
-        if cut >= 0:
-            break
+    start = line_at(raw, low, window)
     held, at = b"", start
     while True:
         step = min(window, at)
@@ -151,7 +52,7 @@ def begins_inside(raw, low: int, window: int = 1 << 16) -> tuple[int, bool]:
             before = held.split(b"\n")
         whole = before if at == 0 else before[1:]  # the first may be cut
         for line in reversed(whole):
-            if not words(line):
+            if not scan.words(line):
                 return start, False
             if not line.startswith(b"#"):
                 return start, True
@@ -160,10 +61,11 @@ def begins_inside(raw, low: int, window: int = 1 << 16) -> tuple[int, bool]:
         window *= 2
 
 
-def parse_bytes(data: bytes, **options) -> list[dict]:
-    """The items of chain text in memory; gzip is recognised."""
+def parse_bytes(data: bytes, number: int | None = None, **options) -> list[dict]:
+    """The notes and chains of text in memory, and the fault that ends them, without columns that are null; gzip is recognised."""
     data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-    return list(items(_lines(io.BytesIO(data), 0), **options))
+    rows = [r for batch in scan.parsed(io.BytesIO(data), 0, options=scan.Options(**options), number=number) for r in batch.to_pylist()]
+    return [{k: v for k, v in r.items() if v is not None} for r in rows]
 
 
 def from_bytes(spark: SparkSession, data: bytes, piece: int = 4 << 20) -> DataFrame:
@@ -175,31 +77,6 @@ def from_bytes(spark: SparkSession, data: bytes, piece: int = 4 << 20) -> DataFr
     return read(spark, path, range_bytes=piece)
 
 
-def _batches(found: Iterator[dict], file_no: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Record batches of items, column by column; the blocks' numbers of a batch are three flat arrays."""
-    fields = [f for f in schema if f.name not in ("file_no", "blocks")]
-    while rows := list(islice(found, BATCH_ROWS)):
-        columns = {f.name: pa.array([r.get(f.name) for r in rows], f.type) for f in fields}
-        columns["file_no"] = pa.array([file_no] * len(rows), pa.int32())
-        blocks = [r.get("blocks") for r in rows]
-        flat = [b for some in blocks if some for b in some]
-        ends = [0, *accumulate(len(some) if some else 0 for some in blocks)]
-        starts = pa.array([None if some is None else at for some, at in zip(blocks, ends)] + [ends[-1]], pa.int32())
-        values = pa.StructArray.from_arrays([pa.array([b[k] for b in flat], pa.int64()) for k in range(3)], names=["size", "gap_reference", "gap_query"])
-        columns["blocks"] = pa.ListArray.from_arrays(starts, values)
-        yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name == "blocks" else columns[f.name] for f in schema], schema=schema)
-
-
-def _schema() -> pa.Schema:
-    block = pa.struct([(f, pa.int64()) for f in ("size", "gap_reference", "gap_query")])
-    long, text = pa.int64(), pa.string()
-    sides = [(f"{p}_{f}", t) for p in "rq" for f, t in (("name", text), ("size", long), ("strand", text), ("start", long), ("end", long))]
-    return pa.schema([
-        ("kind", text), ("file_no", pa.int32()), ("offset", long), ("score", long), *sides,
-        ("id", pa.decimal128(20, 0)), ("id_explicit", pa.bool_()), ("blocks", pa.list_(block)), ("length", long), ("line", text), ("error", text), ("error_offset", long),
-    ])
-
-
 def ranges_of(paths: str | list[str], range_bytes: int = RANGE_BYTES) -> list[tuple[int, str, bool, int, int]]:
     """(file_no, path, whether it is gzip, low, high): plain files in byte ranges; a gzip file is one, as its format cannot be entered elsewhere."""
     out = []
@@ -215,35 +92,48 @@ def ranges_of(paths: str | list[str], range_bytes: int = RANGE_BYTES) -> list[tu
     return out
 
 
-def read_items(spark: SparkSession, paths: str | list[str], metadata: bool = True, need_id: bool = False, range_bytes: int = RANGE_BYTES, wanted: Callable[[dict], bool] | None = None, numbers: list[int] | None = None) -> DataFrame:
-    """All items of the files in one DataFrame; file_no and offset give their order, which partitions and their rows have too.
+def _opened(path: str, packed: bool, low: int, stack: ExitStack) -> tuple[io.BufferedIOBase, int, bool]:
+    """(stream, offset, inside) at the first line that begins in a range."""
+    system, inner = opened(path)
+    raw = stack.enter_context(system.open_input_file(inner))
+    if packed:
+        return gzip.GzipFile(fileobj=raw), 0, False
+    start, inside = begins_inside(raw, low) if low else (0, False)
+    raw.seek(start)
+    return raw, start, inside
 
-    A task parses the records that begin in its range, whatever the cut, as a reading
-    of the whole file would (after a fault, a later range may still give items;
-    `checked` fails). Tasks open files by their URI. wanted: see items(); headers that
-    it rejects leave their blocks unread. numbers: of each range, the number that its
-    first header without an id gets.
-    """
-    ranges = ranges_of(paths, range_bytes)
-    options = {"metadata": metadata, "need_id": need_id, "wanted": wanted}
+
+def over_ranges(spark: SparkSession, ranges: list[tuple], of: Callable[[int, ExitStack], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """What `of` gives for each range, a task a range, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _schema()
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                file_no, path, packed, low, high = ranges[i]
-                some = options | {"number": None if numbers is None else numbers[i]}
-                system, inner = opened(path)
-                with system.open_input_file(inner) as raw:
-                    if packed:
-                        yield from _batches(items(_lines(gzip.GzipFile(fileobj=raw), 0), **some), file_no, schema)
-                        continue
-                    start, inside = begins_inside(raw, low) if low else (0, False)
-                    raw.seek(start)
-                    stream = io.BufferedReader(raw, 1 << 20)
-                    yield from _batches(items(_lines(stream, start), stop=high, inside=inside, **some), file_no, schema)
+                with ExitStack() as stack:
+                    yield from of(i, stack)
+
+    return spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(run, ddl)
 
-    return spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(run, ITEMS)
+
+def items_of(span: tuple, options: scan.Options, number: int | None, stack: ExitStack) -> Iterator[pa.RecordBatch]:
+    """The items of the records that begin in a range of ranges_of()."""
+    file_no, path, packed, low, high = span
+    stream, start, inside = _opened(path, packed, low, stack)
+    for part in scan.parsed(stream, start, None if packed else high, inside, options, number):
+        files = pa.array(np.full(part.num_rows, file_no, np.int32))
+        yield pa.RecordBatch.from_arrays([part.column(0), files, *part.columns[1:]], names=["kind", "file_no", *part.schema.names[1:]])
+
+
+def read_items(spark: SparkSession, paths: str | list[str], metadata: bool = True, need_id: bool = False, range_bytes: int = RANGE_BYTES, wanted: Callable[[scan.Headers], np.ndarray] | None = None, numbers: list[int] | None = None) -> DataFrame:
+    """All items of the files in one DataFrame; file_no and offset give their order, which partitions and their rows have too.
+
+    A task parses the records that begin in its range, whatever the cut, as a reading
+    of the whole file would (after a fault, a later range may still give items;
+    `checked` fails). Tasks open files by their URI. wanted: see scan.Options; numbers:
+    of each range, the number that its first header without an id gets.
+    """
+    ranges, options = ranges_of(paths, range_bytes), scan.Options(metadata, need_id, wanted)
+    return over_ranges(spark, ranges, lambda i, stack: items_of(ranges[i], options, None if numbers is None else numbers[i], stack), ITEMS)
 
 
 def numbering(spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_BYTES) -> list[int]:
@@ -283,14 +173,81 @@ def path_list(text: str) -> list[str]:
     return out
 
 
-def spans(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
-    """(file_no, offset, length, ordinal): the bytes of each record, its blank line included; ordinals count from 0 through the files."""
-    found = checked(read_items(spark, paths, wanted=no_blocks, **options)).filter("kind = 'chain'").select("file_no", "offset", "length")
-    return ranked(found, [F.col("file_no").asc(), F.col("offset").asc()]).withColumn("ordinal", F.col("rank") - 1).drop("rank")
+def entries(spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_BYTES, metadata: bool = True) -> list[tuple[bool, int, int | None]]:
+    """For each range: whether a record is open before its first line, the number of records that begin before it through the files, and where the next record after it begins (None: none in the file).
+
+    A scan of records is an automaton of two states. Each task gives what its range does
+    to either (scan.Scan); these are composed here, a few numbers a range, in order. The
+    first fault that the true states meet is an error.
+    """
+    ranges = ranges_of(paths, range_bytes)
+    pairs = "array<bigint>"
+    shape = pa.schema([("i", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("after", "starts", "first", "fault_at")], ("fault", pa.list_(pa.string()))])
+
+    def of(i: int, stack: ExitStack) -> Iterator[pa.RecordBatch]:
+        _, path, packed, low, high = ranges[i]
+        system, inner = opened(path)
+        raw = stack.enter_context(system.open_input_file(inner))
+        stream, at = (gzip.GzipFile(fileobj=raw), 0) if packed else (raw, line_at(raw, low) if low else 0)
+        stream.seek(at)
+        found = scan.scanned(stream, at, None if packed else high, metadata)[0]
+        row = {"i": i, "after": found.after, "starts": found.starts, "first": found.first, "fault_at": [f[0] if f else -1 for f in found.fault], "fault": [f[1] if f else None for f in found.fault]}
+        yield pa.RecordBatch.from_pylist([row], schema=shape)
+
+    rows = over_ranges(spark, ranges, of, f"i bigint, after {pairs}, starts {pairs}, first {pairs}, fault_at {pairs}, fault array<string>").collect()
+    out, state, count, before = [], 0, 0, None
+    for row, (file_no, path, *_) in zip(sorted(rows, key=lambda r: r["i"]), ranges):
+        state, before = state if file_no == before else 0, file_no
+        if row["fault"][state] is not None:
+            raise ValueError(f"{row['fault'][state]} at byte {row['fault_at'][state]} of {path}")
+        out.append((bool(state), count, row["first"][state]))
+        state, count = row["after"][state], count + row["starts"][state]
+    ahead: dict[int, int] = {}
+    for i in range(len(ranges) - 1, -1, -1):
+        inside, count, first = out[i]
+        out[i] = (inside, count, ahead.get(ranges[i][0]))
+        if first >= 0:
+            ahead[ranges[i][0]] = first
+    return out
+
+
+def spans(spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_BYTES, metadata: bool = True) -> DataFrame:
+    """(file_no, offset, length, ordinal, start, reach) of every record, in order: its bytes, the blank line after it included, and its number from 0 through the files.
+
+    start and reach: the bytes from the record to the next one; a file's first has all
+    before it too, and the last one's reach is null. No rows are shuffled, sorted or
+    joined: a range's numbers and its neighbours' places follow from entries(), which
+    also refuses text that is no sequence of records.
+    """
+    known, ranges = entries(spark, paths, range_bytes, metadata), ranges_of(paths, range_bytes)
+
+    def of(i: int, stack: ExitStack) -> Iterator[pa.RecordBatch]:
+        file_no, path, packed, low, high = ranges[i]
+        inside, count, ahead = known[i]
+        system, inner = opened(path)
+        raw = stack.enter_context(system.open_input_file(inner))
+        stream, at = (gzip.GzipFile(fileobj=raw), 0) if packed else (raw, line_at(raw, low) if low else 0)
+        stream.seek(at)
+        found = [scan.records(lines, base) for lines, base in scan.windows(stream, at, None if packed else high, inside, with_words=False)]
+        offset, length = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        ordinal = count + np.arange(len(offset))
+        begin = offset.copy()
+        if len(begin) and (i == 0 or ranges[i - 1][0] != file_no or count == _first_of_file(known, ranges, file_no)):
+            begin[0] = 0
+        last = np.append(offset[1:], -1 if ahead is None else ahead)[: len(offset)]
+        reach = pa.array(last - begin, mask=last < 0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(offset), file_no, np.int32)), pa.array(offset), pa.array(length), pa.array(ordinal), pa.array(begin), reach], schema=_LENGTHS)
+
+    return over_ranges(spark, ranges, of, "file_no int, offset bigint, length bigint, ordinal bigint, start bigint, reach bigint")
+
+
+def _first_of_file(known: list[tuple], ranges: list[tuple], file_no: int) -> int:
+    """The number of records before a file."""
+    return next(count for (_, count, _), span in zip(known, ranges) if span[0] == file_no)
 
 
-def no_blocks(header: dict) -> bool:
-    return False
+def no_blocks(headers: scan.Headers) -> np.ndarray:
+    return np.zeros(len(headers["score"]), bool)
 
 
 def chain_bytes(spark: SparkSession, paths: str | list[str], index: DataFrame, ordinal: int) -> bytes | None:

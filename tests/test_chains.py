@@ -195,14 +195,33 @@ def test_lossy_merge_and_dense(spark):
     assert [(b["r_start"], b["r_end"]) for b in got["m"]] == [(0, 20)] and got["n"] == 2 and got["d"] == got["blocks"]
 
 
-def test_stream(spark, tmp_path):
-    from alignloom.streaming.ingest import chain_stream
+def test_stream(spark, tmp_path, monkeypatch):
+    """A batch that fails midway is taken again after a restart, and leaves each chain once."""
+    from alignloom.sources import chains as source
+    from alignloom.streaming.ingest import ingest
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.chain").write_text("#m\n" + A + B)
-    query = chain_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
-    query.awaitTermination(60)
-    assert ids(spark.table("arrived")) == [1, 2]
+    for i, text in enumerate((A, B, C)):
+        (tmp_path / "in" / f"{i}.chain").write_text(text)
+    places = (str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "marks"))
+    ended, read = [], source.chains
+
+    def failing(found, generate=True):
+        ended.append(1)
+        rows = read(found, generate)
+        if len(ended) == 2:
+            rows.limit(1).write.parquet(f"{places[1]}/batch=1")  # what a lost attempt left
+            raise RuntimeError("lost")
+        return rows
+
+    monkeypatch.setattr(source, "chains", failing)
+    with pytest.raises(Exception, match="lost"):
+        ingest(spark, *places, files_per_trigger=1).awaitTermination()
+    ingest(spark, *places, files_per_trigger=1, range_bytes=20).awaitTermination()
+    (tmp_path / "in" / "4.chain").write_text(A.replace(" 1\n", " 4\n", 1))
+    ingest(spark, *places, files_per_trigger=1).awaitTermination()
+    assert ids(spark.read.parquet(places[1])) == [1, 2, 3, 4]
+
 
 
 def test_command_line(spark, tmp_path):
