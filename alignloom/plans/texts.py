@@ -13,6 +13,7 @@ from alignloom.operators import bed, files, render, scoring, split
 from alignloom.plans.queries import _DENSE, _HEADER_SQL, AB, HEAD, WITH, _query
 from alignloom.plans.universe import ALPHABET, chains, sequences
 from alignloom.sources import chains as texts
+from alignloom.sources import datasource
 from alignloom.sources import sequences as files_of_bases
 from alignloom.storage import checkpointed, fresh, part_files
 from alignloom.streaming.ingest import ingest
@@ -406,3 +407,21 @@ def score_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten chains shuffled by seed 42; the values were worked out from the generator's published definition."""
     return spark.createDataFrame(list(enumerate(split.shuffled(10, 42))), "place int, ordinal int")
+
+
+@_query("source_pushdown", f"{WITH} {_HEADS} WHERE score >= 50000 AND score < 200000 AND r_name IN ('chr1', 'chr2', 'chr3_random') AND q_strand = '-' AND r_start > 100 AND NOT q_name = 'qry3'")
+def source_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data source, with filters that it takes over."""
+    datasource.register(spark)
+    folder = _written(chains(spark, sf_dir), F.concat(_noted(), render.record()))[0].rsplit("/", 1)[0]
+    rows = spark.read.format("chain").option("range_bytes", RANGE).load(folder)
+    return rows.filter("score >= 50000 and score < 200000 and r_name in ('chr1', 'chr2', 'chr3_random') and q_strand = '-' and r_start > 100 and q_name <> 'qry3'").select(*HEAD)
+
+
+@_query("source_columns", f"{WITH} SELECT r_name, CAST(count(*) AS BIGINT) n, CAST(max(score) AS BIGINT) best FROM ch WHERE q_name LIKE 'qry1%' GROUP BY r_name")
+def source_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema without blocks."""
+    datasource.register(spark)
+    folder = _written(chains(spark, sf_dir), render.record())[0].rsplit("/", 1)[0]
+    rows = spark.read.format("chain").schema("r_name string, q_name string, score bigint").option("range_bytes", RANGE).load(folder)
+    return rows.filter(F.col("q_name").startswith("qry1")).groupBy("r_name").agg(F.count("*").alias("n"), F.max("score").alias("best"))

@@ -10,6 +10,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,11 @@ def line_at(raw, low: int, window: int = 1 << 16) -> int:
     return start
 
 
+def is_folder(path: str) -> bool:
+    system, inner = opened(path)
+    return system.get_file_info(inner).type == fs.FileType.Directory
+
+
 def begins_inside(raw, low: int, window: int = 1 << 16) -> tuple[int, bool]:
     """Of a byte stream, the first line that begins at low or after, and whether it lies in a record that begins before it.
 
@@ -115,11 +121,11 @@ def over_ranges(spark: SparkSession, ranges: list[tuple], of: Callable[[int, Exi
     return spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(run, ddl)
 
 
-def items_of(span: tuple, options: scan.Options, number: int | None, stack: ExitStack) -> Iterator[pa.RecordBatch]:
-    """The items of the records that begin in a range of ranges_of()."""
+def items_of(span: tuple, options: scan.Options, number: int | None, stack: ExitStack, whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """The items of the records that begin in a range of ranges_of(); whole: a batch for each window, as options.wanted sees it."""
     file_no, path, packed, low, high = span
     stream, start, inside = _opened(path, packed, low, stack)
-    for part in scan.parsed(stream, start, None if packed else high, inside, options, number):
+    for part in scan.parsed(stream, start, None if packed else high, inside, options, number, batch_rows=None if whole else scan.BATCH_ROWS):
         files = pa.array(np.full(part.num_rows, file_no, np.int32))
         yield pa.RecordBatch.from_arrays([part.column(0), files, *part.columns[1:]], names=["kind", "file_no", *part.schema.names[1:]])
 

@@ -317,11 +317,11 @@ def _part(lines: Lines, low: int, high: int) -> Lines:
     return Lines(lines.data, lines.starts[some], lines.ends[some], lines.past[some], lines.word, lines.word_end, *worded, lines.blank[some], lines.note[some])
 
 
-def parsed(stream, at: int, stop: int | None = None, inside: bool = False, options: Options = Options(), number: int | None = None, window: int | None = None) -> Iterator[pa.RecordBatch]:
+def parsed(stream, at: int, stop: int | None = None, inside: bool = False, options: Options = Options(), number: int | None = None, window: int | None = None, batch_rows: int | None = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches of the stream's notes and chains, in order, as windows() gives their lines; a fault is the last item."""
     for lines, base in windows(stream, at, stop, inside, window=window):
         out, number, ended = items(lines, base, options, number)
-        yield from out.to_batches(BATCH_ROWS)
+        yield from out.to_batches(batch_rows)
         if ended:
             return
 

@@ -251,3 +251,27 @@ def test_pieces_cut_at_chunks(spark, monkeypatch):
     assert scoring.pieces(df).agg(F.max("size")).first()[0] <= 16
     with pytest.raises(Exception, match="missing sequence"):
         scoring.counted(df, held.filter("bin <> 5")).collect()
+
+
+def test_data_source_pushes_filters(spark, tmp_path, capsys):
+    from alignloom.sources import datasource
+
+    datasource.register(spark)
+    broken = B.replace("30\n\n", "not a block\n\n")
+    for i, text in enumerate(("#m\n" + A + broken + A.replace("100 c1", "-7 c9_x", 1), A.replace("100 c1", "300 c2", 1) + broken)):
+        (tmp_path / f"{i}.chain").write_text(text)
+    rows = spark.read.format("chain").option("range_bytes", 40).load(str(tmp_path))
+    kept = rows.filter("score < 200 and r_name like 'c%'")
+    assert sorted(r["score"] for r in kept.collect()) == [-7, 100]  # the blocks of others are not looked at
+    kept.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "LessThan(score,200)" in plan and "StringStartsWith(r_name,c)" in plan and "Filter" not in plan.split("\n\n")[0]
+    with pytest.raises(Exception, match="block value is not a number"):
+        rows.filter("score > 150").collect()
+    cases = {"id = 7": 3, "id is null": 2, "id <=> 7": 3, "id > 7": 0, "r_name in ('c1', 'c2')": 4, "r_name not in ('c1')": 4, "r_name rlike 'x$'": 1, "q_strand = '-'": 3, "not (score >= 200)": 2, "r_start between 1 and 10": 3, "r_name like '%_x'": 1, "id is not null and score = 300": 1}
+    heads = lambda pushdown="true": spark.read.format("chain").option("pushdown", pushdown).schema("score bigint, r_name string, q_strand string, r_start bigint, id decimal(20,0)").load([str(tmp_path / "0.chain"), str(tmp_path / "1.chain")])
+    assert {c: heads().filter(c).count() for c in cases} == cases and heads().count() == 5
+    again = heads("false")
+    assert [again.filter("score = 300").count(), again.count(), again.filter("id = 7").count()] == [1, 5, 3]
+    with pytest.raises(Exception, match="no columns"):
+        spark.read.format("chain").schema("scores bigint").load(str(tmp_path)).collect()
