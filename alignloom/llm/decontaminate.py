@@ -85,7 +85,8 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, keep: str = "doc_
     a result. Null or empty texts have no words; long ones are read whole. Items of
     null id make hits but are not named.
     """
-    items = items.select("item_id", "text")
+    inner, _, (item_id, item_text) = hidden(items, "item_id", "text")
+    items = inner.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     known = checkpointed(prefixes(docs, items, size))
     few = _few(known.select("token").distinct())
     bound, sizes = known.agg(F.sum(F.octet_length(F.concat_ws(" ", "window")) + 64 + 24 * F.col("n")), F.collect_set(F.least("n", F.lit(SHINGLE)))).first()

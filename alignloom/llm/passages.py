@@ -401,13 +401,13 @@ def repeated_lines(every: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _beside(hits: DataFrame, listed: DataFrame) -> DataFrame:
-    """hits with `inside` (2: in a removed line, 1: in a kept one, 0: in none) and `line`, a name of the line."""
-    spans = listed.select("row", "start", "stop", "removed", F.lit(True).alias("of_line"))
+    """hits with `inside` (2: in a removed line, 1: in a kept one, 0: in none) and `line`, the component of a kept line."""
+    spans = listed.select("row", "start", "stop", "removed", F.col("component").alias("of"), F.lit(True).alias("of_line"))
     before = Window.partitionBy("row").orderBy("start", F.desc("stop"), F.desc("of_line"))
-    line = F.max(F.when(F.col("of_line"), F.struct("stop", "removed", "start"))).over(before)
+    line = F.max(F.when(F.col("of_line"), F.struct("stop", "removed", "start", "of"))).over(before)
     marked = hits.withColumn("of_line", F.lit(False)).unionByName(spans, allowMissingColumns=True).withColumn("line", line).filter("not of_line")
     inside = F.when(F.col("line.stop") >= F.col("stop"), F.when(F.col("line.removed"), 2).otherwise(1)).otherwise(0)
-    return marked.withColumn("inside", inside).drop("of_line", "removed").withColumn("line", F.when(F.col("inside") == 1, F.xxhash64("row", "line.start")))
+    return marked.withColumn("inside", inside).drop("of_line", "removed", "of").withColumn("line", F.when(F.col("inside") == 1, F.col("line.of")))
 
 
 def _segments(placed: DataFrame) -> DataFrame:
@@ -462,14 +462,14 @@ def hits_of(every: DataFrame, names: DataFrame, n: int) -> DataFrame:
     return every.join(F.broadcast(known) if n <= BROADCAST_NAMES else known.hint("shuffle_hash"), "id")
 
 
-def repeated_windows(every: DataFrame, listed: DataFrame, points: DataFrame) -> DataFrame:
-    """The same columns as repeated_lines for passages of repeated windows that lie in no listed line; paragraph is null.
+def repeated_windows(every: DataFrame, listed: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(passages, edges): the same columns as repeated_lines for passages of repeated windows that lie in no listed line; paragraph is null.
 
     every: the anchors; points: (row, gaps, lengths) of the words. Of each window one
     occurrence is kept: the least among those in no listed line or in a kept one.
     Overlapping windows of a row whose kept occurrences are in one row are one passage.
-    A component is a kept passage, or kept line, with the passages whose windows it
-    keeps.
+    component names the passage alone; edges (a, b) link it to the kept passages and the
+    components of kept lines that have its windows.
     """
     twice = every.groupBy("id").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high")
     with ExitStack() as held:
@@ -488,15 +488,16 @@ def repeated_windows(every: DataFrame, listed: DataFrame, points: DataFrame) ->
         chained = found.withColumn("first", first).withColumn("passage", F.count(F.when(F.col("first"), 1)).over(along)).drop("first")
         chained = written(chained.withColumn("label", F.xxhash64("row", F.min("word").over(Window.partitionBy("row", "passage")))), "passages-chained")
     own = chained.filter("row = kept_row and own_at = kept_at").select(F.col("row").alias("kept_row"), "kept_at", F.col("label").alias("kept_label")).distinct()
-    called = chained.join(own.hint("shuffle_hash"), ["kept_row", "kept_at"], "left").withColumn("component", F.coalesce("kept_line", "kept_label"))
-    whole = called.groupBy("row", "passage").agg(
+    edges = chained.join(own.hint("shuffle_hash"), ["kept_row", "kept_at"], "left").select(F.col("label").alias("a"), F.coalesce("kept_line", "kept_label").alias("b"))
+    whole = chained.groupBy("row", "passage").agg(
         F.first("doc_id").alias("doc_id"), F.min("word").alias("word"), F.max("past").alias("past"),
-        F.min("component").alias("component"), F.first("kept_doc_id").alias("kept_doc_id"), F.first("kept_row").alias("kept_row"),
+        F.first("label").alias("component"), F.first("kept_doc_id").alias("kept_doc_id"), F.first("kept_row").alias("kept_row"),
     )
     fields = ["doc_id", "word", "past", "component", "kept_doc_id", "kept_row"]
     by_row = whole.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("passages"))  # few of one row: at most its words
     spread = located(by_row.join(points, "row").select("row", "gaps", "lengths", "passages"))
-    return spread.select("row", "doc_id", F.lit(None).cast("int").alias("paragraph"), "start", "stop", (F.col("past") - F.col("word")).alias("n_words"), "component", "kept_doc_id", (F.col("row") != F.col("kept_row")).alias("removed"))
+    found = spread.select("row", "doc_id", F.lit(None).cast("int").alias("paragraph"), "start", "stop", (F.col("past") - F.col("word")).alias("n_words"), "component", "kept_doc_id", (F.col("row") != F.col("kept_row")).alias("removed"))
+    return found, edges.filter("b is not null")
 
 
 def located(rows: DataFrame) -> DataFrame:
@@ -530,7 +531,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     begin and end anywhere: all PASSAGE consecutive words (A-Z lower-cased) that two
     rows share lie in one or the other. start, stop: code points, stop exclusive. The
     occurrence of the least doc_id (null last), then row and place, is kept, all others
-    are removed. A passage repeated within one row only is not listed. Null and empty
+    are removed; component names what repeats one another, a passage and all those that
+    have windows of it included. A passage repeated within one row only is not listed. Null and empty
     texts have no paragraphs, very long ones are read whole; repeated rows repeat each
     other; an empty table gives no rows; other columns are not looked at, whatever
     their names.
@@ -542,4 +544,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     listed = checkpointed(repeated_lines(of_lines, docs))
     anchors = every.filter("word is not null").select("row", "doc_id", "word", "lead", "start", "stop", "id", "windows")
     points = every.filter("lengths is not null").select("row", "gaps", "lengths")
-    return listed.unionByName(repeated_windows(anchors, listed, points)).drop("row")
+    inside, edges = repeated_windows(anchors, listed, points)
+    linked = checkpointed(connected_components(edges)).withColumnRenamed("node", "component")
+    both = listed.unionByName(inside).join(linked.hint("shuffle_hash"), "component", "left")
+    return both.select("doc_id", "paragraph", "start", "stop", "n_words", F.coalesce("label", "component").alias("component"), "kept_doc_id", "removed")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from alignloom.llm.common import numbered
+from alignloom.llm.common import hidden, numbered
 
 ROUNDS = 6
 
@@ -66,11 +66,12 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
     shard = position mod shards and slot = position div shards, so both are computable
     from the row number alone, slots are gapless from 0, and reading shards' slots in
     turn gives one shuffled epoch. size: UTF-8 bytes of the text (null: none) plus 1.
-    Repeated rows are each placed. An empty table gives no rows. Other columns of docs
-    are ignored.
+    Repeated rows are each placed; very long texts count by their bytes and checksum. An
+    empty table gives no rows. Other columns of docs are ignored, whatever their names.
     """
-    body = F.coalesce(F.col("text"), F.lit(""))
-    rows = numbered(docs.select("doc_id", (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32")), ["doc_id", "size", "text_crc32"], "row")
+    inner, _, (doc_id, text) = hidden(docs, "doc_id", "text")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = numbered(inner.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32")), ["doc_id", "size", "text_crc32"], "row")
     n = rows.count()
     placed = rows.withColumn("position", permuted(F.col("row"), n, seed))
     return placed.select("*", (F.col("position") % shards).cast("int").alias("shard"), F.expr(f"position div {int(shards)}").alias("slot"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alignloom.llm import storage, tokens
-from alignloom.llm.common import checkpointed, released
+from alignloom.llm.common import checkpointed, hidden, released
 
 #: Fixed values of the public format.
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A5C, 0x8F92EAB1, 0x80
@@ -150,7 +150,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2) -> Data
         schema = pa.schema([("part", pa.int32()), ("file_no", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("m"))
+    inner, _, (own_id, text) = hidden(docs, "doc_id", "text")
+    keyed = inner.select(F.col(own_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("m"))
     laid = keyed.repartitionByRange("doc_id", "h", "m").sortWithinPartitions("doc_id", "h", "m").select("doc_id", "text")
     return checkpointed(laid.mapInArrow(run, "part int, file_no int, path string, n_docs bigint, n_ids bigint"))
 
@@ -183,8 +184,9 @@ def read(spark: SparkSession, files: DataFrame) -> DataFrame:
 def encode_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Writes all documents to files below the shared folder and returns what reading them back gives.
 
-    A null or empty text has the end id alone; repeated rows and doc_ids are all
-    written; an empty table writes no file and gives no rows.
+    A null or empty text has the end id alone; a very long one is encoded whole; repeated
+    rows and doc_ids are all written; an empty table writes no file and gives no rows.
+    Other columns of docs are not looked at, whatever their names.
     """
     spark = docs.sparkSession
     return read(spark, write(docs, storage.fresh_dir(spark, "token-ids"), tokenizer, end_id))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alignloom.llm import storage
-from alignloom.llm.common import checkpointed
+from alignloom.llm.common import checkpointed, hidden
 
 #: Fixed values of the public formats.
 DICTIONARY_MAGIC, ZSTD_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
@@ -128,8 +128,9 @@ def planned(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     Payloads of least_bytes or more that occur again refer to the row of the largest
     page_id; a payload's rows meet in a partial aggregate and a join that AQE splits.
     """
-    body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"), F.octet_length(body).cast("long").alias("size"), F.sha1(body.cast("binary")).alias("digest"))
+    inner, _, (page_id, url, html) = hidden(pages, "page_id", "url", "html")
+    body = F.coalesce(F.col(html), F.lit(""))
+    rows = inner.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("html"), F.octet_length(body).cast("long").alias("size"), F.sha1(body.cast("binary")).alias("digest"))
     again = rows.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("digest", "leader")
     joined = rows.join(again.hint("shuffle_hash"), "digest", "left")
     return joined.withColumn("refers_to", F.when(F.col("leader").isNotNull() & (F.col("size") >= least_bytes) & ~F.col("leader").eqNullSafe(F.col("page_id")), F.col("leader"))).drop("leader")
@@ -139,8 +140,10 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     """Writes a record for every row of pages (page_id, url, html) and returns (path, n_records) per archive.
 
     Each task trains a dictionary on a bounded sample of its own rows and streams its
-    records out. A null html is an empty payload. Rows that tie for the largest
-    page_id of a payload are all responses.
+    records out. A null html is an empty payload, a null page_id or url an empty name; a
+    very long payload is one record. Repeated rows are each written; rows that tie for
+    the largest page_id of a payload are all responses. Other columns of pages are not
+    looked at, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
