@@ -22,9 +22,13 @@ def keys(by: str) -> list[Column]:
 
 def sort(chains: DataFrame, by: str = "score", max_gb: float = 16) -> DataFrame:
     """chains in a total order: a range exchange and a sort that spills by itself, so max_gb is only checked."""
+    checked_memory(max_gb)
+    return chains.orderBy(*keys(by))
+
+
+def checked_memory(max_gb: float) -> None:
     if not 0 < max_gb < float("inf"):
         raise ValueError("max_gb must be finite and positive")
-    return chains.orderBy(*keys(by))
 
 
 def ranked(rows: DataFrame, order: list[Column], weight: Column | None = None) -> DataFrame:
@@ -63,14 +67,23 @@ def index(chains: DataFrame, by: str = "score", rename: bool = False, head_bytes
     One range exchange: the bytes of records ahead are summed as rows are ranked; with
     rename, records are weighed without their ids, whose digits follow from the ranks.
     """
-    placed = ranked(chains, keys(by), render.record_bytes(render.record(F.lit("") if rename else None)))
+    return runs(ranked(chains, keys(by), weight(rename)), by, rename, head_bytes)
+
+
+def weight(rename: bool) -> Column:
+    """A record's bytes; with rename, without its id."""
+    return render.record_bytes(render.record(F.lit("") if rename else None))
+
+
+def runs(placed: DataFrame, by: str, rename: bool = False, head_bytes: int = 0) -> DataFrame:
+    """index() of chains that ranked() has placed with weight(rename)."""
     last, digits = F.col("rank") - 1, F.lit(0).cast("long")
     for d in range(19):  # of the ids 1 to last, those with more than d digits have one there
         digits = digits + F.greatest(last - (10**d - 1), F.lit(0).cast("long"))
     before = F.col("before") + digits if rename else F.col("before")
     key = {"score": F.col("score").cast("string"), "id": F.col("rank" if rename else "id").cast("string"), "query": F.col("q_name")}.get(by, F.col("r_name"))
-    runs = placed.select(key.alias("key"), before.alias("before")).groupBy("key").agg(F.min("before").alias("offset"))  # sorted by key, so a key is one run
-    return runs.select((F.col("offset") + head_bytes).alias("offset"), F.lower(F.hex(F.col("offset") + head_bytes)).alias("offset_hex"), "key")
+    first = placed.select(key.alias("key"), before.alias("before")).groupBy("key").agg(F.min("before").alias("offset"))  # sorted by key, so a key is one run
+    return first.select((F.col("offset") + head_bytes).alias("offset"), F.lower(F.hex(F.col("offset") + head_bytes)).alias("offset_hex"), "key")
 
 
 def concatenated(parts: list[DataFrame]) -> DataFrame:

@@ -43,12 +43,13 @@ def pieces(chains: DataFrame) -> DataFrame:
 
 
 def missing_sequences(chains: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Chains with a name that has no sequence, for a warning."""
+    """Chains with a name that has no sequence, for a warning; `missing`: the names."""
     known = sequences.select("side", "name").distinct()
     lacking = referenced_names(chains).join(known, ["side", "name"], "left_anti")
     r, q = (lacking.filter(F.col("side") == s).select(F.col("name").alias(c)) for s, c in (("reference", "r_name"), ("query", "q_name")))
     marked = chains.join(r.withColumn("__r", F.lit(True)), "r_name", "left").join(q.withColumn("__q", F.lit(True)), "q_name", "left")
-    return marked.filter("__r or __q").select(chains.columns)
+    names = F.array_compact(F.array(F.when(F.col("__r"), F.col("r_name")), F.when(F.col("__q"), F.col("q_name"))))
+    return marked.filter("__r or __q").select(*chains.columns, names.alias("missing"))
 
 
 def counted(chains: DataFrame, sequences: DataFrame, matrix: tuple[int, ...] = bases.DEFAULT_MATRIX, missing: str = "error") -> DataFrame:

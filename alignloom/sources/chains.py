@@ -143,11 +143,22 @@ def read_items(spark: SparkSession, paths: str | list[str], metadata: bool = Tru
 
 
 def numbering(spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_BYTES) -> list[int]:
-    """For each range the number of its first header without an id: 1, 2, ... through the files; blocks are not read."""
-    part = F.spark_partition_id().alias("p")
-    found = read_items(spark, paths, range_bytes=range_bytes, wanted=no_blocks).filter("kind = 'chain' and not id_explicit").groupBy(part).count().collect()
-    counts = {r["p"]: r["count"] for r in found}
-    return [1, *accumulate((counts.get(p, 0) for p in range(len(ranges_of(paths, range_bytes)))), initial=1)][1:]
+    """For each range the number of its first header without an id: 1, 2, ... through the files. Only the words of headers are counted."""
+    ranges = ranges_of(paths, range_bytes)
+
+    def of(i: int, stack: ExitStack) -> Iterator[pa.RecordBatch]:
+        _, path, packed, low, high = ranges[i]
+        stream, start, inside = _opened(path, packed, low, stack)
+        n = sum(scan.without_id(lines) for lines, _ in scan.windows(stream, start, None if packed else high, inside, with_words=False))
+        yield pa.RecordBatch.from_pydict({"i": [i], "n": [n]})
+
+    found = {r["i"]: r["n"] for r in over_ranges(spark, ranges, of, "i bigint, n bigint").collect()}
+    return [1, *accumulate((found[i] for i in range(len(ranges))), initial=1)][1:]
+
+
+def numbered_items(spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The items of the files, those without an id numbered in file order."""
+    return read_items(spark, paths, range_bytes=range_bytes, numbers=numbering(spark, paths, range_bytes))
 
 
 def checked(found: DataFrame) -> DataFrame:

@@ -335,6 +335,19 @@ def records(lines: Lines, base: int) -> tuple[np.ndarray, np.ndarray]:
     return lines.starts[head] + base, lines.past[last] - lines.starts[head]
 
 
+def without_id(lines: Lines) -> int:
+    """How many headers of lines that begin outside any record have no id; only the headers' words are found."""
+    after = inside_after(lines, False)
+    head = np.flatnonzero(~np.concatenate(([False], after[:-1])) & after)
+    length = lines.past[head] - lines.starts[head]
+    ends = np.cumsum(length)
+    own = lines.data[np.repeat(lines.starts[head] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+    dark = np.concatenate(([False], ~_IS_SPACE[own]))
+    words = np.cumsum(dark[1:] & ~dark[:-1])
+    total = np.concatenate(([0], words))[np.concatenate(([0], ends))]
+    return int((np.diff(total) < 13).sum())
+
+
 @dataclass
 class Scan:
     """What the lines that begin in a range do to a scan of records, for either state before them (outside: 0, in a record: 1): the state after them, the first fault or None, and how many records begin; and where the first and the last record begin, -1 if none does."""

@@ -251,3 +251,56 @@ def test_queries_match_their_sql(spark):
         columns = [c[0] for c in want.description]
         assert sorted(columns) == sorted(got.columns)
         assert sorted(map(tuple, got.select([f"`{c}`" for c in columns]).collect())) == sorted(want.fetchall()), name
+
+
+def records_of(folder):
+    return "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+
+
+def test_sorted_text_is_one_exchange_of_parsed_chains(spark, tmp_path, capsys):
+    from alignloom.__main__ import parser, run
+
+    bare = A.replace(" 1\n", "\n", 1)
+    (tmp_path / "a.chain").write_text("#one\n" + A + B + "#two\n" + bare)
+    (tmp_path / "b.chain").write_text("#two\n" + C + B)
+    both = ["-c", str(tmp_path / "a.chain"), str(tmp_path / "b.chain")]
+    command = lambda *words: run(spark, parser().parse_args([words[0], *both, "-o", str(tmp_path / words[1]), *words[2:]]))
+    stats = command("sort", "s1", "-s", "score", "--out-index", str(tmp_path / "i1"))
+    text = records_of(tmp_path / "s1")
+    assert stats["chains"] == 5 and text == "#one\n#two\n#two\n" + C + B * 2 + A * 2
+    index = [line.split("\t") for line in records_of(tmp_path / "i1").splitlines()]
+    assert [(int(o, 16), k) for o, k in index] == [(text.index(C), "300"), (text.index(B), "200"), (text.index(A), "100")]
+    command("merge", "m1", "-S", "id")
+    assert records_of(tmp_path / "m1") == "#one\n#two\n" + A * 2 + B * 2 + C
+    command("merge", "m2", "--rename")
+    renamed = records_of(tmp_path / "m2").splitlines()
+    assert [x.split()[-1] for x in renamed if x.startswith("chain")] == ["1", "2", "3", "4", "5"]
+    command("sort", "s2", "-s", "score", "--rename", "--out-index", str(tmp_path / "i2"))
+    text = records_of(tmp_path / "s2")
+    assert [(int(o, 16), text[int(o, 16) :].split()[1]) for o, _ in (line.split("\t") for line in records_of(tmp_path / "i2").splitlines())] == [(text.index(f"chain {k}"), k) for k in ("300", "200", "100")]
+    assert command("bed", "b1")["chains"] == 5
+    with pytest.raises(ValueError):
+        command("sort", "s3", "--max-gb", "0")
+
+
+def test_numbering_reads_headers_only(spark, tmp_path):
+    texts = ["#m\n" + A + A.replace(" 1\n", "\n", 1) * 3 + B, "", A.replace(" 1\n", " \t\r\n", 1) + "\n" + B.replace(" 2\n", "\n", 1).rstrip("\n")]
+    paths = []
+    for i, t in enumerate(texts):
+        paths.append(str(tmp_path / f"{i}.chain"))
+        (tmp_path / f"{i}.chain").write_text(t)
+    for size in (9, 50, 10_000):
+        rows = chains.read(spark, paths, range_bytes=size).collect()
+        assert [int(r["id"]) for r in rows] == [1, 1, 2, 3, 2, 4, 5]
+
+
+def test_missing_sequences_are_named(spark, tmp_path, capsys):
+    from alignloom.__main__ import parser, run
+
+    names = {line.split()[k] for line in (A + B + C).splitlines() if line.startswith("chain") for k in (2, 7)}
+    (tmp_path / "in.chain").write_text(A + B + C)
+    (tmp_path / "all.fa").write_text("".join(f">{n}\n{'ACGT' * 300}\n" for n in sorted(names) if n != A.split()[2]))
+    stats = run(spark, parser().parse_args(["score", "-c", str(tmp_path / "in.chain"), "-o", str(tmp_path / "out"), "-r", str(tmp_path / "all.fa"), "-q", str(tmp_path / "all.fa"), "-M", "-m", "-100000"]))
+    lost = [x.split("\n")[0] for x in (A, B, C) if x.split()[2] == A.split()[2]]
+    said = capsys.readouterr().err
+    assert stats["missing"] == len(lost) and stats["written"] == 3 - len(lost) and all(f"WARN: no sequence for {A.split()[2]}, skipped: {x}" in said for x in lost)
