@@ -130,7 +130,19 @@ _query("merge_metadata_distinct", "SELECT CAST(0 AS INT) file_no, CAST(min(n_nat
 _ORD = "CAST(row_number() OVER (ORDER BY k) AS BIGINT) - 1 i, count(*) OVER () total"
 _query("split_files", f"{WITH}, p AS (SELECT id, {_ORD} FROM ch), f AS (SELECT unnest(range(0, 7)) f) SELECT id, CAST(f AS BIGINT) part FROM p JOIN f ON i >= (f*total)//7 AND i < ((f+1)*total)//7")(lambda spark, d: split.split(chains(spark, d), files=7).select("id", "part"))
 _query("split_chunks", f"{WITH}, p AS (SELECT id, {_ORD} FROM ch) SELECT id, i//1000 part FROM p")(lambda spark, d: split.split(chains(spark, d), chunks=1000).select("id", "part"))
-_query("split_randomized")(lambda spark, d: split.split(chains(spark, d), files=7, randomize=True, seed=42).select("id", "part"))
+#: The public SplitMix64 generator and the swaps that it draws for range(n), whose references are followed by recursion.
+MIXED = """z AS (SELECT i, n, ((({seed} + ({number} + 1) * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT))::UBIGINT z FROM {source}),
+z1 AS (SELECT i, n, ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT z FROM z),
+z2 AS (SELECT i, n, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT z FROM z1),
+mx AS (SELECT i, n, xor(z, z >> 31) z FROM z2)"""
+SHUFFLE = f""", cn AS (SELECT count(*)::UHUGEINT n FROM ch), ix AS (SELECT unnest(range(0, n::BIGINT))::UHUGEINT i, n FROM cn),
+{MIXED.format(seed='42::UHUGEINT', number='n - 1 - i', source='ix WHERE i > 0')},
+sw AS (SELECT i::BIGINT i, ((z::UHUGEINT * (i + 1)) // 18446744073709551616::UHUGEINT)::BIGINT j FROM mx UNION ALL SELECT 0, 0),
+la AS (SELECT i, j, lead(i) OVER (PARTITION BY j ORDER BY i) later FROM sw), nx AS (SELECT j s, min(i) t FROM sw WHERE i > j GROUP BY j),
+wk AS (SELECT s, t FROM nx UNION ALL SELECT wk.s, nx.t FROM wk JOIN nx ON nx.s = wk.t), rt AS (SELECT s, max(t) t FROM wk GROUP BY s),
+pm AS (SELECT la.i place, coalesce(rt.t, later, j) ordinal FROM la LEFT JOIN rt ON rt.s = later)"""
+RECURSIVE = WITH.replace("WITH ", "WITH RECURSIVE ", 1)
+_query("split_randomized", f"{RECURSIVE}{SHUFFLE}, p AS (SELECT id, {_ORD} FROM ch) SELECT id, CAST(((place + 1) * 7 - 1) // total AS BIGINT) part FROM p JOIN pm ON ordinal = i")(lambda spark, d: split.split(chains(spark, d), files=7, randomize=True, seed=42).select("id", "part"))
 
 for _side, _p, _o in (("reference", "r", "q"), ("query", "q", "r")):
     _head = f"{_p}_name chrom, {_p}_start chrom_start, {_p}_end chrom_end"
@@ -143,10 +155,10 @@ for _side, _p, _o in (("reference", "r", "q"), ("query", "q", "r")):
 _query("bed_spanned", f"{WITH} SELECT r_name chrom, r_start chrom_start, r_end chrom_end, concat('chain_', id) AS name, CAST(0 AS INT) AS score, r_strand strand, r_start thick_start, r_end thick_end, '0,0,0' item_rgb, CAST(1 AS INT) block_count, concat(r_end-r_start, ',') block_sizes, '0,' block_starts FROM ch")(lambda spark, d: bed.project(chains(spark, d), "reference", 12, spanned=True))
 _query("bed_sorted", f"{WITH} SELECT r_name chrom, r_start chrom_start, r_end chrom_end FROM ch ORDER BY 1, 2, 3")(lambda spark, d: bed.project(chains(spark, d), "reference", 3, sort_by="coordinate"))
 
-_GRID = "SELECT i, CASE WHEN i % 3 = 1 THEN 0 ELSE (i*i*i) % 300007 END dq, CASE WHEN i % 3 = 2 THEN 0 ELSE (i*i*7) % 300007 END dt FROM (SELECT CAST(o_orderkey AS BIGINT) i FROM orders)"
+GRID = "SELECT i, CASE WHEN i % 3 = 1 THEN 0 ELSE (i*i*i) % 300007 END dq, CASE WHEN i % 3 = 2 THEN 0 ELSE (i*i*7) % 300007 END dt FROM (SELECT CAST(o_orderkey AS BIGINT) i FROM orders)"
 for _table in ("loose", "medium", "cheap", "rnaDna"):
-    _query(f"gap_cost_{_table.lower()}", f"WITH grid AS ({_GRID}){_cost_cte(_table, 'grid')} SELECT i, dq, dt, cost FROM gc")(
-        lambda spark, d, t=_table: spark.sql(_GRID.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{d}/orders.parquet")).withColumn("cost", F.expr(gaps.cost_sql("dq", "dt", t))))
+    _query(f"gap_cost_{_table.lower()}", f"WITH grid AS ({GRID}){_cost_cte(_table, 'grid')} SELECT i, dq, dt, cost FROM gc")(
+        lambda spark, d, t=_table: spark.sql(GRID.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{d}/orders.parquet")).withColumn("cost", F.expr(gaps.cost_sql("dq", "dt", t))))
 
 _query("revcomp", "SELECT p_partkey, reverse(translate(p_name, 'ACGTacgtRYKMBVDHrykmbvdh', 'TGCAtgcaYRMKVBHDyrmkvbhd')) rc FROM part")(lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select("p_partkey", bases.reverse_complement(F.col("p_name")).alias("rc")))
 _PAIRS = "SELECT DISTINCT substr('ACGTNacgtnRX', CAST(o_orderkey % 12 AS INT) + 1, 1) q, substr('ACGTNacgtnRX', CAST((o_orderkey // 12) % 12 AS INT) + 1, 1) t FROM orders"
@@ -155,10 +167,10 @@ SELECT q, t, CAST(coalesce(v, 0) AS INT) score FROM p LEFT JOIN m ON x = upper(q
     lambda spark, d: spark.sql(_PAIRS.replace("//", "div").replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{d}/orders.parquet")).select("q", "t", bases.pair_score(F.col("q"), F.col("t")).alias("score")))
 
 _GAPS = _cost_cte("loose", "(SELECT id, CAST(gq AS BIGINT) dq, CAST(gr AS BIGINT) dt FROM ab WHERE n < m)")
-_SCORE = f"{WITH}{AB}{BASE}{_GAPS}, gs AS (SELECT id, CAST(sum(cost) AS BIGINT) cost FROM gc GROUP BY id), sc AS (SELECT ct.id, mt - coalesce(cost, 0) score FROM ct LEFT JOIN gs USING (id))"
-_query("score_chain", f"{_SCORE} SELECT id, score FROM sc WHERE score >= -3000")(lambda spark, d: scoring.scored(chains(spark, d), sequences(spark, d), -3000).select("id", "score"))
-_query("score_sorted", f"{_SCORE} SELECT id, score FROM sc WHERE score >= -2000 ORDER BY score DESC, id")(lambda spark, d: scoring.scored(chains(spark, d), sequences(spark, d), -2000, sort_by_score=True).select("id", "score"))
-_query("score_skip_missing", f"{_SCORE} SELECT id, sc.score FROM sc JOIN ch USING (id) WHERE sc.score >= -3000 AND r_name <> 'chr5' AND q_name <> 'qry3'")(
+SCORE = f"{WITH}{AB}{BASE}{_GAPS}, gs AS (SELECT id, CAST(sum(cost) AS BIGINT) cost FROM gc GROUP BY id), sc AS (SELECT ct.id, mt - coalesce(cost, 0) score FROM ct LEFT JOIN gs USING (id))"
+_query("score_chain", f"{SCORE} SELECT id, score FROM sc WHERE score >= -3000")(lambda spark, d: scoring.scored(chains(spark, d), sequences(spark, d), -3000).select("id", "score"))
+_query("score_sorted", f"{SCORE} SELECT id, score FROM sc WHERE score >= -2000 ORDER BY score DESC, id")(lambda spark, d: scoring.scored(chains(spark, d), sequences(spark, d), -2000, sort_by_score=True).select("id", "score"))
+_query("score_skip_missing", f"{SCORE} SELECT id, sc.score FROM sc JOIN ch USING (id) WHERE sc.score >= -3000 AND r_name <> 'chr5' AND q_name <> 'qry3'")(
     lambda spark, d: scoring.scored(chains(spark, d), sequences(spark, d).filter("name not in ('chr5', 'qry3')"), -3000, skip_missing=True).select("id", "score"))
 _query("score_missing_report", f"{WITH} SELECT id, r_name, q_name FROM ch WHERE r_name = 'chr5' OR q_name = 'qry3'")(
     lambda spark, d: scoring.missing_sequences(chains(spark, d), sequences(spark, d).filter("name not in ('chr5', 'qry3')")).select("id", "r_name", "q_name"))
@@ -170,7 +182,7 @@ _query("antirepeat_counts", f"{WITH}{AB}{BASE} SELECT id, mt matches, n, a, c, g
 _query("degeneracy", f"{WITH}{AB}{BASE} SELECT id, {_DEG} passes FROM ct")(lambda spark, d: scoring.counted(chains(spark, d), sequences(spark, d)).select("id", scoring.degeneracy_passes(F.col("counts"), F.col("score"), 5000).alias("passes")))
 _query("repeat_filter", f"{WITH}{AB}{BASE} SELECT id, {_REP} passes FROM ct")(lambda spark, d: scoring.counted(chains(spark, d), sequences(spark, d)).select("id", scoring.repeat_passes(F.col("counts"), F.col("score"), 5000).alias("passes")))
 _query("antirepeat", f"{WITH}{AB}{BASE} SELECT id, score FROM ct WHERE score >= 200000 OR ({_DEG} AND {_REP})")(lambda spark, d: scoring.antirepeat(chains(spark, d), sequences(spark, d)).select("id", "score"))
-_query("antirepeat_rescored", f"{_SCORE}, kp AS (SELECT id FROM ct WHERE score >= 200000 OR ({_DEG} AND {_REP})) SELECT id, score FROM sc JOIN kp USING (id) WHERE score >= -3000 ORDER BY score DESC, id")(
+_query("antirepeat_rescored", f"{SCORE}, kp AS (SELECT id FROM ct WHERE score >= 200000 OR ({_DEG} AND {_REP})) SELECT id, score FROM sc JOIN kp USING (id) WHERE score >= -3000 ORDER BY score DESC, id")(
     lambda spark, d: scoring.antirepeat_scored(chains(spark, d), sequences(spark, d), min_rescore=-3000, sort_by_score=True).select("id", "score"))
 
 _query("generated_ids", f"{WITH} SELECT k, CASE WHEN k % 3 = 0 THEN CAST(row_number() OVER (PARTITION BY k % 3 = 0 ORDER BY k) AS BIGINT) ELSE id END id FROM ch")(

@@ -5,15 +5,16 @@ from __future__ import annotations
 import contextlib
 import io
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alignloom.functions import bases, blocks, gaps
-from alignloom.operators import bed, files, render, scoring, split
-from alignloom.plans.queries import _DENSE, _HEADER_SQL, AB, HEAD, WITH, _query
+from alignloom.operators import bed, files, ordering, render, scoring, split
+from alignloom.plans.queries import _DENSE, _HEADER_SQL, AB, BASE, GRID, HEAD, MIXED, RECURSIVE, SCORE, SHUFFLE, WITH, _query
 from alignloom.plans.universe import ALPHABET, chains, sequences
 from alignloom.sources import chains as texts
-from alignloom.sources import datasource
+from alignloom.sources import datasource, index
 from alignloom.sources import sequences as files_of_bases
 from alignloom.storage import checkpointed, fresh, part_files
 from alignloom.streaming.ingest import ingest
@@ -71,11 +72,12 @@ def text_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.read(spark, _written(chains(spark, sf_dir), render.record(), gzip=True)).select(*HEAD)
 
 
-@_query("text_memory", f"{WITH} {_HEADS} WHERE id <= 200")
+@_query("text_memory", f"{WITH} SELECT k//40 AS text, {', '.join(HEAD)} FROM ch")
 def text_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of text in memory."""
-    lines = chains(spark, sf_dir).filter("id <= 200").orderBy("offset").select(render.record().alias("v")).collect()
-    return texts.from_bytes(spark, "".join(r["v"] + "\n" for r in lines).encode()).select(*HEAD)
+    """Chains of texts that rows hold, some dozens in each."""
+    records = F.transform(F.array_sort(F.collect_list(F.struct("offset", "record"))), lambda x: x["record"])
+    held = chains(spark, sf_dir).select(F.expr("offset div 40").alias("text"), "offset", render.record().alias("record")).groupBy("text").agg(F.array_join(records, "\n").alias("body"))
+    return texts.of_texts(held, "text", "body").filter("kind = 'chain'").select(F.col("of").alias("text"), *HEAD)
 
 
 @_query("text_metadata", f"{WITH} SELECT concat('#note ', id) line FROM ch WHERE id % 50 = 1")
@@ -104,50 +106,67 @@ def text_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.spans(spark, _whole(spark, sf_dir), range_bytes=RANGE).select("ordinal", "offset", "length")
 
 
+def _one_file(spark: SparkSession, rows: DataFrame, value: Column, name: str, cut: int = 0, tail: str = "") -> list[str]:
+    """The rows' text in order of offset as one file, without its last `cut` bytes, then tail."""
+    paths = _written(rows, value)
+    sizes = [files._size(p) for p in paths]
+    last = max(i for i, n in enumerate(sizes) if n)
+    pieces = [(f"{name}.chain", i, p, 0, n - (cut if i == last else 0), tail.encode() if i == len(paths) - 1 else None) for i, (p, n) in enumerate(zip(paths, sizes))]
+    folder = fresh(spark, name)
+    files.assemble(spark.createDataFrame(pieces, "name string, seq int, path string, offset bigint, length bigint, tail binary"), folder).collect()
+    return part_files(folder)
+
+
 def _whole(spark: SparkSession, sf_dir: str) -> list[str]:
     """The chains' text with metadata as one file."""
-    paths = _written(chains(spark, sf_dir), F.concat(_noted(), render.record(), F.lit("")))
-    pieces = spark.createDataFrame([("whole.chain", i, p, 0, files._size(p), None) for i, p in enumerate(paths)], "name string, seq int, path string, offset bigint, length bigint, tail binary")
-    folder = fresh(spark, "whole")
-    files.assemble(pieces, folder).collect()
-    return part_files(folder)
+    return _one_file(spark, chains(spark, sf_dir), F.concat(_noted(), render.record()), "whole")
 
 
-@_query("text_chain_bytes", f"{WITH}{_DENSE}, o AS (SELECT {_RECORD} rec, CAST(row_number() OVER (ORDER BY k) AS BIGINT) - 1 ordinal FROM ch JOIN tx USING (k)) SELECT ordinal, md5(rec) digest FROM o WHERE ordinal IN (0, 7, 150)")
+@_query("text_chain_bytes", f"{WITH}{_DENSE}, o AS (SELECT {_RECORD} rec, CAST(row_number() OVER (ORDER BY k) AS BIGINT) - 1 ordinal FROM ch JOIN tx USING (k)) SELECT ordinal, md5(rec) digest FROM o WHERE ordinal % 50 = 0")
 def text_chain_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bytes of single records by ordinal."""
-    paths = _whole(spark, sf_dir)
-    index = checkpointed(texts.spans(spark, paths, range_bytes=RANGE))
-    found = [(i, bytearray(texts.chain_bytes(spark, paths, index, i))) for i in (0, 7, 150)]
-    return spark.createDataFrame(found, "ordinal bigint, bytes binary").select("ordinal", F.md5("bytes").alias("digest"))
-
-
-_FAULTS = {  # text -> what the reader says, and where
-    "chain 1 c 9 + 0 9 q 9 + 0 9 1\n9\n\nrubbish\n": ("expected a chain header", 33),
-    "chain 1 c 9 + 0 9\n9\n\n": ("chain header is missing fields", 0),
-    "chain x c 9 + 0 9 q 9 + 0 9 1\n9\n\n": ("score is not a 64-bit number", 0),
-    "chain 1 c 9 * 0 9 q 9 + 0 9 1\n9\n\n": ("strand is neither + nor -", 0),
-    "chain 1 c 4294967296 + 0 9 q 9 + 0 9 1\n9\n\n": ("reference size exceeds u32", 0),
-    "chain 1 c 9 + 0 9 q 9 + 0 9 18446744073709551616\n9\n\n": ("id exceeds u64", 0),
-    "chain 1 c 9 + 0 9 q 9 + 0 9 1\n9 1\n\n": ("block line missing dq value", 30),
-    "chain 1 c 9 + 0 9 q 9 + 0 9 1\n+9\n\n": ("block value is not a number", 30),
-    "#m\nchain 1 c 9 + 0 9 q 9 + 0 9 1\n\n": ("chain without any alignment blocks", 33),
-    "chain 1 c 9 + 0 9 q 9 + 0 9 1\n#9\n\n": ("block value is not a number", 30),
-}
-
-
-@_query("text_faults", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{m}', CAST({at} AS BIGINT))" for i, (m, at) in enumerate(_FAULTS.values())) + ") t(file_no, error, error_offset)")
+    """The bytes of every fiftieth record, by ordinal in a kept index; each costs a search of the index and one read."""
+    paths, kept = _whole(spark, sf_dir), fresh(spark, "index")
+    index.write(texts.spans(spark, paths, range_bytes=RANGE), kept)
+    wanted = spark.range(0, index.size(kept), 50).select(F.col("id").alias("ordinal"))
+    return index.fetched(wanted, kept, paths).select("ordinal", F.md5("record").alias("digest"))
+
+
+_HEAD_SQL = _HEADER_SQL.format(id="id")
+
+
+@_query("text_faults", f"""{WITH}{_DENSE}, x AS (SELECT id, {_HEAD_SQL} h, id % 12 f FROM ch) SELECT id, CASE f WHEN 1 THEN 'expected a chain header' WHEN 2 THEN 'chain header is missing fields' WHEN 3 THEN 'score is not a 64-bit number' WHEN 4 THEN 'strand is neither + nor -'
+ WHEN 5 THEN 'reference size exceeds u32' WHEN 6 THEN 'id exceeds u64' WHEN 7 THEN 'block line missing dq value' WHEN 9 THEN 'chain without any alignment blocks' WHEN 11 THEN 'query end is not a number' ELSE 'block value is not a number' END error,
+ CAST(CASE WHEN f BETWEEN 1 AND 6 OR f = 11 THEN 0 ELSE length(h) + 1 END AS BIGINT) error_offset FROM x WHERE f <> 0""")
 def text_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faults and their places."""
-    folder = fresh(spark, "faults")
-    paths = []
-    system, inner = files.opened(folder)
-    system.create_dir(inner)
-    for i, text in enumerate(_FAULTS):
-        paths.append(f"{folder}/{i:02d}.chain")
-        with system.open_output_stream(f"{inner}/{i:02d}.chain") as out:
-            out.write(text.encode())
-    return _table(texts.read_items(spark, paths, range_bytes=11).filter("kind = 'error'").groupBy("file_no").agg(F.min(F.struct("error_offset", "error")).alias("e")).select("file_no", "e.error", "e.error_offset"))
+    """Every chain's text with a fault of its own kind, and what the reader says of it and where."""
+    head, body, word = render.header(), render.dense_lines(F.col("blocks")), lambda n, x: F.regexp_replace(render.header(), rf"^((?:\S+ ){{{n}}})\S+", rf"$1{x}")
+    last = F.regexp_replace(render.header(), r"\S+$", "18446744073709551616")
+    kinds = [
+        F.concat(F.lit("rubbish\n"), head), F.concat(F.regexp_extract(head, r"^(\S+ ){6}", 0), F.lit("\n9\n")), word(1, "x"), word(4, "*"), word(3, "4294967296"), last, F.concat(head, F.lit("\n9 1\n"), body),
+        F.concat(head, F.lit("\n+9\n"), body), F.concat(head, F.lit("\n\n")), F.concat(head, F.lit("\n#9\n"), body), word(11, "-9"),
+    ]
+    text = F.lit(None).cast("string")
+    for k, broken in enumerate(kinds, 1):
+        text = F.when(F.col("id") % 12 == k, F.concat(broken, F.lit("\n"))).otherwise(text)
+    rows = chains(spark, sf_dir).select("id", F.coalesce(text, F.concat(head, F.lit("\n"), body, F.lit("\n"))).alias("text"))
+    return texts.of_texts(rows, "id", "text").filter("kind = 'error'").select(F.col("of").alias("id"), "error", "error_offset")
+
+
+@_query("records_broken", f"""{WITH}{_DENSE}, x AS (SELECT id, {_HEAD_SQL} h, body, id % 5 f FROM ch JOIN tx USING (k)), y AS (SELECT f, id, strlen(h) + strlen(body) + 3 n, strlen(h) h, row_number() OVER (PARTITION BY f ORDER BY id) i FROM x),
+z AS (SELECT f, CAST(sum(n) AS BIGINT) before, max(i) last FROM y WHERE f > 0 GROUP BY f) SELECT CAST(f AS INT) kind, before + CASE f WHEN 2 THEN -1 ELSE 0 END AS "offset",
+CASE f WHEN 1 THEN 'expected a chain header or metadata line' WHEN 2 THEN 'missing blank line between chain records' WHEN 3 THEN 'metadata line inside chain record' ELSE 'expected a chain header or metadata line' END message FROM z""".replace("before + CASE f WHEN 2 THEN -1 ELSE 0 END", "before + CASE WHEN f IN (2, 3) THEN -1 ELSE 0 END"))
+def records_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of whole records that end in a broken one; the scan of records says what is wrong, and where."""
+    found = []
+    tails = {1: "stray\n\n", 2: "chain 1 c 9 + 0 9 q 9 + 0 9 1\n9\n\n", 3: "#note\n\n", 4: " chain 1 c 9 + 0 9 q 9 + 0 9 1\n9\n\n"}
+    for kind, tail in tails.items():
+        path = _one_file(spark, chains(spark, sf_dir).filter(F.col("id") % 5 == kind), render.record(), "broken", cut=1 if kind in (2, 3) else 0, tail=tail)
+        try:
+            texts.entries(spark, path, range_bytes=RANGE)
+        except ValueError as fault:
+            message, at = str(fault).split(" of ")[0].rsplit(" at byte ", 1)
+            found.append((kind, int(at), message))
+    return spark.createDataFrame(found, "kind int, offset bigint, message string")
 
 
 @_query("text_stream", f"{WITH} {_HEADS}")
@@ -164,8 +183,18 @@ np AS (SELECT *, CAST(regexp_extract(name, '[0-9]+') AS BIGINT) + CASE WHEN name
 sq AS (SELECT side, name, string_agg(substr('{ALPHABET}', CAST(((p*1103515245 + i*12345)//65536) % 14 AS INT)+1, 1), '' ORDER BY i) seq FROM np, range(0, 10000) r(i) GROUP BY side, name)"""
 
 
-def _bases_in(spark: SparkSession, sf_dir: str, make, ending: str) -> tuple[str, str]:
-    """Files of the fixture's sequences, a few hundred kB: reference, query."""
+def _bases_in(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """FASTA files of the fixture's sequences, one for each side, as tasks write them."""
+    made = []
+    for side in ("reference", "query"):
+        rows = sequences(spark, sf_dir).filter(F.col("side") == side).select(F.row_number().over(Window.orderBy("name", "bin")).alias("offset"), "name", "bin", "seq")
+        wrapped = F.regexp_replace("seq", "(.{60})(.{60})", "$1\n$2\r\n")
+        made += _one_file(spark, rows, F.concat(F.when(F.col("bin") == 0, F.concat(F.lit(">"), "name", F.lit(" made\n"))).otherwise(""), wrapped), side)
+    return tuple(made)
+
+
+def _twobit_in(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """2bit files of the fixture's sequences; a few hundred kB, put together here as an index of all records heads the format."""
     rows, folder = sequences(spark, sf_dir).orderBy("side", "name", "bin").collect(), fresh(spark, "bases")
     system, inner = files.opened(folder)
     system.create_dir(inner)
@@ -174,13 +203,9 @@ def _bases_in(spark: SparkSession, sf_dir: str, make, ending: str) -> tuple[str,
         for r in rows:
             if r["side"] == side:
                 held[r["name"]] = held.get(r["name"], "") + r["seq"]
-        with system.open_output_stream(f"{inner}/{side}{ending}", compression=None) as out:
-            out.write(make(held))
-    return f"{folder}/reference{ending}", f"{folder}/query{ending}"
-
-
-def _fasta(held: dict[str, str]) -> bytes:
-    return "".join(f">{n} made\n" + "".join(s[i : i + 60] + ("\r\n" if i % 120 else "\n") for i in range(0, len(s), 60)) for n, s in held.items()).encode()
+        with system.open_output_stream(f"{inner}/{side}.2bit", compression=None) as out:
+            out.write(files_of_bases.to_twobit(held))
+    return f"{folder}/reference.2bit", f"{folder}/query.2bit"
 
 
 def _digests(found: DataFrame) -> DataFrame:
@@ -196,20 +221,20 @@ def _loaded(spark: SparkSession, paths: tuple[str, str], names: DataFrame | None
 @_query("fasta_sequences", f"{_SEQUENCES} SELECT side, name, CAST(length(seq) AS BIGINT) length, md5(seq) digest FROM sq")
 def fasta_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S13, S16, S19."""
-    return _digests(_loaded(spark, _bases_in(spark, sf_dir, _fasta, ".fa")))
+    return _digests(_loaded(spark, _bases_in(spark, sf_dir)))
 
 
 @_query("twobit_sequences", f"{_SEQUENCES} SELECT side, name, CAST(length(seq) AS BIGINT) length, md5(seq) digest FROM sq")
 def twobit_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S14."""
-    return _digests(_loaded(spark, _bases_in(spark, sf_dir, files_of_bases.to_twobit, ".2bit")))
+    return _digests(_loaded(spark, _twobit_in(spark, sf_dir)))
 
 
 @_query("twobit_named", f"{_SEQUENCES} SELECT side, name, CAST(length(seq) AS BIGINT) length, md5(seq) digest FROM sq WHERE name IN ('chr3', 'qry2')")
 def twobit_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the named sequences are decoded."""
     names = spark.createDataFrame([("chr3",), ("qry2",)], "name string")
-    return _digests(_loaded(spark, _bases_in(spark, sf_dir, files_of_bases.to_twobit, ".2bit"), names))
+    return _digests(_loaded(spark, _twobit_in(spark, sf_dir), names))
 
 
 @_query("sequence_fetch", f"{_SEQUENCES} SELECT name, substr(seq, 4001, 300) bases FROM sq WHERE name IN ('chr1', 'qry1')")
@@ -225,24 +250,27 @@ def sequence_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_of_bases.lengths(sequences(spark, sf_dir))
 
 
-_MATRIX_FILE = "# scores\ngap = 400\n   A   C   G   T\nA 5 -4 -3 -4\nC -4 6 -4 -3\n -3 -4 7 -4\nT -4 -3 -4 8\n"
-
-
-@_query("matrix_file", "SELECT CAST(i AS INT) i, CAST(score AS INT) score FROM (VALUES (0,5),(1,-4),(2,-3),(3,-4),(4,-4),(5,6),(6,-4),(7,-3),(8,-3),(9,-4),(10,7),(11,-4),(12,-4),(13,-3),(14,-4),(15,8)) t(i, score)")
+@_query("matrix_file", f"""{WITH}{AB}{BASE}, mt AS (SELECT substr('ACGT', CAST(n_nationkey // 4 AS INT) + 1, 1) || substr('ACGT', CAST(n_nationkey % 4 AS INT) + 1, 1) x, n_nationkey * 7 - n_regionkey * 20 v FROM nation WHERE n_nationkey < 16)
+SELECT id, CAST(sum(coalesce(v, 0)) AS BIGINT) matches FROM ba LEFT JOIN mt ON x = upper(q) || upper(t) GROUP BY id""")
 def matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S23."""
-    return spark.createDataFrame(list(enumerate(files_of_bases.score_matrix(_MATRIX_FILE))), "i int, score int")
+    """chains' bases by a matrix file whose scores the table of nations gives."""
+    found = {r["n_nationkey"]: r["n_nationkey"] * 7 - r["n_regionkey"] * 20 for r in spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_nationkey < 16").collect()}
+    lines = ["# scores", "gap = 400", "   A   C   G   T", *(f"{'' if i == 2 else x} " + " ".join(str(found[4 * i + k]) for k in range(4)) for i, x in enumerate("ACGT"))]
+    matrix = files_of_bases.score_matrix("\n".join(lines) + "\n")
+    return scoring.counted(chains(spark, sf_dir), sequences(spark, sf_dir), matrix).select("id", "counts.matches")
 
 
 _GAP_FILE = "tablesize 4\nsmallSize 3\nposition 1 3 10 100\nqGap 10 30 100 1000\ntGap 20 60 200 2000\nbothGap 15 45 150 1500\n"
+_SMALL = "SELECT i, dq % 300 dq, dt % 300 dt FROM ({grid})"
 
 
-@_query("gap_file", """SELECT CAST(x AS BIGINT) x, CAST(trunc(CASE WHEN x < 3 THEN 10.0*x WHEN x < 10 THEN 30.0 + 70.0*(x-3)/7 WHEN x < 100 THEN 100.0 + 900.0*(x-10)/90 ELSE 1000.0 + 10.0*(x-100) END) AS BIGINT) q,
-CAST(trunc(CASE WHEN x < 3 THEN 20.0*x WHEN x < 10 THEN 60.0 + 140.0*(x-3)/7 WHEN x < 100 THEN 200.0 + 1800.0*(x-10)/90 ELSE 2000.0 + 20.0*(x-100) END) AS BIGINT) t FROM range(1, 300) r(x)""")
+@_query("gap_file", f"""WITH g AS ({_SMALL.format(grid=GRID)}), h AS (SELECT *, dq + dt x, CASE WHEN dt = 0 THEN 10.0 WHEN dq = 0 THEN 20.0 ELSE 15.0 END u FROM g)
+SELECT i, CAST(trunc(CASE WHEN x < 3 THEN u*x WHEN x < 10 THEN 3*u + 7*u*(x-3)/7 WHEN x < 100 THEN 10*u + 90*u*(x-10)/90 ELSE 100*u + u*(x-100) END) AS BIGINT) AS cost FROM h""")
 def gap_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S24, A11."""
+    """Gaps of the orders by a table from a file."""
     table = gaps.parsed(_GAP_FILE)
-    return spark.range(1, 300).select(F.col("id").alias("x"), F.lit(0).cast("bigint").alias("zero")).select("x", F.expr(gaps.cost_sql("x", "zero", table)).alias("q"), F.expr(gaps.cost_sql("zero", "x", table)).alias("t"))
+    grid = spark.sql(_SMALL.format(grid=GRID.replace("FROM orders", "FROM {orders}")), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return grid.select("i", F.expr(gaps.cost_sql("dq", "dt", table)).alias("cost"))
 
 
 @_query("split_bytes", f"""{WITH}{_DENSE}, o AS (SELECT k, concat({_NOTED}, {_RECORD}) piece, CAST(row_number() OVER (ORDER BY k) AS BIGINT) - 1 i, count(*) OVER () total FROM ch JOIN tx USING (k)),
@@ -259,22 +287,14 @@ def _content(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("digest")))
 
 
-@_query("merge_bytes", f"""{WITH}{_DENSE}, o AS (SELECT k, rtrim({_RECORD}, chr(10)) rec, id % 2 half FROM ch JOIN tx USING (k) WHERE id <= 400),
-h AS (SELECT half, string_agg(rec, chr(10) || chr(10) ORDER BY k) txt FROM o GROUP BY half) SELECT md5(string_agg(txt, chr(10) || chr(10) ORDER BY half)) digest FROM h""")
+@_query("merge_bytes", f"""{WITH}{_DENSE}, o AS (SELECT k, {_RECORD} rec, id % 2 half FROM ch JOIN tx USING (k)), h AS (SELECT half, string_agg(rec, '' ORDER BY k) txt FROM o GROUP BY half)
+SELECT concat('part.', lpad(CAST(half + 1 AS VARCHAR), 5, '0'), '.half.chain') AS name, md5(CASE half WHEN 0 THEN txt ELSE rtrim(txt, chr(10)) END) digest FROM h""")
 def merge_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1: inputs without a last newline, byte by byte."""
-    folder, paths = fresh(spark, "halves"), []
-    system, inner = files.opened(folder)
-    system.create_dir(inner)
-    for half in (0, 1):
-        rows = chains(spark, sf_dir).filter(f"id <= 400 and id % 2 = {half}").orderBy("offset").select(render.record().alias("v")).collect()
-        paths.append(f"{folder}/{half}.chain")
-        with system.open_output_stream(f"{inner}/{half}.chain") as out:
-            out.write("\n".join(r["v"] for r in rows).rstrip("\n").encode())
+    """M1: inputs without a last newline, byte by byte, a blank line between them."""
+    paths = [p for half in (0, 1) for p in _one_file(spark, chains(spark, sf_dir).filter(F.col("id") % 2 == half), render.record(), "half", cut=2)]
     merged = fresh(spark, "merged")
     files.merge_files(spark, paths, merged).collect()
-    whole = spark.read.format("binaryFile").load(merged).orderBy("path").select(F.col("content").cast("string").alias("c")).collect()
-    return spark.createDataFrame([("".join(r["c"] for r in whole),)], "c string").select(F.md5("c").alias("digest"))
+    return _content(spark, merged)
 
 
 def _command(spark: SparkSession, *argv: str) -> None:
@@ -284,50 +304,55 @@ def _command(spark: SparkSession, *argv: str) -> None:
         run(spark, parser().parse_args(list(argv)))
 
 
-def _lines_of(spark: SparkSession, folder: str) -> DataFrame:
-    """The files' text as one digest, read by name."""
-    text = spark.read.format("binaryFile").load(folder).orderBy("path").select(F.col("content").cast("string").alias("c")).collect()
-    return spark.createDataFrame([("".join(r["c"] for r in text),)], "c string").select(F.md5("c").alias("digest"), F.length("c").cast("bigint").alias("length"))
-
-
-def _digest_sql(cte: str, source: str, order: str) -> str:
-    return f"{cte}, w AS ({source}) SELECT md5(string_agg(t, '' ORDER BY {order})) digest, CAST(sum(length(t)) AS BIGINT) length FROM w"
+def _records_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The place and digest of each record of a folder's files, by name, as tasks read them."""
+    found = texts.raw(spark, part_files(folder), range_bytes=RANGE)
+    return _table(found.select("ordinal", F.md5("record").alias("digest")))
 
 
 _PLUS = _RECORD.replace("r_strand", "'+'")
 
 
-@_query("command_filter", _digest_sql(f"{WITH}{_DENSE}", f"SELECT k, {_PLUS} t FROM ch JOIN tx USING (k) WHERE score >= 20000 AND score < 200000", "k"))
+@_query("command_filter", f"{WITH}{_DENSE} SELECT CAST(row_number() OVER (ORDER BY k) AS BIGINT) - 1 ordinal, md5({_PLUS}) digest FROM ch JOIN tx USING (k) WHERE score >= 20000 AND score < 200000")
 def command_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The command line's filter, text to text; metadata goes."""
     out = fresh(spark, "filtered")
     _command(spark, "filter", "-c", *_whole(spark, sf_dir), "-o", out, "--min-score", "20000", "--max-score", "200000")
-    return _lines_of(spark, out)
+    return _records_of(spark, out)
 
 
-@_query("command_sort", _digest_sql(f"{WITH}{_DENSE}", f"SELECT k, score, id, {_RECORD} t FROM ch JOIN tx USING (k) UNION ALL SELECT k, 9000000000000000, id, concat('#note ', id, chr(10)) FROM ch WHERE id % 50 = 1", "score DESC, id"))
+@_query("command_sort", f"{WITH}{_DENSE} SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS BIGINT) - 1 ordinal, md5({_RECORD}) digest FROM ch JOIN tx USING (k) UNION ALL SELECT -CAST(row_number() OVER (ORDER BY id DESC) AS BIGINT), md5(concat('#note ', id)) FROM ch WHERE id % 50 = 1")
 def command_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The command line's sort; metadata comes first."""
+    """The command line's sort; metadata comes first, numbered backwards from the first record."""
     out = fresh(spark, "sorted")
     _command(spark, "sort", "-c", *_whole(spark, sf_dir), "-o", out, "-s", "score")
-    return _lines_of(spark, out)
+    lines = texts.metadata(texts.read_items(spark, part_files(out), range_bytes=RANGE))
+    placed = ordering.ranked(lines, [F.col("file_no").desc(), F.col("offset").desc()])
+    return _records_of(spark, out).unionByName(placed.select((-F.col("rank")).alias("ordinal"), F.md5("line").alias("digest")))
 
 
-@_query("command_bed", _digest_sql(f"{WITH}", "SELECT k, concat_ws(chr(9), q_name, q_start, q_end, concat('chain_', id), 0, q_strand) || chr(10) t FROM ch", "k"))
+@_query("command_bed", f"{WITH} SELECT concat_ws(chr(9), q_name, q_start, q_end, concat('chain_', id), 0, q_strand) AS line FROM ch")
 def command_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The command line's BED6 of the query side, from a list of paths."""
     out = fresh(spark, "bed")
     _command(spark, "bed", "-c", *_whole(spark, sf_dir), "-o", out, "--side", "query", "--type", "6", "--spanned")
-    return _lines_of(spark, out)
+    return spark.read.text(out).withColumnRenamed("value", "line")
+
+
+@_query("command_score", f"{SCORE} SELECT CAST(row_number() OVER (ORDER BY sc.score DESC, k) AS BIGINT) - 1 ordinal, id, sc.score FROM sc JOIN ch USING (id) WHERE sc.score >= -3000")
+def command_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line's score, sorted, over sequences in FASTA."""
+    out, (reference, query) = fresh(spark, "scored"), _bases_in(spark, sf_dir)
+    _command(spark, "score", "-c", *_whole(spark, sf_dir), "-o", out, "-r", reference, "-q", query, "-m", "-3000", "--sort-by-score")
+    rows = texts.read_items(spark, part_files(out), range_bytes=RANGE).filter("kind = 'chain'")
+    return ordering.ranked(rows, [F.col("file_no").asc(), F.col("offset").asc()]).select((F.col("rank") - 1).alias("ordinal"), "id", "score")
 
 
 @_query("command_split", f"{WITH}{_DENSE}, o AS (SELECT k, {_RECORD} rec, (CAST(row_number() OVER (ORDER BY k) AS BIGINT) - 1)//400 part FROM ch JOIN tx USING (k)) SELECT concat('part.', lpad(CAST(part+1 AS VARCHAR), 5, '0'), '.plain.chain') AS name, md5(string_agg(rec, '' ORDER BY k)) digest FROM o GROUP BY part")
 def command_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The command line's split by chunks."""
-    paths, folder = _written(chains(spark, sf_dir), render.record()), fresh(spark, "plain")
-    files.assemble(spark.createDataFrame([("plain.chain", i, p, 0, files._size(p), None) for i, p in enumerate(paths)], "name string, seq int, path string, offset bigint, length bigint, tail binary"), folder).collect()
     out = fresh(spark, "chunks")
-    _command(spark, "split", "-c", f"{folder}/plain.chain", "-o", out, "--chunks", "400")
+    _command(spark, "split", "-c", *_one_file(spark, chains(spark, sf_dir), render.record(), "plain"), "-o", out, "--chunks", "400")
     return _content(spark, out)
 
 
@@ -384,29 +409,31 @@ def header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains(spark, sf_dir).select("id", render.header(always_plus=True).alias("line"), render.header(F.col("id") + 1000).alias("renamed"))
 
 
-#: The first numbers of the public SplitMix64 generator for the seeds 0 and 1234567, as published with it.
-_SPLITMIX = {0: (16294208416658607535, 7960286522194355700, 487617019471545679), 1234567: (6457827717110365317, 3203168211198807973, 9817491932198370423)}
+@_query("splitmix64", f"WITH {MIXED.format(seed='1234567::UHUGEINT', number='i', source='(SELECT CAST(o_orderkey AS UHUGEINT) i, 0 n FROM orders)')} SELECT CAST(i AS BIGINT) i, CAST(z AS VARCHAR) AS value FROM mx")
+def splitmix64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each order the number that the generator gives at its place."""
 
+    @F.pandas_udf("string")
+    def drawn(i: pd.Series) -> pd.Series:
+        return pd.Series(split.draws(1234567, i.to_numpy())).astype(str)
 
-@_query("splitmix64", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({s} AS BIGINT), {i}, '{v}')" for s, vs in _SPLITMIX.items() for i, v in enumerate(vs)) + ") t(seed, i, value)")
-def splitmix64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A18."""
-    made = [(s, i, str(v)) for s in _SPLITMIX for i, v in zip(range(3), split.splitmix64(s))]
-    return spark.createDataFrame(made, "seed bigint, i int, value string")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("bigint").alias("i"), drawn("o_orderkey").alias("value"))
 
 
-@_query("score_blocks", """SELECT * FROM (VALUES (1, CAST(382 AS BIGINT)), (2, CAST(22 AS BIGINT))) t(k, score)""")
+@_query("score_blocks", f"{SCORE} SELECT id, score FROM sc")
 def score_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Absolute blocks over given bases; 91 + 100 + 100 + 91 for ACGT; cut by a gap of two bases, 360 less."""
-    rows = [(1, "ACGT", "ACGT", [(0, 4, 0, 4)]), (2, "ACxxGT", "ACGT", [(0, 2, 0, 2), (4, 6, 2, 4)])]
-    held = spark.createDataFrame(rows, "k int, target string, query string, absolute array<struct<r_start:bigint,r_end:bigint,q_start:bigint,q_end:bigint>>")
-    return held.select("k", scoring.absolute_score(F.col("target"), F.col("query"), F.col("absolute"), bases.DEFAULT_MATRIX, "loose").alias("score"))
+    """chains' absolute blocks over the bases of both whole sequences."""
+    rows = chains(spark, sf_dir).select("id", "r_name", "q_name", "q_strand", blocks.absolute(F.col("blocks"), F.col("r_start"), F.col("q_start")).alias("absolute"))
+    whole = sequences(spark, sf_dir).groupBy("side", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    r, q = (whole.filter(F.col("side") == side).select(F.col("name").alias(f"{p}_name"), F.col("seq").alias(p)) for side, p in (("reference", "r"), ("query", "q")))
+    met = rows.join(r, "r_name").join(q, "q_name").withColumn("q", F.when(F.col("q_strand") == "-", bases.reverse_complement(F.col("q"))).otherwise(F.col("q")))
+    return met.select("id", scoring.absolute_score(F.col("r"), F.col("q"), F.col("absolute"), bases.DEFAULT_MATRIX, "loose").alias("score"))
 
 
-@_query("split_shuffled", "SELECT * FROM (VALUES (0,8),(1,3),(2,6),(3,5),(4,4),(5,0),(6,9),(7,2),(8,1),(9,7)) t(place, ordinal)")
+@_query("split_shuffled", f"{RECURSIVE}{SHUFFLE} SELECT place, ordinal FROM pm")
 def split_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten chains shuffled by seed 42; the values were worked out from the generator's published definition."""
-    return spark.createDataFrame(list(enumerate(split.shuffled(10, 42))), "place int, ordinal int")
+    """The permutation of all chains by seed 42."""
+    return split.permutation(spark, chains(spark, sf_dir).count(), 42)
 
 
 @_query("source_pushdown", f"{WITH} {_HEADS} WHERE score >= 50000 AND score < 200000 AND r_name IN ('chr1', 'chr2', 'chr3_random') AND q_strand = '-' AND r_start > 100 AND NOT q_name = 'qry3'")

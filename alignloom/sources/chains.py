@@ -258,6 +258,44 @@ def spans(spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_
     return over_ranges(spark, ranges, of, "file_no int, offset bigint, length bigint, ordinal bigint, start bigint, reach bigint")
 
 
+def raw(spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(ordinal, record) of every record: its bytes, the blank line after it included, as the range's task reads them."""
+    found = spans(spark, paths, range_bytes)
+    named = [paths] if isinstance(paths, str) else list(paths)
+    shape = pa.schema([("ordinal", pa.int64()), ("record", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                files = part.column(0).to_numpy()
+                for file_no in np.unique(files).tolist():
+                    some = part.filter(pa.array(files == file_no))
+                    offset, length = (some.column(k).to_numpy() for k in (1, 2))
+                    low = int(offset[0])
+                    body = read_range(named[file_no], low, int(offset[-1] + length[-1]) - low)
+                    pieces = [body[a - low : a - low + n] for a, n in zip(offset.tolist(), length.tolist())]
+                    yield pa.RecordBatch.from_arrays([some.column(3), pa.array(pieces, pa.binary())], schema=shape)
+
+    return found.select("file_no", "offset", "length", "ordinal").mapInArrow(run, "ordinal bigint, record binary")
+
+
+def of_texts(rows: DataFrame, key: str, text: str, **options) -> DataFrame:
+    """`of` (the row's key) and the items (see read_items) of each row's text, in which offsets count; a null text has none, and a fault ends its own text only."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                body = batch.column(1)[at].as_py()
+                for part in scan.parsed(io.BytesIO((body or "").encode()), 0, options=scan.Options(**options)):
+                    keys = batch.column(0).slice(at, 1).take(pa.array(np.zeros(part.num_rows, np.int64)))
+                    yield pa.RecordBatch.from_arrays([keys, *part.columns], names=["of", *part.schema.names])
+
+    ddl = ", ".join(c for c in ITEMS.split(", ") if not c.startswith("file_no"))
+    return rows.select(key, text).mapInArrow(run, f"of {kind}, {ddl}")
+
+
 def _first_of_file(known: list[tuple], ranges: list[tuple], file_no: int) -> int:
     """The number of records before a file."""
     return next(count for (_, count, _), span in zip(known, ranges) if span[0] == file_no)

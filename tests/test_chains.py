@@ -3,6 +3,7 @@
 import gzip
 import io
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -170,11 +171,42 @@ def test_matrix_and_complement(spark):
     assert rows.select(bases.reverse_complement(bases.reverse_complement(F.col("s")))).first()[0] == "ACgtRYN"
 
 
+def splitmix64(seed):
+    while True:
+        seed = (seed + 0x9E3779B97F4A7C15) % 2**64
+        z = (seed ^ seed >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+        yield z ^ z >> 31
+
+
+def shuffled(n, seed):
+    """range(n) after a Fisher-Yates pass from the end, step by step."""
+    out, draw = list(range(n)), splitmix64(seed)
+    for i in range(n - 1, 0, -1):
+        j = next(draw) * (i + 1) >> 64
+        out[i], out[j] = out[j], out[i]
+    return out
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.integers(0, 2**64 - 1))
+def test_draws(seed, other):
+    draw = splitmix64(seed)
+    want = [next(draw) for _ in range(50)]
+    assert split.draws(seed, np.arange(50)).tolist() == want
+    by = np.array([other] * 50, np.uint64)
+    assert split.high_product(np.array(want, np.uint64), by).tolist() == [w * other >> 64 for w in want]
+
+
+@pytest.mark.parametrize("n, seed", [(1, 0), (2, 1), (3, 2**64 - 1), (10, 42), (500, 3), (20_000, 12345)])
+def test_permutation_is_the_sequential_one(spark, n, seed):
+    rows = split.permutation(spark, n, seed).orderBy("place").collect()
+    assert [r["place"] for r in rows] == list(range(n)) and [r["ordinal"] for r in rows] == shuffled(n, seed)
+
+
 @settings(max_examples=40, deadline=None)
-@given(st.integers(1, 60), st.integers(1, 20), st.integers(0, 2**64 - 1))
-def test_split_laws(n, files, seed):
-    order = split.shuffled(n, seed)
-    assert sorted(order) == list(range(n))
+@given(st.integers(1, 60), st.integers(1, 20))
+def test_split_laws(n, files):
     parts = [((i + 1) * files - 1) // n for i in range(n)]
     assert all(f * n // files <= i < (f + 1) * n // files for i, f in enumerate(parts)) or files > n
 
@@ -182,10 +214,10 @@ def test_split_laws(n, files, seed):
 def test_split_randomized(spark, load):
     text = "".join(A.replace(" 1\n", f" {i}\n", 1) for i in range(1, 21))
     rows = split.split(chains.chains(load(text)), files=3, randomize=True, seed=7).collect()
-    place = {o: p for p, o in enumerate(split.shuffled(20, 7))}
+    place = {o: p for p, o in enumerate(shuffled(20, 7))}
     assert {int(r["id"]): r["part"] for r in rows} == {i + 1: ((place[i] + 1) * 3 - 1) // 20 for i in range(20)}
     #: The places of ten chains for seed 42, worked out by hand from the public generator.
-    assert split.shuffled(10, 42) == [8, 3, 6, 5, 4, 0, 9, 2, 1, 7]
+    assert shuffled(10, 42) == [8, 3, 6, 5, 4, 0, 9, 2, 1, 7]
 
 
 def test_lossy_merge_and_dense(spark):
