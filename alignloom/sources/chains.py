@@ -282,15 +282,33 @@ def raw(spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_BY
 
 def of_texts(rows: DataFrame, key: str, text: str, **options) -> DataFrame:
     """`of` (the row's key) and the items (see read_items) of each row's text, in which offsets count; a null text has none, and a fault ends its own text only."""
-    kind = rows.schema[key].dataType.simpleString()
+    kind, how = rows.schema[key].dataType.simpleString(), scan.Options(**options)
+
+    def together(bodies: list[bytes]) -> tuple[pa.Table, np.ndarray] | None:
+        """The items of some texts, read as one with blank lines between them, and whose each is; None if there is a fault."""
+        begin = np.cumsum([0, *(len(b) + 2 for b in bodies)])
+        found = pa.Table.from_batches(scan.parsed(io.BytesIO(b"\n\n".join(bodies)), 0, options=how), scan.schema())
+        if found["error"].null_count < found.num_rows:
+            return None
+        offset, length = (found[c].to_numpy() for c in ("offset", "length"))
+        of = np.searchsorted(begin, offset, side="right") - 1
+        own = np.minimum(offset + length, begin[of + 1] - 2) - offset  # without the lines between
+        for name, values in (("offset", offset - begin[of]), ("length", own)):
+            found = found.set_column(found.schema.get_field_index(name), name, pa.array(values))
+        return found, of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                body = batch.column(1)[at].as_py()
-                for part in scan.parsed(io.BytesIO((body or "").encode()), 0, options=scan.Options(**options)):
-                    keys = batch.column(0).slice(at, 1).take(pa.array(np.zeros(part.num_rows, np.int64)))
-                    yield pa.RecordBatch.from_arrays([keys, *part.columns], names=["of", *part.schema.names])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                bodies = [(body or "").encode() for body in part.column(1).to_pylist()]
+                found = together(bodies)
+                if found is None:  # a fault ends its own text only
+                    each = [pa.Table.from_batches(scan.parsed(io.BytesIO(b), 0, options=how), scan.schema()) for b in bodies]
+                    found = pa.concat_tables(each), np.repeat(np.arange(len(each)), [t.num_rows for t in each])
+                table, of = found
+                out = table.add_column(0, "of", part.column(0).take(pa.array(of))).combine_chunks()
+                yield from out.to_batches()
 
     ddl = ", ".join(c for c in ITEMS.split(", ") if not c.startswith("file_no"))
     return rows.select(key, text).mapInArrow(run, f"of {kind}, {ddl}")

@@ -253,6 +253,35 @@ def test_pieces_cut_at_chunks(spark, monkeypatch):
         scoring.counted(df, held.filter("bin <> 5")).collect()
 
 
+def test_texts_of_a_column(spark):
+    texts = [None, *TEXTS] * 9 + [A.rstrip("\n")] * 70 + ["#m", A + "#n", "\n"] * 30
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, body string").repartition(3)
+    got = defaultdict(list)
+    for r in chains.of_texts(rows, "id", "body").collect():
+        got[r["of"]].append({k: v for k, v in r.asDict(recursive=True).items() if v is not None and k != "of"})
+    for i, t in enumerate(texts):
+        for r in got[i]:
+            r |= ({"blocks": [tuple(b.values()) for b in r["blocks"]]} if "blocks" in r else {}) | ({"id": int(r["id"])} if "id" in r else {})
+        assert sorted(got[i], key=lambda r: r["offset"]) == plainly_read((t or "").encode()), i
+
+
+def test_kept_index(spark, tmp_path):
+    from alignloom.sources import index
+
+    texts, paths = [A * 5 + B, B, "#m\n" + A + B * 7], []
+    for i, t in enumerate(texts):
+        paths.append(str(tmp_path / f"{i}.chain"))
+        (tmp_path / f"{i}.chain").write_text(t)
+    folder = str(tmp_path / "index")
+    index.write(chains.spans(spark, paths, range_bytes=60), folder)
+    records = [t[x["offset"] : x["offset"] + x["length"]].encode() for t in texts for x in plainly_read(t.encode()) if x["kind"] == "chain"]
+    assert index.size(folder) == len(records) == 15
+    assert [index.chain_bytes(folder, paths, i) for i in (0, 6, 14, 15)] == [records[0], records[6], records[14], None]
+    wanted = spark.createDataFrame([(i,) for i in (3, 14, 7, 99, 3)], "ordinal bigint")
+    assert sorted((r["ordinal"], bytes(r["record"])) for r in index.fetched(wanted, folder, paths).collect()) == sorted((i, records[i]) for i in (3, 14, 7, 3))
+    assert [(r["ordinal"], bytes(r["record"])) for r in chains.raw(spark, paths, range_bytes=70).orderBy("ordinal").collect()] == list(enumerate(records))
+
+
 def test_data_source_pushes_filters(spark, tmp_path, capsys):
     from alignloom.sources import datasource
 
