@@ -214,7 +214,7 @@ def _digests(found: DataFrame) -> DataFrame:
 
 
 def _loaded(spark: SparkSession, paths: tuple[str, str], names: DataFrame | None = None) -> DataFrame:
-    r, q = (files_of_bases.load(spark, p, side, names) for p, side in zip(paths, ("reference", "query")))
+    r, q = (files_of_bases.load(spark, p, side, names, range_bytes=RANGE) for p, side in zip(paths, ("reference", "query")))
     return r.unionByName(q)
 
 

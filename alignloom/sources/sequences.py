@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alignloom.sources import fasta
 from alignloom.storage import opened
 
 #: Bases of a chunk.
@@ -126,7 +127,7 @@ MOST_NAMES = 100_000
 
 
 def _plan(paths: list[str], names: set[str] | None) -> list[tuple[int, str, str, int, str | None, int]]:
-    """(file_no, path, kind or byte order, record, name, offset): a FASTA file is one row, a 2bit file one for each (named) record."""
+    """(file_no, path, kind or byte order, record, name, offset): a FASTA file is one row (plain fasta if it is not packed), a 2bit file one for each (named) record."""
     out = []
     for file_no, path in enumerate(paths):
         system, inner = opened(path)
@@ -135,6 +136,7 @@ def _plan(paths: list[str], names: set[str] | None) -> list[tuple[int, str, str,
         with system.open_input_file(inner) as raw:
             head = raw.read(4)
             kind = sniff(head)
+            kind = "plain fasta" if kind == "fasta" else kind
             if kind == "gzip":
                 raw.seek(0)
                 kind = "fasta" if sniff(gzip.GzipFile(fileobj=raw).read(4)) == "fasta" else "packed 2bit"
@@ -147,12 +149,12 @@ def _plan(paths: list[str], names: set[str] | None) -> list[tuple[int, str, str,
     return out
 
 
-def load(spark: SparkSession, path: str | list[str], side: str, names: DataFrame | None = None) -> DataFrame:
+def load(spark: SparkSession, path: str | list[str], side: str, names: DataFrame | None = None, range_bytes: int | None = None) -> DataFrame:
     """(side, name, bin, seq) of the files' sequences, in chunks; names (a DataFrame of `name`) restricts them.
 
-    Files are told apart by their first bytes, whatever they are called. A FASTA file is
-    streamed by one task; each record of a 2bit file is a task's own, and of named ones
-    no other is read. The same name twice: the last file's, and in a file the last
+    Files are told apart by their first bytes, whatever they are called. FASTA is read by
+    byte ranges (a gzip file is streamed by one task); each record of a 2bit file is a
+    task's own, and of named ones no other is read. The same name twice: the last file's, and in a file the last
     record's, sequence counts.
     """
     wanted = None if names is None else names.select("name").distinct()
@@ -189,8 +191,12 @@ def load(spark: SparkSession, path: str | list[str], side: str, names: DataFrame
                     columns = [[row["file_no"]] * len(some), *zip(*some)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
+    ranged = [(file_no, p) for file_no, p, kind, *_ in plan if kind == "plain fasta"]
+    plan = [row for row in plan if row[2] != "plain fasta"]
     table = spark.createDataFrame(plan, "file_no int, path string, kind string, record int, name string, offset bigint")
     rows = table.repartition(max(1, min(len(plan), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, "file_no int, record int, name string, bin bigint, seq string")
+    if ranged:
+        rows = rows.unionByName(fasta.read(spark, ranged, CHUNK, range_bytes))
     if wanted is not None:
         rows = rows.join(wanted, "name", "left_semi")
     last = rows.groupBy("name").agg(F.max(F.struct("file_no", "record")).alias("last"))

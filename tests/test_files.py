@@ -253,6 +253,54 @@ def test_pieces_cut_at_chunks(spark, monkeypatch):
         scoring.counted(df, held.filter("bin <> 5")).collect()
 
 
+FASTA = st.lists(st.sampled_from([">a b\n", ">c\n", ">long_name with words\r\n", ">d", "ACGT\n", "acgtn\r\n", "ACG", "\n", " A C\tG\n", "T" * 40, ">e\n>f\n", "\x0b"]), min_size=1, max_size=14).map(lambda x: ">first\n" + "".join(x))
+
+
+@settings(max_examples=400, deadline=None)
+@given(FASTA, st.integers(1, 40), st.integers(1, 9))
+def test_fasta_ranges_give_what_the_stream_gives(text, step, chunk):
+    from alignloom.sources import fasta, sequences
+
+    data, state, got = text.encode("latin-1"), fasta.State(), {}
+    try:
+        before, sequences.CHUNK = sequences.CHUNK, chunk
+        want = {(r, n, b): s for r, n, b, s in sequences.from_fasta(io.BytesIO(data))}
+    except ValueError:
+        want = None
+    finally:
+        sequences.CHUNK = before
+    try:
+        for low in range(0, len(data), step):
+            high = min(low + step, len(data))
+            for record, name, number, at, seq, whole in fasta.pieces(io.BytesIO(data), low, high, state, high == len(data), chunk):
+                key = (record, name, number)
+                assert at == len(got.get(key, "")) and not (whole and key in got)
+                got[key] = got.get(key, "") + seq
+            state = state.past(fasta.part_of(io.BytesIO(data), low, high))
+    except ValueError:
+        got = None
+    assert got == want
+
+
+def test_fasta_files_by_ranges(spark, tmp_path):
+    import random
+
+    from alignloom.sources import sequences
+
+    rng = random.Random(4)
+    held = {f"s{i}": "".join(rng.choices("ACGTacgtN", k=n)) for i, n in enumerate((0, 5, 70_000, 140_000, 65_536, 1))}
+    (tmp_path / "a.fa").write_text("".join(f">{n} x\n" + "".join(s[i : i + 61] + "\n" for i in range(0, len(s), 61)) for n, s in held.items()))
+    (tmp_path / "b.fa").write_text(">s1 again\nGGGG\n>one\n" + "ACGT" * 30_000)
+    held |= {"s1": "GGGG", "one": "ACGT" * 30_000}
+    for size in (7_000, 100_000, None):
+        rows = sequences.load(spark, [str(tmp_path / "a.fa"), str(tmp_path / "b.fa")], "query", range_bytes=size).orderBy("name", "bin").collect()
+        assert all(len(r["seq"]) <= 65_536 for r in rows)
+        assert {n: "".join(r["seq"] for r in rows if r["name"] == n) for n in held} == held
+    (tmp_path / "c.fa").write_text(">a\nAC\n> \nGT\n")
+    with pytest.raises(Exception, match="without a name"):
+        sequences.load(spark, str(tmp_path / "c.fa"), "query", range_bytes=4).collect()
+
+
 def test_texts_of_a_column(spark):
     texts = [None, *TEXTS] * 9 + [A.rstrip("\n")] * 70 + ["#m", A + "#n", "\n"] * 30
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, body string").repartition(3)
