@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alignloom.functions import bases, blocks, gaps
+from alignloom.functions import sql as functions
 from alignloom.operators import bed, files, ordering, render, scoring, split
-from alignloom.plans.queries import _DENSE, _HEADER_SQL, AB, BASE, GRID, HEAD, MIXED, RECURSIVE, SCORE, SHUFFLE, WITH, _query
+from alignloom.plans.queries import _DENSE, _HEADER_SQL, _cost_cte, AB, BASE, GRID, HEAD, MIXED, RECURSIVE, SCORE, SHUFFLE, WITH, _query
 from alignloom.plans.universe import ALPHABET, chains, sequences
 from alignloom.sources import chains as texts
 from alignloom.sources import datasource, index
@@ -452,3 +453,13 @@ def source_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _written(chains(spark, sf_dir), render.record())[0].rsplit("/", 1)[0]
     rows = spark.read.format("chain").schema("r_name string, q_name string, score bigint").option("range_bytes", RANGE).load(folder)
     return rows.filter(F.col("q_name").startswith("qry1")).groupBy("r_name").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+
+
+@_query("sql_functions", f"""{WITH}{AB}{_cost_cte('medium', '(SELECT id, CAST(gq AS BIGINT) dq, CAST(gr AS BIGINT) dt FROM ab WHERE n < m)')}, gs AS (SELECT id, CAST(sum(cost) AS BIGINT) gaps FROM gc GROUP BY id){_DENSE}
+SELECT id, coalesce(gaps, 0) gaps, md5({_RECORD}) record, {_HEAD_SQL} AS line, reverse(translate(r_name, 'ACGTacgtRYKMBVDHrykmbvdh', 'TGCAtgcaYRMKVBHDyrmkvbhd')) turned FROM ch JOIN tx USING (k) LEFT JOIN gs USING (id)""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions of spark.sql, over a view of the chains."""
+    functions.register(spark)
+    fields = "score, r_name, r_size, r_strand, r_start, r_end, q_name, q_size, q_strand, q_start, q_end, id"
+    return spark.sql(f"""SELECT id, gaps, md5(concat(chain_record({fields}, blocks), '\\n')) record, chain_header({fields}) line, reverse_complement(r_name) turned
+    FROM (SELECT *, coalesce((SELECT sum(gap_cost_medium(b.gap_query, b.gap_reference)) FROM (SELECT explode(slice(blocks, 1, size(blocks) - 1)) b)), 0) gaps FROM {{chains}})""", chains=chains(spark, sf_dir))

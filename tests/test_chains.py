@@ -336,3 +336,17 @@ def test_missing_sequences_are_named(spark, tmp_path, capsys):
     lost = [x.split("\n")[0] for x in (A, B, C) if x.split()[2] == A.split()[2]]
     said = capsys.readouterr().err
     assert stats["missing"] == len(lost) and stats["written"] == 3 - len(lost) and all(f"WARN: no sequence for {A.split()[2]}, skipped: {x}" in said for x in lost)
+
+
+def test_sql_functions_are_columns_without_python(spark, load):
+    from alignloom.functions import sql
+
+    sql.register(spark)
+    rows = chains.chains(load(A + B + C))
+    fields = "score, r_name, r_size, r_strand, r_start, r_end, q_name, q_size, q_strand, q_start, q_end, id"
+    rows.write.mode("overwrite").saveAsTable("chains_of_sql")
+    found = spark.sql(f"SELECT id, chain_record({fields}, blocks) r, chain_header({fields}) h, chain_blocks_text(blocks) b, gap_cost(12, 0) g, gap_cost_rnadna(0, 3) d, reverse_complement('ACgtRYN') c FROM chains_of_sql")
+    want = rows.select("id", render.record().alias("r"), render.header().alias("h"), render.dense_lines(F.col("blocks")).alias("b"), F.expr(gaps.cost_sql("12", "0")).alias("g"), F.expr(gaps.cost_sql("0", "3", "rnaDna")).alias("d"), F.lit("NRYacGT").alias("c"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
+    spark.sql("DROP TABLE chains_of_sql")
