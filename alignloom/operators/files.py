@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alignloom.operators import split
-from alignloom.sources import chains
+from alignloom.sources import blocked, chains
 from alignloom.storage import opened
 
 STEP, RANGE_BYTES = 8 << 20, 256 << 20
@@ -33,7 +33,8 @@ def assemble(pieces: DataFrame, folder: str, gzipped: bool = False) -> DataFrame
 
     A piece is a byte range of the text at path (of a gzip file, of what it holds),
     then the bytes of tail. One task writes a file, under a name of its own until it
-    is whole, so lost tasks may be run again.
+    is whole, so lost tasks may be run again. gzipped: in blocks, which can be read by
+    several tasks.
     """
     schema = pa.schema([("name", pa.string()), ("bytes", pa.int64())])
 
@@ -68,7 +69,7 @@ def assemble(pieces: DataFrame, folder: str, gzipped: bool = False) -> DataFrame
                         yield ended()
                     now, written, place = row["name"], 0, f"{inner}/_{uuid.uuid4().hex}"
                     stream = system.open_output_stream(place, compression=None)
-                    out = gzip.GzipFile(fileobj=stream, mode="wb", compresslevel=1, mtime=0) if gzipped else stream
+                    out = blocked.Writer(stream) if gzipped else stream
                 for part in ranges(row["path"], row["offset"], row["length"], held):
                     out.write(part)
                     written += len(part)

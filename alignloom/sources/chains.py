@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from alignloom.operators.ordering import generated_ids
 from alignloom.schema import ITEMS
-from alignloom.sources import scan
+from alignloom.sources import blocked, scan
 from alignloom.storage import fresh, opened
 
 RANGE_BYTES = 64 << 20
@@ -83,30 +83,39 @@ def from_bytes(spark: SparkSession, data: bytes, piece: int = 4 << 20) -> DataFr
     return read(spark, path, range_bytes=piece)
 
 
-def ranges_of(paths: str | list[str], range_bytes: int = RANGE_BYTES) -> list[tuple[int, str, bool, int, int]]:
-    """(file_no, path, whether it is gzip, low, high): plain files in byte ranges; a gzip file is one, as its format cannot be entered elsewhere."""
+def ranges_of(paths: str | list[str], range_bytes: int = RANGE_BYTES) -> list[tuple[int, str, bool | blocked.Index, int, int]]:
+    """(file_no, path, packing, low, high): byte ranges of texts. packing: False, True for gzip, which is one range as its format cannot be entered elsewhere, or the index of gzip in blocks, which can (listing them needs a session)."""
     out = []
     for file_no, path in enumerate([paths] if isinstance(paths, str) else paths):
         system, inner = opened(path)
         size = system.get_file_info(inner).size
         if size is None:
             raise FileNotFoundError(path)
+        place = path if ":" in path else inner
         with system.open_input_file(inner) as stream:
-            packed = path.endswith(".gz") or stream.read(2) == b"\x1f\x8b"
-        step = max(size, 1) if packed else range_bytes
-        out += [(file_no, path if ":" in path else inner, packed, at, min(at + step, size)) for at in range(0, max(size, 1), step)]
+            head = stream.read(18)
+        packed: bool | blocked.Index = path.endswith(".gz") or head[:2] == b"\x1f\x8b"
+        if packed and blocked.length_at(head, 0) and (spark := SparkSession.getActiveSession()) is not None:
+            packed = blocked.index(spark, place, size)
+            size = packed.size
+        step = max(size, 1) if packed is True else range_bytes
+        out += [(file_no, place, packed, at, min(at + step, size)) for at in range(0, max(size, 1), step)]
     return out
 
 
-def _opened(path: str, packed: bool, low: int, stack: ExitStack) -> tuple[io.BufferedIOBase, int, bool]:
+def _opened(path: str, packed: bool | blocked.Index, low: int, stack: ExitStack) -> tuple[io.BufferedIOBase, int, bool]:
     """(stream, offset, inside) at the first line that begins in a range."""
+    stream = _stream(path, packed, stack)
+    start, inside = begins_inside(stream, low) if low else (0, False)
+    stream.seek(start)
+    return stream, start, inside
+
+
+def _stream(path: str, packed: bool | blocked.Index, stack: ExitStack):
+    """A file's text."""
     system, inner = opened(path)
     raw = stack.enter_context(system.open_input_file(inner))
-    if packed:
-        return gzip.GzipFile(fileobj=raw), 0, False
-    start, inside = begins_inside(raw, low) if low else (0, False)
-    raw.seek(start)
-    return raw, start, inside
+    return gzip.GzipFile(fileobj=raw) if packed is True else blocked.Reader(raw, packed) if packed else raw
 
 
 def over_ranges(spark: SparkSession, ranges: list[tuple], of: Callable[[int, ExitStack], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
@@ -125,7 +134,7 @@ def items_of(span: tuple, options: scan.Options, number: int | None, stack: Exit
     """The items of the records that begin in a range of ranges_of(); whole: a batch for each window, as options.wanted sees it."""
     file_no, path, packed, low, high = span
     stream, start, inside = _opened(path, packed, low, stack)
-    for part in scan.parsed(stream, start, None if packed else high, inside, options, number, batch_rows=None if whole else scan.BATCH_ROWS):
+    for part in scan.parsed(stream, start, None if packed is True else high, inside, options, number, batch_rows=None if whole else scan.BATCH_ROWS):
         files = pa.array(np.full(part.num_rows, file_no, np.int32))
         yield pa.RecordBatch.from_arrays([part.column(0), files, *part.columns[1:]], names=["kind", "file_no", *part.schema.names[1:]])
 
@@ -149,7 +158,7 @@ def numbering(spark: SparkSession, paths: str | list[str], range_bytes: int = RA
     def of(i: int, stack: ExitStack) -> Iterator[pa.RecordBatch]:
         _, path, packed, low, high = ranges[i]
         stream, start, inside = _opened(path, packed, low, stack)
-        n = sum(scan.without_id(lines) for lines, _ in scan.windows(stream, start, None if packed else high, inside, with_words=False))
+        n = sum(scan.without_id(lines) for lines, _ in scan.windows(stream, start, None if packed is True else high, inside, with_words=False))
         yield pa.RecordBatch.from_pydict({"i": [i], "n": [n]})
 
     found = {r["i"]: r["n"] for r in over_ranges(spark, ranges, of, "i bigint, n bigint").collect()}
@@ -203,11 +212,10 @@ def entries(spark: SparkSession, paths: str | list[str], range_bytes: int = RANG
 
     def of(i: int, stack: ExitStack) -> Iterator[pa.RecordBatch]:
         _, path, packed, low, high = ranges[i]
-        system, inner = opened(path)
-        raw = stack.enter_context(system.open_input_file(inner))
-        stream, at = (gzip.GzipFile(fileobj=raw), 0) if packed else (raw, line_at(raw, low) if low else 0)
+        stream = _stream(path, packed, stack)
+        at = line_at(stream, low) if low else 0
         stream.seek(at)
-        found = scan.scanned(stream, at, None if packed else high, metadata)[0]
+        found = scan.scanned(stream, at, None if packed is True else high, metadata)[0]
         row = {"i": i, "after": found.after, "starts": found.starts, "first": found.first, "fault_at": [f[0] if f else -1 for f in found.fault], "fault": [f[1] if f else None for f in found.fault]}
         yield pa.RecordBatch.from_pylist([row], schema=shape)
 
@@ -241,11 +249,10 @@ def spans(spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_
     def of(i: int, stack: ExitStack) -> Iterator[pa.RecordBatch]:
         file_no, path, packed, low, high = ranges[i]
         inside, count, ahead = known[i]
-        system, inner = opened(path)
-        raw = stack.enter_context(system.open_input_file(inner))
-        stream, at = (gzip.GzipFile(fileobj=raw), 0) if packed else (raw, line_at(raw, low) if low else 0)
+        stream = _stream(path, packed, stack)
+        at = line_at(stream, low) if low else 0
         stream.seek(at)
-        found = [scan.records(lines, base) for lines, base in scan.windows(stream, at, None if packed else high, inside, with_words=False)]
+        found = [scan.records(lines, base) for lines, base in scan.windows(stream, at, None if packed is True else high, inside, with_words=False)]
         offset, length = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         ordinal = count + np.arange(len(offset))
         begin = offset.copy()

@@ -352,3 +352,52 @@ def test_data_source_pushes_filters(spark, tmp_path, capsys):
     assert [again.filter("score = 300").count(), again.count(), again.filter("id = 7").count()] == [1, 5, 3]
     with pytest.raises(Exception, match="no columns"):
         spark.read.format("chain").schema("scores bigint").load(str(tmp_path)).collect()
+
+
+def test_gzip_in_blocks(spark, tmp_path, monkeypatch):
+    from alignloom.operators import files
+    from alignloom.sources import blocked
+
+    monkeypatch.setattr(blocked, "BLOCK", 97)
+    monkeypatch.setattr(blocked, "STEP", 300)
+    monkeypatch.setattr(blocked, "LISTED", 500)
+    text = ("#m\n" + A + B * 3 + "#n\n") * 60
+    (tmp_path / "plain.chain").write_text(text)
+    rows = files.merge_files(spark, [str(tmp_path / "plain.chain")], str(tmp_path / "packed"), gzipped=True).collect()
+    packed = str(tmp_path / "packed" / rows[0]["name"])
+    assert gzip.open(packed).read().decode() == text
+    spans = chains.ranges_of(packed, 1000)
+    assert len(spans) == -(-len(text) // 1000) and len(spans[0][2].offsets) > 10
+    key = lambda r: r["offset"]
+    for size in (170, 1000, 1 << 20):
+        want = sorted(chains.read(spark, str(tmp_path / "plain.chain"), range_bytes=size).collect(), key=key)
+        assert sorted(chains.read(spark, packed, range_bytes=size).collect(), key=key) == want
+        assert [tuple(r) for r in chains.spans(spark, packed, range_bytes=size).collect()] == [tuple(r) for r in chains.spans(spark, str(tmp_path / "plain.chain"), range_bytes=size).collect()]
+    data = bytearray(open(packed, "rb").read())
+    data[len(data) // 2] ^= 0xFF
+    (tmp_path / "bad.chain.gz").write_bytes(data + b"\0" * 3)
+    with pytest.raises(Exception):
+        chains.read(spark, str(tmp_path / "bad.chain.gz"), range_bytes=400).collect()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=400), max_size=8), st.integers(1, 200), st.integers(1, 300))
+def test_blocks_can_be_entered_anywhere(parts, low, n):
+    from alignloom.sources import blocked
+
+    out = io.BytesIO()
+    out.close = lambda: None
+    before, blocked.BLOCK = blocked.BLOCK, 64
+    writer = blocked.Writer(out)
+    for p in parts:
+        writer.write(p)
+    writer.close()
+    blocked.BLOCK = before
+    data, text = out.getvalue(), b"".join(parts)
+    assert gzip.decompress(data) == text
+    listed = [m for a in range(0, len(data), 100) for m in blocked.members(io.BytesIO(data), a, min(a + 100, len(data)))]
+    assert sum(k for _, k in listed) == len(text) and listed[0][0] == 0
+    offsets = tuple(sum(k for _, k in listed[:i]) for i in range(len(listed)))
+    reader = blocked.Reader(io.BytesIO(data), blocked.Index(offsets, tuple(p for p, _ in listed), len(text)))
+    reader.seek(low)
+    assert reader.read(n) == text[low : low + n] and reader.read() == text[low + n :]
