@@ -473,9 +473,9 @@ def text_gzip_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.read(spark, part_files(folder), range_bytes=RANGE * 10).select(*HEAD)
 
 
-@_query("sort_ties", f"{WITH}, u AS (SELECT *, id % 3 i3, score // 200000 s, 0 AS copy FROM ch UNION ALL SELECT *, id % 3, score // 200000, 1 FROM ch WHERE nb > 1) SELECT CAST(row_number() OVER (ORDER BY s DESC, i3, r_name, r_size, r_strand, r_start, r_end, q_name, q_size, q_strand, q_start, q_end, copy DESC) AS BIGINT) AS rank, k, copy FROM u")
+@_query("sort_ties", f"{WITH}, bs AS (SELECT k, list({{'size': size, 'gr': gr, 'gq': gq}} ORDER BY n) bl FROM b GROUP BY k), u AS (SELECT *, id % 3 i3, score // 200000 s, 0 AS copy FROM ch JOIN bs USING (k) UNION ALL SELECT * REPLACE (bl[1:nb - 1] AS bl), id % 3, score // 200000, 1 FROM ch JOIN bs USING (k) WHERE nb > 1) SELECT CAST(row_number() OVER (ORDER BY s DESC, i3, r_name, r_size, r_strand, r_start, r_end, q_name, q_size, q_strand, q_start, q_end, bl) AS BIGINT) AS rank, k, copy FROM u")
 def sort_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T: few ids and scores, so all fields decide, and blocks last: a list that begins another comes first."""
-    rows = chains(spark, sf_dir).withColumn("copy", F.lit(0)).withColumn("k", F.col("offset")).withColumn("id", F.col("id") % 3).withColumn("score", F.floor(F.col("score") / 200000))
+    rows = chains(spark, sf_dir).withColumn("copy", F.lit(0)).withColumn("k", F.col("offset")).withColumn("id", F.col("id") % 3).withColumn("score", F.expr("score div 200000"))
     cut = rows.filter(F.size("blocks") > 1).withColumn("copy", F.lit(1)).withColumn("blocks", F.slice("blocks", F.lit(1), F.size("blocks") - 1))
     return ordering.ranked(rows.unionByName(cut), ordering.keys("score")).select("rank", "k", "copy")
