@@ -27,19 +27,44 @@ ct AS (SELECT id, min(score) score, CAST(sum(CASE WHEN upper(t)=upper(q) AND upp
  CAST(sum(CASE upper(q) || upper(t) WHEN 'AA' THEN 91 WHEN 'TT' THEN 91 WHEN 'CC' THEN 100 WHEN 'GG' THEN 100 WHEN 'AC' THEN -114 WHEN 'CA' THEN -114 WHEN 'GT' THEN -114 WHEN 'TG' THEN -114
   WHEN 'AG' THEN -31 WHEN 'GA' THEN -31 WHEN 'CT' THEN -31 WHEN 'TC' THEN -31 WHEN 'AT' THEN -123 WHEN 'TA' THEN -123 WHEN 'CG' THEN -125 WHEN 'GC' THEN -125 ELSE 0 END) AS BIGINT) mt FROM ba GROUP BY id)""".replace("{a}", ALPHABET)
 _DUCK_TRUNC = lambda e: f"CAST(trunc({e}) AS BIGINT)"
-_KNOTS = {  # value tables for the oracle's range join
-    name: ", ".join(f"('{side}', {p}, {v}, {nxt_p if nxt_p is not None else 'NULL'}, {nxt_v if nxt_v is not None else 'NULL'})" for side in ("query", "target", "both") for (p, v), (nxt_p, nxt_v) in zip(list(zip((0, *t.positions), (0, *getattr(t, side)))), [*zip(t.positions, getattr(t, side)), (None, None)]))
-    for name, t in gaps.TABLES.items()
+#: Positions and costs of the established gap tables, written out here so that the SQL does not follow the library's.
+_TABLES = {
+    "loose": {
+        "at": (1, 2, 3, 11, 111, 2111, 12111, 32111, 72111, 152111, 252111),
+        "query": (325, 360, 400, 450, 600, 1100, 3600, 7600, 15600, 31600, 56600), "target": (325, 360, 400, 450, 600, 1100, 3600, 7600, 15600, 31600, 56600),
+        "both": (625, 660, 700, 750, 900, 1400, 4000, 8000, 16000, 32000, 57000),
+    },
+    "medium": {
+        "at": (1, 2, 3, 11, 111, 2111, 12111, 32111, 72111, 152111, 252111),
+        "query": (350, 425, 450, 600, 900, 2900, 22900, 57900, 117900, 217900, 317900), "target": (350, 425, 450, 600, 900, 2900, 22900, 57900, 117900, 217900, 317900),
+        "both": (750, 825, 850, 1000, 1300, 3300, 23300, 58300, 118300, 218300, 318300),
+    },
+    "cheap": {"at": (1, 100, 1000), "query": (0, 30, 300), "target": (0, 30, 300), "both": (0, 30, 300)},
+    "rnaDna": {
+        "at": (1, 2, 3, 11, 31, 111, 2111, 12111, 32111, 72111, 152111, 252111),
+        "query": (325, 360, 400, 450, 600, 800, 1100, 3600, 7600, 15600, 31600, 56600), "target": (200, 210, 220, 250, 300, 400, 500, 600, 800, 1200, 2000, 4000),
+        "both": (625, 660, 700, 750, 900, 1100, 1400, 4000, 8000, 16000, 32000, 57000),
+    },
 }
 
 
+def _knots(table: str) -> str:
+    """Rows of the oracle's range join: side, a knot and its cost (0 and 0 first), the next knot and its cost."""
+    t, rows = _TABLES[table], []
+    for side in ("query", "target", "both"):
+        known = [(0, 0), *zip(t["at"], t[side])]
+        for (p, v), (after, cost) in zip(known, [*known[1:], ("NULL", "NULL")]):
+            rows.append(f"('{side}', {p}, {v}, {after}, {cost})")
+    return ", ".join(rows)
+
+
 def _cost_cte(table: str, source: str) -> str:
     """gc: id-wise gap costs of rows (id, dq, dt) by a join with the knots; past the last, the last two knots' line; below the first, only 0 occurs."""
-    t = gaps.TABLES[table]
-    p = t.positions
-    last = " ".join(f"WHEN '{s}' THEN {v[-1]} + ({v[-1] - v[-2]}) / CAST({p[-1] - p[-2]} AS DOUBLE) * (x - {p[-1]})" for s, v in (("query", t.query), ("target", t.target), ("both", t.both)))
+    t = _TABLES[table]
+    p = t["at"]
+    last = " ".join(f"WHEN '{s}' THEN {v[-1]} + ({v[-1] - v[-2]}) / CAST({p[-1] - p[-2]} AS DOUBLE) * (x - {p[-1]})" for s, v in ((s, t[s]) for s in ("query", "target", "both")))
     return f""", gx AS (SELECT *, CASE WHEN dt = 0 THEN 'query' WHEN dq = 0 THEN 'target' ELSE 'both' END side, dq + dt x FROM {source}),
-kn(side, p0, v0, p1, v1) AS (VALUES {_KNOTS[table]}),
+kn(side, p0, v0, p1, v1) AS (VALUES {_knots(table)}),
 gc AS (SELECT gx.*, CAST(CASE WHEN x = 0 THEN 0 WHEN p1 IS NULL THEN trunc(CASE gx.side {last} END) ELSE trunc(v0 + CAST(v1 - v0 AS DOUBLE) * CAST(x - p0 AS DOUBLE) / CAST(p1 - p0 AS DOUBLE)) END AS BIGINT) cost
  FROM gx JOIN kn ON kn.side = gx.side AND x >= p0 AND (p1 IS NULL OR x < p1))"""
 
