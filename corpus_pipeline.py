@@ -12,7 +12,11 @@ from alignloom.llm.queries import tokenizer_file
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic."""
+    """Documents that the classifier does not call toxic.
+
+    Null and empty texts are scored as any other, very long ones whole; repeated rows each stay or go; an empty
+    table stays empty; other columns keep names and values, whatever they are called.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.clean(docs, model)
 
@@ -26,17 +30,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside a benchmark window."""
+    """Documents without a word inside a benchmark window.
+
+    Null and empty texts have no words and stay; very long ones are read whole; repeated rows each stay or go; an
+    empty table stays empty; columns keep names and values.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), 10)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret masked and n_chars as it is then."""
+    """All documents, with each secret masked and n_chars as it is then.
+
+    Null and empty texts stay as they are; very long ones are masked whole; repeated rows each stay; an empty table
+    stays empty; other columns keep names and values.
+    """
     return secrets.redacted(docs, length="n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens, with their ids; doc_key tells rows of equal doc_id apart."""
+    """The pieces of all documents in sequences of 4096 tokens, with their ids; doc_key tells rows of equal doc_id apart.
+
+    A null or empty text is its end id alone; very long ones are encoded whole; repeated rows are each packed; an
+    empty table gives no rows; other columns of docs are left out.
+    """
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=2, capacity=4096, seed=42, with_ids=True)
 
 
