@@ -114,7 +114,8 @@ def test_permutation_by_plain_integers(n, seed):
 
 def test_warc(spark, none):
     big = "p" * 1500
-    pages = [(i, f"http://x/{i}\r\n", h) for i, h in enumerate([None, "", "small", "small", big, big, "é" * 500, big, "é" * 500, "\r\n\r\n" * 300])] + [(None, None, big), (7, "u", big)]
+    huge = "".join(random.Random(6).choices("abcdefgh é", k=300_000))
+    pages = [(i, f"http://x/{i}\r\n", h) for i, h in enumerate([None, "", "small", "small", big, big, "é" * 500, big, "é" * 500, "\r\n\r\n" * 300, huge, huge])] + [(None, None, big), (7, "u", big)]
     got = collected(warc.archive_and_read(spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(2)))
     leader, want = defaultdict(lambda: -1), []
     for i, _, h in pages:
@@ -449,7 +450,7 @@ def test_passages(spark, docs, none, monkeypatch, crowded):
     monkeypatch.setattr(passages, "CROWDED", crowded)
     every = passages.repeats(docs).collect()
     rows = [r for r in every if r["paragraph"] is not None]
-    lines = [(n, r[0], i, l) for n, r in enumerate(ROWS) for i, l in enumerate(text_of(r).split("\n")) if len(l.split()) >= passages.LEAST_WORDS]
+    lines = [(n, r[0], i, l) for n, r in enumerate(ROWS) for i, l in enumerate(text_of(r).split("\n")) if len(l.split()) >= 41]
     label = list(range(len(lines)))
     for i, a in enumerate(lines):
         for j, b in enumerate(lines[:i]):
@@ -460,7 +461,7 @@ def test_passages(spark, docs, none, monkeypatch, crowded):
     for x, l in zip(label, lines):
         rows_of[x].add(l[0])
         most[x] = max(most[x], len(l[3].split()))
-    rows_of = {x: r if most[x] >= passages.PASSAGE else () for x, r in rows_of.items()}
+    rows_of = {x: r if most[x] >= 50 else () for x, r in rows_of.items()}
     want = Counter((l[1], l[2]) for x, l in zip(label, lines) if len(rows_of[x]) > 1)
     assert Counter((r["doc_id"], r["paragraph"]) for r in rows) == want
     kept = Counter(r["component"] for r in rows if not r["removed"])
@@ -799,6 +800,30 @@ def test_columns_keep_their_names_and_values(spark, docs):
         assert part.columns == names and 0 < len(kept) < len(rows) and all(tuple(r) == rows[r[0]] for r in kept)
 
 
+def test_registered_queries_over_awkward_tables(spark, tmp_path):
+    """The wrappers: columns of the contract, one row for each of the table's, nulls and long texts included."""
+    from alignloom.llm import queries
+
+    d, n = str(tmp_path), len(TEXTS)
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(TEXTS)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(2).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, int("stupid" in (t or ""))) for i, t in enumerate(TEXTS)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(ITEMS, "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(i, "u", t) for i, t in enumerate(TEXTS)], "page_id bigint, url string, html string").write.parquet(f"{d}/pages.parquet")
+    expected = {
+        "op1_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans", "op2_sharding": "doc_id size text_crc32 law shard slot grown_shard", "op3_toxicity": "doc_id held_out score predicted",
+        "op4_warc": "page_id payload_bytes payload_digest record_type refers_to", "op5_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated", "op6_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+        "op7_token_files": "doc_id start n_tokens ids_crc32", "op8_winnowing": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op9_simhash": "doc_id fingerprint component_id",
+        "op10_passages": "doc_id paragraph start stop n_words component kept_doc_id removed",
+    }
+    for name, columns in expected.items():
+        found = queries.QUERIES[name](spark, d)
+        assert found.columns[: len(columns.split())] == columns.split(), name
+        ids = Counter(r[0] for r in found.collect())
+        assert set(ids) <= set(range(n)) and (name == "op10_passages" or len(ids) == n and (name == "op6_packing" or set(ids.values()) == {1})), name
+    assert {r["doc_id"]: r["n_chars"] for r in queries.op8_winnowing(spark, d).collect()} == {i: len(t or "") for i, t in enumerate(TEXTS)}
+    assert {r["doc_id"]: r["component_id"] for r in queries.op9_simhash(spark, d).collect()}[4] == 3
+
+
 def test_secrets_in_very_long_texts(spark):
     import time
 
