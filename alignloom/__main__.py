@@ -148,8 +148,9 @@ def _bed(spark: SparkSession, args: argparse.Namespace, paths: list[str]) -> dic
 def _rescored(spark: SparkSession, args: argparse.Namespace, paths: list[str]) -> dict[str, int]:
     with lent(chains.numbered_items(spark, paths), "parsed") as found:
         rows, place, kept = chains.chains(found, False), ["file_no", "offset"], Observation()
-        names = scoring.referenced_names(rows)
-        known = sequences.load(spark, args.reference, "reference", names.filter("side = 'reference'")).unionByName(sequences.load(spark, args.query, "query", names.filter("side = 'query'")))
+        few = rows.filter(F.col("score") < args.no_check_score) if args.command != "score" else rows  # others pass unread
+        bins = scoring.needed_bins(few)
+        known = sequences.load_bins(spark, args.reference, "reference", bins.filter("side = 'reference'")).unionByName(sequences.load_bins(spark, args.query, "query", bins.filter("side = 'query'")))
         stats = {"read": rows.count()}
         if args.command == "score":
             matrix = sequences.score_matrix(_text(args.score_scheme)) if args.score_scheme else bases.DEFAULT_MATRIX

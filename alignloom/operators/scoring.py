@@ -42,6 +42,13 @@ def pieces(chains: DataFrame) -> DataFrame:
     return cut.select("file_no", "offset", "r_name", bin_of(r).alias("r_bin"), (r % CHUNK).alias("r_at"), "q_name", bin_of(q).alias("q_bin"), (q % CHUNK).alias("q_at"), (F.col("high") - F.col("low")).alias("size"), "minus")
 
 
+def needed_bins(chains: DataFrame) -> DataFrame:
+    """(side, name, bin) of the chunks that the chains' blocks lie in, each once."""
+    cut = pieces(chains)
+    sides = [cut.select(F.lit(side).alias("side"), F.col(f"{p}_name").alias("name"), F.col(f"{p}_bin").cast("bigint").alias("bin")) for p, side in (("r", "reference"), ("q", "query"))]
+    return sides[0].unionAll(sides[1]).distinct()
+
+
 def missing_sequences(chains: DataFrame, sequences: DataFrame) -> DataFrame:
     """Chains with a name that has no sequence, for a warning; `missing`: the names."""
     known = sequences.select("side", "name").distinct()

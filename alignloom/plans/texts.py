@@ -479,3 +479,12 @@ def sort_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chains(spark, sf_dir).withColumn("copy", F.lit(0)).withColumn("k", F.col("offset")).withColumn("id", F.col("id") % 3).withColumn("score", F.expr("score div 200000"))
     cut = rows.filter(F.size("blocks") > 1).withColumn("copy", F.lit(1)).withColumn("blocks", F.slice("blocks", F.lit(1), F.size("blocks") - 1))
     return ordering.ranked(rows.unionByName(cut), ordering.keys("score")).select("rank", "k", "copy")
+
+
+@_query("score_twobit", f"{SCORE} SELECT id, score FROM sc WHERE score >= -3000")
+def score_twobit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains scored over 2bit files, of which only the chunks that their blocks lie in are read."""
+    rows = chains(spark, sf_dir)
+    bins = checkpointed(scoring.needed_bins(rows))
+    known = [files_of_bases.load_bins(spark, p, side, bins.filter(F.col("side") == side)) for p, side in zip(_twobit_in(spark, sf_dir), ("reference", "query"))]
+    return scoring.scored(rows, known[0].unionByName(known[1]), -3000).select("id", "score")

@@ -7,7 +7,7 @@ import io
 import re
 import struct
 from collections.abc import Iterator
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -77,23 +77,25 @@ def twobit_index(stream) -> tuple[str, list[tuple[str, int]]]:
     return order, out
 
 
-def from_twobit(stream, order: str, offset: int) -> Iterator[tuple[int, str]]:
-    """(chunk number, bases) of the record at an offset: N blocks as N, mask blocks in lower case; a chunk is read at a time."""
+def from_twobit(stream, order: str, offset: int, bins: list[int] | None = None) -> Iterator[tuple[int, str]]:
+    """(chunk number, bases) of the record at an offset: N blocks as N, mask blocks in lower case; a chunk is read at a time. bins: the only chunks that are read; those beyond the record are left out."""
     stream.seek(offset)
     number = lambda: struct.unpack(f"{order}I", stream.read(4))[0]
-    size, ranges = number(), []
+    size, ranges, at = number(), [], offset + 4
     for _ in range(2):
         n = number()
         ranges.append(np.frombuffer(stream.read(8 * n), f"{order}u4").reshape(2, n).astype(np.int64))
-    number()
+        at += 4 + 8 * n
+    at += 4  # a reserved number
     letters, shifts = np.frombuffer(b"TCAG", np.uint8), np.array([6, 4, 2, 0], np.uint8)
-    for low in range(0, max(size, 1), CHUNK):
+    for low in range(0, max(size, 1), CHUNK) if bins is None else (CHUNK * k for k in bins if CHUNK * k < max(size, 1)):
         n = min(CHUNK, size - low)
+        stream.seek(at + low // 4)
         packed = np.frombuffer(stream.read(-(-n // 4)), np.uint8)
         bases = letters[(packed[:, None] >> shifts) & 3].reshape(-1)[:n].copy()
-        for starts, lengths in ranges[:1]:
-            for i in _crossing(starts, lengths, low, n):
-                bases[max(starts[i] - low, 0) : starts[i] + lengths[i] - low] = ord("N")
+        starts, lengths = ranges[0]
+        for i in _crossing(starts, lengths, low, n):
+            bases[max(starts[i] - low, 0) : starts[i] + lengths[i] - low] = ord("N")
         starts, lengths = ranges[1]
         for i in _crossing(starts, lengths, low, n):
             bases[max(starts[i] - low, 0) : starts[i] + lengths[i] - low] |= 0x20
@@ -122,6 +124,8 @@ def to_twobit(records: dict[str, str]) -> bytes:
     return head + b"".join(bodies)
 
 
+#: Chunks of a record that a task of load_bins() takes.
+STRETCH = 256
 #: Up to so many names are handed to the 2bit decoder; beyond, whole files are decoded and a join leaves the named.
 MOST_NAMES = 100_000
 
@@ -204,6 +208,38 @@ def load(spark: SparkSession, path: str | list[str], side: str, names: DataFrame
     return kept.select(F.lit(side).alias("side"), "name", "bin", "seq")
 
 
+def load_bins(spark: SparkSession, path: str | list[str], side: str, needed: DataFrame, range_bytes: int | None = None) -> DataFrame:
+    """load() of the chunks that needed (name, bin) has, and no others.
+
+    Of 2bit files only those chunks' bytes are read: the wanted chunks meet the records
+    of their names and are dealt to tasks by stretches of a record, so a long record is
+    shared. Of other files all is read and the rest left out.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    wanted = needed.select("name", "bin").distinct()
+    plan = _plan(paths, None)
+    if any(kind not in "<>" for _, _, kind, *_ in plan):
+        rows = load(spark, paths, side, wanted.select("name").distinct(), range_bytes)
+        return rows.join(wanted, ["name", "bin"], "left_semi").select("side", "name", "bin", "seq")
+    last = {name: row for row in plan for name in [row[4]]}  # the last file's, and in a file the last record's, counts
+    table = spark.createDataFrame([(n, p, kind, at) for n, (_, p, kind, _, _, at) in last.items()], "name string, path string, kind string, offset bigint")
+    met = wanted.join(table, "name").withColumn("stretch", F.expr(f"bin div {STRETCH}"))
+    schema = pa.schema([("name", pa.string()), ("bin", pa.int64()), ("seq", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for (name, path, order, offset), some in groupby(rows, key=lambda r: (r["name"], r["path"], r["kind"], r["offset"])):
+                system, inner = opened(path)
+                with system.open_input_file(inner) as raw:
+                    found = from_twobit(raw, order, offset, [r["bin"] for r in some])
+                    while part := list(islice(found, 64)):
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([k for k, _ in part], pa.int64()), pa.array([x for _, x in part])], schema=schema)
+
+    laid = met.repartition("name", "stretch").sortWithinPartitions("name", "bin").select("name", "path", "kind", "offset", "bin")
+    return laid.mapInArrow(run, "name string, bin bigint, seq string").select(F.lit(side).alias("side"), "name", "bin", "seq")
+
+
 def chunked(sequences: DataFrame) -> DataFrame:
     """(side, name, bin, seq) of whole sequences (side, name, seq)."""
     bins = F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / CHUNK))

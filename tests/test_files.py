@@ -401,3 +401,35 @@ def test_blocks_can_be_entered_anywhere(parts, low, n):
     reader = blocked.Reader(io.BytesIO(data), blocked.Index(offsets, tuple(p for p, _ in listed), len(text)))
     reader.seek(low)
     assert reader.read(n) == text[low : low + n] and reader.read() == text[low + n :]
+
+
+def test_only_needed_chunks_are_read(spark, tmp_path, monkeypatch):
+    import random
+
+    from alignloom.sources import sequences
+
+    monkeypatch.setattr(sequences, "CHUNK", 64)
+    monkeypatch.setattr(sequences, "STRETCH", 3)
+    rng = random.Random(5)
+    held = {f"s{i}": "".join(rng.choices("ACGTacgtNn", k=n)) for i, n in enumerate((0, 5, 64, 1000, 4001))}
+    (tmp_path / "a.2bit").write_bytes(sequences.to_twobit(held))
+    (tmp_path / "b.fa").write_text("".join(f">{n}\n{s}\n" for n, s in held.items()))
+    wanted = [("s3", 0), ("s3", 15), ("s3", 16), ("s4", 7), ("s4", 62), ("s4", 7), ("s1", 0), ("s0", 0), ("none", 0)]
+    needed = spark.createDataFrame(wanted, "name string, bin bigint")
+    want = sorted((n, b, held[n][64 * b : 64 * b + 64]) for n, b in set(wanted) if n in held and 64 * b < max(len(held[n]), 1))
+    for path in ("a.2bit", "b.fa"):
+        rows = sequences.load_bins(spark, str(tmp_path / path), "query", needed).collect()
+        assert sorted((r["name"], r["bin"], r["seq"]) for r in rows) == want
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.taken += len(out)
+            return out
+
+    data = sequences.to_twobit({"x": "ACGT" * 100_000})
+    stream = Counted(data)
+    _, [(_, offset)] = sequences.twobit_index(stream)
+    assert [k for k, _ in sequences.from_twobit(stream, "<", offset, [3, 900])] == [3, 900] and stream.taken < 200 and len(data) > 100_000
