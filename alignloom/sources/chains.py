@@ -19,7 +19,8 @@ from alignloom.schema import ITEMS
 from alignloom.sources import blocked, scan
 from alignloom.storage import fresh, opened
 
-RANGE_BYTES = 64 << 20
+#: A range's bytes where none are named: 0, so that they follow from the files' size; then at least and at most so many.
+RANGE_BYTES, LEAST_BYTES, MOST_BYTES = 0, 4 << 20, 64 << 20
 _LENGTHS = pa.schema([("file_no", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("ordinal", pa.int64()), ("start", pa.int64()), ("reach", pa.int64())])
 
 
@@ -85,18 +86,22 @@ def from_bytes(spark: SparkSession, data: bytes, piece: int = 4 << 20) -> DataFr
 
 def ranges_of(paths: str | list[str], range_bytes: int = RANGE_BYTES) -> list[tuple[int, str, bool | blocked.Index, int, int]]:
     """(file_no, path, packing, low, high): byte ranges of texts. packing: False, True for gzip, which is one range as its format cannot be entered elsewhere, or the index of gzip in blocks, which can (listing them needs a session)."""
-    out = []
-    for file_no, path in enumerate([paths] if isinstance(paths, str) else paths):
+    out, named = [], [paths] if isinstance(paths, str) else paths
+    sizes = [system.get_file_info(inner).size for system, inner in map(opened, named)]
+    if None in sizes:
+        raise FileNotFoundError(named[sizes.index(None)])
+    session = SparkSession.getActiveSession()
+    if not range_bytes:  # four ranges for each core, as far as they are neither tiny nor huge
+        cores = 1 if session is None else session.sparkContext.defaultParallelism
+        range_bytes = MOST_BYTES if session is None else min(max(sum(sizes) // (4 * cores), LEAST_BYTES), MOST_BYTES)
+    for file_no, (path, size) in enumerate(zip(named, sizes)):
         system, inner = opened(path)
-        size = system.get_file_info(inner).size
-        if size is None:
-            raise FileNotFoundError(path)
         place = path if ":" in path else inner
         with system.open_input_file(inner) as stream:
             head = stream.read(18)
         packed: bool | blocked.Index = path.endswith(".gz") or head[:2] == b"\x1f\x8b"
-        if packed and blocked.length_at(head, 0) and (spark := SparkSession.getActiveSession()) is not None:
-            packed = blocked.index(spark, place, size)
+        if packed and blocked.length_at(head, 0) and session is not None:
+            packed = blocked.index(session, place, size)
             size = packed.size
         step = max(size, 1) if packed is True else range_bytes
         out += [(file_no, place, packed, at, min(at + step, size)) for at in range(0, max(size, 1), step)]
