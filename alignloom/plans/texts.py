@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from alignloom.functions import bases, blocks, gaps
 from alignloom.functions import sql as functions
 from alignloom.operators import bed, files, ordering, render, scoring, split
-from alignloom.plans.queries import _DENSE, _HEADER_SQL, _cost_cte, AB, BASE, GRID, HEAD, MIXED, RECURSIVE, SCORE, SHUFFLE, WITH, _query
+from alignloom.plans.queries import _DENSE, _HEADER_SQL, _cost_cte, _grid, AB, BASE, GRID, HEAD, MIXED, RECURSIVE, SCORE, SHUFFLE, WITH, _query
 from alignloom.plans.universe import ALPHABET, chains, sequences
 from alignloom.sources import chains as texts
 from alignloom.sources import datasource, index
@@ -270,7 +270,7 @@ SELECT i, CAST(trunc(CASE WHEN x < 3 THEN u*x WHEN x < 10 THEN 3*u + 7*u*(x-3)/7
 def gap_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps of the orders by a table from a file."""
     table = gaps.parsed(_GAP_FILE)
-    grid = spark.sql(_SMALL.format(grid=GRID.replace("FROM orders", "FROM {orders}")), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    grid = _grid(spark, sf_dir).select("i", (F.col("dq") % 300).alias("dq"), (F.col("dt") % 300).alias("dt"))
     return grid.select("i", F.expr(gaps.cost_sql("dq", "dt", table)).alias("cost"))
 
 
