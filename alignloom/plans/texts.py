@@ -20,7 +20,7 @@ from alignloom.sources import sequences as files_of_bases
 from alignloom.storage import checkpointed, fresh, part_files
 from alignloom.streaming.ingest import ingest
 
-#: Ranges are small, so that the small tables' files have hundreds of cuts.
+#: Ranges are small, so that the small tables' files have hundreds of cuts; ranges_of() makes those of large files longer.
 RANGE = 20_000
 _RECORD = f"concat({_HEADER_SQL.format(id='id')}, chr(10), body, chr(10), chr(10))"
 _HEADS = f"SELECT {', '.join(HEAD)} FROM ch"
@@ -150,7 +150,7 @@ def text_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, broken in enumerate(kinds, 1):
         text = F.when(F.col("id") % 12 == k, F.concat(broken, F.lit("\n"))).otherwise(text)
     rows = chains(spark, sf_dir).select("id", F.coalesce(text, F.concat(head, F.lit("\n"), body, F.lit("\n"))).alias("text"))
-    return texts.of_texts(rows.repartition(32), "id", "text").filter("kind = 'error'").select(F.col("of").alias("id"), "error", "error_offset")
+    return texts.of_texts(rows.repartition("id"), "id", "text").filter("kind = 'error'").select(F.col("of").alias("id"), "error", "error_offset")
 
 
 @_query("records_broken", f"""{WITH}{_DENSE}, x AS (SELECT id, {_HEAD_SQL} h, body, id % 5 f FROM ch JOIN tx USING (k)), y AS (SELECT f, id, strlen(h) + strlen(body) + 3 n, strlen(h) h, row_number() OVER (PARTITION BY f ORDER BY id) i FROM x),

@@ -21,6 +21,8 @@ from alignloom.storage import fresh, opened
 
 #: A range's bytes where none are named: 0, so that they follow from the files' size; then at least and at most so many.
 RANGE_BYTES, LEAST_BYTES, MOST_BYTES = 0, 4 << 20, 64 << 20
+#: Ranges that files are cut into at most, unless they would exceed MOST_BYTES, as each task is sent the list of them; tasks where the cores are unknown.
+MOST_RANGES, TASKS = 1024, 64
 _LENGTHS = pa.schema([("file_no", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("ordinal", pa.int64()), ("start", pa.int64()), ("reach", pa.int64())])
 
 
@@ -85,7 +87,7 @@ def from_bytes(spark: SparkSession, data: bytes, piece: int = 4 << 20) -> DataFr
 
 
 def ranges_of(paths: str | list[str], range_bytes: int = RANGE_BYTES) -> list[tuple[int, str, bool | blocked.Index, int, int]]:
-    """(file_no, path, packing, low, high): byte ranges of texts. packing: False, True for gzip, which is one range as its format cannot be entered elsewhere, or the index of gzip in blocks, which can (listing them needs a session)."""
+    """(file_no, path, packing, low, high): byte ranges of texts. packing: False, True for gzip, which is one range as its format cannot be entered elsewhere, or the index of gzip in blocks, which can (listing them needs a session). Ranges of large files are longer than range_bytes where there would be more than MOST_RANGES."""
     out, named = [], [paths] if isinstance(paths, str) else paths
     sizes = [system.get_file_info(inner).size for system, inner in map(opened, named)]
     if None in sizes:
@@ -94,6 +96,7 @@ def ranges_of(paths: str | list[str], range_bytes: int = RANGE_BYTES) -> list[tu
     if not range_bytes:  # four ranges for each core, as far as they are neither tiny nor huge
         cores = 1 if session is None else session.sparkContext.defaultParallelism
         range_bytes = MOST_BYTES if session is None else min(max(sum(sizes) // (4 * cores), LEAST_BYTES), MOST_BYTES)
+    files = []
     for file_no, (path, size) in enumerate(zip(named, sizes)):
         system, inner = opened(path)
         place = path if ":" in path else inner
@@ -103,6 +106,10 @@ def ranges_of(paths: str | list[str], range_bytes: int = RANGE_BYTES) -> list[tu
         if packed and blocked.length_at(head, 0) and session is not None:
             packed = blocked.index(session, place, size)
             size = packed.size
+        files.append((file_no, place, packed, size))
+    text = sum(size for _, _, packed, size in files if packed is not True)
+    range_bytes = max(range_bytes, min(-(-text // MOST_RANGES), MOST_BYTES))
+    for file_no, place, packed, size in files:
         step = max(size, 1) if packed is True else range_bytes
         out += [(file_no, place, packed, at, min(at + step, size)) for at in range(0, max(size, 1), step)]
     return out
@@ -124,7 +131,7 @@ def _stream(path: str, packed: bool | blocked.Index, stack: ExitStack):
 
 
 def over_ranges(spark: SparkSession, ranges: list[tuple], of: Callable[[int, ExitStack], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
-    """What `of` gives for each range, a task a range, in order."""
+    """What `of` gives for each range, in order; a task has some neighbouring ranges, few bytes or one range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +139,13 @@ def over_ranges(spark: SparkSession, ranges: list[tuple], of: Callable[[int, Exi
                 with ExitStack() as stack:
                     yield from of(i, stack)
 
-    return spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(run, ddl)
+    return spark.range(0, len(ranges), 1, tasks_for(ranges, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, ddl)
+
+
+def tasks_for(ranges: list[tuple], least: int = TASKS) -> int:
+    """How many tasks share the ranges: `least`, or more so that none has much more than MOST_BYTES, or one for each range."""
+    text = sum(high - low for *_, low, high in ranges)
+    return min(len(ranges), max(least, -(-text // MOST_BYTES)))
 
 
 def items_of(span: tuple, options: scan.Options, number: int | None, stack: ExitStack, whole: bool = False) -> Iterator[pa.RecordBatch]:
@@ -292,35 +305,41 @@ def raw(spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_BY
     return found.select("file_no", "offset", "length", "ordinal").mapInArrow(run, "ordinal bigint, record binary")
 
 
+def together(bodies: list[bytes], options: scan.Options) -> tuple[pa.Table, np.ndarray]:
+    """The items of some texts, read as one with blank lines between them, and whose each is; a fault ends its own text only."""
+    sizes = np.array([len(b) for b in bodies], np.int64)
+    begin = np.concatenate(([0], np.cumsum(sizes + 2)))
+    found = pa.Table.from_batches(scan.parsed(io.BytesIO(b"\n\n".join(bodies)), 0, options=options, texts=(begin[:-1], sizes)), scan.schema())
+    of = np.searchsorted(begin, found["offset"].to_numpy(), side="right") - 1
+    failed = np.flatnonzero(np.asarray(found["error"].is_valid()))
+    first = np.full(len(bodies), found.num_rows)
+    np.minimum.at(first, of[failed], failed)
+    kept = np.arange(found.num_rows) <= first[of]  # a text of several windows may go on behind its fault
+    found, of = found.filter(pa.array(kept)), of[kept]
+    offset, length, fault = (found[c].to_pandas().to_numpy() for c in ("offset", "length", "error_offset"))
+    own = np.minimum(offset + length, begin[of] + sizes[of]) - offset  # without the lines between
+    for name, values in (("offset", offset - begin[of]), ("length", own), ("error_offset", fault - begin[of])):
+        whole = pa.array(values, pa.int64(), from_pandas=True) if values.dtype != np.float64 else pa.array(np.nan_to_num(values).astype(np.int64), mask=np.isnan(values))
+        found = found.set_column(found.schema.get_field_index(name), name, whole)
+    return found, of
+
+
 def of_texts(rows: DataFrame, key: str, text: str, **options) -> DataFrame:
     """`of` (the row's key) and the items (see read_items) of each row's text, in which offsets count; a null text has none, and a fault ends its own text only."""
     kind, how = rows.schema[key].dataType.simpleString(), scan.Options(**options)
 
-    def together(bodies: list[bytes]) -> tuple[pa.Table, np.ndarray] | None:
-        """The items of some texts, read as one with blank lines between them, and whose each is; None if there is a fault."""
-        begin = np.cumsum([0, *(len(b) + 2 for b in bodies)])
-        found = pa.Table.from_batches(scan.parsed(io.BytesIO(b"\n\n".join(bodies)), 0, options=how), scan.schema())
-        if found["error"].null_count < found.num_rows:
-            return None
-        offset, length = (found[c].to_numpy() for c in ("offset", "length"))
-        of = np.searchsorted(begin, offset, side="right") - 1
-        own = np.minimum(offset + length, begin[of + 1] - 2) - offset  # without the lines between
-        for name, values in (("offset", offset - begin[of]), ("length", own)):
-            found = found.set_column(found.schema.get_field_index(name), name, pa.array(values))
-        return found, of
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                bodies = [(body or "").encode() for body in part.column(1).to_pylist()]
-                found = together(bodies)
-                if found is None:  # a fault ends its own text only
-                    each = [pa.Table.from_batches(scan.parsed(io.BytesIO(b), 0, options=how), scan.schema()) for b in bodies]
-                    found = pa.concat_tables(each), np.repeat(np.arange(len(each)), [t.num_rows for t in each])
-                table, of = found
-                out = table.add_column(0, "of", part.column(0).take(pa.array(of))).combine_chunks()
-                yield from out.to_batches()
+            bodies = [(body or "").encode() for body in batch.column(1).to_pylist()]
+            ends = np.cumsum([len(b) for b in bodies])
+            at = 0
+            while at < len(bodies):  # texts of a window's bytes, or one longer
+                low = int(ends[at - 1]) if at else 0
+                after = max(at + 1, int(np.searchsorted(ends, low + scan.WINDOW, side="right")))
+                table, of = together(bodies[at:after], how)
+                out = table.add_column(0, "of", batch.column(0).take(pa.array(at + of))).combine_chunks()
+                yield from out.to_batches(scan.BATCH_ROWS)
+                at = after
 
     ddl = ", ".join(c for c in ITEMS.split(", ") if not c.startswith("file_no"))
     return rows.select(key, text).mapInArrow(run, f"of {kind}, {ddl}")

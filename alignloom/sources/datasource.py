@@ -59,9 +59,9 @@ def _column(h: scan.Headers, name: str) -> pa.Array:
 
 @dataclass
 class Range(ds.InputPartition):
-    """A file's bytes, as ranges_of() gives them."""
+    """Neighbouring ranges of files' bytes, as ranges_of() gives them."""
 
-    span: tuple
+    spans: list[tuple]
 
 
 class ChainReader(ds.DataSourceReader):
@@ -70,9 +70,15 @@ class ChainReader(ds.DataSourceReader):
         self._predicates: list[Callable[[scan.Headers], pa.Array]] = []
 
     def partitions(self) -> list[Range]:
-        return [Range(span) for span in chains.ranges_of(self._paths, self._range_bytes)]
+        spans = chains.ranges_of(self._paths, self._range_bytes)
+        tasks = chains.tasks_for(spans)
+        return [Range(spans[i * len(spans) // tasks : (i + 1) * len(spans) // tasks]) for i in range(tasks)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        for span in partition.spans:
+            yield from self._of(span)
+
+    def _of(self, span: tuple) -> Iterator[pa.RecordBatch]:
         kept = []
 
         def wanted(h: scan.Headers) -> np.ndarray:
@@ -83,10 +89,10 @@ class ChainReader(ds.DataSourceReader):
             return stay if "blocks" in self._columns else np.zeros(len(stay), bool)
 
         with ExitStack() as stack:
-            for part in chains.items_of(partition.span, scan.Options(wanted=wanted), None, stack, whole=True):
+            for part in chains.items_of(span, scan.Options(wanted=wanted), None, stack, whole=True):
                 failed = part.filter(pc.is_valid(part["error"]))
                 if failed.num_rows:
-                    raise ValueError(f"{failed['error'][0].as_py()} at byte {failed['offset'][0].as_py()} of {partition.span[1]}")
+                    raise ValueError(f"{failed['error'][0].as_py()} at byte {failed['offset'][0].as_py()} of {span[1]}")
                 rows = part.filter(pc.equal(part["kind"], "chain"))
                 rows = rows.filter(pa.array(kept.pop()[: rows.num_rows]))
                 yield from (rows.slice(at, scan.BATCH_ROWS).select(self._columns) for at in range(0, rows.num_rows, scan.BATCH_ROWS))
@@ -103,7 +109,7 @@ class FilteringChainReader(ChainReader):
 
 
 class ChainSource(ds.DataSource):
-    """Chains of the files or folders that load() names, in file order within a partition, a partition for each byte range.
+    """Chains of the files or folders that load() names, in file order within a partition, which has neighbouring byte ranges.
 
     Filters on header columns are pushed: rows that they reject never leave the reader,
     and their blocks are not even parsed (so faults in them go unseen). With a schema

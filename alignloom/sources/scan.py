@@ -13,6 +13,8 @@ from alignloom.schema import MAX_U32, MAX_U64
 
 #: Bytes that are read at a time; rows of a batch.
 WINDOW, BATCH_ROWS = 4 << 20, 16_384
+#: Bytes that are read beyond a range for the record that it cuts.
+SLACK = 1 << 12
 _SPACE, _DIGITS, _INTEGER = re.compile(rb"[ \t\n\f\r]+"), re.compile(rb"[0-9]+\Z"), re.compile(rb"-?[0-9]+\Z")
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(b" \t\n\f\r")] = True
@@ -206,24 +208,30 @@ class Options:
     wanted: Callable[[Headers], np.ndarray] | None = None
 
 
-def items(lines: Lines, base: int, options: Options, number: int | None) -> tuple[pa.Table, int | None, bool]:
+def items(lines: Lines, base: int, options: Options, number: int | None, texts: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[pa.Table, int | None, bool]:
     """Notes and chains of lines that begin outside any record, in order; the next number; whether a fault ended them.
 
     base: the offset of the lines' first byte. number: what the first header without an
     id gets, later ones the next numbers. A fault is given as an item with an error.
+    texts: where texts that are read as one begin, blank lines between them, and their
+    bytes; then a fault ends the items of its own text only.
     """
     after = inside_after(lines, False)
     inside = np.concatenate(([False], after[:-1]))
     place = np.arange(len(lines))
     head, note = np.flatnonzero(~inside & ~lines.blank & ~lines.note), np.flatnonzero(~inside & lines.note)
     found, faulty = headers(lines, head, options.need_id)
-    faults = [(head[faulty][:1], lambda i: header_fault(lines.text(i), options.need_id))]
+    faults = [(head[faulty], lambda i: header_fault(lines.text(i), options.need_id))]
     if not options.metadata:
-        faults.append((note[:1], lambda i: "metadata line"))
+        faults.append((note, lambda i: "metadata line"))
     read = np.ones(len(head), bool) if options.wanted is None else np.asarray(options.wanted(found), bool)
     blanks = np.flatnonzero(lines.blank)
     close = np.searchsorted(blanks, head)
     last = np.where(close < len(blanks), blanks[np.minimum(close, len(blanks) - 1)] if len(blanks) else 0, len(lines) - 1)  # the line that ends each record
+    if texts is not None:
+        text_of = lambda at: np.searchsorted(texts[0], lines.starts[at] + base, side="right") - 1
+        own = np.searchsorted(lines.starts + base, texts[0] + texts[1]) - 1  # a text's last line
+        last = np.minimum(last, own[text_of(head)])
     body = place[inside & ~lines.blank]
     record = np.searchsorted(head, body, side="right") - 1
     body, record = body[read[record]], record[read[record]]
@@ -236,39 +244,58 @@ def items(lines: Lines, base: int, options: Options, number: int | None) -> tupl
         value, wrong = numbers(lines.data, lines.word[word], lines.word_end[word])
         bad[at] |= wrong | (value > MAX_U32)
         values[k, at] = value.astype(np.int64)
-    faults.append((body[bad][:1], lambda i: block_fault(lines.text(i))))
+    faults.append((body[bad], lambda i: block_fault(lines.text(i))))
     sizes = np.bincount(record, minlength=len(head)) if len(head) else np.zeros(0, np.int64)
-    faults.append((last[read & (sizes == 0)][:1], lambda i: "chain without any alignment blocks"))
-    first = min((int(i[0]) for i, _ in faults if len(i)), default=len(lines))
-    whole = int(np.searchsorted(last, first)) if first < len(lines) else len(head)
+    faults.append((last[read & (sizes == 0)], lambda i: "chain without any alignment blocks"))
+    if texts is None:
+        first = min((int(i[0]) for i, _ in faults if len(i)), default=len(lines))
+        kept = np.arange(len(head)) < (int(np.searchsorted(last, first)) if first < len(lines) else len(head))
+        wrong = [first] if first < len(lines) else []
+        before = lambda at: at < first
+    else:
+        every = np.unique(np.concatenate([i for i, _ in faults]))
+        owner, at = np.unique(text_of(every), return_index=True)
+        firsts = np.full(len(texts[0]), len(lines))
+        firsts[owner] = wrong = every[at]
+        kept, wrong = last < firsts[text_of(head)], wrong.tolist()
+        before = lambda at: at < firsts[text_of(at)]
+    whole = int(kept.sum())
+    pick = lambda v: v[:whole] if texts is None else v.filter(pa.array(kept)) if isinstance(v, pa.Array) else v[kept]
     if number is not None:
         missing = ~found["id_explicit"]
         ids = np.where(missing, np.uint64(number) + np.cumsum(missing).astype(np.uint64) - np.uint64(1), found["id"])
         number += int(missing.sum())
-        ids = pa.array(ids[:whole]).cast(pa.decimal128(20, 0))
+        ids = pa.array(pick(ids)).cast(pa.decimal128(20, 0))
     else:
-        ids = pa.array(found["id"][:whole], mask=~found["id_explicit"][:whole]).cast(pa.decimal128(20, 0))
-    ends = np.cumsum(np.where(read, sizes, 0))[:whole]
-    some = int(ends[-1]) if whole else 0
-    pairs = pa.StructArray.from_arrays([pa.array(v[:some]) for v in values], names=["size", "gap_reference", "gap_query"])
-    unread = np.append(~read[:whole], False)
+        ids = pa.array(pick(found["id"]), mask=~pick(found["id_explicit"])).cast(pa.decimal128(20, 0))
+    ends = np.cumsum(pick(np.where(read, sizes, 0)))
+    some = slice(int(ends[-1]) if whole else 0) if texts is None else kept[record]
+    pairs = pa.StructArray.from_arrays([pa.array(v[some]) for v in values], names=["size", "gap_reference", "gap_query"])
+    unread = np.append(~pick(read), False)
     offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32), mask=unread)
-    columns = {c: (v if isinstance(v, pa.Array) else pa.array(v))[:whole] for c, v in found.items()}
-    begin = lines.starts[head[:whole]]
-    columns |= {"id": ids, "kind": pa.array(np.full(whole, "chain", object), pa.string()), "offset": pa.array(begin + base), "length": pa.array(lines.past[last[:whole]] - begin), "blocks": pa.ListArray.from_arrays(offsets, pairs)}
+    columns = {c: pick(v if isinstance(v, pa.Array) else pa.array(v)) for c, v in found.items()}
+    begin = lines.starts[pick(head)]
+    columns |= {"id": ids, "kind": pa.array(np.full(whole, "chain", object), pa.string()), "offset": pa.array(begin + base), "length": pa.array(lines.past[pick(last)] - begin), "blocks": pa.ListArray.from_arrays(offsets, pairs)}
     tables = [_table(whole, columns)]
-    note = note[note < first] if options.metadata else note[:0]
+    note = note[before(note)] if options.metadata else note[:0]
     if len(note):
         end = lines.ends[note] - (lines.data[lines.ends[note] - 1] == 13)
         tables.append(_table(len(note), {"kind": pa.array(["meta"] * len(note)), "offset": pa.array(lines.starts[note] + base), "length": pa.array(lines.past[note] - lines.starts[note]), "line": strings(lines.data, lines.starts[note], end)}))
-    if first < len(lines):
-        message = next(say(first) for i, say in faults if len(i) and i[0] == first)
-        at = pa.array([int(lines.starts[first]) + base])
-        tables.append(_table(1, {"kind": pa.array(["error"]), "offset": at, "error": pa.array([message]), "error_offset": at}))
+    if wrong:
+        said: dict[int, str] = {}
+        for i, say in faults:
+            said |= {x: say(x) for x in i[np.isin(i, wrong)].tolist() if x not in said}
+        at = pa.array(lines.starts[wrong] + base)
+        tables.append(_table(len(wrong), {"kind": pa.array(["error"] * len(wrong)), "offset": at, "error": pa.array([said[x] for x in wrong]), "error_offset": at}))
     out = tables[0] if len(tables) == 1 else pa.concat_tables(tables).combine_chunks()
     if len(tables) > 1:
         out = out.take(pa.array(np.argsort(out.column("offset").to_numpy(), kind="stable")))
-    return out, number, first < len(lines)
+    return out, number, bool(wrong) and texts is None
+
+
+def _ahead(at: int, stop: int | None, window: int) -> int:
+    """The bytes to read from there: a window, less where stop is near, since all that is read is divided into lines."""
+    return window if stop is None else min(window, max(stop - at, 0) + SLACK)
 
 
 def windows(stream, at: int, stop: int | None, inside: bool, with_words: bool = True, window: int | None = None) -> Iterator[tuple[Lines, int]]:
@@ -280,7 +307,7 @@ def windows(stream, at: int, stop: int | None, inside: bool, with_words: bool =
     """
     held, window = b"", window or WINDOW
     while True:
-        piece = stream.read(max(window, len(held)))
+        piece = stream.read(max(_ahead(at + len(held), stop, window), len(held)))
         data = np.frombuffer(held + piece, np.uint8)
         lines, last = lines_of(data, not piece, with_words), not piece
         low, n = 0, len(lines)
@@ -317,10 +344,10 @@ def _part(lines: Lines, low: int, high: int) -> Lines:
     return Lines(lines.data, lines.starts[some], lines.ends[some], lines.past[some], lines.word, lines.word_end, *worded, lines.blank[some], lines.note[some])
 
 
-def parsed(stream, at: int, stop: int | None = None, inside: bool = False, options: Options = Options(), number: int | None = None, window: int | None = None, batch_rows: int | None = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """Batches of the stream's notes and chains, in order, as windows() gives their lines; a fault is the last item."""
+def parsed(stream, at: int, stop: int | None = None, inside: bool = False, options: Options = Options(), number: int | None = None, window: int | None = None, batch_rows: int | None = BATCH_ROWS, texts: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of the stream's notes and chains, in order, as windows() gives their lines; a fault is the last item (texts: see items())."""
     for lines, base in windows(stream, at, stop, inside, window=window):
-        out, number, ended = items(lines, base, options, number)
+        out, number, ended = items(lines, base, options, number, texts)
         yield from out.to_batches(batch_rows)
         if ended:
             return
@@ -369,7 +396,7 @@ def scanned(stream, at: int, stop: int | None, metadata: bool = True, window: in
     held, window = b"", window or WINDOW
     here = at
     while True:
-        piece = stream.read(max(window, len(held)))
+        piece = stream.read(max(_ahead(here + len(held), stop, window), len(held)))
         data = np.frombuffer(held + piece, np.uint8)
         lines = lines_of(data, not piece, with_words=False)
         n = len(lines) if stop is None else int(np.searchsorted(lines.starts + here, stop))

@@ -1,8 +1,67 @@
-"""Values that only large keys reach."""
+"""What must not grow faster than the input: ranges, tasks, bytes read; and values that only large keys reach."""
+
+import io
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from alignloom.sources import chains, scan
+
+A = "chain 5 c 90 + 0 20 q 90 - 0 20 1\n20\n\n"
+BAD = ["rubbish\n", "chain 5 c\n9\n", A.replace("20\n\n", "20 1\n\n"), "chain 1 c 9 + 0 9 q 9 + 0 9 3", "chain 1 c 9 + 0 9 q 9 + 0 9 3\n\n" + A, A + "x\n" + A + "y\n", "#n\n" + A + "chain 1 c 9 + 0 9 q 9 + 0 9 3\n+9\n"]
+
+
+class Counted(io.BytesIO):
+    got = 0
+
+    def read(self, n=-1):
+        part = super().read(n)
+        self.got += len(part)
+        return part
+
+
+def test_ranges_of_a_large_file_are_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chains, "MOST_RANGES", 16)
+    path = tmp_path / "a.chain"
+    path.write_text(A * 500)
+    spans = chains.ranges_of(str(path), 20)
+    assert len(spans) == 16 and [s[3] for s in spans[1:]] == [s[4] for s in spans[:-1]] and spans[-1][4] == len(A) * 500
+    assert len(chains.ranges_of(str(path), 4000)) == -(-len(A) * 500 // 4000)
+    rows = chains.read(spark, str(path), range_bytes=20)
+    assert rows.count() == 500
+
+
+def test_neighbouring_ranges_share_a_task(spark, tmp_path):
+    path = tmp_path / "a.chain"
+    path.write_text(A * 500)
+    found = chains.read_items(spark, str(path), range_bytes=20)
+    assert len(chains.ranges_of(str(path), 20)) > found.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert [r["offset"] for r in found.select("offset").collect()] == [len(A) * i for i in range(500)]
+
+
+def test_a_range_reads_little_beyond_it():
+    stream = Counted((A * 200_000).encode())
+    assert sum(b.num_rows for b in scan.parsed(stream, 0, 20 * len(A))) == 20
+    assert stream.got < 20 * len(A) + 2 * scan.SLACK
+    stream = Counted((A * 200_000).encode())
+    assert scan.scanned(stream, 0, 20 * len(A))[0].starts[0] == 20
+    assert stream.got < 20 * len(A) + 2 * scan.SLACK
+
+
+def test_faulty_texts_are_read_as_one(monkeypatch):
+    """Items and faults are those of each text alone, also where windows are short; the reader is entered once."""
+    bodies = [t.encode() for b in BAD for t in (A, b, "", "#m\n" + A, b + A, A + b, A.rstrip("\n"))]
+    alone = [pa.Table.from_batches(scan.parsed(io.BytesIO(b), 0), scan.schema()).to_pylist() for b in bodies]
+    want = [(i, r) for i, rows in enumerate(alone) for r in rows]
+    assert sum(r["error"] is not None for _, r in want) > 20
+    real, calls = scan.parsed, []
+    monkeypatch.setattr(scan, "parsed", lambda *a, **k: calls.append(1) or real(*a, **k))
+    for window in (40, 300, 4 << 20):
+        monkeypatch.setattr(scan, "WINDOW", window)
+        table, of = chains.together(bodies, scan.Options())
+        assert list(zip(of.tolist(), table.to_pylist())) == want, window
+    assert len(calls) == 3
+
 
 def test_gap_grid_of_large_keys(spark, tmp_path):
     from alignloom.plans.queries import QUERIES
