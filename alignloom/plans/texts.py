@@ -22,6 +22,8 @@ from alignloom.streaming.ingest import ingest
 
 #: Ranges are small, so that the small tables' files have hundreds of cuts; ranges_of() makes those of large files longer.
 RANGE = 20_000
+#: Chains of a text file that a task writes, and the files at least.
+FILE_ROWS, LEAST_FILES = 500_000, 4
 _RECORD = f"concat({_HEADER_SQL.format(id='id')}, chr(10), body, chr(10), chr(10))"
 _HEADS = f"SELECT {', '.join(HEAD)} FROM ch"
 #: Lines before every fiftieth chain, in SQL and as columns.
@@ -35,8 +37,9 @@ def _noted() -> Column:
 def _written(rows: DataFrame, value: Column, gzip: bool = False) -> list[str]:
     """The files of a folder that the rows' text is written to, in order of offset."""
     folder = fresh(rows.sparkSession, "texts")
-    laid = rows.repartitionByRange(4, "offset").sortWithinPartitions("offset")
-    render.write(laid.select(value.alias("value")), folder, gzip)
+    parts = max(LEAST_FILES, -(-rows.count() // FILE_ROWS))
+    laid = rows.select("offset", value.alias("value")).repartitionByRange(parts, "offset").sortWithinPartitions("offset")
+    render.write(laid.select("value"), folder, gzip)
     return part_files(folder, ".gz" if gzip else ".txt")
 
 
