@@ -76,11 +76,14 @@ def exploded(chains: DataFrame, *keys: str) -> DataFrame:
 
 def dense(blocks: Column) -> Column:
     """Absolute blocks as dense ones: gaps to the next block, none after the last."""
-    def at(b, i):
-        after = lambda end, start: F.coalesce(F.try_element_at(blocks, i + 2)[start] - b[end], F.lit(0).cast("long"))
-        return F.struct((b["r_end"] - b["r_start"]).alias("size"), after("r_end", "r_start").alias("gap_reference"), after("q_end", "q_start").alias("gap_query"))
+    def of(held):
+        def at(b, i):
+            after = lambda end, start: F.coalesce(F.try_element_at(held, i + 2)[start] - b[end], F.lit(0).cast("long"))
+            return F.struct((b["r_end"] - b["r_start"]).alias("size"), after("r_end", "r_start").alias("gap_reference"), after("q_end", "q_start").alias("gap_query"))
+
+        return F.transform(held, at).cast(BLOCKS)
 
-    return F.transform(blocks, at).cast(BLOCKS)
+    return let(blocks, of)
 
 
 def reference_length(b: Column) -> Column:
