@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alignloom.functions import bases, blocks, gaps
+from alignloom.functions import blocks, gaps
 from alignloom.functions import sql as functions
 from alignloom.operators import bed, files, ordering, render, scoring, split
 from alignloom.plans.queries import _DENSE, _HEADER_SQL, _cost_cte, _grid, AB, BASE, GRID, HEAD, MIXED, RECURSIVE, SCORE, SHUFFLE, WITH, _query
@@ -426,12 +426,10 @@ def splitmix64(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("score_blocks", f"{SCORE} SELECT id, score FROM sc")
 def score_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chains' absolute blocks over the bases of both whole sequences."""
-    rows = chains(spark, sf_dir).select("id", "r_name", "q_name", "q_strand", blocks.absolute(F.col("blocks"), F.col("r_start"), F.col("q_start")).alias("absolute"))
-    whole = sequences(spark, sf_dir).groupBy("side", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", "seq"))), lambda x: x["seq"]), "").alias("seq"))
-    r, q = (whole.filter(F.col("side") == side).select(F.col("name").alias(f"{p}_name"), F.col("seq").alias(p)) for side, p in (("reference", "r"), ("query", "q")))
-    met = rows.join(r, "r_name").join(q, "q_name").withColumn("q", F.when(F.col("q_strand") == "-", bases.reverse_complement(F.col("q"))).otherwise(F.col("q")))
-    return met.select("id", scoring.absolute_score(F.col("r"), F.col("q"), F.col("absolute"), bases.DEFAULT_MATRIX, "loose").alias("score"))
+    """chains' absolute blocks over the bases of both sequences, whose chunks the blocks' pieces meet."""
+    placed = blocks.absolute(F.col("blocks"), F.col("r_start"), F.col("q_start")).alias("absolute")
+    rows = chains(spark, sf_dir).select("file_no", "offset", "id", "r_name", "q_name", "q_size", "q_strand", placed)
+    return scoring.absolute_scored(rows, "absolute", sequences(spark, sf_dir)).select("id", "score")
 
 
 @_query("split_shuffled", f"{RECURSIVE}{SHUFFLE} SELECT place, ordinal FROM pm")

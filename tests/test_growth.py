@@ -74,3 +74,26 @@ def test_gap_grid_of_large_keys(spark, tmp_path):
     import alignloom.plans.texts  # noqa: F401
 
     assert QUERIES["gap_file"](spark, str(tmp_path)).count() == len(keys)
+
+
+def test_absolute_blocks_over_chunks(spark):
+    """The score of absolute blocks over chunks is that over whole sequences, also for bases outside ASCII; a faulty list and a block beyond the sequence fail."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    from alignloom.functions import bases
+    from alignloom.operators import scoring
+    from alignloom.sources.sequences import chunked
+
+    texts = {"reference": "ACGTé" * 30_000, "query": "AéGTaccN" * 20_000}
+    whole = spark.createDataFrame([(side, "s", t) for side, t in texts.items()], "side string, name string, seq string")
+    block = "array<struct<r_start:bigint,r_end:bigint,q_start:bigint,q_end:bigint>>"
+    lists = [[(3, 90, 4, 91), (95, 70_000, 100, 70_005)], [(65_530, 65_541, 1, 12), (131_000, 131_100, 140_000, 140_100)]]
+    rows = spark.createDataFrame([(0, i, "s", "s", len(texts["query"]), sign, a) for i, (a, sign) in enumerate((a, s) for a in lists for s in "+-")], f"file_no int, offset bigint, r_name string, q_name string, q_size bigint, q_strand string, absolute {block}")
+    found = scoring.absolute_scored(rows, "absolute", chunked(whole))
+    q = F.when(F.col("q_strand") == "-", bases.reverse_complement(F.lit(texts["query"]))).otherwise(F.lit(texts["query"]))
+    want = rows.select("offset", scoring.absolute_score(F.lit(texts["reference"]), q, F.col("absolute")).alias("score"))
+    assert sorted(map(tuple, found.select("offset", "score").collect())) == sorted(map(tuple, want.collect()))
+    for bad in ([(9, 3, 9, 3)], [(149_990, 150_010, 0, 20)]):
+        with pytest.raises(Exception):
+            scoring.absolute_scored(rows.limit(1).withColumn("absolute", F.expr(f"array(named_struct('r_start', {bad[0][0]}L, 'r_end', {bad[0][1]}L, 'q_start', {bad[0][2]}L, 'q_end', {bad[0][3]}L))")), "absolute", chunked(whole)).collect()
