@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from alignloom.operators import split
 from alignloom.sources import blocked, chains
-from alignloom.storage import opened
+from alignloom.storage import fresh, opened
 
 STEP, RANGE_BYTES = 8 << 20, 256 << 20
 
@@ -28,13 +28,13 @@ def guarded(inputs: list[str], output: str, overwrite: bool = False) -> None:
         raise FileExistsError(output)
 
 
-def assemble(pieces: DataFrame, folder: str, gzipped: bool = False) -> DataFrame:
+def assemble(pieces: DataFrame, folder: str, gzipped: bool = False, stored: bool = False) -> DataFrame:
     """(name, bytes) of the files written to the folder: each the pieces (name, seq, path, offset, length, tail) in order of seq.
 
     A piece is a byte range of the text at path (of a gzip file, of what it holds),
     then the bytes of tail. One task writes a file, under a name of its own until it
     is whole, so lost tasks may be run again. gzipped: in blocks, which can be read by
-    several tasks.
+    several tasks. stored: pieces are bytes of the files as they lie there.
     """
     schema = pa.schema([("name", pa.string()), ("bytes", pa.int64())])
 
@@ -42,7 +42,7 @@ def assemble(pieces: DataFrame, folder: str, gzipped: bool = False) -> DataFrame
         system, inner = opened(path)
         if held.get("path") != path or held["at"] > offset:
             raw = system.open_input_file(inner)
-            packed = raw.read(2) == b"\x1f\x8b"
+            packed = not stored and raw.read(2) == b"\x1f\x8b"
             raw.seek(0)
             held.update(path=path, at=0, stream=gzip.GzipFile(fileobj=raw) if packed else raw)
         held["stream"].seek(offset)
@@ -133,17 +133,28 @@ def _tail(path: str) -> bytes:
 def merge_files(spark: SparkSession, paths: list[str], folder: str, gzipped: bool = False) -> DataFrame:
     """(name, bytes) of files whose texts, by name, are the inputs' bytes one after the other, newlines added only so that a blank line parts two of them.
 
-    Nothing is parsed. Large plain files become several.
+    Nothing is parsed. Each input becomes one file, so that none begins within a record.
+    Of large plain files, stretches are packed by tasks of their own, then put together.
     """
     guarded(paths, folder)
-    rows, sizes = [], [_size(p) for p in paths]
+    rows, texts, sizes = [], [], [_size(p) for p in paths]
     full = [i for i, s in enumerate(sizes) if s]
-    for i in full:
+    for n, i in enumerate(full, 1):
         tail = b"" if i == full[-1] else _tail(paths[i])
         system, inner = opened(paths[i])
-        step = RANGE_BYTES if system.get_file_info(inner).size == sizes[i] else sizes[i]
-        for at in range(0, sizes[i], step):
-            end = at + step >= sizes[i]
-            rows.append((f"part.{len(rows) + 1:05d}.{split.base_name(paths[i])}.chain{'.gz' if gzipped else ''}", 0, paths[i], at, min(step, sizes[i] - at), tail if end else None))
-    pieces = spark.createDataFrame(rows, "name string, seq int, path string, offset bigint, length bigint, tail binary")
-    return assemble(pieces, folder, gzipped)
+        step = RANGE_BYTES if gzipped and system.get_file_info(inner).size == sizes[i] else sizes[i]
+        name = f"part.{n:05d}.{split.base_name(paths[i])}.chain{'.gz' if gzipped else ''}"
+        texts.append((name, sizes[i] + len(tail)))
+        for seq, at in enumerate(range(0, sizes[i], step)):
+            rows.append((name, seq, paths[i], at, min(step, sizes[i] - at), tail if at + step >= sizes[i] else None))
+    shape = "name string, seq int, path string, offset bigint, length bigint, tail binary"
+    if len(rows) == len(full):
+        return assemble(spark.createDataFrame(rows, shape), folder, gzipped)
+    packed = fresh(spark, "packed")
+    member = lambda r: f"{r[0]}.{r[1]:06d}"
+    assemble(spark.createDataFrame([(member(r), 0, *r[2:]) for r in rows], shape), packed, True).collect()
+    system = opened(packed)[0]
+    places = [f"{packed}/{member(r)}" for r in rows]
+    joined = [(r[0], r[1], p, 0, system.get_file_info(opened(p)[1]).size, None) for r, p in zip(rows, places)]
+    made = assemble(spark.createDataFrame(joined, shape), folder, stored=True)
+    return made.select("name").join(F.broadcast(spark.createDataFrame(texts, "name string, bytes bigint")), "name")

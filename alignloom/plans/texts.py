@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import io
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from alignloom.plans.universe import ALPHABET, chains, sequences
 from alignloom.sources import chains as texts
 from alignloom.sources import datasource, index
 from alignloom.sources import sequences as files_of_bases
-from alignloom.storage import checkpointed, fresh, part_files
+from alignloom.storage import checkpointed, fresh, opened, part_files
 from alignloom.streaming.ingest import ingest
 
 #: Ranges are small, so that the small tables' files have hundreds of cuts; ranges_of() makes those of large files longer.
@@ -288,7 +291,20 @@ def split_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _content(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("digest")))
+    """The name and digest of each file of a folder, read a step at a time by tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                digest = hashlib.md5()
+                system, inner = opened(path)
+                with system.open_input_file(inner) as raw:
+                    while part := raw.read(files.STEP):
+                        digest.update(part)
+                yield pa.RecordBatch.from_pydict({"name": [path.rsplit("/", 1)[1]], "digest": [digest.hexdigest()]})
+
+    paths = spark.createDataFrame([(p,) for p in part_files(folder)], "path string")
+    return _table(paths.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(run, "name string, digest string"))
 
 
 @_query("merge_bytes", f"""{WITH}{_DENSE}, o AS (SELECT k, {_RECORD} rec, id % 2 half FROM ch JOIN tx USING (k)), h AS (SELECT half, string_agg(rec, '' ORDER BY k) txt FROM o GROUP BY half)

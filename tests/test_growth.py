@@ -97,3 +97,36 @@ def test_absolute_blocks_over_chunks(spark):
     for bad in ([(9, 3, 9, 3)], [(149_990, 150_010, 0, 20)]):
         with pytest.raises(Exception):
             scoring.absolute_scored(rows.limit(1).withColumn("absolute", F.expr(f"array(named_struct('r_start', {bad[0][0]}L, 'r_end', {bad[0][1]}L, 'q_start', {bad[0][2]}L, 'q_end', {bad[0][3]}L))")), "absolute", chunked(whole)).collect()
+
+
+def test_merged_inputs_stay_whole(spark, tmp_path, monkeypatch):
+    """Each input is one file whatever its size, also where stretches of it are packed apart, and is read by ranges of its text."""
+    import gzip
+
+    from alignloom.operators import files
+
+    monkeypatch.setattr(files, "RANGE_BYTES", 1001)
+    paths = [tmp_path / "a.chain", tmp_path / "b.chain"]
+    for i, path in enumerate(paths):
+        path.write_text((A * (300 + i))[:-2])
+    want = [A * 300, (A * 301)[:-2]]
+    for gzipped in (False, True):
+        out = str(tmp_path / f"out{gzipped}")
+        made = sorted(map(tuple, files.merge_files(spark, list(map(str, paths)), out, gzipped).collect()))
+        assert [n for _, n in made] == [len(t) for t in want]
+        names = [f"{out}/{name}" for name, _ in made]
+        got = [(gzip.open(n) if gzipped else open(n, "rb")).read().decode() for n in names]
+        assert got == want
+        assert chains.read(spark, names, range_bytes=700).count() == 601
+
+
+def test_digest_of_files_by_steps(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from alignloom.operators import files
+    from alignloom.plans import texts
+
+    monkeypatch.setattr(files, "STEP", 1000)
+    (tmp_path / "x").write_bytes(b"abc" * 5000)
+    (tmp_path / "y").write_bytes(b"")
+    assert sorted(map(tuple, texts._content(spark, str(tmp_path)).collect())) == [("x", hashlib.md5(b"abc" * 5000).hexdigest()), ("y", hashlib.md5(b"").hexdigest())]
