@@ -116,6 +116,8 @@ def split_files(spark: SparkSession, paths: list[str], folder: str, gzipped: boo
     """
     guarded(paths, folder)
     owned = split.split(regions(spark, paths), **how)
+    if not how.get("randomize"):  # a part's chains of one file lie there one after the other, so they are one piece, put together before any shuffle
+        owned = owned.groupBy("part", "file_no").agg(F.min("ordinal").alias("ordinal"), F.min("start").alias("start"), F.sum("length").alias("length"))
     parts = owned.agg(F.max("part")).first()[0] + 1  # none is empty
     width, base = max(5, len(str(parts))), split.base_name(paths[0])
     name = F.concat(F.lit("part."), F.lpad((F.col("part") + 1).cast("string"), width, "0"), F.lit(f".{base}.chain{'.gz' if gzipped else ''}"))
