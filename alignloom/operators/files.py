@@ -81,7 +81,8 @@ def assemble(pieces: DataFrame, folder: str, gzipped: bool = False, stored: bool
     system, inner = opened(folder)
     system.create_dir(inner)
     rows = pieces.select("name", "seq", "path", "offset", "length", F.col("tail").cast("binary"))
-    return rows.repartition("name").sortWithinPartitions("name", "seq").mapInArrow(run, "name string, bytes bigint")
+    tasks = 4 * pieces.sparkSession.sparkContext.defaultParallelism  # named, as few small rows may stand for many bytes
+    return rows.repartition(tasks, "name").sortWithinPartitions("name", "seq").mapInArrow(run, "name string, bytes bigint")
 
 
 def regions(spark: SparkSession, paths: list[str], **options) -> DataFrame:

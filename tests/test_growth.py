@@ -168,7 +168,9 @@ def test_a_split_part_is_one_piece_of_a_file(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "assemble", lambda pieces, *how: (sent.append(pieces.count()), assemble(pieces, *how))[1])
     for how, n in (({"chunks": 300}, 5), ({"files": 7}, 8)):
         out = tmp_path / "-".join(how)
-        files.split_files(spark, [str(tmp_path / f"{i}.chain") for i in (0, 1)], str(out), **how).collect()
+        made = files.split_files(spark, [str(tmp_path / f"{i}.chain") for i in (0, 1)], str(out), **how)
+        assert made.rdd.getNumPartitions() > 1
+        made.collect()
         names = sorted(p.name for p in out.iterdir() if p.name.startswith("part."))
         assert sent.pop() == n and "".join((out / p).read_text() for p in names) == "".join(texts)
         assert [(out / p).read_text().count("chain ") for p in names] == ([300, 300, 300, 100] if "chunks" in how else [142, 143, 143, 143, 143, 143, 143])
