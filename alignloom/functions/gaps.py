@@ -65,26 +65,29 @@ def parsed(text: str) -> GapTable:
     return table
 
 
-def _side(x: str, table: GapTable, values: tuple[float, ...], cut) -> str:
-    """CASE over the segments: the value at a knot, between knots the line in doubles, truncated."""
-    num = lambda v: f"CAST({v} AS DOUBLE)"
-    p, arms = table.positions, [f"WHEN {x} <= 0 THEN 0", f"WHEN {x} <= {table.positions[0]} THEN {int(values[0])}"]
-    line = lambda i: f"({num(values[i - 1])} + {num(values[i] - values[i - 1])} * CAST({x} - {p[i - 1]} AS DOUBLE) / {num(p[i] - p[i - 1])})"
-    for i in range(1, len(p)):
-        arms.append(f"WHEN {x} < {p[i]} THEN {cut(line(i))}")
-    beyond = cut(f"({num(values[-1])} + {num((values[-1] - values[-2]) / (p[-1] - p[-2]))} * CAST({x} - {p[-1]} AS DOUBLE))")
-    return f"CASE {' '.join(arms)} WHEN {beyond} < 0 THEN {OVERFLOW} ELSE {beyond} END"
+def _list(values) -> str:
+    return f"array({', '.join(f'CAST({v} AS DOUBLE)' for v in values)})"
 
 
 def cost_sql(dq: str, dt: str, table: GapTable | str = "loose", truncate=lambda e: f"CAST({e} AS BIGINT)") -> str:
     """SQL for the cost of a gap of dq on the query and dt on the target; negative gaps count as none.
 
+    One CASE finds the segment, the line's numbers come from lists by segment and side: the
+    code that Spark makes of a CASE with a line in each arm of each side is too long to be compiled.
     truncate: how the engine cuts a double toward zero; Spark's cast does.
     """
     table = TABLES[table] if isinstance(table, str) else table
     q, t = f"greatest({dq}, 0)", f"greatest({dt}, 0)"
-    sides = [_side(x, table, v, truncate) for x, v in ((q, table.query), (t, table.target), (f"({q} + {t})", table.both))]
-    return f"CAST(CASE WHEN {t} = 0 THEN {sides[0]} WHEN {q} = 0 THEN {sides[1]} ELSE {sides[2]} END AS BIGINT)"
+    x, p, sides = f"({q} + {t})", table.positions, (table.query, table.target, table.both)
+    arms = [f"WHEN {x} <= 0 THEN 0", f"WHEN {x} <= {p[0]} THEN 1", *(f"WHEN {x} < {after} THEN {i}" for i, after in enumerate(p[1:], 2))]
+    last = len(p) + 1
+    segment = f"CASE {' '.join(arms)} ELSE {last} END"
+    start, width = f"array({', '.join(f'{v}L' for v in (0, 0, *p))})", _list((1, 1, *(b - a for a, b in zip(p, p[1:])), 1))
+    value = _list(v for s in sides for v in (0, int(s[0]), *s))
+    rise = _list(v for s in sides for v in (0, 0, *(b - a for a, b in zip(s, s[1:])), (s[-1] - s[-2]) / (p[-1] - p[-2])))
+    place = f"({segment} + CASE WHEN {t} = 0 THEN 0 WHEN {q} = 0 THEN {last + 1} ELSE {2 * (last + 1)} END)"
+    line = truncate(f"({value}[{place}] + {rise}[{place}] * CAST({x} - {start}[{segment}] AS DOUBLE) / {width}[{segment}])")
+    return f"CASE WHEN {line} < 0 AND {segment} = {last} THEN CAST({OVERFLOW} AS BIGINT) ELSE {line} END"
 
 
 def cost(dq: Column, dt: Column, table: GapTable | str = "loose") -> Column:
