@@ -41,8 +41,8 @@ def _written(rows: DataFrame, value: Column, gzip: bool = False) -> list[str]:
     """The files of a folder that the rows' text is written to, in order of offset."""
     folder = fresh(rows.sparkSession, "texts")
     parts = max(LEAST_FILES, -(-rows.count() // FILE_ROWS))
-    laid = rows.select("offset", value.alias("value")).repartitionByRange(parts, "offset").sortWithinPartitions("offset")
-    render.write(laid.select("value"), folder, gzip)
+    laid = rows.repartitionByRange(parts, "offset").sortWithinPartitions("offset")  # the exchange takes a sample first, which would make all text once more
+    render.write(laid.select(value.alias("value")), folder, gzip)
     return part_files(folder, ".gz" if gzip else ".txt")
 
 
