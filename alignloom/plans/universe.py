@@ -45,12 +45,19 @@ def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer")}
-    heads = spark.sql(f"WITH {CTE} SELECT * FROM ch", **tables)
-    blocks = spark.sql(f"WITH {CTE} SELECT k, n, size, gr, gq FROM b", **tables).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "size", "gr", "gq"))).alias("bs"))
-    dense = F.transform("bs", lambda b: F.struct(b["size"].alias("size"), b["gr"].cast("bigint").alias("gap_reference"), b["gq"].cast("bigint").alias("gap_query")))
-    sides = [F.col(f"{p}_{f}") for p in "rq" for f in ("name", "size", "strand", "start", "end")]
-    return heads.join(blocks, "k").select(F.lit(0).alias("file_no"), F.col("k").alias("offset"), "score", *sides, "id", F.lit(True).alias("id_explicit"), dense.alias("blocks"))
+    """The rows of ch with the blocks of b: lines are shuffled once, grouped by order, and meet the order in the same partition; sums are taken over the blocks."""
+    lines, orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer"))
+    line = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    grouped = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(F.struct(*line))).alias("ls"))
+    gap = lambda x, i: F.when(i + 1 < F.size("ls"), F.round(x * 100).cast("bigint")).otherwise(0)
+    block = lambda x, i: F.struct(x["l_quantity"].cast("bigint").alias("size"), gap(x["l_tax"], i).alias("gap_reference"), gap(x["l_discount"], i).alias("gap_query"))
+    blocks = grouped.select("k", F.transform("ls", block).alias("blocks"))
+    heads = spark.sql("""SELECT o_orderkey k, CAST(floor(o_totalprice) AS BIGINT)-5000 score,
+     concat('chr', CAST(o_custkey%23+1 AS VARCHAR(9)), CASE WHEN o_custkey%29=0 THEN '_random' WHEN o_custkey%31=0 THEN '_alt' ELSE '' END) r_name,
+     concat('qry', CAST(c_nationkey+1 AS VARCHAR(9))) q_name, CASE WHEN o_orderstatus='F' THEN '-' ELSE '+' END q_strand FROM {orders} JOIN {customer} ON o_custkey=c_custkey""", orders=orders, customer=customer)
+    span = lambda gap: f"aggregate(blocks, CAST(NULL AS BIGINT), (a, b) -> coalesce(a + b.size + b.{gap}, a, b.size + b.{gap}))"
+    placed = heads.join(blocks, "k").selectExpr("*", "(k*37)%5000 r_start", "(k*53)%5000 q_start", f"{span('gap_reference')} rs", f"{span('gap_query')} qs")
+    return placed.selectExpr("0 file_no", "k AS `offset`", "score", "r_name", "10000L r_size", "'+' r_strand", "r_start", "r_start + rs r_end", "q_name", "10000L q_size", "q_strand", "q_start", "q_start + qs q_end", "k + 1 id", "true id_explicit", "blocks")
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
