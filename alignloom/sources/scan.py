@@ -16,8 +16,6 @@ WINDOW, BATCH_ROWS = 4 << 20, 16_384
 #: Bytes that are read beyond a range for the record that it cuts.
 SLACK = 1 << 12
 _SPACE, _DIGITS, _INTEGER = re.compile(rb"[ \t\n\f\r]+"), re.compile(rb"[0-9]+\Z"), re.compile(rb"-?[0-9]+\Z")
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(b" \t\n\f\r")] = True
 _NUMBERS = {"r_size": 3, "r_start": 5, "r_end": 6, "q_size": 8, "q_start": 10, "q_end": 11}  # the words of a header
 _TEXTS = {"r_name": 2, "r_strand": 4, "q_name": 7, "q_strand": 9}
 
@@ -28,6 +26,11 @@ class Fault(ValueError):
     pass
 
 
+def _dark(data: np.ndarray) -> np.ndarray:
+    """Which bytes are no white space: neither 9, 10, 12, 13 nor 32 (a table of 256 entries would cost an index of eight bytes for each)."""
+    return ((data - np.uint8(9) > 4) | (data == 11)) & (data != 32)
+
+
 def words(line: bytes) -> list[bytes]:
     """Runs of other bytes than ASCII white space (a vertical tab is none)."""
     return [w for w in _SPACE.split(line) if w]
@@ -107,11 +110,15 @@ def lines_of(data: np.ndarray, last: bool, with_words: bool = True) -> Lines:
         ends, past = np.append(newline, len(data)), np.append(past, len(data))
     starts = starts[: len(ends)]
     note = data[np.minimum(starts, max(len(data) - 1, 0))] == 35 if len(data) else np.zeros(0, bool)
-    dark = ~_IS_SPACE[data]
     if not with_words:
-        seen = np.concatenate(([0], np.cumsum(dark)))
-        none = np.zeros(0, np.int64)
-        return Lines(data, starts, ends, past, none, none, none, none, seen[ends] == seen[starts], note)
+        blank, none = ends == starts, np.zeros(0, np.int64)
+        led = np.flatnonzero(~blank)
+        led = led[~_dark(data[starts[led]])]
+        if len(led):  # only lines that begin with white space are looked through
+            seen = np.concatenate(([0], np.cumsum(_dark(data))))
+            blank[led] = seen[ends[led]] == seen[starts[led]]
+        return Lines(data, starts, ends, past, none, none, none, none, blank, note)
+    dark = _dark(data)
     edge = np.diff(dark.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     word, word_end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     first = np.searchsorted(word, starts)
@@ -366,13 +373,10 @@ def without_id(lines: Lines) -> int:
     """How many headers of lines that begin outside any record have no id; only the headers' words are found."""
     after = inside_after(lines, False)
     head = np.flatnonzero(~np.concatenate(([False], after[:-1])) & after)
-    length = lines.past[head] - lines.starts[head]
-    ends = np.cumsum(length)
-    own = lines.data[np.repeat(lines.starts[head] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
-    dark = np.concatenate(([False], ~_IS_SPACE[own]))
-    words = np.cumsum(dark[1:] & ~dark[:-1])
-    total = np.concatenate(([0], words))[np.concatenate(([0], ends))]
-    return int((np.diff(total) < 13).sum())
+    dark = _dark(lines.data)
+    dark[1:] &= ~dark[:-1]  # where words start
+    word = np.flatnonzero(dark)
+    return int((np.searchsorted(word, lines.ends[head]) - np.searchsorted(word, lines.starts[head]) < 13).sum())
 
 
 @dataclass
@@ -401,10 +405,11 @@ def scanned(stream, at: int, stop: int | None, metadata: bool = True, window: in
         lines = lines_of(data, not piece, with_words=False)
         n = len(lines) if stop is None else int(np.searchsorted(lines.starts + here, stop))
         if n:
-            tag = np.ones(n, bool)
+            named = np.flatnonzero(lines.ends[:n] - lines.starts[:n] >= 6)
             for k, c in enumerate(b"chain "):
-                where = lines.starts[:n] + k
-                tag &= (where < lines.ends[:n]) & (data[np.minimum(where, len(data) - 1)] == c)
+                named = named[data[lines.starts[named] + k] == c]
+            tag = np.zeros(n, bool)
+            tag[named] = True
             kinds.append(np.where(lines.blank[:n], 0, np.where(lines.note[:n], 1, np.where(tag, 2, 3))).astype(np.int8))
             offsets.append(lines.starts[:n] + here)
         if not piece or n < len(lines):
