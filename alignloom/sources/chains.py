@@ -365,9 +365,16 @@ def chain_bytes(spark: SparkSession, paths: str | list[str], index: DataFrame, o
 
 def read_range(path: str, offset: int, length: int) -> bytes:
     """Those bytes of a file's text; a gzip file is read up to them."""
-    system, inner = opened(path)
-    with system.open_input_file(inner) as raw:
-        packed = path.endswith(".gz") or raw.read(2) == b"\x1f\x8b"
-        stream = gzip.GzipFile(fileobj=raw) if packed else raw
+    with ExitStack() as stack:
+        stream = text_stream(path, stack)
         stream.seek(offset)
         return stream.read(length)
+
+
+def text_stream(path: str, stack: ExitStack) -> io.BufferedIOBase:
+    """A file's text, gzip recognised; its listed blocks are not looked at."""
+    system, inner = opened(path)
+    raw = stack.enter_context(system.open_input_file(inner))
+    packed = path.endswith(".gz") or raw.read(2) == b"\x1f\x8b"
+    raw.seek(0)
+    return gzip.GzipFile(fileobj=raw) if packed else raw

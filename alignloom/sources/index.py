@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alignloom.sources.chains import read_range
+from alignloom.sources.chains import read_range, text_stream
 from alignloom.storage import opened
 
 #: Fixed-width entries: file_no, offset, length as little-endian 64-bit integers.
 _ENTRY = 24
+#: Records that a task holds at a time.
+BATCH = 256
 
 
 def write(spans: DataFrame, folder: str) -> None:
@@ -58,12 +61,12 @@ def size(folder: str) -> int:
     return sum(n for _, n, _ in _footer(folder))
 
 
-def place(folder: str, footer: list[list], ordinal: int) -> tuple[int, int, int] | None:
+def place(folder: str, footer: list[list], ordinal: int, read: Callable[[str, int, int], bytes] = read_range) -> tuple[int, int, int] | None:
     """(file_no, offset, length) of a record: its file of entries by binary search, its entry by one read; None beyond the last."""
     at = bisect_right(footer, ordinal, key=lambda f: f[0]) - 1
     if at < 0 or ordinal >= footer[at][0] + footer[at][1]:
         return None
-    entry = read_range(f"{folder}/{footer[at][2]}", _ENTRY * (ordinal - footer[at][0]), _ENTRY)
+    entry = read(f"{folder}/{footer[at][2]}", _ENTRY * (ordinal - footer[at][0]), _ENTRY)
     return tuple(np.frombuffer(entry, "<i8").tolist())
 
 
@@ -74,16 +77,25 @@ def chain_bytes(folder: str, paths: str | list[str], ordinal: int) -> bytes | No
 
 
 def fetched(wanted: DataFrame, folder: str, paths: str | list[str]) -> DataFrame:
-    """(ordinal, record) of the rows of wanted (ordinal): each costs two reads, wherever the record is; ordinals beyond the last have none."""
+    """(ordinal, record) of the rows of wanted (ordinal): each costs two reads, wherever the record is, of files that a task opens once; ordinals beyond the last have none."""
     named, footer = [paths] if isinstance(paths, str) else list(paths), _footer(folder)
     shape = pa.schema([("ordinal", pa.int64()), ("record", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ordinal in batch.column(0).to_pylist():
-                found = place(folder, footer, ordinal)
-                if found is not None:
-                    record = bytes(read_range(named[found[0]], *found[1:]))
-                    yield pa.RecordBatch.from_arrays([pa.array([ordinal], pa.int64()), pa.array([record], pa.binary())], schema=shape)
+        with ExitStack() as stack:
+            held = {}
+
+            def read(path: str, offset: int, length: int) -> bytes:
+                if path not in held:
+                    held[path] = text_stream(path, stack)
+                held[path].seek(offset)
+                return held[path].read(length)
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, BATCH):
+                    some = batch.column(0).slice(at, BATCH).to_pylist()
+                    found = [(o, f) for o in some if (f := place(folder, footer, o, read)) is not None]
+                    records = [bytes(read(named[f[0]], *f[1:])) for _, f in found]
+                    yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in found], pa.int64()), pa.array(records, pa.binary())], schema=shape)
 
     return wanted.select(F.col("ordinal").cast("long")).mapInArrow(run, "ordinal bigint, record binary")
